@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -108,12 +110,10 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
 def ship_arrays(spark: SparkSession, name: str, **arrays: np.ndarray) -> str:
     """Send arrays of bounded size to every executor as a file; workers call map_shipped() with the returned name."""
     name = f"{name}-{uuid.uuid4().hex}.bin"
-    with tempfile.TemporaryDirectory() as folder:
-        save_arrays(f"{folder}/{name}", **arrays)
-        kept = os.path.join(SparkFiles.getRootDirectory(), name)
-        spark.sparkContext.addFile(f"{folder}/{name}")
-        if not os.path.exists(kept):
-            raise FileNotFoundError(kept)
+    folder = tempfile.mkdtemp(prefix="graphloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file from there as long as it runs
+    save_arrays(f"{folder}/{name}", **arrays)
+    spark.sparkContext.addFile(f"{folder}/{name}")
     return name
 
 

@@ -11,6 +11,48 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality import judge
+
+    # which rule rejects first depends on measured costs, so the query leaves it out
+    return judge(_table(spark, sf_dir, "documents")).drop("rejected_by", "n_lines")
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), g AS (
+  SELECT doc_id, i, list_extract(w, i) || ' ' || list_extract(w, i + 1) || ' ' || list_extract(w, i + 2) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), r AS (
+  SELECT doc_id, count(DISTINCT i + o) AS n
+  FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g), (VALUES (0), (1), (2)) AS v(o)
+  WHERE c > 1 GROUP BY doc_id
+), f AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 5 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+FROM f
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.exact_dedup import exact_groups
 
@@ -26,5 +68,66 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_exact_dedup": op4_exact_dedup}
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.packing import packed_documents
+
+    return packed_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.bpe import encode_and_decode
+
+    return encode_and_decode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.url_filter import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
+OP10_SQL = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), r(rule_host, rule_path, says) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fits AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(says, length(rule_host || rule_path)) AS says
+  FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id
+)
+SELECT u.page_id, host, path, rule, coalesce(says, CASE WHEN EXISTS (
+         SELECT 1 FROM (VALUES BLOCKED_HOSTS) AS b(h) WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN fits ON fits.page_id = u.page_id
+"""
+
+
+def _op10_sql() -> str:
+    from graphloom.llm.url_filter import BLOCKED_HOSTS
+
+    return OP10_SQL.replace("BLOCKED_HOSTS", ", ".join(f"('{h}')" for h in BLOCKED_HOSTS))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_url_filter": op10_url_filter,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+    "op4_exact_dedup": OP4_SQL,
+    "op10_url_filter": _op10_sql(),
+}
