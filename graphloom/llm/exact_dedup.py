@@ -53,7 +53,9 @@ def _heavy(table: DataFrame, share: float) -> DataFrame:
     groups = table.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(hex(digest), {COUNTERS})").alias("state")
     )
-    named = groups.agg(F.expr(f"approx_top_k_combine(state, {COUNTERS})").alias("state")).select(
+    # grouped by a constant, for without a key a task that has no rows would add a state that can't be merged
+    merged = groups.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(state, {COUNTERS})").alias("state"))
+    named = merged.select(
         F.expr(f"inline(approx_top_k_estimate(state, {min(COUNTERS, round(2 / share))}))")
     )
     # the sketch's counts are within its error; half the share leaves room, and exact counts decide
