@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import by_bytes, map_shipped, ship_arrays, small_batches, text_of
+from graphloom.llm.common import by_bytes, map_shipped, ship_arrays, prepare, text_of
 
 #: Frequent words that the automaton holds.
 LEXICON_WORDS = 65_536
@@ -249,7 +249,7 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     rows are coded each; a null id stays null; other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     name = ship_arrays(spark, "lexicon", **build_lexicon(frequent_words(docs, text_col, top), path))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import coder_for
-from graphloom.llm.common import by_bytes, small_batches, text_of, written
+from graphloom.llm.common import by_bytes, prepare, text_of, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -31,7 +31,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The token pieces of each text: doc_id, piece, start, length, ids_crc32. All pieces but the first are full."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +161,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     an empty result.
     """
     spark = pieces.sparkSession
+    prepare(spark)
     columns = pieces.columns
     order = [F.col(c) for c in ("length", *(c for c in columns if c != "length"))]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import by_bytes, small_batches, text_of
+from graphloom.llm.common import by_bytes, prepare, text_of
 
 #: Bytes of text counted at a time, and of distinct strings in one call of the library.
 BATCH_BYTES = 2_000_000
@@ -99,7 +99,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     path: a sentencepiece .model or a tokenizers .json, there on every machine. A null or empty text has no bytes and the
     tokens the library gives for "". Repeated rows are counted each; a null id stays null; other columns are not read.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_for(path)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_shipped, ship_arrays
+from graphloom.llm.common import map_shipped, prepare, ship_arrays
 
 BLOCK, ALLOW = 0, 1
 #: The rules of the query: host and path together, with the verdict.
@@ -117,6 +117,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES, blocked: tuple[
     rows are judged each; a null id stays null; other columns are not read.
     """
     spark = pages.sparkSession
+    prepare(spark)
     name = ship_arrays(spark, "url-rules", **digest_array(rules, blocked))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
