@@ -139,3 +139,39 @@ def map_shipped(name: str) -> dict[str, np.ndarray]:
     if name not in _MAPPED:
         _MAPPED[name] = map_arrays(SparkFiles.get(name))
     return _MAPPED[name]
+
+
+def _local(uri: str) -> str | None:
+    """The path of a file in the shared folder if it is mounted; None if it is in a store."""
+    if uri.startswith("file:"):
+        return "/" + uri[5:].lstrip("/")
+    return uri if uri.startswith("/") else None
+
+
+def shared_save(uri: str, **arrays: np.ndarray) -> None:
+    """In a worker: save_arrays() into the shared folder, mounted or in a store that pyarrow opens."""
+    if path := _local(uri):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        save_arrays(path, **arrays)
+        return
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(uri)
+    with tempfile.TemporaryDirectory() as folder:
+        save_arrays(f"{folder}/part", **arrays)
+        store.create_dir(os.path.dirname(at), recursive=True)
+        with open(f"{folder}/part", "rb") as source, store.open_output_stream(at) as out:
+            shutil.copyfileobj(source, out)
+
+
+def shared_map(uri: str) -> dict[str, np.ndarray]:
+    """In a worker: the arrays of shared_save(), mapped; from a store, a copy is mapped whose name is gone at once."""
+    if path := _local(uri):
+        return map_arrays(path)
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(uri)
+    with tempfile.TemporaryDirectory() as folder:
+        with store.open_input_stream(at) as source, open(f"{folder}/part", "wb") as out:
+            shutil.copyfileobj(source, out)
+        return map_arrays(f"{folder}/part")

@@ -75,6 +75,12 @@ FROM d
 """
 
 
+def op5_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.ngram_lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.packing import packed_documents
 
@@ -134,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_ngram_scores": op5_ngram_scores,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_counts": op8_token_counts,
