@@ -59,6 +59,12 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.secrets import find_secrets
+
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.exact_dedup import exact_groups
 
@@ -139,6 +145,7 @@ def _op10_sql() -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_ngram_scores": op5_ngram_scores,
     "op6_best_fit_packing": op6_best_fit_packing,
