@@ -8,3 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name."""
+
+    def register(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[make.__name__] = make
+        if sql:
+            ORACLE_SQL[make.__name__] = sql
+        return make
+
+    return register
+
+
+from graphloom.plans import evaluation_queries, graph_queries, text_queries  # noqa: E402, F401
