@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, prepare, text_of, written
-from graphloom.llm.components import components
+from graphloom.operators.components import components
 
 WORDS = 3
 DISTANCE = 2
