@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
-from graphloom.storage import written
+from graphloom.storage import ship_package, written
 
 
 def degrees(graph: PropertyGraph, dangling: bool = False) -> DataFrame:
@@ -75,6 +75,7 @@ def betweenness(graph: PropertyGraph, exact_up_to: int = 128, samples: int = 32,
     which holds the edges; more than `most_edges` distinct ones are refused.
     """
     spark = graph.nodes.sparkSession
+    ship_package(spark)
     ids = [r.id for r in graph.nodes.select("id").orderBy("id").limit(most_edges + 1).collect()]
     rows = graph.edges.where("source <> target").select("source", "target").distinct().limit(most_edges + 1).collect()
     if len(rows) > most_edges or len(ids) > most_edges:
