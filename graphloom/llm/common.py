@@ -8,15 +8,13 @@ import os
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.storage import fresh_path, written  # noqa: F401
+from graphloom.storage import fresh_path, ship_package, written  # noqa: F401
 
 #: A-Z to a-z on UTF-8 bytes; no byte of a longer sequence lies in A-Z.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -26,23 +24,20 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 ARROW_ROWS = 256
 
 
-_SHIPPED: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> None:
     """Before Python runs on executors: Arrow batches of ARROW_ROWS rows at most, and this package sent to them once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
-    if spark.sparkContext.applicationId not in _SHIPPED:
-        _SHIPPED.add(spark.sparkContext.applicationId)
-        folder = tempfile.mkdtemp(prefix="graphloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        package = Path(__file__).resolve().parent.parent
-        with zipfile.ZipFile(f"{folder}/graphloom.zip", "w") as out:
-            for path in sorted(package.rglob("*.py")):
-                out.write(path, path.relative_to(package.parent))
-        spark.sparkContext.addPyFile(f"{folder}/graphloom.zip")
+    ship_package(spark)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A name like `name` that is none of the columns, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_of(column: str = "text") -> Column:

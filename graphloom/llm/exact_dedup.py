@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import SPACE_CLASS, text_of, written
+from graphloom.llm.common import SPACE_CLASS, text_of, unused, written
 
 #: Counters of each summary. A digest with a share of HEAVY_SHARE of all rows cannot be missed: the error is under 4 / COUNTERS.
 COUNTERS = 8192
@@ -68,5 +68,6 @@ def _heavy(table: DataFrame, share: float) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text an earlier id has; all columns stay. Ids are taken as unique here."""
-    groups = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(groups.distinct(), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = unused(docs.columns, "_kept_id")
+    ids = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(ids, F.col(id_col).eqNullSafe(F.col(kept)), "left_semi")

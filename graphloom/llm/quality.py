@@ -90,12 +90,10 @@ def features(text: Column, w: Column) -> dict[str, Column]:
     }
 
 
-def with_features(docs: DataFrame, names: tuple[str, ...], text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the named features; columns are called prefix + name."""
-    text, w = f"{prefix}text_", f"{prefix}words_"
-    made = docs.withColumn(text, text_of(text_col)).withColumn(w, words(F.col(text)))
-    made = made.withColumns({prefix + k: v for k, v in features(F.col(text), F.col(w)).items() if k in names})
-    return made.drop(text, w)
+def with_features(texts: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """texts: column text, not null. The named features beside its columns."""
+    made = texts.withColumn("words_", words(F.col("text")))
+    return made.withColumns({k: v for k, v in features(F.col("text"), F.col("words_")).items() if k in names}).drop("words_")
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> list[tuple[Rule, float, float]]:
@@ -123,14 +121,11 @@ def _literal(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*map(F.lit, texts))).alias("text"))
 
 
-def verdict(rules: list[Rule], prefix: str = "") -> Column:
+def verdict(rules: list[Rule]) -> Column:
     """The name of the first rule that rejects, or null; later rules are not evaluated."""
     out = F.lit(None).cast("string")
     for rule in reversed(rules):
-        condition = rule.rejects
-        for name in sorted(rule.needs, key=len, reverse=True):
-            condition = condition.replace(name, f"`{prefix}{name}`") if prefix else condition
-        out = F.when(F.expr(condition), F.lit(rule.name)).otherwise(out)
+        out = F.when(F.expr(rule.rejects), F.lit(rule.name)).otherwise(out)
     return out
 
 
@@ -154,8 +149,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
 def drop_rejected(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """docs without the rows that a rule rejects; all columns stay, and a rule's features are computed only if it is reached."""
     order = [r for r, _, _ in estimate(docs, rules, text_col)]
-    prefix = "_quality_"
-    out = docs
-    for rule in order:  # Spark keeps the filters apart by their order: a later one sees only what is left
-        out = with_features(out, rule.needs, text_col, prefix).where(verdict([rule], prefix).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return out
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of(text_col).alias("text"))
+    for rule in order:  # a filter stands on the features of its rule, so a later one sees only what is left
+        out = with_features(out, rule.needs).where(verdict([rule]).isNull()).select("row", "text")
+    return out.select("row.*")

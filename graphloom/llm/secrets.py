@@ -181,9 +181,11 @@ def _redacted() -> Column:
 def redact_secrets(docs: DataFrame, labelled: DataFrame | None = None, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """docs with MASK in place of each secret; all rows and columns stay, and size_col, if there, follows the new text."""
     forest = train_forest(labelled if labelled is not None else labelled_findings(docs.sparkSession))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     some = F.exists("_found", lambda x: x["secret"])
-    out = scanned(docs, forest, text_col).withColumn("_new", F.when(some, _redacted()))
-    changed = {text_col: F.coalesce("_new", F.col(text_col))}
-    if size_col in docs.columns:
-        changed[size_col] = F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col))
-    return out.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    out = scanned(base, forest).select("row", F.when(some, _redacted()).alias("new"))
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    changed = {text_col: F.coalesce("new", own[text_col])}
+    if size_col in own:
+        changed[size_col] = F.when(F.col("new").isNotNull(), F.length("new").cast(docs.schema[size_col].dataType)).otherwise(own[size_col])
+    return out.select(*[changed.get(c, own[c]).alias(c) for c in docs.columns])
