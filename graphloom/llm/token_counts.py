@@ -23,7 +23,8 @@ CALL_BYTES = 200_000
 REMEMBERED = 400_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
-_SPACES = re.compile(" *[^ ]+| +")
+#: Parts of a text: spaces and what follows them. Spaces at the end stay with the last part, for nothing follows them.
+_SPACES = re.compile(r" *[^ ]+(?: +\Z)?| +")
 
 
 class PieceCounter:
