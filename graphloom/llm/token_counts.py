@@ -50,7 +50,7 @@ class PieceCounter:
         text = text.replace("▁", " ")  # the library's own sign for a space
         if not self.cuts or not text:
             return [text]
-        if "  " not in text and text[-1] != " ":
+        if "  " not in text and text[0] != " " != text[-1]:
             return text.split(" ")
         first, *rest = _SPACES.findall(text)
         return [first, *(x[1:] for x in rest)]
