@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,17 +90,17 @@ def betweenness(graph: PropertyGraph, exact_up_to: int = 128, samples: int = 32,
     scale = n / len(chosen) if chosen else 1.0
     shared = spark.sparkContext.broadcast((ids, out))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, after = shared.value
         score = np.zeros(len(names))
-        for frame in frames:
-            for s in frame["source"]:
-                score += _dependencies(after, int(s), len(names))
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                score += _dependencies(after, s, len(names))
         some = np.flatnonzero(score)
-        yield pd.DataFrame({"id": [names[i] for i in some], "score": score[some]})
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(score[some])], names=["id", "score"])
 
     sources = spark.createDataFrame([(s,) for s in chosen], "source long") if chosen else spark.range(0).withColumnRenamed("id", "source")
-    parts = sources.repartition(max(1, min(len(chosen), spark.sparkContext.defaultParallelism))).mapInPandas(run, "id string, score double")
+    parts = sources.repartition(max(1, min(len(chosen), spark.sparkContext.defaultParallelism))).mapInArrow(run, "id string, score double")
     total = parts.groupBy("id").agg((F.sum("score") * scale).alias("score"))
     return graph.nodes.select("id").join(total, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
