@@ -301,7 +301,7 @@ def fit(train: DataFrame) -> Model:
     spark = train.sparkSession
     prepare(spark)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = 4 * tasks
+    parts = 2 * tasks  # a part of pairs sends a block to each part of words: their product stays near the square of the tasks
     path = fresh_path(spark, "ngram-lm")
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
