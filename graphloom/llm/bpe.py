@@ -6,9 +6,11 @@ words of a batch at once. Words it does not hold are merged exactly.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import by_bytes, map_shipped, ship_arrays, prepare, text_of
+from graphloom.llm.common import by_bytes, map_shipped, prepare, ship_arrays, text_of, written
 
 #: Frequent words that the automaton holds.
 LEXICON_WORDS = 65_536
 #: Longer words are merged, not looked up.
 LONGEST_WORD = 48
 BATCH_BYTES = 2_000_000
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: The pre-tokenizer's pattern, a fixed value of this kind of vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A space beside other white space or at an end; any other single space starts a pre-token.
-_UNCLEAR = re.compile(r" \s|\s |^ | $")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -75,7 +75,7 @@ class Merger:
         return out + self.ranks.encode_ordinary(text[at:])
 
     def has_special(self, text: str) -> bool:
-        return bool(self.cut and self.cut.search(text))
+        return any(s in text for s in self.special)
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
@@ -162,54 +162,60 @@ def look_up(lexicon: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
         step += 1
 
 
+class _Known(dict):
+    """Ids of words by the word; a word that is not there is merged. None: white space at an end, so the text around it counts."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, word: str) -> bytes | None:
+        clear = word and not (word[0].isspace() or word[-1].isspace())
+        found = self[word] = array("I", self.merge(" " + word)).tobytes() if clear else None
+        return found
+
+
 class Coder:
-    """Encodes texts by words. A word here is what stands between single spaces, with the space before it."""
+    """Encodes texts by words. A word here is what stands between single spaces, with the space before it.
+
+    A space between two characters that are no white space always starts a pre-token, so such words are encoded one by one;
+    a text where a space stands beside other white space, or with a special token, is encoded as a whole.
+    """
 
     def __init__(self, path: str, lexicon: dict[str, np.ndarray] | None = None):
         self.merger = Merger(path)
         self.lexicon = lexicon
-        self.known: dict[str, bytes] = {}
-
-    def parts(self, text: str) -> list[str] | None:
-        """Words that can be encoded one by one, or None if white space or special tokens make that unclear."""
-        if _UNCLEAR.search(text) or self.merger.has_special(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *rest]
-
-    def learn(self, words: list[str]) -> None:
-        """Ids of new words, as the bytes of little-endian 32-bit numbers."""
-        missing = words
-        if self.lexicon is not None:
-            number = look_up(self.lexicon, [w.encode() for w in words])
-            starts, ids = self.lexicon["starts"], self.lexicon["ids"]
-            missing = []
-            for w, k in zip(words, number.tolist()):
-                if k < 0:
-                    missing.append(w)
-                else:
-                    self.known[w] = ids[starts[k] : starts[k + 1]].tobytes()
-        merge = self.merger.ranks.encode_ordinary
-        for w in missing:
-            self.known[w] = np.array(merge(" " + w), "<u4").tobytes()
+        self.known = _Known(self.merger.ranks.encode_ordinary)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Look up the words that are new in the lexicon, all together."""
+        new = list(set().union(*texts).difference(self.known))
+        number = look_up(self.lexicon, [w.encode() for w in new])
+        starts, ids = self.lexicon["starts"], self.lexicon["ids"]
+        for i in np.flatnonzero(number >= 0).tolist():
+            k = number[i]
+            self.known[new[i]] = ids[starts[k] : starts[k + 1]].tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        parts = [self.parts(t) for t in texts]
-        used = set().union(*(p[1:] for p in parts if p))
-        new = used.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-            new = used
-        self.learn(list(new))
-        known, out = self.known.__getitem__, []
-        for text, p in zip(texts, parts):
-            if p is None:
-                out.append(np.array(self.merger.ids(text), "<u4").tobytes())
-            else:
-                head = np.array(self.merger.ids(p[0]), "<u4").tobytes() if p[0] else b""
-                out.append(head + b"".join(map(known, p[1:])))
-        return out
+        words = [t.split(" ") for t in texts]
+        if self.lexicon is not None:
+            self.learn([w[1:-1] for w in words])
+        return [self._one(t, w) for t, w in zip(texts, words)]
+
+    def _one(self, text: str, words: list[str]) -> bytes:
+        first, last = words[0], words[-1]
+        apart = len(words) > 1 and first and last and not first[-1].isspace() and not last[0].isspace()
+        if apart and not self.merger.has_special(text):
+            middle = map(self.known.__getitem__, words[1:-1])
+            with contextlib.suppress(TypeError):  # a None is among them
+                return b"".join([self.bytes_of(first), *middle, self.bytes_of(" " + last)])
+        return self.bytes_of(text)
+
+    def bytes_of(self, text: str) -> bytes:
+        return array("I", self.merger.ids(text)).tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""
@@ -227,18 +233,28 @@ def coder_for(path: str, lexicon: str | None = None) -> Coder:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", top: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts, ties by the word; at most `top` of them reach the driver."""
+    """The most frequent words of all texts that occur twice or more; at most `top` of them reach the driver.
+
+    Counts are binned first (a few hundred bins at most), and whole bins are taken from the top as long as they fit: sorting
+    for the exact top would send every task's own top to the driver.
+    """
     words = docs.select(F.explode(F.split(text_of(text_col), " ")).alias("word"))
-    counts = words.groupBy("word").count().where(f"word != '' AND octet_length(word) < {LONGEST_WORD}")
-    return [r.word for r in counts.orderBy(F.desc("count"), "word").limit(top).collect()]
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(f"n > 1 AND word != '' AND octet_length(word) < {LONGEST_WORD}")
+    counts = written(counts.withColumn("bin", F.floor(8 * F.log2("n")).cast("int")), "word-counts")
+    room, least = top, None
+    for r in counts.groupBy("bin").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("bin")).collect():
+        room -= r.words
+        if room < 0:
+            break
+        least = r.bin
+    return [] if least is None else [r.word for r in counts.where(F.col("bin") >= least).select("word").collect()]
 
 
 def build_lexicon(words: list[str], path: str) -> dict[str, np.ndarray]:
     """The automaton of words that are safe to encode by themselves."""
-    coder = Coder(path)
-    merge = coder.merger.ranks.encode_ordinary
-    fit = {w for w in words if w and not _UNCLEAR.search(f"x {w}") and not coder.merger.has_special(w)}
-    return compile_lexicon({w.encode(): merge(" " + w) for w in fit})
+    merger = Merger(path)
+    fit = {w for w in words if w and not (w[0].isspace() or w[-1].isspace() or merger.has_special(w))}
+    return compile_lexicon({w.encode(): merger.ids(" " + w) for w in fit})
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", top: int = LEXICON_WORDS, with_ids: bool = False) -> DataFrame:
