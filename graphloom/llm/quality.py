@@ -7,6 +7,7 @@ chain of CASE branches stops at the first that rejects. The order changes the co
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,7 +50,7 @@ def _without(text: Column, characters: str) -> Column:
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words in windows of three words that occur twice or more. w: a column, not an expression.
+    """Words in windows of three words that occur twice or more. w: a variable, for it is used in lambdas.
 
     Equal hashes only say where to look; windows are then compared as strings.
     """
@@ -78,22 +79,27 @@ def _repeat_words(w: Column) -> Column:
     return F.when(suspect, added).otherwise(0).cast("long")
 
 
-def features(text: Column, w: Column) -> dict[str, Column]:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once. A filter that the optimizer moves below a projection takes the projection's
+    expressions along, into each lambda too; a lambda's own variable can't be replaced that way."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def features(text: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(_without(x, " \t\x0b\x0c\r")) > 0)
     return {
-        "n_words": F.size(w).cast("long"),
+        "n_words": F.size(words(text)).cast("long"),
         "word_chars": F.length(_without(text, " \t\n\x0b\x0c\r")).cast("long"),
         "n_symbols": (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": _repeat_words(w),
+        "n_repeat_words": _let(words(text), _repeat_words),
     }
 
 
 def with_features(texts: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """texts: column text, not null. The named features beside its columns."""
-    made = texts.withColumn("words_", words(F.col("text")))
-    return made.withColumns({k: v for k, v in features(F.col("text"), F.col("words_")).items() if k in names}).drop("words_")
+    return texts.withColumns({k: v for k, v in features(F.col("text")).items() if k in names})
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> list[tuple[Rule, float, float]]:
