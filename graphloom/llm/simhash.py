@@ -16,7 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, prepare, text_of, unused, written
+from graphloom.llm.common import LOWER, prepare, text_of, written
+from graphloom.llm.near_copies import drop_near_copies  # noqa: F401
 from graphloom.operators.components import components
 
 WORDS = 3
@@ -195,11 +196,3 @@ def near_groups(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", tex
     moved = written(linked.join(named, "root").select("fp", "component"), "components")
     ids = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     return table.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group, that with the smallest id; all columns stay. Ids are taken as unique here."""
-    kept = unused(docs.columns, "_kept_id")
-    groups = near_groups(docs, id_col=id_col, text_col=text_col)
-    ids = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col(kept)), "left_semi")
