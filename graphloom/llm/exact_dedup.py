@@ -6,7 +6,7 @@ are; those few are broadcast, and their rows get their answer on the map side. A
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import SPACE_CLASS, text_of, unused, written
@@ -19,6 +19,10 @@ MERGE_GROUPS = 64
 HEAVY_SHARE = 1 / 1000
 
 
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.regexp_replace(text_of(text_col), SPACE_CLASS, " ").cast("binary"), 256))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -26,8 +30,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with the smallest id stays. Null ids come last; a group of null ids only has a null keep_id and keeps one row.
     Of repeated rows of the id that stays, one is kept. An empty table gives an empty result; other columns are not read.
     """
-    digest = F.unhex(F.sha2(F.regexp_replace(text_of(text_col), SPACE_CLASS, " ").cast("binary"), 256))
-    table = written(docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest")), "digests")
+    table = written(docs.select(F.col(id_col).alias("doc_id"), _digest(text_col).alias("digest")), "digests")
     heavy = written(_heavy(table, heavy_share), "heavy-digests")
     marked = table.join(F.broadcast(heavy), "digest", "left")
     light = Window.partitionBy("digest")
@@ -67,7 +70,12 @@ def _heavy(table: DataFrame, share: float) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text an earlier id has; all columns stay. Ids are taken as unique here."""
-    kept = unused(docs.columns, "_kept_id")
-    ids = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept)).distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col(kept)), "left_semi")
+    """docs without the rows whose text an earlier id has; all columns stay.
+
+    Each row has its own verdict, by its id and text: of repeated rows one stays.
+    """
+    own, kept_id, kept, place = (unused(docs.columns, x) for x in ("_own_digest", "_kept_id", "_kept_digest", "_place"))
+    stays = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept))
+    found = docs.withColumn(own, _digest(text_col)).join(stays, (F.col(own) == F.col(kept)) & F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
+    once = F.row_number().over(Window.partitionBy(own, id_col).orderBy(F.lit(1)))
+    return found.withColumn(place, once).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -114,6 +114,12 @@ def test_exact_dedup(docs, none, rows, share):
     assert exact_dedup.drop_exact_copies(docs).columns == docs.columns
 
 
+def test_exact_copies_go_by_row(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "a  b"), (2, "a b"), (2, "c"), (0, "d"), (5, "d"), (5, "e"), (None, "f"), (None, "f")]
+    found = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same([(i, t.replace("  ", " ")) for i, t in found], [(1, "a b"), (2, "c"), (0, "d"), (5, "e"), (None, "f")])
+
+
 def print_of(text):
     w = (text or "").translate(LOW).encode().split()
     if not w:
