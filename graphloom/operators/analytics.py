@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
-from graphloom.storage import ship_package, written
+from graphloom.storage import written
 
 
 def degrees(graph: PropertyGraph, dangling: bool = False) -> DataFrame:
@@ -68,58 +66,52 @@ def pagerank(graph: PropertyGraph, damping: float = 0.85, rounds: int = 20) -> D
     return ranks
 
 
-def betweenness(graph: PropertyGraph, exact_up_to: int = 128, samples: int = 32, most_edges: int = 2_000_000) -> DataFrame:
+def betweenness(graph: PropertyGraph, exact_up_to: int = 128, samples: int = 32) -> DataFrame:
     """id, score: directed, unnormalised, endpoints not counted.
 
-    All sources up to `exact_up_to` nodes, else `samples` evenly spaced ones scaled up. Sources are dealt to tasks, each of
-    which holds the edges; more than `most_edges` distinct ones are refused.
+    All sources up to `exact_up_to` nodes, else `samples` evenly spaced ones scaled up. Path counts go forward and
+    dependencies backward level by level, all sources together, as joins with the written edges; no size is refused.
     """
-    spark = graph.nodes.sparkSession
-    ship_package(spark)
-    ids = [r.id for r in graph.nodes.select("id").orderBy("id").limit(most_edges + 1).collect()]
-    rows = graph.edges.where("source <> target").select("source", "target").distinct().limit(most_edges + 1).collect()
-    if len(rows) > most_edges or len(ids) > most_edges:
-        raise ValueError(f"more than {most_edges} nodes or edges: choose a subgraph")
-    at = {x: i for i, x in enumerate(ids)}
-    n = len(ids)
-    out: list[list[int]] = [[] for _ in ids]
-    for r in sorted(rows):
-        if r.source in at and r.target in at:
-            out[at[r.source]].append(at[r.target])
-    chosen = list(range(n)) if n <= exact_up_to else [k * n // samples for k in range(samples)]
-    scale = n / len(chosen) if chosen else 1.0
-    shared = spark.sparkContext.broadcast((ids, out))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, after = shared.value
-        score = np.zeros(len(names))
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                score += _dependencies(after, s, len(names))
-        some = np.flatnonzero(score)
-        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(score[some])], names=["id", "score"])
-
-    sources = spark.createDataFrame([(s,) for s in chosen], "source long") if chosen else spark.range(0).withColumnRenamed("id", "source")
-    parts = sources.repartition(max(1, min(len(chosen), spark.sparkContext.defaultParallelism))).mapInArrow(run, "id string, score double")
-    total = parts.groupBy("id").agg((F.sum("score") * scale).alias("score"))
-    return graph.nodes.select("id").join(total, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
-def _dependencies(out: list[list[int]], s: int, n: int) -> np.ndarray:
-    """What shortest paths from s contribute to each node between their ends."""
-    depth, paths, order = {s: 0}, {s: 1.0}, [s]
-    for v in order:
-        for w in out[v]:
-            if w not in depth:
-                depth[w], paths[w] = depth[v] + 1, 0.0
-                order.append(w)
-            if depth[w] == depth[v] + 1:
-                paths[w] += paths[v]
-    score = np.zeros(n)
-    for v in reversed(order):
-        score[v] = sum(paths[v] / paths[w] * (1 + score[w]) for w in out[v] if depth[w] == depth[v] + 1)
-    score[s] = 0
-    return score
+    ordered = written(graph.nodes.select("id").orderBy("id").withColumn("at", F.monotonically_increasing_id()), "ordered-nodes")
+    # the place of a row is its task's first place and its place there
+    sizes = sorted(tuple(r) for r in ordered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1))).collect())
+    n = sum(size for _, size in sizes)
+    places = range(n) if n <= exact_up_to else [k * n // samples for k in range(samples)]
+    chosen, first = [], 0
+    for part, size in sizes:
+        chosen += [(part << 33) + p - first for p in places if first <= p < first + size]
+        first += size
+    nodes = ordered.select("id")
+    edges = graph.edges.where("source <> target").select("source", "target").distinct()
+    for end in ("source", "target"):
+        edges = edges.join(nodes.withColumnRenamed("id", end), end, "left_semi")
+    edges = written(edges.select("source", "target"), "links")
+    now = written(ordered.where(F.col("at").isin(chosen)).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), "paths")
+    levels, seen = [], now.select("s", "id")
+    while not now.isEmpty():
+        levels.append(now)
+        if len(levels) > 1:
+            seen = seen.unionByName(now.select("s", "id"))
+        if len(levels) % 10 == 0:  # so that plans stay short on long chains
+            seen = written(seen, "seen")
+        after = now.join(edges, now["id"] == edges["source"]).groupBy("s", F.col("target").alias("id")).agg(F.sum("paths").alias("paths"))
+        now = written(after.join(seen, ["s", "id"], "left_anti"), "paths")
+    # what is left of a level: of each source's node there, its paths and what later nodes depend on it
+    parts, below = [], None
+    for level in reversed(levels[1:]):
+        if below is None:
+            mine = level.withColumn("score", F.lit(0.0))
+        else:
+            share = below.join(edges, below["id"] == edges["target"]).groupBy("s", F.col("source").alias("id")).agg(F.sum((1 + F.col("score")) / F.col("paths")).alias("share"))
+            mine = level.join(share, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("score"))
+        below = written(mine, "dependencies")
+        parts.append(below.select("id", "score"))
+        if len(parts) == 10:
+            parts = [written(reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("score").alias("score")), "scores")]
+    if not parts:
+        return nodes.withColumn("score", F.lit(0.0))
+    total = reduce(DataFrame.unionByName, parts).groupBy("id").agg((F.sum("score") * (n / len(chosen))).alias("score"))
+    return nodes.join(total, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:

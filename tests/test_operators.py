@@ -48,6 +48,32 @@ def test_betweenness(spark):
     assert score == {"a": 0.0, "b": 1.0, "c": 0.0}
 
 
+def test_betweenness_counts_all_shortest_paths(spark):
+    pairs = [(f"{i:02}", f"{j:02}") for i in range(30) for j in range(30) if i != j and (i * 7 + j * 11) % 13 == 0]
+    g = graph(spark, *pairs)
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    ids = sorted(r.id for r in g.nodes.collect())
+    for sources, found in ((ids, analytics.betweenness(g)), ([ids[k * len(ids) // 4] for k in range(4)], analytics.betweenness(g, exact_up_to=2, samples=4))):
+        wanted = dict.fromkeys(ids, 0.0)
+        for s in sources:
+            ways, last = {s: [[s]]}, [s]
+            while last:
+                new = {}
+                for v in last:
+                    for w in out.get(v, []):
+                        if w not in ways:
+                            new.setdefault(w, []).extend([*p, w] for p in ways[v])
+                ways |= new
+                last = list(new)
+            for t, all_ways in ways.items():
+                for way in all_ways if t != s else []:
+                    for v in way[1:-1]:
+                        wanted[v] += len(ids) / len(sources) / len(all_ways)
+        assert {r.id: round(r.score, 9) for r in found.collect()} == {k: round(v, 9) for k, v in wanted.items()}
+
+
 def test_two_triangles_are_two_communities(spark):
     pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f"), ("c", "d")]
     edges = spark.createDataFrame([(*p, 1) for p in pairs], "u string, v string, weight int")
