@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import incremental, metrics
+from graphloom.operators import incremental, metrics, search
 from graphloom.plans.registry import query
 from graphloom.plans.text_queries import BM25, bm25_top
 from graphloom.sources.tables import table
+from graphloom.storage import written
 from graphloom.streaming import events
 
 
@@ -42,13 +45,13 @@ def median_and_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELEVANT = ", rel AS (SELECT item_id AS query, doc_id AS id FROM documents JOIN benchmark b ON contains(documents.text, b.text))"
 
 
-def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage: passages are a bounded list, so it is broadcast after a check."""
+def _relevant(spark: SparkSession, sf_dir: str, block: int = 100_000) -> DataFrame:
+    """Documents that hold a benchmark passage: blocks of passages are broadcast, one after the other."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
-    if items.limit(100_001).count() > 100_000:
-        raise ValueError("too many passages to look for at once")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs.join(F.broadcast(items), F.col("text").contains(F.col("passage"))).select("query", "id")
+    asked = search.blocks(items, "query", block)
+    found = [docs.join(F.broadcast(some), F.col("text").contains(F.col("passage"))).select("query", "id") for some in asked]
+    return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, [written(df, "relevant") for df in found])
 
 
 @query(BM25 + RELEVANT + ", i AS (SELECT query, least(count(*), 10) AS n FROM rel GROUP BY query)  , got AS (SELECT query, sum(1 / log2(rank + 1)) AS dcg FROM k JOIN rel USING (query, id) WHERE rank <= 10 GROUP BY query) SELECT query, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, n + 1), lambda r: 1 / log2(r + 1))), 6) AS ndcg FROM i LEFT JOIN got USING (query)")

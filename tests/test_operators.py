@@ -7,7 +7,7 @@ from graphloom import api
 from graphloom.functions import paths, text
 from graphloom.graph import PropertyGraph
 from graphloom.operators import analytics, components, findings, incremental, relational, search, similarity, traverse
-from graphloom.plans import match
+from graphloom.plans import evaluation_queries, match
 from graphloom.streaming import events
 
 
@@ -74,6 +74,18 @@ def test_betweenness_counts_all_shortest_paths(spark):
         assert {r.id: round(r.score, 9) for r in found.collect()} == {k: round(v, 9) for k, v in wanted.items()}
 
 
+def test_vector_top_in_blocks_is_as_in_one(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id long, vector array<double>")
+    asked = rows.select(rows["id"].alias("query"), "vector")
+    one, many = (sorted(map(tuple, search.vector_top(rows, asked, 3, block=b).select("query", "id", "rank").collect())) for b in (1000, 8))
+    assert one == many and len(one) == 180
+
+
+def test_passages_in_blocks_are_as_in_one(spark):
+    one, many = (sorted(map(tuple, evaluation_queries._relevant(spark, "/root/testdata/sf0.001", b).collect())) for b in (100_000, 7))
+    assert one == many and one
+
+
 def test_two_triangles_are_two_communities(spark):
     pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f"), ("c", "d")]
     edges = spark.createDataFrame([(*p, 1) for p in pairs], "u string, v string, weight int")
