@@ -1,11 +1,15 @@
 """Removal of repeated byte strings with suffix arrays made by two-stage sorting.
 
 Sorting the suffixes of a whole corpus in one place does not scale, so the work is divided without loss. Every window of
-WINDOW bytes has a minimizer: its anchor of ANCHOR bytes with the least hash. Equal windows have equal minimizers, so all
-copies of a window meet under one key. Consecutive windows with one minimizer occurrence form a segment. A segment that
-occurs twice is repeated as a whole; only segments that share a minimizer with other segments go through a suffix array:
-suffixes smaller than their successor are sorted directly, the others are induced by scans over the buckets, and common
-prefixes of neighbours say which windows occur twice.
+WINDOW bytes has a minimizer: its anchor of ANCHORS[0] bytes with the least hash. Equal windows have equal minimizers, so all
+copies of a window meet under one key. Consecutive windows with one minimizer form a segment. A segment that occurs twice is
+repeated as a whole; only segments that share a minimizer with other segments go through a suffix array: suffixes smaller
+than their successor are sorted directly, the others are induced by scans over the buckets, and common prefixes of
+neighbours say which windows occur twice.
+
+A minimizer of more than GROUP_BYTES of different segments is divided again, by minimizers of longer anchors: those segments
+are cut like texts, with the next of ANCHORS. An anchor of WINDOW - 1 bytes leaves one free byte on either side, so that a
+group of the last level is bounded, whatever the corpus is. At each level the suffix arrays find the repeats.
 """
 
 from __future__ import annotations
@@ -15,55 +19,75 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import prepare, text_of, written
 
 WINDOW = 400
+#: Bytes of an anchor at each level, as shares of the window; the last level has one byte less than the window.
 ANCHOR = 32
+LEVELS = (0.08, 0.56, 0.88)
 #: Bits of a minimizer that hold its place while it is chosen: texts of up to 2^PLACE_BITS bytes go in one piece, longer ones in overlapping pieces.
-PLACE_BITS = 24
-#: Bytes whose suffixes are sorted together, and bytes of segments under one minimizer from which windows are counted by hash instead.
+PLACE_BITS = 22
+#: Windows from which a segment of periodic text (one minimizer at many places) is cut at the minimizer's next place.
+LONGEST_RUN = 4096
+#: Bytes whose suffixes are sorted together, and bytes of different segments from which a minimizer is divided again.
 BLOCK_BYTES = 500_000
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 250_000
 _MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)))
 
 
-def anchors(data: np.ndarray) -> np.ndarray:
-    """A hash of the ANCHOR bytes from each place on."""
-    n = len(data) - ANCHOR + 1
+def anchor_sizes(window: int) -> list[int]:
+    """The anchors of each level, in multiples of eight bytes, and that of the last."""
+    sizes = [max(8, int(window * x) // 8 * 8) for x in LEVELS]
+    return [x for x in sizes if x < window - 1] + [window - 1]
+
+
+def anchors(data: np.ndarray, size: int = ANCHOR) -> np.ndarray:
+    """A hash of the `size` (8 or more) bytes from each place on."""
+    n = len(data) - size + 1
     words = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1)).copy().view("<u8").ravel()
     h = np.zeros(n, np.uint64)
-    for k, mix in enumerate(_MIX):
-        h += words[8 * k : 8 * k + n]
-        h *= mix
+    for k, at in enumerate([*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]):
+        h += words[at : at + n]
+        h *= _MIX[k % 4]
         h ^= h >> np.uint64(31)
     return h
 
 
-def minimizers(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def minimizers(data: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
     """For each window: the least anchor hash (upper bits) with its place (lower PLACE_BITS); the leftmost of equal ones."""
     place = np.uint64((1 << PLACE_BITS) - 1)
-    v = (anchors(data) & ~place) | np.arange(len(data) - ANCHOR + 1, dtype=np.uint64)
-    width, need = 1, window - ANCHOR + 1
+    v = (anchors(data, anchor) & ~place) | np.arange(len(data) - anchor + 1, dtype=np.uint64)
+    width, need = 1, window - anchor + 1
     while 2 * width <= need:
         v = np.minimum(v[:-width], v[width:])
         width *= 2
     return np.minimum(v[: len(v) - (need - width)], v[need - width :]) if need > width else v
 
 
-def segments(text: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, windows) of each run of windows with one minimizer occurrence."""
+def segments(text: bytes, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, first window, windows, places of the minimizer) of each run of windows with one minimizer.
+
+    In periodic text the same minimizer stands at place after place; the run goes on over them, up to LONGEST_RUN windows or
+    the next place behind those.
+    """
     size = (1 << PLACE_BITS) - window  # windows of one piece
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, ...]] = []
     for at in range(0, max(0, len(text) - window + 1), size):
-        v = minimizers(np.frombuffer(text[at : at + size + window - 1], np.uint8), window)
+        v = minimizers(np.frombuffer(text[at : at + size + window - 1], np.uint8), window, anchor)
         first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-        parts.append(((v[first] >> np.uint64(PLACE_BITS)).astype(np.int64), first + at, np.diff(np.append(first, len(v)))))
+        key = v[first] >> np.uint64(PLACE_BITS)
+        run = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        if len(run) < len(first):
+            begun = np.repeat(first[run], np.diff(np.append(run, len(first))))
+            cut = (first - begun) // LONGEST_RUN
+            run = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cut[1:] != cut[:-1]))))
+        begins = first[run]
+        parts.append((key[run].astype(np.int64), begins + at, np.diff(np.append(begins, len(v))), np.diff(np.append(run, len(first)))))
     if not parts:
-        return (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.int64),) * 4
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -162,149 +186,150 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _row_key(id_col: str) -> list[Column]:
-    """What tells rows apart that have different texts; repeated rows get one key, and one answer holds for all of them."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("row_id"), F.xxhash64("text").alias("row_hash")]
+KEY = ["k1", "k2", "k3"]
+KIND = ["minimizer", "d1", "d2"]
+SEGMENT_ROWS = "k1 long, k2 long, k3 long, weight long, minimizer long, d1 long, d2 long, first int, windows int, alone boolean"
+
 
+def _digests(parts: list[bytes]) -> np.ndarray:
+    """128 bits of a cryptographic hash for each, as two longs: equal ones stand for equal bytes."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in parts), "<i8").reshape(-1, 2)
 
-SEGMENT_ROWS = "row_id long, row_hash long, minimizer long, digest long, first int, windows int"
 
+def _segment_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
+    """texts: KEY, weight, text (binary). alone: whether the segment may hold a repeat all by itself."""
 
-def _segment_rows(rows: DataFrame, window: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, found = [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                data = text.encode()
-                m, first, n = segments(data, window)
+            for i, data in enumerate(batch.column(4).to_pylist()):
+                m, first, n, places = segments(data, window, anchor)
                 if len(m):
                     rep.append(np.full(len(m), i))
-                    digest = [xxhash.xxh3_64_intdigest(data[a : a + k + window - 1]) for a, k in zip(first.tolist(), n.tolist())]
-                    found.append((m, np.array(digest, np.uint64).view(np.int64), first.astype(np.int32), n.astype(np.int32)))
+                    digest = _digests([data[a : a + k + window - 1] for a, k in zip(first.tolist(), n.tolist())])
+                    found.append((m, digest[:, 0], digest[:, 1], first.astype(np.int32), n.astype(np.int32), places > 1))
             if found:
                 at = pa.array(np.concatenate(rep))
-                columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(x)) for x in zip(*found))]
-                yield pa.RecordBatch.from_arrays(columns, names=["row_id", "row_hash", "minimizer", "digest", "first", "windows"])
+                columns = [*(batch.column(c).take(at) for c in range(4)), *(pa.array(np.concatenate(x)) for x in zip(*found))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "weight", *KIND, "first", "windows", "alone"])
 
-    return rows.mapInArrow(cut, SEGMENT_ROWS)
+    return texts.select(*KEY, "weight", "text").mapInArrow(cut, SEGMENT_ROWS)
 
 
-def _segment_bytes(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """wanted: one place for each segment. minimizer, digest, bytes."""
-    places = wanted.groupBy("row_id", "row_hash").agg(F.collect_list(F.struct("minimizer", "digest", "first", "windows")).alias("wanted"))
-    joined = rows.join(places, ["row_id", "row_hash"]).select("text", "wanted")
+def _segment_bytes(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """wanted: one place for each segment. KIND, bytes. A text's list of them takes less room than the text."""
+    places = wanted.groupBy(*KEY).agg(F.collect_list(F.struct(*KIND, "first", "windows")).alias("wanted"))
+    joined = texts.join(places, KEY).select("text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = text.encode()
-                out += [(w["minimizer"], w["digest"], data[w["first"] : w["first"] + w["windows"] + window - 1]) for w in items]
-            m, d, b = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(d, pa.int64()), pa.array(b, pa.binary())], names=["minimizer", "digest", "bytes"])
-
-    return joined.mapInArrow(cut, "minimizer long, digest long, bytes binary")
+            for data, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out += [(w["minimizer"], w["d1"], w["d2"], data[w["first"] : w["first"] + w["windows"] + window - 1]) for w in items]
+            *keys, b = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(b, pa.binary())], names=[*KIND, "bytes"])
 
+    return joined.mapInArrow(cut, "minimizer long, d1 long, d2 long, bytes binary")
 
-RUN_ROWS = "minimizer long, digest long, start int, stop int"
 
-
-def _run_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    m, d, a, b = zip(*rows) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["minimizer", "digest", "start", "stop"])
+RUN_ROWS = "minimizer long, d1 long, d2 long, start int, stop int"
 
 
 def _by_suffix_arrays(parts: DataFrame, window: int) -> DataFrame:
-    """parts: minimizer, digest, bytes. The runs of a segment's bytes that repeated windows cover."""
+    """parts: KIND, bytes. The runs of a segment's bytes that repeated windows cover."""
     n = max(1, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
-        held: list[tuple[int, int, bytes]] = []
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, int, bytes]]]:
+        held: list[tuple[int, int, int, bytes]] = []
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and row[0] != held[-1][0] and size >= BLOCK_BYTES:
                     yield held
                     held, size = [], 0
-                if not held or row[:2] != held[-1][:2]:  # repeated rows bring a segment more than once
+                if not held or row[:3] != held[-1][:3]:  # repeated rows bring a segment more than once
                     held.append(row)
-                    size += len(row[2])
+                    size += len(row[3])
         if held:
             yield held
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            sizes = np.array([len(b) for _, _, b in block])
+            sizes = np.array([len(x[3]) for x in block])
             at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             counts = sizes - window + 1
             starts = np.repeat(at, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            flags = repeated_windows(b"".join(b for _, _, b in block), starts, window)
+            flags = repeated_windows(b"".join(x[3] for x in block), starts, window)
             out, k = [], 0
-            for (m, d, _), n_windows in zip(block, counts.tolist()):
-                for a, b in zip(*_runs(flags[k : k + n_windows])):
-                    out.append((m, d, int(a), int(b) + window - 1))
+            for (*kind, _), n_windows in zip(block, counts.tolist()):
+                out += [(*kind, int(a), int(b) + window - 1) for a, b in zip(*_runs(flags[k : k + n_windows]))]
                 k += n_windows
-            yield _run_batch(out)
+            columns = zip(*out) if out else ((),) * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*KIND, "start", "stop"])
 
-    return parts.repartition(n, "minimizer").sortWithinPartitions("minimizer", "digest").mapInArrow(sort, RUN_ROWS)
+    return parts.repartition(n, "minimizer").sortWithinPartitions(*KIND).mapInArrow(sort, RUN_ROWS)
 
 
-def _by_window_hashes(parts: DataFrame, window: int) -> DataFrame:
-    """The same for minimizers with more segments than one task should sort: each window is counted by a 128-bit hash."""
+def covered(texts: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, level: int = 0) -> DataFrame:
+    """texts: KEY, weight (how often it occurs), text (binary). KEY, a, b: spans of it under windows that occur twice.
+
+    Spans may overlap. Texts with one key have to be equal; they are as many places as they are rows.
+    """
+    sizes = anchor_sizes(window)
+    last = level + 1 == len(sizes)
+    found = written(_segment_rows(texts, window, sizes[level]), f"segments-{level}")
+    place = F.struct(*KEY, "first", "windows", "alone")
+    kinds = found.groupBy(*KIND).agg(F.sum("weight").alias("copies"), F.min(place).alias("place"))
+    kinds = written(kinds.select(*KIND, "copies", "place.*"), f"segment-kinds-{level}")
+    size = F.sum(F.col("windows").cast("long") + window - 1)
+    # nothing is left to find under a minimizer whose segments all occur twice
+    some = F.max(F.col("alone") & (F.col("copies") == 1))
+    shared = kinds.groupBy("minimizer").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("least"), some.alias("some"), size.alias("bytes"))
+    shared = shared.where("least = 1 AND (kinds > 1 OR some)")
+    wanted = kinds.join(shared.select("minimizer", "bytes"), "minimizer")
+    small = F.lit(last) | (F.col("bytes") <= group_bytes)
+    runs = _by_suffix_arrays(written(_segment_bytes(texts, wanted.where(small), window), f"segment-bytes-{level}"), window)
+    if not last:
+        large = written(wanted.where(~small), f"large-groups-{level}")
+        if not large.isEmpty():
+            own = _segment_bytes(texts, large, window).groupBy(*KIND).agg(F.first("bytes").alias("text"))
+            own = own.join(kinds.select(*KIND, "copies"), KIND).select(*(F.col(k).alias(to) for k, to in zip(KIND, KEY)), F.col("copies").alias("weight"), "text")
+            below = covered(written(own, f"large-segments-{level}"), window, group_bytes, level + 1)
+            runs = runs.unionByName(below.select(*(F.col(k).alias(to) for k, to in zip(KEY, KIND)), F.col("a").alias("start"), F.col("b").alias("stop")))
+    runs = written(runs, f"runs-{level}")
+    whole = kinds.where("copies > 1").select(*KIND, F.lit(0).alias("start"), (F.col("windows") + window - 1).alias("stop"))
+    part = runs.join(kinds.where("copies = 1").select(*KIND), KIND)
+    spans = found.join(whole.unionByName(part), KIND)
+    return spans.select(*KEY, (F.col("first") + F.col("start")).alias("a"), (F.col("first") + F.col("stop")).alias("b"))
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for m, d, data in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(data) - window + 1
-                found = [xxhash.xxh3_128_digest(data[i : i + window]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([m] * n, pa.int64()), pa.array([d] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(found, pa.binary())],
-                    names=["minimizer", "digest", "at", "hash"],
-                )
 
-    rows = parts.dropDuplicates(["minimizer", "digest"]).mapInArrow(hashes, "minimizer long, digest long, at int, hash binary")
-    twice = rows.groupBy("hash").count().where("count > 1").select("hash")
-    hit = rows.join(twice, "hash")
-    return hit.select("minimizer", "digest", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
+def _row_key(id_col: str) -> list[Column]:
+    """What tells rows apart that have different texts; repeated rows get one key, and one answer holds for all of them."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64("text").alias("k2"), F.xxhash64("text", F.lit(1)).alias("k3")]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: kept (binary) too.
 
-    A byte goes if a string of `window` bytes that starts anywhere else too, in this text or another, covers it. Matches do
-    not cross texts; null is empty. Repeated rows count as places of their own, so long ones lose all. A null id stays null;
-    other columns are not read. A cut may fall inside a character, so kept bytes need not be UTF-8.
+    A byte goes if a string of `window` (16 or more) bytes that starts anywhere else too, in this text or another, covers it.
+    Matches do not cross texts; null is empty. Repeated rows count as places of their own, so long ones lose all. A null id
+    stays null, ids that are no longs raise; other columns are not read. A cut may fall inside a character, so kept bytes need
+    not be UTF-8. A very long text is cut into segments in pieces of 4 MB; periodic text gives a segment for every LONGEST_RUN
+    bytes, other text one for about 190. A text of up to 2 GB (Spark's bound of a string) is one row at the start and the end.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    keyed = rows.select(*_row_key("doc_id"), "text")
-    found = written(_segment_rows(keyed, window), "segments")
-    place = F.struct("row_id", "row_hash", "first", "windows")
-    kinds = found.groupBy("minimizer", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("place"))
-    kinds = written(kinds.select("minimizer", "digest", "copies", "place.*"), "segment-kinds")
-    size = F.sum(F.col("windows").cast("long") + window - 1)
-    # nothing is left to find under a minimizer whose segments all occur twice
-    shared = kinds.groupBy("minimizer").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("least"), size.alias("bytes")).where("kinds > 1 AND least = 1")
-    wanted = kinds.join(shared.select("minimizer", "bytes"), "minimizer")
-    parts = written(_segment_bytes(keyed, wanted.where(F.col("bytes") <= group_bytes), window), "segment-bytes")
-    runs = _by_suffix_arrays(parts, window)
-    large = written(wanted.where(F.col("bytes") > group_bytes), "large-groups")
-    if not large.isEmpty():
-        runs = runs.unionByName(_by_window_hashes(_segment_bytes(keyed, large, window), window))
-    runs = written(runs, "runs")
-    whole = kinds.where("copies > 1").select("minimizer", "digest", F.lit(0).alias("start"), (F.col("windows") + window - 1).alias("stop"))
-    part = runs.join(kinds.where("copies = 1").select("minimizer", "digest"), ["minimizer", "digest"])
-    covered = whole.unionByName(part)
-    spans = found.join(covered, ["minimizer", "digest"]).select("row_id", "row_hash", (F.col("first") + F.col("start")).alias("a"), (F.col("first") + F.col("stop")).alias("b"))
-    # a text has few spans: one for each segment at most, or run in it; repeated rows have equal ones, and a set keeps one
-    spans = spans.groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    whole_rows = rows.select("doc_id", *_row_key("doc_id"), "text").join(spans, ["row_id", "row_hash"], "left").select("doc_id", "text", "spans")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
+    keyed = rows.select(*_row_key("doc_id"), F.lit(1).cast("long").alias("weight"), "text")
+    spans = covered(keyed, window, group_bytes)
+    # a text's spans take less room than the text: 8 bytes for each segment or run in it; repeated rows have equal ones, and a set keeps one
+    spans = spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    whole_rows = rows.select("doc_id", *_row_key("doc_id"), "text").join(spans, KEY, "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = text.encode()
+            for data, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 removed = _union(items or [])
                 at, kept = 0, []
                 for a, b in removed:

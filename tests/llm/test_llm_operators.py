@@ -290,21 +290,53 @@ def test_plan_places_every_piece_once(sizes):
     assert len(load) <= 1.02 * len(open_bins) + 2
 
 
+def test_anchors_of_each_level():
+    assert suffix_dedup.anchor_sizes(400) == [32, 224, 352, 399]
+    data = np.frombuffer(b"abcdefgh" * 60 + b"x", np.uint8)
+    for size in suffix_dedup.anchor_sizes(400):
+        h = suffix_dedup.anchors(data, size)
+        assert len(h) == len(data) - size + 1 and (h[8:-1] == h[:-9]).all() and h[-1] != h[-9]
+
+
+def test_periodic_texts_give_few_segments(spark):
+    long_text = b"a" * 3_000_000
+    assert sum(map(len, suffix_dedup.segments(long_text)[:1])) < 800
+    texts = ["a" * 400_000, "ab" * 100_000 + "x", "abc" * 50_000 + "y" + "a" * 500, "q" * 399]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same(found, removal(rows))
+
+
 @pytest.mark.parametrize("limit", [suffix_dedup.GROUP_BYTES, 1000])
 def test_repeats_are_removed(docs, none, rows, limit):
+    same(suffix_dedup.remove_repeats(docs, group_bytes=limit).collect(), removal(rows))
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("limit", [suffix_dedup.GROUP_BYTES, 2000])
+def test_a_hot_minimizer_is_divided(spark, limit):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = word(460)
+    rows = [(i, word(rng.randint(0, 30)) + common[: rng.choice([410, 460])] + word(rng.randint(0, 30))) for i in range(60)]
+    rows += [(100 + i, common[: 200 + i] + "#" + common[201 + i :]) for i in range(0, 60, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(suffix_dedup.remove_repeats(df, group_bytes=limit).collect(), removal(rows))
+
+
+def removal(rows):
     data, window = [(t or "").encode() for _, t in rows], suffix_dedup.WINDOW
-    seen = collections.Counter(x[i : i + window] for x in data for i in range(len(x) - window + 1))
+    seen = collections.Counter(xxhash.xxh3_128_intdigest(x[i : i + window]) for x in data for i in range(len(x) - window + 1))
     wanted = []
     for (i, _), x in zip(rows, data):
         gone = np.zeros(len(x), bool)
         for k in range(len(x) - window + 1):
-            if seen[x[k : k + window]] > 1:
+            if seen[xxhash.xxh3_128_intdigest(x[k : k + window])] > 1:
                 gone[k : k + window] = True
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         kept = np.frombuffer(x, np.uint8)[~gone].tobytes()
         wanted.append((i, len(x), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    same(suffix_dedup.remove_repeats(docs, group_bytes=limit).collect(), wanted)
-    assert suffix_dedup.remove_repeats(none).count() == 0
+    return wanted
 
 
 def test_suffix_array_is_sorted():
@@ -318,7 +350,7 @@ def test_long_texts_are_cut_into_pieces_without_loss(monkeypatch):
     rng = random.Random(4)
     text = bytes(rng.choice(b"abcd ") for _ in range(3000))
     monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 11)
-    m, first, n = suffix_dedup.segments(text)
+    m, first, n, _ = suffix_dedup.segments(text)
     assert n.sum() == len(text) - 399 and (first[1:] == first[:-1] + n[:-1]).all()
 
 
