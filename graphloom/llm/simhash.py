@@ -4,16 +4,20 @@
 whose cumulative differences keep within the proportional budgets: none in the first segment, one at most in the first two,
 two in all three. The second segment then has a half without a difference, so (segment, half of the next) is an exact key:
 six keys for each fingerprint. Pairs in a bucket pass the chain check before the full Hamming distance is taken.
+
+A bucket of more than BUCKET fingerprints is divided by further segments: the bits that its key leaves open are cut in three,
+and of two fingerprints that differ in two bits at most one of the three is equal. Every level leaves fewer open bits; the
+last one leaves so few that a bucket cannot hold more than BUCKET different fingerprints.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, prepare, text_of, written
@@ -24,8 +28,8 @@ WORDS = 3
 DISTANCE = 2
 #: (first bit, bits) of the ring's segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Fingerprints in one bucket up to which pairs are compared in one task; larger buckets go through masks.
-BUCKET = 4096
+#: Fingerprints in one bucket up to which pairs are compared in one task; larger buckets are divided.
+BUCKET = 1024
 SHINGLES_AT_ONCE = 50_000
 
 
@@ -74,37 +78,69 @@ def chain_keeps_budget(difference: np.ndarray, start: int) -> np.ndarray:
     return ok
 
 
-def bucket_keys(fps: DataFrame) -> DataFrame:
-    """fps: column fp. Its six rows each: fp, chain (0 to 5), key."""
-    parts = []
+def _first_masks() -> list[int]:
+    """The bits of each chain's key: a segment, and one half of the next."""
+    out = []
     for start, (at, bits) in enumerate(SEGMENTS):
         next_at, next_bits = SEGMENTS[(start + 1) % len(SEGMENTS)]
         half = next_bits // 2
-        whole = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1))
-        for k, (x, y) in enumerate(((next_at, half), (next_at + half, next_bits - half))):
-            rest = F.shiftrightunsigned("fp", x).bitwiseAND(F.lit((1 << y) - 1))
-            parts.append(F.struct(F.lit(2 * start + k).alias("chain"), (F.shiftleft(whole, 12) + rest).alias("key")))
-    return fps.select("fp", F.explode(F.array(*parts)).alias("x")).select("fp", "x.chain", "x.key")
+        for x, y in ((next_at, half), (next_at + half, next_bits - half)):
+            out.append(((1 << bits) - 1) << at | ((1 << y) - 1) << x)
+    return out
+
+
+def _next_masks(mask: int) -> list[int]:
+    """The mask with each third of its open bits."""
+    open_bits = [i for i in range(64) if not mask >> i & 1]
+    return [mask | sum(1 << int(i) for i in part) for part in np.array_split(open_bits, DISTANCE + 1)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _keyed(rows: DataFrame, masks: list[int], below: Column | None = None) -> DataFrame:
+    """fp, chain (the place of a mask in masks), key (the mask's bits of fp); below: the chain whose masks a row gets."""
+    if below is None:
+        chains = F.explode(F.array(*map(F.lit, range(len(masks)))))
+    else:
+        chains = F.explode(F.transform(F.array(*map(F.lit, range(DISTANCE + 1))), lambda k: (DISTANCE + 1) * below + k))
+    mask = F.element_at(F.array(*(F.lit(_signed(m)) for m in masks)), F.col("chain") + 1)
+    return rows.select("fp", chains.alias("chain")).withColumn("key", F.col("fp").bitwiseAND(mask))
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """fps: distinct fp. Links u, v that connect the same fingerprints as all pairs within DISTANCE do."""
-    spark = fps.sparkSession
-    keys = written(bucket_keys(fps), "buckets")
-    large = written(keys.groupBy("chain", "key").count().where(F.col("count") > bucket).drop("count"), "large-buckets")
-    some_large = not large.isEmpty()
-    small = keys.join(large, ["chain", "key"], "left_anti") if some_large else keys
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    masks, out, level = _first_masks(), None, 0
+    rows = written(_keyed(fps.select("fp"), masks), "buckets")
+    while True:
+        last = max(64 - m.bit_count() for m in masks) <= np.log2(BUCKET)
+        some_large = False
+        if not last:
+            large = written(rows.groupBy("chain", "key").count().where(F.col("count") > bucket).drop("count"), "large-buckets")
+            some_large = not large.isEmpty()
+        small = rows.join(large, ["chain", "key"], "left_anti") if some_large else rows
+        found = small.repartition(parts, "chain", "key").sortWithinPartitions("chain", "key").select("chain", "key", "fp").mapInArrow(_comparison(len(masks) // len(SEGMENTS)), "u long, v long")
+        out = found if out is None else out.unionByName(found)
+        if not some_large:
+            return out
+        masks = [m for x in masks for m in _next_masks(x)]
+        level += 1
+        rows = written(_keyed(rows.join(large, ["chain", "key"], "left_semi"), masks, F.col("chain")), f"buckets-{level}")
+
+
+def _comparison(chains: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """chains: masks of each segment at this level."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chain, key, fp in _whole_groups(batches):
-            a, b = _pairs(chain, key, fp)
+            a, b = _pairs(chain, key, fp, chains)
             root = _roots(len(fp), a, b)
             moved = np.flatnonzero(root != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[root[moved]])], names=["u", "v"])
 
-    found = small.repartition(parts, "chain", "key").sortWithinPartitions("chain", "key").select("chain", "key", "fp").mapInArrow(compare, "u long, v long")
-    return found.unionByName(_by_masks(keys.join(large, ["chain", "key"]))) if some_large else found
+    return compare
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 100_000):
@@ -129,7 +165,7 @@ def _columns(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in batches]) for i in range(3))
 
 
-def _pairs(chain: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(chain: np.ndarray, key: np.ndarray, fp: np.ndarray, chains: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of one bucket within DISTANCE. Rows are compared at one step after the other, only as far as buckets reach."""
     bits, firsts, seconds = fp.view(np.uint64), [], []
     at = np.arange(len(fp))
@@ -142,7 +178,7 @@ def _pairs(chain: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarr
         difference = bits[at] ^ bits[at + step]
         ok = np.zeros(len(at), bool)
         for start in range(len(SEGMENTS)):
-            mine = chain[at] // 2 == start
+            mine = chain[at] // chains == start
             ok[mine] = chain_keeps_budget(difference[mine], start)
         ok[ok] = bit_counts(difference[ok]) <= DISTANCE
         firsts.append(at[ok])
@@ -167,26 +203,13 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _by_masks(rows: DataFrame) -> DataFrame:
-    """Links in large buckets without comparing pairs: fingerprints within two bits are equal under some mask of two bits.
-
-    Each fingerprint gets a row for each pair of bits; rows with equal masked bits are linked to the smallest. This grows
-    with the bucket, not with its square, and spreads over all tasks.
-    """
-    masks = [(1 << i) | (1 << j) for i in range(64) for j in range(i)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    fps = rows.select("fp").distinct()
-    keyed = fps.select("fp", F.explode(F.array(*map(F.lit, signed))).alias("mask")).withColumn("rest", F.col("fp").bitwiseAND(F.bitwise_not("mask")))
-    centre = keyed.groupBy("mask", "rest").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(centre, ["mask", "rest"]).where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
-
-
 def near_groups(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One row for each input row: doc_id, fingerprint (16 hex digits), component_id.
 
     Fingerprints link at DISTANCE or fewer differing bits; component_id is the smallest doc_id reachable over links. Texts
     without words (null and empty too) have fingerprint zero and link like others. A null id stays null and is no
-    component_id unless the component has no other. Repeated rows get a row each; other columns are not read.
+    component_id unless the component has no other. Repeated rows get a row each; ids that are no longs raise; other columns
+    are not read. Shingles of a very long text are hashed SHINGLES_AT_ONCE at a time. An empty table gives an empty result.
     """
     table = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     classes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
