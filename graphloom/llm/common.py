@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import json
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark import SparkFiles
@@ -32,6 +34,21 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files when they end, as their results are in tables by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def unused(columns: list[str], name: str) -> str:
     """A name like `name` that is none of the columns, in any case."""
     taken = {c.lower() for c in columns}

@@ -1,10 +1,11 @@
-"""Language-model scores: an interpolated modified Kneser-Ney bigram model counted in Spark.
-
-Counts are made in three steps. Words: each task counts hashes of its words; parts of the hash range are summed and written
-as sorted hash arrays, and a word's number is its rank in them. Bigrams: each task counts pairs of word numbers; parts are
-summed and written as sorted arrays of pair keys. Contexts and continuations: each bigram part adds up what it has for every
-word, and these sums meet by the word's number. Workers memory-map the arrays and look up a batch's distinct keys together.
-Rows that are shuffled are blocks of sorted keys, one for each task and part; nothing but a few sums reaches the driver.
+"""Language-model scores: an interpolated modified Kneser-Ney trigram model counted in Spark.
+
+Counts are made in four steps. Words: each task counts hashes of its words; parts of the hash range are summed and written
+as sorted hash arrays, and a word's number is its rank in them. Trigrams: each task counts its triples of word numbers; parts
+(by the two context words) are summed, written as sorted hash arrays, and add up what they have for each context and for each
+pair of last words. Pairs: these sums meet and become arrays too. Words again: what the pairs have for every word meets by its
+number. Workers memory-map the arrays and look up a batch's keys together. Rows that are shuffled are blocks of sorted keys,
+one for each task and part; nothing but sums and the few hottest words reaches the driver.
 """
 
 from __future__ import annotations
@@ -18,18 +19,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, by_bytes, fresh_path, prepare, shared_map, shared_save, text_of
+from graphloom.llm.common import LOWER, by_bytes, fresh_path, prepare, shared_map, shared_save, shuffles_freed, text_of, written
 
 #: The end token's hash is that of a string no word can be.
 END = xxhash.xxh3_64_intdigest(b"\n")
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 4_000_000
 #: Tokens that a task counts before it sends a block, and words that a worker remembers.
 BLOCK_TOKENS = 4_000_000
 REMEMBERED = 500_000
+#: Bytes of training text for which there is a part at least, so that a part fits a worker's memory.
+PART_BYTES = 256_000_000
+#: Words of each part of the hash range that are reported as its most frequent. Of these, words with more than a quarter of a
+#: part's share of tokens are hot: contexts of two hot words are dealt out by the third word too.
+HOTTEST = 64
 #: Discounts where the counts of counts are too few to estimate them.
 DEFAULT_DISCOUNTS = (0.7, 1.1, 1.4)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-BLOCK = "part int, keys binary, counts binary"
+_AGAIN = np.uint64(0xC2B2AE3D27D4EB4F)
+WORD_BLOCK = "part int, keys binary, counts binary"
+TRIPLE_BLOCK = "part int, keys binary, sizes binary, words binary, counts binary"
+PAIR_BLOCK = "part int, kind int, keys binary, counts binary, sums array<long>"
+NUMBER_BLOCK = "part int, keys binary, counts binary, sums array<long>"
 
 
 @dataclass(frozen=True)
@@ -42,13 +52,11 @@ class Model:
     tokens: int
     bases: tuple[int, ...]  # the number of the first word of each part
     step: int  # words of a part of the table by number
-    bigrams: int
-    discounts: tuple[float, float, float]
-    unigram_discounts: tuple[float, float, float]
+    pairs: int
+    discounts: tuple[tuple[float, float, float], ...]  # of trigrams, pairs and words
     unigram_gamma: float
-
-    def file(self, kind: str, part: int) -> str:
-        return f"{self.path}/{kind}/part-{part:06d}.bin"
+    hot: tuple[int, ...]
+    there: dict[str, frozenset[int]]  # the parts that were written; a file of them that is missing is an error
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -60,16 +68,27 @@ def hash_part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def pair_part(keys: np.ndarray, parts: int) -> np.ndarray:
-    mixed = keys * _SPREAD
-    return hash_part(mixed ^ (mixed >> np.uint64(29)), parts)
+def mix(keys: np.ndarray) -> np.ndarray:
+    h = keys * _SPREAD
+    h ^= h >> np.uint64(29)
+    h *= _AGAIN
+    return h ^ (h >> np.uint64(32))
+
+
+def triple_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(context) + word.astype(np.uint64))
+
+
+def triple_part(context: np.ndarray, hashes: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    """By the context; where that is two hot words, by the whole triple."""
+    return hash_part(np.where(hot, hashes, mix(context)), parts)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as the bytes of their differences, as few for each as the largest needs."""
+    """Sorted keys as the bytes of their differences, as few for each as the largest needs; first the lowest bytes of all."""
     steps = np.diff(keys, prepend=np.uint64(0))
     width = max(1, -(-int(steps[1:].max(initial=0)).bit_length() // 8))
-    body = steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    body = steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
     return bytes([width]) + keys[:1].tobytes() + body.tobytes()
 
 
@@ -78,27 +97,62 @@ def unpack_keys(data: bytes) -> np.ndarray:
     steps = np.zeros(1 + (len(data) - 9) // width, np.uint64)
     steps[0] = np.frombuffer(data, "<u8", 1, 1)[0]
     rest = steps[1:].view(np.uint8).reshape(-1, 8)
-    rest[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    rest[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(width, -1).T
     return np.cumsum(steps, dtype=np.uint64)
 
 
-def _blocks(keys: np.ndarray, counts: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-    """keys in order; one row for each part."""
-    order = np.argsort(part, kind="stable")
-    keys, counts, part = keys[order], counts[order], part[order]
-    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    ends = np.append(first[1:], len(part))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(part[first].astype(np.int32)),
-            pa.array([pack_keys(keys[a:b]) for a, b in zip(first, ends)], pa.binary()),
-            pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(first, ends)], pa.binary()),
-        ],
-        names=["part", "keys", "counts"],
-    )
+def hash_array(hashes: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The order of hashes in a sorted array, and the array: the upper bits say where a bucket of about eight starts, 32 others are kept.
+
+    Two keys are taken for one with a chance of about eight in 2^32, however large the corpus is.
+    """
+    bits = max(1, int(len(hashes) // 8).bit_length())
+    bucket, rest = hashes >> np.uint64(64 - bits), hashes & np.uint64(0xFFFFFFFF)
+    order = np.argsort((bucket << np.uint64(32)) | rest, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=1 << bits)))).astype("<u4")
+    return order, {"starts": starts, "rest": rest[order].astype("<u4")}
+
+
+def find(table: dict[str, np.ndarray], hashes: np.ndarray, name: str = "") -> np.ndarray:
+    """Places of hashes in an array, -1 where there is none: a binary search in the buckets of all at once."""
+    starts, kept = table[f"{name}starts"], table[f"{name}rest"]
+    if not len(kept):
+        return np.full(len(hashes), -1, np.int64)
+    bucket = (hashes >> np.uint64(64 - (len(starts) - 1).bit_length() + 1)).astype(np.int64)
+    want = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    low, high = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+    end, most = high.copy(), len(kept) - 1
+    for _ in range(int((high - low).max(initial=0)).bit_length()):
+        middle = (low + high) >> 1
+        less = (low < high) & (kept[np.minimum(middle, most)] < want)
+        high = np.where(less | (low >= high), high, middle)
+        low = np.where(less, middle + 1, low)
+    hit = (low < end) & (kept[np.minimum(low, most)] == want)
+    return np.where(hit, low, -1)
+
+
+def narrow(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Values in a byte each; those of 255 and more beside them."""
+    large = np.flatnonzero(values > 254)
+    return {name: np.minimum(values, 255).astype(np.uint8), f"{name}_at": large, f"{name}_of": values[large].astype(np.int64)}
+
+
+def widen(table: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    out = table[name][at].astype(np.int64)
+    if len(table[f"{name}_at"]):
+        big = np.flatnonzero(out == 255)
+        out[big] = table[f"{name}_of"][np.searchsorted(table[f"{name}_at"], at[big])]
+    return out
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[bytes]]]]:
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of equal sorted columns begin."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
     """The blocks of each part in turn; batches come sorted by part. One part's blocks are in memory together."""
     part, held = None, []
     for batch in batches:
@@ -112,13 +166,23 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list
         yield part, held
 
 
-def _summed(blocks: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    columns = zip(*rows) if rows else ((),) * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names=list(names))
+
+
+def _summed(blocks: list[tuple[bytes, bytes]], kind: str = "<u4", width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys, and the sums of their `width` counts (rows of a matrix)."""
+    if not blocks:
+        return np.empty(0, np.uint64), np.empty((width, 0), np.int64)
     keys = np.concatenate([unpack_keys(k) for k, _ in blocks])
-    counts = np.concatenate([np.frombuffer(c, "<u4") for _, c in blocks]).astype(np.int64)
+    counts = np.concatenate([np.frombuffer(c, kind).reshape(width, -1) for _, c in blocks], axis=1).astype(np.int64)
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
+    keys = keys[order]
+    first = _starts(keys)
+    return keys[first], np.add.reduceat(counts[:, order], first, axis=1)
 
 
 def _counts_of_counts(c: np.ndarray) -> list[int]:
@@ -145,14 +209,16 @@ def is_held_out(id_col: str) -> Column:
 class Words:
     """In a worker: numbers and table values of words, remembered while there is room."""
 
-    def __init__(self, path: str, parts: int, bases: tuple[int, ...], model: Model | None = None):
+    def __init__(self, path: str, parts: int, bases: tuple[int, ...], hot: tuple[int, ...], model: Model | None = None):
         self.path, self.parts, self.bases, self.model = path, parts, np.array(bases, np.int64), model
+        self.hot_numbers = np.array(hot, np.int64)
         self.files: dict[tuple[str, int], dict[str, np.ndarray]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.slots: dict[bytes, int] = {}
         self.number = np.empty(0, np.int64)
+        self.hot = np.empty(0, bool)
         self.values: dict[str, np.ndarray] = {}
         self.learn([b"\n"])  # the end token has slot 0
 
@@ -177,6 +243,7 @@ class Words:
         n = len(self.slots)
         self.slots.update(zip(words, range(n, n + len(words))))
         self.number = np.concatenate((self.number, number))
+        self.hot = np.concatenate((self.hot, np.isin(number, self.hot_numbers)))
         if self.model:
             found = self._values(number) | {"count": counts}
             self.values = {k: np.concatenate((self.values[k], v)) if self.values else v for k, v in found.items()}
@@ -192,8 +259,8 @@ class Words:
             for k, v in columns.items():
                 v[mine] = table[k][number[mine] - p * m.step]
         c = columns["continuations"]
-        unigram = np.maximum(c - discount_of(c, m.unigram_discounts), 0) / max(1, m.bigrams) + m.unigram_gamma / (m.vocabulary + 1)
-        d = m.discounts
+        _, d, du = m.discounts
+        unigram = np.maximum(c - discount_of(c, du), 0) / max(1, m.pairs) + m.unigram_gamma / (m.vocabulary + 1)
         left = d[0] * columns["n1"] + d[1] * columns["n2"] + d[2] * columns["n3"]
         gamma = np.where(columns["total"] > 0, left / np.maximum(1, columns["total"]), 1.0)
         return {"unigram": unigram, "total": columns["total"], "gamma": gamma}
@@ -219,10 +286,10 @@ class Words:
 _WORDS: dict[tuple, Words] = {}
 
 
-def words_for(path: str, parts: int, bases: tuple[int, ...], model: Model | None = None) -> Words:
+def words_for(path: str, parts: int, bases: tuple[int, ...], hot: tuple[int, ...], model: Model | None = None) -> Words:
     if (path, model is None) not in _WORDS:
         _WORDS.clear()
-        _WORDS[path, model is None] = Words(path, parts, bases, model)
+        _WORDS[path, model is None] = Words(path, parts, bases, hot, model)
     return _WORDS[path, model is None]
 
 
@@ -242,7 +309,9 @@ def _word_blocks(train: DataFrame, parts: int) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return _blocks(keys, counts, hash_part(keys, parts))
+            part = hash_part(keys, parts)  # in the order of the keys
+            first = _starts(part)
+            return _batch(WORD_BLOCK, [(int(part[a]), pack_keys(keys[a:b]), counts[a:b].astype("<u4").tobytes()) for a, b in zip(first, np.append(first[1:], len(part)))])
 
         for _, tokens in _texts(batches, 0):
             if len(hashes) > REMEMBERED:
@@ -259,157 +328,247 @@ def _word_blocks(train: DataFrame, parts: int) -> DataFrame:
         if size:
             yield block()
 
-    return train.mapInArrow(count, BLOCK)
+    return train.mapInArrow(count, WORD_BLOCK)
+
+
+def before(values: np.ndarray, sizes: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
+    """For each token what stands two and one before it in its text; `end` where the text begins. sizes: tokens of each text."""
+    one = np.concatenate((np.full(1, end, values.dtype), values[:-1]))  # a text before it ends with the end token
+    two = np.concatenate((np.full(1, end, values.dtype), one[:-1]))
+    two[np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)] = end
+    return two, one
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray, vocabulary: int) -> np.ndarray:
+    return first.astype(np.uint64) * np.uint64(vocabulary) + second.astype(np.uint64)
 
 
-def _pair_blocks(train: DataFrame, path: str, parts: int, bases: tuple[int, ...]) -> DataFrame:
+def _triple_blocks(train: DataFrame, path: str, parts: int, bases: tuple[int, ...], hot: tuple[int, ...]) -> DataFrame:
+    vocabulary = bases[-1]
+    width = max(1, -(-vocabulary.bit_length() // 8))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_for(path, parts, bases)
-        held: list[np.ndarray] = []
+        words = words_for(path, parts, bases, hot)
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return _blocks(keys, counts, pair_part(keys, parts))
+            context, word, is_hot = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((word, context))
+            context, word, is_hot = context[order], word[order], is_hot[order]
+            first = _starts(context, word)
+            counts = np.diff(np.append(first, len(context)))
+            context, word = context[first], word[first]
+            part = triple_part(context, triple_hash(context, word), is_hot[first], parts)
+            order = np.argsort(part.astype(np.uint32), kind="stable")
+            part, context, word, counts = part[order], context[order], word[order], counts[order]
+            first, rows = _starts(part), []
+            for a, b in zip(first, np.append(first[1:], len(part))):
+                own = _starts(context[a:b])
+                sizes = np.diff(np.append(own, b - a))
+                body = word[a:b].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T
+                rows.append((int(part[a]), pack_keys(context[a:b][own]), sizes.astype("<u4").tobytes(), body.tobytes(), counts[a:b].astype("<u4").tobytes()))
+            return _batch(TRIPLE_BLOCK, rows)
 
         for _, tokens in _texts(batches, 0):
             slots = words.slots_of(tokens)
-            number = words.number[slots]
-            held.append(pair_keys(number, words.number[0]))
-            size += len(number)
+            two, one = before(slots, np.array([len(t) + 1 for t in tokens]), 0)
+            number = words.number
+            held.append((pair_keys(number[two], number[one], vocabulary), number[slots].astype(np.uint32), words.hot[two] & words.hot[one]))
+            size += len(slots)
             if size >= BLOCK_TOKENS:
                 yield block()
                 held, size = [], 0
         if size:
             yield block()
 
-    return train.mapInArrow(count, BLOCK)
-
-
-def pair_keys(number: np.ndarray, end: int) -> np.ndarray:
-    """Keys of each token with the one before it; a text's first token follows an end token."""
-    before = np.concatenate(([end], number[:-1]))
-    return (before.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64)
+    return train.mapInArrow(count, TRIPLE_BLOCK)
 
 
 def _spread(blocks: DataFrame, tasks: int) -> DataFrame:
     return blocks.repartition(tasks, "part").sortWithinPartitions("part")
 
 
+def _pair_rows(kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
+    """Blocks of pair keys (sorted) for the parts of pairs; counts: a row for each number a key has."""
+    part = hash_part(mix(keys), parts)
+    order = np.argsort(part.astype(np.uint32), kind="stable")
+    keys, counts, part = keys[order], counts[:, order], part[order]
+    first = _starts(part)
+    return [(int(part[a]), kind, pack_keys(keys[a:b]), np.ascontiguousarray(counts[:, a:b]).astype("<u4").tobytes(), [0] * 5) for a, b in zip(first, np.append(first[1:], len(part)))]
+
+
 def fit(train: DataFrame) -> Model:
     """train: column text, not null. Counts all of it and writes the arrays to the shared folder."""
     spark = train.sparkSession
     prepare(spark)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = 2 * tasks  # a part of pairs sends a block to each part of words: their product stays near the square of the tasks
+    size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(2 * tasks, -(-size // PART_BYTES))
     path = fresh_path(spark, "ngram-lm")
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blocks in _by_part(batches):
             keys, counts = _summed(blocks)
+            counts = counts[0]
             shared_save(f"{path}/words/part-{part:06d}.bin", keys=keys, counts=counts)
-            yield _row(part=part, words=len(keys), tokens=int(counts.sum()))
+            top = np.argsort(-counts, kind="stable")[:HOTTEST]
+            yield _batch(WORD_SUMS, [(part, len(keys), int(counts.sum()), top.tolist(), counts[top].tolist())])
 
-    sums = _spread(_word_blocks(train, parts), tasks).mapInArrow(write_words, "part long, words long, tokens long").collect()
+    with shuffles_freed(spark):
+        sums = _spread(_word_blocks(train, parts), tasks).mapInArrow(write_words, WORD_SUMS).collect()
     sizes = np.zeros(parts, np.int64)
     for r in sums:
         sizes[r.part] = r.words
     bases = tuple(np.concatenate(([0], np.cumsum(sizes))).tolist())
-    vocabulary = bases[-1]
+    vocabulary, tokens = bases[-1], sum(r.tokens for r in sums)
     if vocabulary >= 1 << 32:
         raise OverflowError("pair keys hold word numbers of 32 bits")
     step = max(1, -(-vocabulary // parts))
+    hot = tuple(sorted(bases[r.part] + i for r in sums for i, n in zip(r.top, r.top_counts) if 4 * parts * n > tokens))
+    width = max(1, -(-vocabulary.bit_length() // 8))
+
+    def write_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_numbers = np.array(hot, np.int64)
+        ends = Words(path, parts, bases, hot).number[0]
+        for part, blocks in _by_part(batches):
+            contexts, word, counts = [], [], []
+            for keys, sizes, body, n in blocks:
+                contexts.append(np.repeat(unpack_keys(keys), np.frombuffer(sizes, "<u4")))
+                wide = np.zeros((len(n) // 4, 4), np.uint8)
+                wide[:, :width] = np.frombuffer(body, np.uint8).reshape(width, -1).T
+                word.append(wide.view("<u4").ravel())
+                counts.append(np.frombuffer(n, "<u4"))
+            context, word, counts = np.concatenate(contexts), np.concatenate(word), np.concatenate(counts).astype(np.int64)
+            order = np.lexsort((word, context))
+            context, word = context[order], word[order]
+            first = _starts(context, word)
+            counts = np.add.reduceat(counts[order], first)
+            context, word = context[first], word[first]
+            place, table = hash_array(triple_hash(context, word))
+            shared_save(f"{path}/triples/part-{part:06d}.bin", **table, **narrow("counts", counts[place]))
+            first = _starts(context)
+            add = lambda x: np.add.reduceat(x.astype(np.int64), first)
+            stats = np.stack([add(counts), add(counts == 1), add(counts == 2), add(counts > 2)])
+            own = context[first]
+            u, v = (own // np.uint64(vocabulary)).astype(np.int64), (own % np.uint64(vocabulary)).astype(np.int64)
+            # a context that is counted once has one word; the pair's own entry says that it is there. Parts of hot ones are all sent.
+            some = (stats[0] > 1) | (np.isin(u, hot_numbers) & np.isin(v, hot_numbers)) | ((u == ends) & (v == ends))
+            v = np.repeat(v, np.diff(np.append(first, len(context))))
+            pairs, distinct = np.unique(pair_keys(v, word, vocabulary), return_counts=True)
+            rows = _pair_rows(0, pairs, distinct[None, :], parts) + _pair_rows(1, own[some], stats[:, some], parts)
+            rows[0] = (*rows[0][:4], [len(counts), *_counts_of_counts(counts)])
+            for a in range(0, len(rows), 64):
+                yield _batch(PAIR_BLOCK, rows[a : a + 64])
+            yield _batch(PAIR_BLOCK, [(-1 - part, 0, b"", b"", [0] * 5)])  # says that the part is there
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blocks in _by_part(batches):
-            keys, counts = _summed(blocks)
-            large = np.flatnonzero(counts > 254)
-            shared_save(
-                f"{path}/pairs/part-{part:06d}.bin",
-                keys=keys, counts=np.minimum(counts, 255).astype(np.uint8), large=large, large_counts=counts[large],
-            )
-            context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            numbers = np.unique(np.concatenate((context, word)))
-            c, w = np.searchsorted(numbers, context), np.searchsorted(numbers, word)
-            add = lambda at: np.bincount(at, minlength=len(numbers)).astype("<u8")
-            table = np.stack([np.bincount(c, counts, len(numbers)).astype("<u8"), *(add(x) for x in (c[counts == 1], c[counts == 2], c[counts > 2], w))])
-            first = np.flatnonzero(np.concatenate(([True], numbers[1:] // step != numbers[:-1] // step)))
-            for a, b in zip(first, np.append(first[1:], len(numbers))):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(numbers[a]) // step], pa.int32()),
-                        pa.array([pack_keys(numbers[a:b].astype(np.uint64))], pa.binary()),
-                        pa.array([np.ascontiguousarray(table[:, a:b]).tobytes()], pa.binary()),
-                        pa.array([[len(keys), *_counts_of_counts(counts)] if a == 0 else [0] * 5], pa.list_(pa.int64())),
-                    ],
-                    names=["part", "keys", "counts", "sums"],
-                )
-
-    def write_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("total", "n1", "n2", "n3", "continuations")
+            keys, counts = _summed([x[1:3] for x in blocks if x[0] == 0])
+            counts = counts[0]
+            place, table = hash_array(mix(keys))
+            contexts, stats = _summed([x[1:3] for x in blocks if x[0] == 1], width=4)
+            own, of = hash_array(mix(contexts))
+            columns = {k: v for name, row in zip(STATS, stats) for k, v in narrow(name, row[own]).items()}
+            shared_save(f"{path}/pairs/part-{part:06d}.bin", **table, **narrow("counts", counts[place]), **{f"context_{k}": v for k, v in of.items()}, **columns)
+            yield from _number_rows(part, keys, counts, vocabulary, step)
+
+    def write_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blocks in _by_part(batches):
             table = np.zeros((5, step), np.int64)
-            sums = np.zeros(5, np.int64)
-            for keys, counts, some in blocks:
-                at = unpack_keys(keys).astype(np.int64) - part * step
-                table[:, at] += np.frombuffer(counts, "<u8").reshape(5, -1).astype(np.int64)
-                sums += some
-            shared_save(f"{path}/contexts/part-{part:06d}.bin", **dict(zip(names, table)))
+            for keys, counts, _ in blocks:
+                table[:, unpack_keys(keys).astype(np.int64) - part * step] += np.frombuffer(counts, "<u8").reshape(5, -1).astype(np.int64)
+            shared_save(f"{path}/contexts/part-{part:06d}.bin", **dict(zip((*STATS, "continuations"), table)))
             c = table[4]
-            yield _row(part=part, **dict(zip(SUMS, [*sums.tolist(), *_counts_of_counts(c), int((c > 2).sum())])))
-
-    contexts = _pair_blocks(train, path, parts, bases)
-    contexts = _spread(contexts, tasks).mapInArrow(write_pairs, BLOCK + ", sums array<long>")
-    contexts = _spread(contexts, tasks).mapInArrow(write_contexts, "part long, " + ", ".join(f"{k} long" for k in SUMS))
-    s = contexts.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in SUMS)).first().asDict()
-    d = discounts([s[f"t{k}"] for k in (1, 2, 3, 4)])
-    du = discounts([s[f"u{k}"] for k in (1, 2, 3, 4)])
-    gamma = (du[0] * s["u1"] + du[1] * s["u2"] + du[2] * s["u3plus"]) / s["bigrams"] if s["bigrams"] else 1.0
-    return Model(path, parts, vocabulary, sum(r.tokens for r in sums), bases, step, s["bigrams"], d, du, gamma)
-
-
-SUMS = ("bigrams", "t1", "t2", "t3", "t4", "u1", "u2", "u3", "u4", "u3plus")
-
-
-def _row(**values: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in values.values()], names=list(values))
-
-
-def pair_counts(words: Words, model: Model, keys: np.ndarray) -> np.ndarray:
-    """Counts of distinct sorted keys."""
-    out = np.zeros(len(keys), np.int64)
-    part = pair_part(keys, model.parts)
-    order = np.argsort(part, kind="stable")
-    sorted_part = part[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_part[1:] != sorted_part[:-1]))) if len(order) else []
-    for a, b in zip(first, np.append(first[1:], len(order)) if len(order) else []):
-        try:
-            table = words.file("pairs", int(sorted_part[a]))
-        except FileNotFoundError:  # no pair of this part was counted
-            continue
-        mine = order[a:b]
-        at = np.minimum(np.searchsorted(table["keys"], keys[mine]), len(table["keys"]) - 1)
-        hit = table["keys"][at] == keys[mine]
-        mine, at = mine[hit], at[hit]
-        counts = table["counts"][at].astype(np.int64)
-        if len(table["large"]):
-            big = np.flatnonzero(counts == 255)
-            counts[big] = table["large_counts"][np.searchsorted(table["large"], at[big])]
-        out[mine] = counts
-    return out
-
-
-def token_probabilities(words: Words, model: Model, slots: np.ndarray) -> np.ndarray:
-    """The model's probability of each token after the one before it."""
-    before = np.concatenate(([0], slots[:-1]))
-    number, v = words.number, words.values
-    counts = np.zeros(len(slots), np.int64)
-    known = np.flatnonzero((number[slots] >= 0) & (number[before] >= 0))
-    keys = (number[before[known]].astype(np.uint64) << np.uint64(32)) | number[slots[known]].astype(np.uint64)
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    counts[known] = pair_counts(words, model, distinct)[inverse]
-    own = np.maximum(counts - discount_of(counts, model.discounts), 0) / np.maximum(1, v["total"][before])
-    return own + v["gamma"][before] * v["unigram"][slots]
+            yield _batch("part long, u1 long, u2 long, u3 long, u4 long, more long", [(part, *_counts_of_counts(c), int((c > 2).sum()))])
+
+    with shuffles_freed(spark):
+        triples = _spread(_triple_blocks(train, path, parts, bases, hot), tasks).mapInArrow(write_triples, PAIR_BLOCK)
+        triples = written(triples, "pair-sums")
+        pairs = _spread(triples.where("part >= 0"), tasks).mapInArrow(write_pairs, NUMBER_BLOCK)
+        pairs = written(pairs, "word-sums")
+        numbers = _spread(pairs.where("part >= 0"), tasks).mapInArrow(write_numbers, "part long, u1 long, u2 long, u3 long, u4 long, more long").collect()
+    total = lambda df: [df.agg(*(F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)) for k in range(5))).first()[k] for k in range(5)]
+    there = lambda df: frozenset(-1 - r.part for r in df.where("part < 0").select("part").distinct().collect())
+    (_, *t), (n_pairs, *p) = total(triples), total(pairs)
+    u = [sum(r[k] for r in numbers) for k in ("u1", "u2", "u3", "u4", "more")]
+    du = discounts(u[:4])
+    gamma = (du[0] * u[0] + du[1] * u[1] + du[2] * u[4]) / n_pairs if n_pairs else 1.0
+    files = {"triples": there(triples), "pairs": there(pairs)}
+    return Model(path, parts, vocabulary, tokens, bases, step, n_pairs, (discounts(t), discounts(p), du), gamma, hot, files)
+
+
+STATS = ("total", "n1", "n2", "n3")
+WORD_SUMS = "part long, words long, tokens long, top array<long>, top_counts array<long>"
+
+
+def _number_rows(part: int, keys: np.ndarray, counts: np.ndarray, vocabulary: int, step: int) -> Iterator[pa.RecordBatch]:
+    """What pairs have for each word: as a context the sum and the counts of counts, as a last word the distinct contexts."""
+    context, word = (keys // np.uint64(vocabulary)).astype(np.int64), (keys % np.uint64(vocabulary)).astype(np.int64)
+    numbers = np.unique(np.concatenate((context, word)))
+    c, w = np.searchsorted(numbers, context), np.searchsorted(numbers, word)
+    add = lambda at: np.bincount(at, minlength=len(numbers)).astype("<u8")
+    table = np.stack([np.bincount(c, counts, len(numbers)).astype("<u8"), *(add(x) for x in (c[counts == 1], c[counts == 2], c[counts > 2], w))])
+    first = _starts(numbers // step)
+    rows = [(int(numbers[a]) // step, pack_keys(numbers[a:b].astype(np.uint64)), np.ascontiguousarray(table[:, a:b]).tobytes(), [0] * 5) for a, b in zip(first, np.append(first[1:], len(numbers)))]
+    yield _batch(NUMBER_BLOCK, [*rows, (-1 - part, b"", b"", [len(keys), *_counts_of_counts(counts)])])
+
+
+def _in_parts(part: np.ndarray, there: frozenset[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of each part that was written."""
+    order = np.argsort(part.astype(np.uint32), kind="stable")
+    first = _starts(part[order])
+    for a, b in zip(first, np.append(first[1:], len(part))):
+        if int(part[order[a]]) in there:
+            yield int(part[order[a]]), order[a:b]
+
+
+def token_probabilities(words: Words, model: Model, slots: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The model's probability of each token after the two before it; sizes: tokens of each text."""
+    two, one = before(slots, sizes, 0)
+    number, v, n = words.number, words.values, len(slots)
+    d3, d2, _ = model.discounts
+    known = [number[x] >= 0 for x in (two, one, slots)]
+
+    pair = np.zeros(n, np.int64)  # distinct words before (one, word)
+    some = np.flatnonzero(known[1] & known[2])
+    hashes = mix(pair_keys(number[one[some]], number[slots[some]], model.vocabulary))
+    for part, mine in _in_parts(hash_part(hashes, model.parts), model.there["pairs"]):
+        table = words.file("pairs", part)
+        at = find(table, hashes[mine])
+        hit = np.flatnonzero(at >= 0)
+        pair[some[mine[hit]]] = widen(table, "counts", at[hit])
+
+    stats = np.zeros((4, n), np.int64)  # of (two, one) as a context
+    some = np.flatnonzero(known[0] & known[1])
+    contexts = pair_keys(number[two[some]], number[one[some]], model.vocabulary)
+    hashes = mix(contexts)
+    for part, mine in _in_parts(hash_part(hashes, model.parts), model.there["pairs"]):
+        table = words.file("pairs", part)
+        once = mine[find(table, hashes[mine]) >= 0]  # unless it has sums, a pair that is there was a context once
+        stats[0, some[once]] = stats[1, some[once]] = 1
+        at = find(table, hashes[mine], "context_")
+        hit = np.flatnonzero(at >= 0)
+        for k, name in enumerate(STATS):
+            stats[k, some[mine[hit]]] = widen(table, name, at[hit])
+
+    triple = np.zeros(n, np.int64)
+    both = stats[0, some] > 0
+    some, contexts = some[both], contexts[both]
+    ok = known[2][some]
+    some, contexts = some[ok], contexts[ok]
+    hashes = triple_hash(contexts, number[slots[some]])
+    hot = words.hot[two[some]] & words.hot[one[some]]
+    for part, mine in _in_parts(triple_part(contexts, hashes, hot, model.parts), model.there["triples"]):
+        table = words.file("triples", part)
+        at = find(table, hashes[mine])
+        hit = np.flatnonzero(at >= 0)
+        triple[some[mine[hit]]] = widen(table, "counts", at[hit])
+
+    lower = np.maximum(pair - discount_of(pair, d2), 0) / np.maximum(1, v["total"][one]) + v["gamma"][one] * v["unigram"][slots]
+    total = np.maximum(1, stats[0])
+    gamma = np.where(stats[0] > 0, (d3[0] * stats[1] + d3[1] * stats[2] + d3[2] * stats[3]) / total, 1.0)
+    return np.maximum(triple - discount_of(triple, d3), 0) / total + gamma * lower
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -420,21 +579,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The model learns from the texts that are not held out and scores all. Tokens are words with A-Z in lower case, then one
     end; a null or empty text is its end token. base_score is the add-one unigram model's log10 probability, score this
-    model's, perplexity is per token. With nothing to learn from, every token is unknown and has probability 1. A null id stays
-    null and is learned from; repeated rows are learned from and scored each; other columns are not read.
+    trigram model's (two end tokens stand before a text), perplexity is per token. With nothing to learn from, every token is
+    unknown and has probability 1. A null id stays null and is learned from; ids that are no longs raise; repeated rows are
+    learned from and scored each; other columns are not read. A very long text is counted and scored as one, with about a
+    hundred bytes of memory for each of its tokens.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), is_held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
     model = fit(rows.where("NOT held_out").select("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_for(model.path, model.parts, model.bases, model)
+        words = words_for(model.path, model.parts, model.bases, model.hot, model)
         for batch, tokens in _texts(batches, 2):
             slots = words.slots_of(tokens)
             n = np.array([len(t) + 1 for t in tokens], np.int64)
             first = np.concatenate(([0], np.cumsum(n)[:-1]))
             count = words.values["count"][slots]
             base = np.log10((count + 1) / (model.tokens + model.vocabulary + 1))
-            own = np.log10(token_probabilities(words, model, slots))
+            own = np.log10(token_probabilities(words, model, slots, n))
             total = np.add.reduceat(own, first)
             yield pa.RecordBatch.from_arrays(
                 [

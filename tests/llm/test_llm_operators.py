@@ -204,29 +204,35 @@ def test_forest_on_held_out_findings(spark):
 def test_ngram_scores(docs, none, rows):
     tokens = [(t or "").translate(LOW).encode().split() + [b"\n"] for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
-    one, two = collections.Counter(), collections.Counter()
+    one, three = collections.Counter(), collections.Counter()
     for t, h in zip(tokens, held):
         if not h:
             one.update(t)
-            two.update(zip([b"\n", *t], t))
+            three.update(zip([b"\n", b"\n", *t], [b"\n", *t], t))
     n, v = sum(one.values()), len(one)
-    d = ngram_lm.discounts([sum(c == k for c in two.values()) for k in (1, 2, 3, 4)])
+    two = collections.Counter((b, c) for _, b, c in three)  # distinct words before a pair
     after = collections.Counter(w for _, w in two)
-    u = ngram_lm.discounts([sum(c == k for c in after.values()) for k in (1, 2, 3, 4)])
+    d3, d2, d1 = (ngram_lm.discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for x in (three, two, after))
     take = lambda c, d: 0 if c == 0 else d[min(c, 3) - 1]
-    rest = sum(take(c, u) for c in after.values()) / len(two)
+    rest = sum(take(c, d1) for c in after.values()) / len(two)
     total, left = collections.Counter(), collections.Counter()
-    for (h, _), c in two.items():
-        total[h] += c
-        left[h] += take(c, d)
-
-    def p(h, w):
-        lower = max(after[w] - take(after[w], u), 0) / len(two) + rest / (v + 1)
-        return lower if not total[h] else max(two[h, w] - take(two[h, w], d), 0) / total[h] + left[h] / total[h] * lower
-
-    assert abs(sum(p(b"\n", w) for w in one) + p(b"\n", b"unseen word") - 1) < 1e-9
+    for counts, d in ((three, d3), (two, d2)):
+        for gram, c in counts.items():
+            total[gram[:-1]] += c
+            left[gram[:-1]] += take(c, d)
+
+    def p(*gram):
+        *context, w = gram
+        if not context:
+            return max(after[w] - take(after[w], d1), 0) / len(two) + rest / (v + 1)
+        counts, d = ((three, d3), (two, d2))[len(context) == 1]
+        h, lower = tuple(context), p(*gram[1:])
+        return lower if not total[h] else max(counts[gram] - take(counts[gram], d), 0) / total[h] + left[h] / total[h] * lower
+
+    for h in [(b"\n", b"\n"), (b"\n", b"one"), next(iter(three))[:2], (b"never", b"seen")]:
+        assert abs(sum(p(*h, w) for w in one) + p(*h, b"unseen word") - 1) < 1e-9
     wanted = sorted(
-        ((i, h, len(t), sum(one[w] > 0 for w in t), n, round(sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t), 6), round(sum(math.log10(p(a, w)) for a, w in zip([b"\n", *t], t)), 6)) for (i, _), h, t in zip(rows, held, tokens)),
+        ((i, h, len(t), sum(one[w] > 0 for w in t), n, round(sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t), 6), round(sum(math.log10(p(*g)) for g in zip([b"\n", b"\n", *t], [b"\n", *t], t)), 6)) for (i, _), h, t in zip(rows, held, tokens)),
         key=key,
     )
     found = ngram_lm.score_documents(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
