@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences by linear grouping.
 
 There are at most `capacity` different lengths, so the whole plan is made from a histogram of them on the driver, however
-many documents there are: large lengths are rounded up within groups of equal cardinality, configurations of the few rounded
-sizes are chosen so that they fill a sequence best, actual pieces take the places of rounded ones, and small pieces go by
-best fit into what is left. The plan is a list of runs (so many pieces of one length, from one rank on, go into consecutive
+many documents there are: large lengths are rounded up within groups of equal cardinality; a linear program over
+configurations of the few rounded sizes, solved by column generation, says how many sequences of each configuration there
+are; actual pieces take the places of rounded ones, and small pieces go by best fit into what is left. The plan is a list of runs (so many pieces of one length, from one rank on, go into consecutive
 sequences at one offset). Pieces get a rank among those of their length, and a join with the runs places them.
 """
 
@@ -23,8 +23,10 @@ from graphloom.llm.common import by_bytes, prepare, text_of, written
 CAPACITY = 1024
 END_ID = 2
 #: Groups of the large lengths, and the length from which one is large, as a share of the capacity.
-GROUPS = 512
+GROUPS = 256
 LARGE = 1 / 16
+#: Steps of the linear program at most; it stops before when no configuration can improve it.
+STEPS = 6000
 BATCH_BYTES = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -79,6 +81,54 @@ def grouped(counts: dict[int, int], groups: int) -> list[list[int]]:
     return [x for _, x in out]
 
 
+def best_configuration(room: int, sizes: np.ndarray, values: np.ndarray) -> tuple[float, np.ndarray]:
+    """The most valuable configuration of sizes that fits in room, and its value: a knapsack over all rooms at once."""
+    low = int(sizes.min())
+    best, last = np.zeros(room + 1), np.full(room + 1, -1, np.int64)
+    for a in range(low, room + 1, low):  # rooms that are less than a size apart don't depend on each other
+        r = np.arange(a, min(a + low, room + 1))
+        rest = r[:, None] - sizes[None, :]
+        gains = np.where(rest >= 0, best[np.maximum(rest, 0)] + values[None, :], 0.0)
+        k = gains.argmax(axis=1)
+        own = gains[np.arange(len(r)), k]
+        best[r] = np.maximum(np.maximum.accumulate(own), best[a - 1])
+        better = own > np.concatenate(([best[a - 1]], best[r[:-1]])) + 1e-12
+        last[r] = np.where(better, k, -1)
+    out, r = np.zeros(len(sizes), np.int64), room
+    while r >= low:
+        if last[r] < 0:
+            r -= 1
+            continue
+        out[last[r]] += 1
+        r -= int(sizes[last[r]])
+    return float(best[room]), out
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], int]]:
+    """(how many of each size, sequences) by the linear program of fewest sequences, rounded down.
+
+    The simplex method on configurations; the one that enters is the best knapsack under the current prices of the sizes.
+    """
+    size, need = np.array(sizes, np.int64), np.array(demand, float)
+    n = len(size)
+    columns = np.diag(capacity // size).astype(float)
+    inverse = np.diag(1 / np.diag(columns))
+    for _ in range(STEPS):
+        prices = inverse.sum(axis=0)  # every configuration costs one sequence
+        value, entering = best_configuration(capacity, size, prices)
+        if value <= 1 + 1e-9:
+            break
+        amounts, direction = inverse @ need, inverse @ entering
+        some = np.flatnonzero(direction > 1e-9)
+        leaving = int(some[np.argmin(amounts[some] / direction[some])])
+        columns[:, leaving] = entering
+        inverse[leaving] /= direction[leaving]
+        others = np.arange(n) != leaving
+        inverse[others] -= np.outer(direction[others], inverse[leaving])
+    amounts = np.maximum(0, np.linalg.solve(columns, need))
+    return [(columns[:, j].astype(int).tolist(), times) for j in range(n) if (times := int(amounts[j] + 1e-7))]
+
+
 def fill(room: int, sizes: list[int], left: list[int]) -> list[int]:
     """How many of each size (there are left[i]) add up to the most that fits in room; larger sizes first among equals."""
     best: dict[int, tuple[int, ...]] = {0: ()}
@@ -104,19 +154,27 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
     big = {x: n for x, n in counts.items() if x >= large * capacity and n}
     members = grouped(big, groups)
     sizes = [x[0] for x in members]  # the rounded size: the largest of its group, groups go down
+
+    def use(config: list[int], times: int) -> None:  # actual pieces take the places of the rounded sizes
+        nonlocal new, bins
+        open_bins = [[0, new, times]]
+        new += times
+        for i, n in enumerate(config):
+            for _ in range(n):
+                open_bins = _place(stock, members[i], open_bins, runs)
+        bins += open_bins
+
+    demand = [sum(stock.left[x] for x in g) for g in members]
+    for config, times in configurations(sizes, demand, capacity) if sizes else []:
+        use(config, times)
+    # what rounding down has left, a few sequences for each size: one by one, the largest with what fills it best
     while any(left := [sum(stock.left[x] for x in g) for g in members]):
         first = next(i for i, n in enumerate(left) if n)
         left[first] -= 1
         config = fill(capacity - sizes[first], sizes, left)
         config[first] += 1
         left[first] += 1
-        times = min(left[i] // n for i, n in enumerate(config) if n)
-        open_bins = [[0, new, times]]
-        new += times
-        for i, n in enumerate(config):  # actual pieces take the places of the rounded size
-            for _ in range(n):
-                open_bins = _place(stock, members[i], open_bins, runs)
-        bins += open_bins
+        use(config, min(left[i] // n for i, n in enumerate(config) if n))
     for length in sorted((x for x, n in stock.left.items() if n), reverse=True):  # the small ones, by best fit
         while n := stock.left[length]:
             fits = [b for b in bins if b[0] + length <= capacity]
@@ -203,6 +261,7 @@ def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
     """Every document's pieces with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is the ids of its text (null: empty) and one end_id. Only documents longer than the capacity are cut; the
-    first piece takes what is over. Repeated rows are packed each; null ids stay null; other columns are not read.
+    first piece takes what is over. Repeated rows are packed each; null ids stay null, ids that are no longs raise; other
+    columns are not read. A very long text is encoded whole by one task and gives a row for each piece.
     """
     return pack(written(pieces_of(docs, path, capacity, end_id, id_col, text_col), "pieces"), capacity)
