@@ -6,7 +6,6 @@ words of a batch at once. Words it does not hold are merged exactly.
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import json
 import re
@@ -162,30 +161,36 @@ def look_up(lexicon: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
         step += 1
 
 
+#: A space at an end of the text or beside other white space.
+_ODD = re.compile(r"\A | \Z| (?=\s)|(?<=\s) ")
+
+
 class _Known(dict):
-    """Ids of words by the word; a word that is not there is merged. None: white space at an end, so the text around it counts."""
+    """Ids of words by the word; a word that is not there is merged, and kept if it is short."""
 
     def __init__(self, merge):
         super().__init__()
         self.merge = merge
 
-    def __missing__(self, word: str) -> bytes | None:
-        clear = word and not (word[0].isspace() or word[-1].isspace())
-        found = self[word] = array("I", self.merge(" " + word)).tobytes() if clear else None
+    def __missing__(self, word: str) -> bytes:
+        found = array("I", self.merge(" " + word)).tobytes()
+        if len(word) <= 2 * LONGEST_WORD:
+            self[word] = found
         return found
 
 
 class Coder:
-    """Encodes texts by words. A word here is what stands between single spaces, with the space before it.
+    """Encodes texts by words. A word here is what stands between clean spaces, with the space before it.
 
-    A space between two characters that are no white space always starts a pre-token, so such words are encoded one by one;
-    a text where a space stands beside other white space, or with a special token, is encoded as a whole.
+    A space between two characters that are no white space always starts a pre-token, so such words are encoded one by one.
+    Where a space stands beside other white space, the text is not cut; the words around it make one longer word.
     """
 
     def __init__(self, path: str, lexicon: dict[str, np.ndarray] | None = None):
         self.merger = Merger(path)
         self.lexicon = lexicon
-        self.known = _Known(self.merger.ranks.encode_ordinary)
+        self.known = _Known(self.merger.ids)
+        self.cuts = not any(" " in s for s in self.merger.special)
 
     def learn(self, texts: list[list[str]]) -> None:
         """Look up the words that are new in the lexicon, all together."""
@@ -196,23 +201,29 @@ class Coder:
             k = number[i]
             self.known[new[i]] = ids[starts[k] : starts[k + 1]].tobytes()
 
+    def words(self, text: str) -> list[str]:
+        """The words; all but the first stand behind a space."""
+        if not self.cuts:
+            return [text]
+        parts = text.split(" ")
+        if not _ODD.search(text):
+            return parts
+        out, held = [], [parts[0]]
+        for before, word in zip(parts, parts[1:]):
+            if before and word and not before[-1].isspace() and not word[0].isspace():
+                out.append(" ".join(held))
+                held = []
+            held.append(word)
+        return [*out, " ".join(held)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        words = [t.split(" ") for t in texts]
+        words = [self.words(t) for t in texts]
         if self.lexicon is not None:
-            self.learn([w[1:-1] for w in words])
-        return [self._one(t, w) for t, w in zip(texts, words)]
-
-    def _one(self, text: str, words: list[str]) -> bytes:
-        first, last = words[0], words[-1]
-        apart = len(words) > 1 and first and last and not first[-1].isspace() and not last[0].isspace()
-        if apart and not self.merger.has_special(text):
-            middle = map(self.known.__getitem__, words[1:-1])
-            with contextlib.suppress(TypeError):  # a None is among them
-                return b"".join([self.bytes_of(first), *middle, self.bytes_of(" " + last)])
-        return self.bytes_of(text)
+            self.learn([w[1:] for w in words])
+        return [b"".join([self.bytes_of(w[0]), *map(self.known.__getitem__, w[1:])]) for w in words]
 
     def bytes_of(self, text: str) -> bytes:
         return array("I", self.merger.ids(text)).tobytes()
@@ -262,7 +273,8 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     Ids are those of the tokenizers library with the file at `path` without added special tokens; ids_sha256 is over
     little-endian unsigned 32-bit ids, decoded_sha256 over the decoded text. A null text is empty and has no ids. Repeated
-    rows are coded each; a null id stays null; other columns are not read.
+    rows are coded each; a null id stays null, ids that are no longs raise; other columns are not read. A very long text is
+    coded by its words; one without clean spaces is merged as a whole.
     """
     spark = docs.sparkSession
     prepare(spark)

@@ -6,9 +6,11 @@ string once however often it occurs.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
@@ -21,9 +23,12 @@ BATCH_BYTES = 2_000_000
 CALL_BYTES = 200_000
 #: Strings whose lengths a worker remembers; it forgets all when it has more.
 REMEMBERED = 400_000
+#: Characters from which a text for a tokenizers file is cut.
+LONG = 100_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 #: Parts of a text: spaces and what follows them. Spaces at the end stay with the last part, for nothing follows them.
+_CLEAN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _SPACES = re.compile(r" *[^ ]+(?: +\Z)?| +")
 
 
@@ -68,7 +73,11 @@ class PieceCounter:
 
 
 class JsonCounter:
-    """Lengths under a tokenizers file. Texts go in whole: where its pre-tokenizer may cut is the file's own affair."""
+    """Lengths under a tokenizers file. A text of more than LONG characters is cut, if the file's own parts allow it.
+
+    They do where nothing rewrites the text and a byte-level pre-tokenizer with its usual pattern starts a part at each space
+    between two characters that are no white space. Other files get their texts whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -76,12 +85,32 @@ class JsonCounter:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        spec = json.loads(self.model.to_str())
+        kind = spec.get("pre_tokenizer") or {}
+        byte_level = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
+        self.cuts = bool(byte_level and not spec.get("normalizer") and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in spec["added_tokens"]))
+
+    def split(self, text: str) -> list[str]:
+        if not self.cuts or len(text) <= LONG:
+            return [text]
+        out, at = [], 0
+        while len(text) - at > LONG:
+            cut = _CLEAN_SPACE.search(text, at + LONG // 2)
+            if not cut:
+                break
+            out.append(text[at : cut.start()])
+            at = cut.start()
+        return [*out, text[at:]]
 
     def count(self, texts: list[str]) -> list[int]:
-        out: list[int] = []
-        for a, b in by_bytes(texts, CALL_BYTES):
-            out += [len(e.ids) for e in self.model.encode_batch(texts[a:b], add_special_tokens=False)]
-        return out
+        parts = [self.split(t) for t in texts]
+        every = [x for p in parts for x in p]
+        sizes: list[int] = []
+        for a, b in by_bytes(every, CALL_BYTES):
+            sizes += [len(e.ids) for e in self.model.encode_batch(every[a:b], add_special_tokens=False)]
+        ends = np.cumsum([len(p) for p in parts]) if parts else []
+        sums = np.concatenate(([0], np.cumsum(sizes)))
+        return (sums[ends] - sums[np.concatenate(([0], ends[:-1])).astype(int)]).tolist() if parts else []
 
 
 _COUNTERS: dict[str, PieceCounter | JsonCounter] = {}
@@ -98,7 +127,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     """One row for each input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     path: a sentencepiece .model or a tokenizers .json, there on every machine. A null or empty text has no bytes and the
-    tokens the library gives for "". Repeated rows are counted each; a null id stays null; other columns are not read.
+    tokens the library gives for "". Repeated rows are counted each; a null id stays null, ids that are no longs raise; other
+    columns are not read. Very long texts are cut at spaces where that is safe; one without such spaces goes in whole.
     """
     prepare(docs.sparkSession)
 

@@ -472,6 +472,15 @@ def test_words_are_encoded_as_in_their_text():
         assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    monkeypatch.setattr(token_counts, "LONG", 12)
+    counter, model = token_counts.JsonCounter(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    assert counter.cuts
+    rng = random.Random(14)
+    texts = ["".join(rng.choice([" ", "  ", "a", "'s", "the", "\t", "\n", "é", "日", ".", "1", "\x1c", "\x85", "<|endoftext|>"]) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    assert counter.count(texts) == [len(model.encode(t, add_special_tokens=False).ids) for t in texts] and counter.count([]) == []
+
+
 def test_automaton_holds_its_words_only():
     rng = random.Random(7)
     words = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 6))): [k, k + 1][: 1 + k % 2] for k in range(150)}
@@ -516,7 +525,28 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_filter_from_tables(spark):
+    rng = random.Random(13)
+    hosts = sorted({f"{rng.choice('abcdef')}{rng.randint(0, 60)}.{rng.choice(['com', 'net', 'org'])}" for _ in range(200)})
+    rules = {f"{h}/{rng.choice(['', 'en/', 'de/', 'ü/'])}": rng.choice(["block", "allow"]) for h in rng.sample(hosts, 80)}
+    blocked = rng.sample(hosts, 60)
+    rows = [(k, f"http://{rng.choice(['', 'www.', 'a.b.'])}{rng.choice(hosts)}/{rng.choice(['', 'en/x', 'de/y', 'ü/z'])}") for k in range(300)]
+    tables = spark.createDataFrame([*rules.items(), (None, "block")], "rule string, verdict string"), spark.createDataFrame([(h,) for h in [*blocked, blocked[0], "", None]], "host string")
+    index = url_filter.build_index(spark, *tables, part_entries=20)
+    assert index.parts > 4
+    found = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), index=index).collect()
+    wanted = []
+    for i, url in rows:
+        host, path = re.match("http://([^/]*)(.*)", url).groups()
+        fits = [(len(r), r) for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        bad = any(host == h or host.endswith("." + h) for h in blocked)
+        wanted.append((i, host, path, max(fits)[1], rules[max(fits)[1]]) if fits else (i, host, path, None, "block" if bad else "allow"))
+    same(found, wanted)
+    with pytest.raises(Exception, match="needs a path"):
+        url_filter.build_index(spark, {"net": "block"})
+
+
 def test_equal_digests_are_confirmed_by_strings(monkeypatch):
-    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s))
-    index = url_filter.digest_array({"ab/": "block", "cd/": "allow"})
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s, seed: len(s))
+    index = url_filter.digest_array([(b"ab/", url_filter.BLOCK), (b"cd/", url_filter.ALLOW)])
     assert url_filter.probe(index, [b"ab/", b"cd/", b"xy/", b"abc/"]).tolist() == [0, 1, -1, -1]
