@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.storage import written
+from graphloom.storage import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         before = state
-        now = written(_small_star(_large_star(now)), "links")
+        last, now = now, written(_small_star(_large_star(now)), "links")
+        discard(last)
 
 
 def _down(links: DataFrame) -> DataFrame:
