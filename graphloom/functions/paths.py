@@ -14,7 +14,6 @@ LAYERS = (
     ("Ui", ("ui", "components", "component", "views", "view", "pages", "page", "frontend", "web", "templates", "template")),
     ("Domain", ("domain", "models", "model", "entities", "entity", "services", "service", "core")),
 )
-AUXILIARY = ("docs", "examples", "example", "benches", "benchmark", "benchmarks", "sample", "samples", "integration", "e2e")
 
 
 def components(path: Column) -> Column:
@@ -25,15 +24,6 @@ def _any(parts: Column, names: tuple[str, ...]) -> Column:
     return F.arrays_overlap(parts, F.array(*map(F.lit, names)))
 
 
-def is_test_path(path: Column) -> Column:
-    """A test folder on the way, or a file name like test_x, x_test.y, x.test.y, x.spec.y."""
-    return _any(components(path), LAYERS[0][1]) | F.lower(path).rlike(r"(^|/)(test_[^/]*|[^/]*[_.\-](test|tests|spec)\.[^/.]+|conftest\.py)$")
-
-
-def is_auxiliary_path(path: Column) -> Column:
-    return is_test_path(path) | _any(components(path), AUXILIARY)
-
-
 def layer(path: Column) -> Column:
     """The first layer one of whose words is a component, the file's stem, or starts or ends its name with _, - or a dot between."""
     parts = components(path)
@@ -45,6 +35,47 @@ def layer(path: Column) -> Column:
     return out
 
 
+def layer_of(path: Column, category: Column, has_route: Column) -> Column:
+    """The layer by path, else by the file's category, else Api for a file with a route."""
+    by_category = (
+        F.when(category.isin("ContainerDefinition", "ContinuousIntegration", "BuildDefinition"), "Infra").when(category == "DatabaseMigration", "Data")
+        .when(category == "ApiSchema", "Api").when(category == "TestData", "Test")
+    )
+    return F.coalesce(F.nullif(layer(path), F.lit("Unknown")), by_category, F.when(has_route, "Api").otherwise("Unknown"))
+
+
+def glob_pattern(glob: str) -> str:
+    """A glob as a pattern for the whole path: * and ? (also over folders), [..], {a,b}; one that is broken is an error."""
+    out, i, depth = "", 0, 0
+    while i < len(glob):
+        c = glob[i]
+        if glob[i : i + 3] == "**/":
+            out, i = out + "(?:.*/)?", i + 2
+        elif c == "*":
+            out, i = out + ".*", i + (glob[i : i + 2] == "**")
+        elif c == "?":
+            out += "."
+        elif c == "[":
+            end = glob.find("]", i + 2)
+            if end < 0:
+                raise ValueError(f"a class is not closed: {glob!r}")
+            body = glob[i + 1 : end].replace("\\", "\\\\")
+            out += "[" + ("^" + body[1:] if body[0] in "!^" else body) + "]"
+            i = end
+        elif c == "{":
+            out, depth = out + "(?:", depth + 1
+        elif c == "}" and depth:
+            out, depth = out + ")", depth - 1
+        elif c == "," and depth:
+            out += "|"
+        else:
+            out += "\\" + c if not c.isalnum() and c not in "_/" else c
+        i += 1
+    if depth:
+        raise ValueError(f"alternatives are not closed: {glob!r}")
+    return f"^{out}$"
+
+
 def parent(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 

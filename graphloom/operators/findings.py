@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import extract
+
 # Limits of the health rules, and the tension each rule stands for.
 GOD, BRIDGE, LOW_COHESION, SHOTGUN = 12, 8, 0.25, 5
-TENSIONS = {"Orphan": "DeadWeight", "GodClass": "Complexity", "Bridge": "Coupling", "Cycle": "Cyclicity", "LowCohesion": "Fragmentation"}
-# Comment prefixes and what they mean; markers of generated text; words of plans; words of opinion.
-RATIONALE = {"RATIONALE": "Why", "WHY": "Why", "IMPORTANT": "Important", "SAFETY": "Safety", "FIXME": "Fixme", "BUG": "Fixme", "NOTE": "Note", "HACK": "Hack", "XXX": "Hack", "TODO": "Todo"}
-GENERATED = ("do not edit", "do not modify", "@generated", "code generated by", "autogenerated", "auto-generated", "this file was automatically generated")
+LAYER_ORDER = ("Ui", "Api", "Domain", "Data")
+TENSIONS = {"HiddenCoupling": "Coupling", "LayerViolation": "LayerViolation", "ShotgunSurgery": "Coupling", "Orphan": "DeadWeight", "GodClass": "Complexity", "Bridge": "Coupling", "Cycle": "Cyclicity", "LowCohesion": "Fragmentation"}
+# Comment prefixes and what they mean; words of plans; words of opinion; keys whose values are secret.
+RATIONALE = {
+    "TODO": "Todo", "FIXME": "Fixme", "HACK": "Hack", "XXX": "Hack", "NOTE": "Note", "WHY": "Why", "RATIONALE": "Why", "IMPORTANT": "Important",
+    "BUG": "Fixme", "SAFETY": "Safety",
+}
 INTENT = ("todo", "fixme", "not yet implemented", "not implemented", "coming soon", "planned", "will support", "should support")
 FUTURE = ("todo", "planned", "not yet", "will eventually", "roadmap")
 SUBJECTIVE = (" should ", "best ", "prefer ", "recommended", "easy ", "simple ")
 SECRET_KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "credential")
+REDACTED = "[REDACTED]"
+
 
+def health(degree: DataFrame, edges: DataFrame, cohesion: DataFrame | None = None, god: int = GOD, bridge: int = BRIDGE, layers: DataFrame | None = None, shotgun: int = SHOTGUN) -> DataFrame:
+    """degree: id, degree. Findings rule, id: Orphan, GodClass, Bridge, Cycle (two nodes that point at each other), LowCohesion.
 
-def health(degree: DataFrame, edges: DataFrame, cohesion: DataFrame | None = None, god: int = GOD, bridge: int = BRIDGE) -> DataFrame:
-    """degree: id, degree. Findings rule, id: Orphan, GodClass, Bridge, Cycle (two nodes that point at each other), LowCohesion."""
+    Edges with a kind give more: HiddenCoupling for each FileChangesWith edge without another one between its ends,
+    ShotgunSurgery for nodes with `shotgun` or more of them; layers (id, layer) give LayerViolation for edges that go up.
+    """
     rules = F.array(
         F.when(F.col("degree") == 0, "Orphan"), F.when(F.col("degree") >= god, "GodClass"), F.when(F.col("degree") >= bridge, "Bridge")
     )
@@ -30,6 +40,18 @@ def health(degree: DataFrame, edges: DataFrame, cohesion: DataFrame | None = Non
     if cohesion is not None:
         low = cohesion.where(F.col("cohesion") <= LOW_COHESION)
         out = out.unionByName(low.select(F.lit("LowCohesion").alias("rule"), F.col("community").cast("string").alias("id")))
+    if "kind" in edges.columns:
+        ends = edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "kind")
+        together = ends.where("kind = 'FileChangesWith'").select("a", "b").distinct()
+        hidden = together.join(ends.where("kind <> 'FileChangesWith'"), ["a", "b"], "left_anti")
+        out = out.unionByName(hidden.select(F.lit("HiddenCoupling").alias("rule"), F.concat_ws("|", "a", "b").alias("id")))
+        spread = together.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count().where(F.col("count") >= shotgun)
+        out = out.unionByName(spread.select(F.lit("ShotgunSurgery").alias("rule"), "id"))
+    if layers is not None:
+        place = F.array_position(F.array(*map(F.lit, LAYER_ORDER)), F.col("layer"))
+        known = layers.select("id", place.alias("place")).where("place > 0")
+        up = edges.join(known.select(F.col("id").alias("source"), F.col("place").alias("x")), "source").join(known.select(F.col("id").alias("target"), F.col("place").alias("y")), "target")
+        out = out.unionByName(up.where("x > y").select(F.lit("LayerViolation").alias("rule"), F.concat_ws("|", "source", "target").alias("id")))
     return out.distinct()
 
 
@@ -86,11 +108,6 @@ def rationale(lines: DataFrame) -> DataFrame:
     return found.select("doc_id", "line", kinds[part(1)].alias("kind"), part(2).alias("owner"), part(3).alias("note"))
 
 
-def is_generated(text: Column, first: int = 2048) -> Column:
-    """A marker of generated text within the first bytes: that is where the rule looks."""
-    return F.lower(F.substring(text, 1, first)).rlike("|".join(GENERATED))
-
-
 def intent_lines(lines: DataFrame, excerpt: int = 160) -> DataFrame:
     """Lines that speak of work to be done: doc_id, line, keyword (the first of the list), excerpt."""
     low = F.lower("text")
@@ -120,3 +137,66 @@ def claims(lines: DataFrame) -> DataFrame:
 def redact(text: Column) -> Column:
     """Values after a secret-bearing key become ***."""
     return F.regexp_replace(text, r"(?i)(" + "|".join(SECRET_KEYS) + r")(\s*[:=]\s*[\"']?)[^\s\"']+", "$1$2***")
+
+
+def redact_text(text: Column) -> Column:
+    """A file's text line by line: values of secret keys, up to the end of the line, and all lines within private-key blocks are masked."""
+    keys = "|".join(SECRET_KEYS)
+    values = F.regexp_replace(text, rf"(?im)^([^=:\n]*(?:{keys})[^=:\n]*)([=:]).*$", rf"$1$2 {REDACTED.replace('[', chr(92) + '[')}")
+    blocks = F.split(values, r"(?<=PRIVATE KEY-----)(?=\n)")
+    begins = lambda x: x.rlike(r"-----BEGIN [^\n]*PRIVATE KEY-----$")
+    masked = F.transform(blocks, lambda x, i: F.when((i > 0) & begins(F.get(blocks, i - 1)), F.concat(F.regexp_replace(F.regexp_extract(x, r"(?s)^(.*?)(\n[^\n]*-----END [^\n]*)?$", 1), r"(?m)(?<=\n)[^\n]+", F.lit(REDACTED)), F.regexp_extract(x, r"(?s)^(.*?)(\n[^\n]*-----END [^\n]*)?$", 2))).otherwise(x))
+    return F.array_join(masked, "")
+
+
+def unmentioned(names: DataFrame, name: str, lines: DataFrame) -> DataFrame:
+    """names that no line has in it, in any case. lines: text.
+
+    Lines are joined on the names' first runs of letters and digits, so it is an equi-join; what contains the name is confirmed.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    low = F.lower(name)
+    # the longest word of a name stands whole in a line that contains it, unless it is cut at the name's ends
+    inner = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    keyed = names.select(name, low.alias("_low"), F.size(inner).alias("_n"), inner.alias("_words"))
+    safe = F.slice("_words", 2, F.greatest(F.col("_n") - 2, F.lit(0)))
+    closed = keyed.withColumn("_key", F.when((F.col("_n") > 2), F.element_at(F.array_sort(safe, lambda a, b: F.length(b) - F.length(a)), 1)))
+    by_word = closed.where("_key IS NOT NULL")
+    spread = lines.select("text", F.explode(words(F.col("text"))).alias("_key"))
+    hit = by_word.join(spread, "_key").where(F.lower("text").contains(F.col("_low"))).select(name)
+    # short names have no word inside; they are few, and a block of them is compared with every line
+    rest = closed.where("_key IS NULL").select(name, "_low")
+    found = lines.join(F.broadcast(rest), F.lower("text").contains(F.col("_low"))).select(name)
+    return names.join(hit.unionByName(found).distinct(), name, "left_anti")
+
+
+def drift(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """documents, files: path, content. path, line, rule, subject: what documents say that the files do not bear out.
+
+    BrokenLink and MissingPath name no file, StaleCommand a make target that no Makefile has, UnresolvedIntent work to be done.
+    """
+    have = files.select("path").distinct()
+    missing = lambda df, column: df.join(have.withColumnRenamed("path", column), column, "left_anti")
+    row = lambda df, rule, subject: df.select("path", "line", F.lit(rule).alias("rule"), subject.alias("subject"))
+    broken = row(missing(extract.links(documents).where("resolved IS NOT NULL"), "resolved"), "BrokenLink", F.col("target"))
+    paths = row(missing(extract.path_references(documents), "reference"), "MissingPath", F.col("reference"))
+    asked = extract.commands(documents).withColumn("goal", F.regexp_extract("command", r"^make\s+(\S+)", 1)).where("goal <> ''")
+    made = extract.lines_of(files.where(F.element_at(F.split("path", "/"), -1) == "Makefile"))
+    goals = made.select(F.regexp_extract("text", r"^([A-Za-z0-9_.\-]+)\s*:(?!=)", 1).alias("goal")).where("goal <> ''").distinct()
+    stale = row(asked.join(goals, "goal", "left_anti"), "StaleCommand", F.col("command"))
+    open_lines = extract.fenced(extract.lines_of(documents)).where("NOT fence AND NOT inside").withColumnRenamed("path", "doc_id")
+    intent = row(intent_lines(open_lines).withColumnRenamed("doc_id", "path"), "UnresolvedIntent", F.col("excerpt"))
+    return broken.unionByName(paths).unionByName(stale).unionByName(intent)
+
+
+def checked_references(references: DataFrame, files: DataFrame) -> DataFrame:
+    """references: ref (path#Lx or path#Lx-Ly). files: path, n_lines. ref, state: valid, malformed, unknown_path or bad_lines."""
+    pattern = r"^(.+)#L(\d+)(?:-L(\d+))?$"
+    part = lambda k: F.regexp_extract("ref", pattern, k)
+    rows = references.select("ref", part(1).alias("path"), part(2).try_cast("long").alias("a"), F.coalesce(F.nullif(part(3), F.lit("")), part(2)).try_cast("long").alias("b"))
+    joined = rows.join(files.select("path", "n_lines"), "path", "left")
+    state = (
+        F.when(F.col("path") == "", "malformed").when(F.col("n_lines").isNull(), "unknown_path")
+        .when((F.col("a") < 1) | (F.col("b") < F.col("a")) | (F.col("b") > F.col("n_lines")), "bad_lines").otherwise("valid")
+    )
+    return joined.select("ref", state.alias("state"))

@@ -72,6 +72,13 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataF
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
+def cache_plan(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """wanted, stored: key, digest. key, action: reused (same key and content are stored), computed, dropped (stored, not wanted)."""
+    change = snapshot_diff(stored, wanted, "key", "digest")
+    action = F.when(F.col("change") == "same", "reused").when(F.col("change") == "removed", "dropped").otherwise("computed")
+    return change.select("key", action.alias("action"))
+
+
 def coupling_matrix(groups: DataFrame, cells: DataFrame) -> DataFrame:
     """groups: name (few). All ordered pairs of different groups with the count of cells (a, b, n), zero where there is none."""
     names = groups.select("name").distinct()

@@ -21,5 +21,3 @@ def query(sql: str | None = None) -> Callable:
 
     return register
 
-
-from graphloom.plans import evaluation_queries, graph_queries, text_queries  # noqa: E402, F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions import paths, text
+from graphloom.functions import classify, paths, text
 from graphloom.operators import findings, incremental, relational, search, similarity
 from graphloom.plans.registry import query
 from graphloom.sources.tables import document_lines, table
@@ -201,9 +201,14 @@ def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(findings.redact(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(substr(text, 1, 2048)), 'do not edit|do not modify|@generated|code generated by|autogenerated|auto-generated|this file was automatically generated') AS generated FROM documents")
+@query("WITH g AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '# GENERATED BY the protocol buffer compiler.' || chr(10) WHEN 1 THEN repeat('ü', 1020) || '@generated' WHEN 2 THEN repeat('ü', 1018) || '@generated' WHEN 3 THEN 'revision = 1' || chr(10) || 'down_revision = 0' || chr(10) || 'def upgrade(): pass' ELSE '' END || coalesce(text, '') AS text, doc_id % 5 AS r FROM documents) SELECT doc_id, r IN (0, 3) OR regexp_matches(lower(substr(CASE WHEN r = 1 THEN '' ELSE text END, 1, CASE WHEN r = 2 THEN 1030 ELSE 2048 END)), 'do not edit|do not modify|@generated|code generated by|autogenerated|auto-generated|this file was automatically generated') AS generated FROM g")
 def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", findings.is_generated(F.col("text")).alias("generated"))
+    """Markers in the first 2,048 bytes; before the text stands what some generators write."""
+    r = F.col("doc_id") % 5
+    wide = lambda n: F.concat(F.repeat(F.lit("ü"), F.lit(n)), F.lit("@generated"))
+    before = F.when(r == 0, "# GENERATED BY the protocol buffer compiler.\n").when(r == 1, wide(1020)).when(r == 2, wide(1018)).when(r == 3, "revision = 1\ndown_revision = 0\ndef upgrade(): pass").otherwise("")
+    text = F.concat(before, F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", classify.is_generated_text(text).alias("generated"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, line, regexp_extract(text, '^\\s*(?:#|//|/\\*|\\*|--)?\\s*(RATIONALE|WHY|IMPORTANT|SAFETY|FIXME|BUG|NOTE|HACK|XXX|TODO)(?:\\([^)]*\\))?:', 1) AS word FROM lines WHERE regexp_matches(text, '^\\s*(?:#|//|/\\*|\\*|--)?\\s*(RATIONALE|WHY|IMPORTANT|SAFETY|FIXME|BUG|NOTE|HACK|XXX|TODO)(?:\\([^)]*\\))?:')")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import api
-from graphloom.functions import paths, text
+from graphloom.functions import classify, paths, text
 from graphloom.graph import PropertyGraph
 from graphloom.operators import analytics, components, findings, incremental, relational, search, similarity, traverse
 from graphloom.plans import evaluation_queries, match
@@ -141,8 +141,8 @@ def test_text_and_path_functions(spark):
     rows = spark.createDataFrame([(w,) for w in words], "w string").select(text.identifier_tokens(F.col("w"))).collect()
     assert [r[0] for r in rows] == [["camel", "case"], ["xml", "parser"], ["snake", "case", "name"], ["kebab", "case", "name"], ["dotted", "module", "name"], []]
     files = ["src/api/users.py", "tests/test_x.py", "src/app/x_test.go", "docker/Dockerfile", "src/main.rs", "docs/a.md"]
-    found = spark.createDataFrame([(f,) for f in files], "p string").select(paths.layer(F.col("p")), paths.is_test_path(F.col("p")), paths.is_auxiliary_path(F.col("p")), paths.extension(F.col("p"))).collect()
-    assert [tuple(r) for r in found] == [("Api", False, False, "py"), ("Test", True, True, "py"), ("Test", True, True, "go"), ("Infra", False, False, ""), ("Unknown", False, False, "rs"), ("Unknown", False, True, "md")]
+    found = spark.createDataFrame([(f,) for f in files], "p string").select(paths.layer(F.col("p")), classify.is_test_file(F.col("p")), classify.is_auxiliary_file(F.col("p")), paths.extension(F.col("p"))).collect()
+    assert [tuple(r) for r in found] == [("Api", False, False, "py"), ("Test", True, True, "py"), ("Unknown", False, False, "go"), ("Infra", False, False, ""), ("Unknown", False, False, "rs"), ("Unknown", False, True, "md")]
     assert spark.range(1).select(paths.resolved(F.lit("a/b/c.md"), F.lit("../d/./e.md"))).first()[0] == "a/d/e.md"
     assert spark.range(1).select(text.decay(F.lit(100), F.lit(200))).first()[0] == 1_000_000
 

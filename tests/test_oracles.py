@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from graphloom.plans import registry
+from graphloom.plans import catalog as registry
 
 TABLES = "/root/testdata/sf0.001"
 
