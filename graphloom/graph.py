@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import schema
@@ -21,10 +21,11 @@ class PropertyGraph:
         """The graph with the edges of these kinds only."""
         return PropertyGraph(self.nodes, self.edges.where(F.col("kind").isin(*names)))
 
-    def first_of_each_id(self, order: str = "name") -> PropertyGraph:
-        """Nodes with one row for each id; the first by `order` stays."""
-        rank = F.row_number().over(Window.partitionBy("id").orderBy(order))
-        return PropertyGraph(self.nodes.withColumn("_rank", rank).where("_rank = 1").drop("_rank"), self.edges)
+    def pruned(self) -> PropertyGraph:
+        """Without Unresolved nodes that no edge names."""
+        named = self.edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+        lonely = self.nodes.where(F.col("label") == schema.UNRESOLVED).join(named, "id", "left_anti").select("id")
+        return PropertyGraph(self.nodes.join(lonely, "id", "left_anti"), self.edges)
 
     def resolved(self) -> PropertyGraph:
         """Without Unresolved nodes and the edges that touch one."""
