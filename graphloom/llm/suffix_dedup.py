@@ -7,7 +7,7 @@ repeated as a whole; only segments that share a minimizer with other segments go
 than their successor are sorted directly, the others are induced by scans over the buckets, and common prefixes of
 neighbours say which windows occur twice.
 
-A minimizer of more than GROUP_BYTES of different segments is divided again, by minimizers of longer anchors: those segments
+A minimizer of more than GROUP_BYTES (and GROUP_KINDS) of different segments is divided again, by minimizers of longer anchors: those segments
 are cut like texts, with the next of ANCHORS. An anchor of WINDOW - 1 bytes leaves one free byte on either side, so that a
 group of the last level is bounded, whatever the corpus is. At each level the suffix arrays find the repeats.
 """
@@ -27,14 +27,17 @@ from graphloom.llm.common import prepare, text_of, written
 WINDOW = 400
 #: Bytes of an anchor at each level, as shares of the window; the last level has one byte less than the window.
 ANCHOR = 32
-LEVELS = (0.08, 0.56, 0.88)
+LEVELS = (0.08, 0.72, 0.94)
 #: Bits of a minimizer that hold its place while it is chosen: texts of up to 2^PLACE_BITS bytes go in one piece, longer ones in overlapping pieces.
 PLACE_BITS = 22
 #: Windows from which a segment of periodic text (one minimizer at many places) is cut at the minimizer's next place.
 LONGEST_RUN = 4096
-#: Bytes whose suffixes are sorted together, and bytes of different segments from which a minimizer is divided again.
+#: Bytes whose suffixes are sorted together. A minimizer with more bytes and more kinds of segments than these is divided again;
+#: a kind has few times LONGEST_RUN bytes at most, so what is sorted together stays within a few MB.
 BLOCK_BYTES = 500_000
-GROUP_BYTES = 250_000
+GROUP_BYTES, GROUP_KINDS = 250_000, 512
+#: The share of all segments from which a kind of them is hot; at most 1 / HOT_SHARE kinds are, and their rows are not shuffled.
+HOT_SHARE = 1 / 10_000
 _MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)))
 
 
@@ -217,19 +220,19 @@ def _segment_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _segment_bytes(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """wanted: one place for each segment. KIND, bytes. A text's list of them takes less room than the text."""
-    places = wanted.groupBy(*KEY).agg(F.collect_list(F.struct(*KIND, "first", "windows")).alias("wanted"))
+    """wanted: one place for each segment. KIND, large, bytes. A text's list of them takes less room than the text."""
+    places = wanted.groupBy(*KEY).agg(F.collect_list(F.struct(*KIND, "large", "first", "windows")).alias("wanted"))
     joined = texts.join(places, KEY).select("text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for data, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(w["minimizer"], w["d1"], w["d2"], data[w["first"] : w["first"] + w["windows"] + window - 1]) for w in items]
-            *keys, b = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(b, pa.binary())], names=[*KIND, "bytes"])
+                out += [(w["minimizer"], w["d1"], w["d2"], w["large"], data[w["first"] : w["first"] + w["windows"] + window - 1]) for w in items]
+            *keys, large, b = zip(*out) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(large, pa.bool_()), pa.array(b, pa.binary())], names=[*KIND, "large", "bytes"])
 
-    return joined.mapInArrow(cut, "minimizer long, d1 long, d2 long, bytes binary")
+    return joined.mapInArrow(cut, "minimizer long, d1 long, d2 long, large boolean, bytes binary")
 
 
 RUN_ROWS = "minimizer long, d1 long, d2 long, start int, stop int"
@@ -271,7 +274,7 @@ def _by_suffix_arrays(parts: DataFrame, window: int) -> DataFrame:
     return parts.repartition(n, "minimizer").sortWithinPartitions(*KIND).mapInArrow(sort, RUN_ROWS)
 
 
-def covered(texts: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, level: int = 0) -> DataFrame:
+def covered(texts: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, group_kinds: int = GROUP_KINDS, level: int = 0) -> DataFrame:
     """texts: KEY, weight (how often it occurs), text (binary). KEY, a, b: spans of it under windows that occur twice.
 
     Spans may overlap. Texts with one key have to be equal; they are as many places as they are rows.
@@ -287,20 +290,25 @@ def covered(texts: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYT
     some = F.max(F.col("alone") & (F.col("copies") == 1))
     shared = kinds.groupBy("minimizer").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("least"), some.alias("some"), size.alias("bytes"))
     shared = shared.where("least = 1 AND (kinds > 1 OR some)")
-    wanted = kinds.join(shared.select("minimizer", "bytes"), "minimizer")
-    small = F.lit(last) | (F.col("bytes") <= group_bytes)
-    runs = _by_suffix_arrays(written(_segment_bytes(texts, wanted.where(small), window), f"segment-bytes-{level}"), window)
-    if not last:
-        large = written(wanted.where(~small), f"large-groups-{level}")
-        if not large.isEmpty():
-            own = _segment_bytes(texts, large, window).groupBy(*KIND).agg(F.first("bytes").alias("text"))
-            own = own.join(kinds.select(*KIND, "copies"), KIND).select(*(F.col(k).alias(to) for k, to in zip(KIND, KEY)), F.col("copies").alias("weight"), "text")
-            below = covered(written(own, f"large-segments-{level}"), window, group_bytes, level + 1)
-            runs = runs.unionByName(below.select(*(F.col(k).alias(to) for k, to in zip(KEY, KIND)), F.col("a").alias("start"), F.col("b").alias("stop")))
+    large = F.lit(False) if last else (F.col("bytes") > group_bytes) & (F.col("kinds") > group_kinds)
+    wanted = kinds.join(shared.select("minimizer", large.alias("large")), "minimizer")
+    parts = written(_segment_bytes(texts, wanted, window), f"segment-bytes-{level}")
+    runs = _by_suffix_arrays(parts.where("NOT large").drop("large"), window)
+    large_parts = parts.where("large")
+    if not last and not large_parts.isEmpty():
+        own = large_parts.groupBy(*KIND).agg(F.first("bytes").alias("text")).join(kinds.select(*KIND, "copies"), KIND)
+        own = own.select(*(F.col(k).alias(to) for k, to in zip(KIND, KEY)), F.col("copies").alias("weight"), "text")
+        below = covered(written(own, f"large-segments-{level}"), window, group_bytes, group_kinds, level + 1)
+        runs = runs.unionByName(below.select(*(F.col(k).alias(to) for k, to in zip(KEY, KIND)), F.col("a").alias("start"), F.col("b").alias("stop")))
     runs = written(runs, f"runs-{level}")
-    whole = kinds.where("copies > 1").select(*KIND, F.lit(0).alias("start"), (F.col("windows") + window - 1).alias("stop"))
-    part = runs.join(kinds.where("copies = 1").select(*KIND), KIND)
-    spans = found.join(whole.unionByName(part), KIND)
+    whole = kinds.where("copies > 1").select(*KIND, F.lit(0).alias("start"), (F.col("windows") + window - 1).alias("stop"), "copies")
+    part = runs.join(kinds.where("copies = 1").select(*KIND), KIND).select(*KIND, "start", "stop")
+    # at deeper levels, what occurs more than once has its spans already
+    once = found.where("weight = 1").select(*KEY, *KIND, "first")
+    least = max(100, HOT_SHARE * kinds.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
+    hot = written(whole.where(F.col("copies") >= least).drop("copies"), f"hot-kinds-{level}")  # 1 / HOT_SHARE rows at most
+    rest = whole.where(F.col("copies") < least).drop("copies").unionByName(part)
+    spans = once.join(F.broadcast(hot), KIND).unionByName(once.join(F.broadcast(hot.select(*KIND)), KIND, "left_anti").join(rest, KIND))
     return spans.select(*KEY, (F.col("first") + F.col("start")).alias("a"), (F.col("first") + F.col("stop")).alias("b"))
 
 
@@ -309,7 +317,7 @@ def _row_key(id_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64("text").alias("k2"), F.xxhash64("text", F.lit(1)).alias("k3")]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, group_bytes: int = GROUP_BYTES, group_kinds: int = GROUP_KINDS) -> DataFrame:
     """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: kept (binary) too.
 
     A byte goes if a string of `window` (16 or more) bytes that starts anywhere else too, in this text or another, covers it.
@@ -321,7 +329,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     keyed = rows.select(*_row_key("doc_id"), F.lit(1).cast("long").alias("weight"), "text")
-    spans = covered(keyed, window, group_bytes)
+    spans = covered(keyed, window, group_bytes, group_kinds)
     # a text's spans take less room than the text: 8 bytes for each segment or run in it; repeated rows have equal ones, and a set keeps one
     spans = spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     whole_rows = rows.select("doc_id", *_row_key("doc_id"), "text").join(spans, KEY, "left").select("doc_id", "text", "spans")

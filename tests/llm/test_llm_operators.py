@@ -388,13 +388,13 @@ def test_periodic_texts_give_few_segments(spark):
     same(found, removal(rows))
 
 
-@pytest.mark.parametrize("limit", [suffix_dedup.GROUP_BYTES, 1000])
+@pytest.mark.parametrize("limit", [{}, {"group_bytes": 1000, "group_kinds": 1}])
 def test_repeats_are_removed(docs, none, rows, limit):
-    same(suffix_dedup.remove_repeats(docs, group_bytes=limit).collect(), removal(rows))
+    same(suffix_dedup.remove_repeats(docs, **limit).collect(), removal(rows))
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("limit", [suffix_dedup.GROUP_BYTES, 2000])
+@pytest.mark.parametrize("limit", [{}, {"group_bytes": 2000, "group_kinds": 1}, {"group_bytes": 2000, "group_kinds": 20}])
 def test_a_hot_minimizer_is_divided(spark, limit):
     rng = random.Random(12)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
@@ -402,7 +402,7 @@ def test_a_hot_minimizer_is_divided(spark, limit):
     rows = [(i, word(rng.randint(0, 30)) + common[: rng.choice([410, 460])] + word(rng.randint(0, 30))) for i in range(60)]
     rows += [(100 + i, common[: 200 + i] + "#" + common[201 + i :]) for i in range(0, 60, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    same(suffix_dedup.remove_repeats(df, group_bytes=limit).collect(), removal(rows))
+    same(suffix_dedup.remove_repeats(df, **limit).collect(), removal(rows))
 
 
 def removal(rows):
