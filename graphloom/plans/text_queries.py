@@ -82,15 +82,6 @@ def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hashed_embedding(rows).select("id", "bucket", F.round("value", 6).alias("value"))
 
 
-@query(BM25 + ", m AS (SELECT query, max(score) AS most FROM k WHERE rank <= 10 GROUP BY query) SELECT query, rank::INTEGER AS rank, round(0.6 * least(greatest(1.0 - rank / 20.0, 0.0), 1.0) + 0.1 * score / most + 0.1 / (1.0 + rank) + 0.1, 4) AS score FROM k JOIN m USING (query) WHERE rank <= 10")
-def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hybrid score of the BM25 results, with a vector part that falls with the rank."""
-    found = bm25_top(spark, sf_dir)
-    most = found.groupBy("query").agg(F.max("score").alias("most"))
-    score = search.hybrid_score(1.0 - F.col("rank") / 20.0, F.col("score") / F.col("most"), F.lit(1.0), F.col("rank"), F.lit(0.0))
-    return found.join(most, "query").select("query", "rank", F.round(score, 4).alias("score"))
-
-
 @query(f"WITH {LINES} SELECT doc_id, line, trim(text) AS snippet FROM lines WHERE contains(lower(text), 'token')")
 def grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.grep(document_lines(spark, sf_dir), "token")
