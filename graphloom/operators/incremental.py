@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import decay
 from graphloom.operators.relational import snapshot_diff
+from graphloom.storage import ship_package
 
 
-def fingerprint(*columns: str) -> Column:
+def row_digest(*columns: str) -> Column:
     """A digest of columns in their order; null and empty differ."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+def fragment_plan(stored: DataFrame, wanted: DataFrame, owner: str) -> DataFrame:
+    """Rows with an owner, before and now. owner, action: reused if its rows are the same, whatever their order, rebuilt, deleted.
+
+    Digests of rows are summed, so no fragment is gathered.
+    """
+
+    def digests(rows: DataFrame) -> DataFrame:
+        one = row_digest(*sorted(c for c in rows.columns if c != owner))
+        total = F.sum(F.conv(F.substring(one, 1, 15), 16, 10).cast("decimal(38,0)"))
+        return rows.groupBy(owner).agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), total.cast("string")).alias("digest"))
+
+    change = snapshot_diff(digests(stored), digests(wanted), owner, "digest")
+    action = F.when(F.col("change") == "same", "reused").when(F.col("change") == "removed", "deleted").otherwise("rebuilt")
+    return change.select(owner, action.alias("action"))
+
+
+def fingerprint_reasons(stored: DataFrame, wanted: DataFrame, ident: str, parts: list[str]) -> DataFrame:
+    """id, reason: the first of the parts of a fingerprint that differs, new if nothing is stored, else same."""
+    old = stored.select(ident, *[F.col(p).alias(f"_{p}") for p in parts], F.lit(True).alias("_there"))
+    reason = F.when(F.col("_there").isNull(), "new")
+    for p in parts:
+        reason = reason.when(~F.col(p).eqNullSafe(F.col(f"_{p}")), p)
+    return wanted.join(old, ident, "left").select(ident, reason.otherwise("same").alias("reason"))
+
+
 def reconcile_metrics(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """inserted, updated, reused, deleted, total (of the new snapshot)."""
     change = snapshot_diff(old, new, key, value)
@@ -64,20 +93,27 @@ def lessons(events: DataFrame, now: int) -> DataFrame:
 
 
 def pack_in_order(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
-    """Sequential buckets: a row that would take a group's bucket over the budget opens the next one. group, order, bucket."""
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("_rows"))
-    start = F.struct(F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<o:{dict(rows.dtypes)[order]},b:int>>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        over = (acc["used"] > 0) & (acc["used"] + row[size] > budget)
-        bucket = F.when(over, acc["bucket"] + 1).otherwise(acc["bucket"])
-        used = F.when(over, row[size].cast("long")).otherwise(acc["used"] + row[size])
-        return F.struct(bucket.alias("bucket"), used.cast("long").alias("used"), F.array_append(acc["out"], F.struct(row[order].alias("o"), bucket.alias("b"))).alias("out"))
+    """Sequential buckets: a row that would take a group's bucket over the budget opens the next one. group, order, bucket.
 
-    packed = listed.select(group, F.explode(F.aggregate("_rows", start, step, lambda acc: acc["out"])).alias("x"))
-    return packed.select(group, F.col("x.o").alias(order), F.col("x.b").alias("bucket"))
-
-
-def first_in_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row for each key: the first by `order`."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    Rows of a group are sorted and go by, one after the other; of a group only the running bucket is kept.
+    """
+    types = dict(rows.dtypes)
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, bucket, used = None, 0, 0
+        for batch in batches:
+            out = []
+            for g, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if last is None or g != last[0]:
+                    last, bucket, used = (g,), 0, 0
+                n = n or 0
+                if used > 0 and used + n > budget:
+                    bucket, used = bucket + 1, 0
+                used += n
+                out.append(bucket)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=[group, order, "bucket"])
+
+    ship_package(rows.sparkSession)
+    ordered = rows.select(group, order, F.col(size).cast("long").alias(size)).repartition(parts, group).sortWithinPartitions(group, order, size)
+    return ordered.mapInArrow(pack, f"`{group}` {types[group]}, `{order}` {types[order]}, bucket int")

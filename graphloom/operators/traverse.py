@@ -109,6 +109,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return by.select(F.col("node").alias("id"), "component", "members")
 
 
+def untargeted(nodes: DataFrame, edges: DataFrame, ignored: tuple[str, ...] = ("Contains",)) -> DataFrame:
+    """nodes that no edge points to, but for edges of the ignored kinds."""
+    targets = edges.where(~F.col("kind").isin(*ignored)).select(F.col("target").alias("id")).distinct()
+    return nodes.join(targets, "id", "left_anti")
+
+
 def climb(nodes: DataFrame, edges: DataFrame, label: str, longest: int = 8) -> DataFrame:
     """For each node, the nearest node of `label` up the edges (the smallest id of several): id, owner, hop."""
     steps = written(edges.select(F.col("source").alias("u"), F.col("target").alias("v")).distinct(), "arcs")

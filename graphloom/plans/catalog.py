@@ -1,4 +1,4 @@
 """All queries: importing this module registers them."""
 
-from graphloom.plans import cluster_queries, evaluation_queries, file_queries, graph_queries, retrieval_queries, text_queries  # noqa: F401
+from graphloom.plans import cluster_queries, evaluation_queries, file_queries, graph_queries, lab_queries, retrieval_queries, text_queries  # noqa: F401
 from graphloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -94,18 +94,6 @@ def graph_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.schema_summary(commerce_graph(spark, sf_dir))
 
 
-@query(f"WITH {COMMERCE} SELECT id, name FROM nodes WHERE label = 'Part' AND id NOT IN (SELECT target FROM edges WHERE kind <> 'SuppliedBy') UNION ALL SELECT id, name FROM nodes WHERE label = 'Customer' AND id NOT IN (SELECT target FROM edges WHERE kind <> 'Contains')")
-def dead_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts no order contains and customers without an order."""
-    g = commerce_graph(spark, sf_dir)
-
-    def dead(label: str, ignored: str) -> DataFrame:
-        targets = g.edges.where(F.col("kind") != ignored).select(F.col("target").alias("id"))
-        return g.nodes.where(F.col("label") == label).join(targets, "id", "left_anti").select("id", "name")
-
-    return dead("Part", "SuppliedBy").unionByName(dead("Customer", "Contains"))
-
-
 @query(f"WITH {COMMERCE}, d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id) SELECT n.id, label, name, coalesce(degree, 0) AS degree FROM nodes n LEFT JOIN d ON d.id = n.id WHERE lower(label) = 'customer' AND contains(lower(name || ' ' || n.id), '12') ORDER BY degree DESC, label, name, n.id LIMIT 25")
 def search_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 25 of a label whose text contains a word, by degree."""
@@ -152,11 +140,6 @@ def graph_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.crossJoin(g.nodes.agg(F.count(F.lit(1)).alias("n_nodes"))).select("n_nodes", "n_edges", "resolved", "resolved_tenths")
 
 
-@query(f"WITH {COMMERCE} SELECT id AS edge_id, 'dangling_source' AS issue FROM edges WHERE source NOT IN (SELECT id FROM nodes) UNION ALL SELECT id, 'dangling_target' FROM edges WHERE target NOT IN (SELECT id FROM nodes)")
-def graph_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return commerce_graph(spark, sf_dir).issues()
-
-
 NATION_OF = "own AS (SELECT 'customer:' || c_custkey AS id, 'nation:' || c_nationkey AS owner FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'order:' || o_orderkey, 'nation:' || c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey)"
 
 

@@ -154,12 +154,6 @@ def suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.suffix_match(refs, names, "ref", "qualified", "id", "#").select("ref", "id")
 
 
-@query("WITH u AS (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name HAVING count(DISTINCT p_partkey) = 1) SELECT p_name, p_partkey FROM u")
-def unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_name", "p_partkey")
-    return relational.unique_match(part.select("p_name").distinct(), part, "p_name", "p_partkey").select("p_name", "p_partkey")
-
-
 @query("WITH r AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages), u AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url), p AS (SELECT regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1) AS path, min(page_id) AS page_id FROM pages GROUP BY 1), l AS (SELECT regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1) AS path, min(page_id) AS page_id FROM pages GROUP BY 1) SELECT href, coalesce(u.page_id, p.page_id, l.page_id) AS page_id, CASE WHEN u.page_id IS NOT NULL THEN 'url' WHEN p.page_id IS NOT NULL THEN 'path' WHEN l.page_id IS NOT NULL THEN 'folder' ELSE 'unresolved' END AS strategy FROM r LEFT JOIN u ON u.url = href LEFT JOIN p ON p.path = href LEFT JOIN l ON l.path = href || '/'")
 def first_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each href names: a page's URL, else its path, else its path with a slash."""
@@ -182,11 +176,6 @@ def alias_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.alias_links(left.withColumn("env", F.col("name")), brands.withColumn("conf", F.col("name")), "name", "env", "conf")
 
 
-@query(f"WITH {LINES} SELECT doc_id, line, keyword, substr(trim(text), 1, 160) AS excerpt FROM (SELECT *, CASE WHEN contains(lower(text), 'todo') THEN 'todo' WHEN contains(lower(text), 'fixme') THEN 'fixme' WHEN contains(lower(text), 'not yet implemented') THEN 'not yet implemented' WHEN contains(lower(text), 'not implemented') THEN 'not implemented' WHEN contains(lower(text), 'coming soon') THEN 'coming soon' WHEN contains(lower(text), 'planned') THEN 'planned' WHEN contains(lower(text), 'will support') THEN 'will support' WHEN contains(lower(text), 'should support') THEN 'should support' END AS keyword FROM lines) WHERE keyword IS NOT NULL")
-def intent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.intent_lines(document_lines(spark, sf_dir))
-
-
 @query("SELECT doc_id, md5(regexp_replace(text, '(?i)(password|passwd|secret|token|api_key|apikey|access_key|private_key|credential)(\\s*[:=]\\s*[\"'']?)[^\\s\"'']+', '\\1\\2***', 'g')) AS digest FROM documents")
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(findings.redact(F.col("text")).cast("binary")).alias("digest"))
@@ -202,12 +191,6 @@ def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", classify.is_generated_text(text).alias("generated"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, line, regexp_extract(text, '^\\s*(?:#|//|/\\*|\\*|--)?\\s*(RATIONALE|WHY|IMPORTANT|SAFETY|FIXME|BUG|NOTE|HACK|XXX|TODO)(?:\\([^)]*\\))?:', 1) AS word FROM lines WHERE regexp_matches(text, '^\\s*(?:#|//|/\\*|\\*|--)?\\s*(RATIONALE|WHY|IMPORTANT|SAFETY|FIXME|BUG|NOTE|HACK|XXX|TODO)(?:\\([^)]*\\))?:')")
-def rationale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = findings.rationale(document_lines(spark, sf_dir))
-    return found.select("doc_id", "line", F.upper("kind").alias("word"))
-
-
 @query(f"WITH {LINES}, f AS (SELECT doc_id, line, text, starts_with(trim(text), '```') AS fence, ' ' || lower(text) || ' ' AS low FROM lines), g AS (SELECT *, coalesce(sum(fence::INTEGER) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 AS inside FROM f) SELECT doc_id, line, CASE WHEN trim(text) = '' THEN 'Blank' WHEN fence OR inside = 1 THEN 'Fenced' WHEN regexp_matches(low, 'todo|planned|not yet|will eventually|roadmap') THEN 'Future' WHEN regexp_matches(low, ' should |best |prefer |recommended|easy |simple ') THEN 'Subjective' WHEN regexp_matches(text, '\\b(GET|POST|PUT|DELETE|PATCH) /') THEN 'Route' WHEN regexp_matches(text, '[A-Za-z0-9_]+/[A-Za-z0-9_/]+\\.[a-z]+') THEN 'Path' WHEN regexp_matches(text, '\\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\\b') THEN 'EnvVar' ELSE 'Statement' END AS claim FROM g")
 def line_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.claims(document_lines(spark, sf_dir))
