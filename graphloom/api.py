@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
-from graphloom.operators import analytics, components, findings, relational, search, traverse
+from graphloom.operators import analytics, clusters, components, extract, findings, incremental, planning, quality, relational, retrieval, search, traverse
 from graphloom.plans import match
 
 
 def _dead(graph: PropertyGraph, label: str, ignored: str = "Contains") -> DataFrame:
-    targets = graph.edges.where(F.col("kind") != ignored).select(F.col("target").alias("id"))
-    return graph.nodes.where(F.col("label") == label).join(targets, "id", "left_anti").select("id", "name")
+    return traverse.untargeted(graph.nodes.where(F.col("label") == label), graph.edges, (ignored,)).select("id", "name")
 
 
 def _explain(graph: PropertyGraph, node: str) -> DataFrame:
@@ -32,6 +31,19 @@ def _search(graph: PropertyGraph, text: str, label: str | None = None, limit: in
     return found.orderBy(F.desc("degree"), "label", "name", "id").limit(min(limit or 10, 100))
 
 
+def _findings(graph: PropertyGraph) -> DataFrame:
+    degree = analytics.degrees(graph).select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
+    return findings.health(degree, graph.edges)
+
+
+def _touched(graph: PropertyGraph, members: DataFrame) -> DataFrame:
+    """Edges with an end among the members (id)."""
+    rows = graph.edges
+    for end in ("source", "target"):
+        rows = rows.join(members.select(F.col("id").alias(end)).distinct().withColumn(f"_{end}", F.lit(True)), end, "left")
+    return rows.where("_source OR _target").select(*graph.edges.columns)
+
+
 TOOLS: dict[str, Callable[..., DataFrame]] = {
     "query_graph": lambda graph, query: match.run(graph, query),
     "get_graph_schema": analytics.schema_summary,
@@ -45,12 +57,39 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "get_graph_analytics": analytics.pagerank,
     "get_betweenness": analytics.betweenness,
     "get_components": lambda graph: components.components(graph.edges.select(F.col("source").alias("u"), F.col("target").alias("v"))),
-    "get_graph_layout": lambda graph, root, radius=2: traverse.rings(traverse.trace(graph, root, "both", radius)[0].select("id", "hop")),
+    "get_graph_layout": lambda graph, centre=None, **limits: clusters.layout(graph, centre, **limits)[0],
     "validate_graph": lambda graph: graph.issues(),
     "search_fulltext": lambda graph, queries, limit=10: search.bm25(graph.nodes.select("id", F.col("name").alias("text")), queries, limit),
     "resolve_tag_expression": lambda tags, expression: findings.resolve_tags(tags, expression),
     "get_tag_facets": lambda tags: findings.tag_facets(tags),
+    "list_tags": lambda tags: findings.tag_facets(tags).select("tag"),
+    "search_tag_prefix": lambda tags, prefix: findings.tag_facets(tags).where(F.col("tag").startswith(prefix)).select("tag"),
+    "get_tagged_subgraph": lambda graph, tags, expression: _touched(graph, findings.resolve_tags(tags, expression).withColumnRenamed("entity_id", "id")),
     "detect_changes": relational.snapshot_diff,
+    "get_repository_tensions": lambda graph: findings.tensions(_findings(graph)),
+    "get_health": lambda graph: _findings(graph),
+    "get_architecture": lambda graph: clusters.cluster_links(clusters.clusters(graph), graph.edges),
+    "get_clusters": lambda graph, kinds=clusters.CLUSTER_KINDS: clusters.cluster_stats(clusters.clusters(graph, kinds), graph.edges),
+    "get_communities": lambda graph, weights=None: clusters.local_moving(clusters.weighted(graph.edges, weights)),
+    "get_node_detail": lambda graph, node: _explain(graph, node),
+    "get_graph_document": lambda graph: quality.id_sections(graph.nodes),
+    "list_documentable_subsystems": lambda graph: quality.id_sections(graph.nodes).select("prefix", "n"),
+    "get_subsystem_graph_context": lambda graph, members: _touched(graph, members),
+    "search_code": lambda lines, text, limit=None: search.grep(lines, text, limit),
+    "ask_question": lambda lines, question: search.best_lines(lines, question),
+    "search_semantic": lambda vectors, degree, asked, k=10: retrieval.semantic_nodes(vectors, degree, asked, k),
+    "search_code_semantic": lambda chunks, edges, **asked: retrieval.hybrid_rank(chunks, edges, **asked)[0],
+    "explain_code_index": lambda stored, wanted: retrieval.index_plan(stored, wanted),
+    "explain_env": lambda names, uses, definitions: quality.setting_explanations(names, uses, definitions),
+    "read_wiki_structure": lambda documents: extract.headings(documents),
+    "read_wiki_contents": lambda documents, path: documents.where(F.col("path") == path),
+    "validate_subsystem_document": lambda documents, files: findings.drift(documents, files),
+    "get_file_tree": lambda files: planning.file_tree(files),
+    "reflect_research": lambda events, now: incremental.lessons(events, now),
+    "read_research_lessons": lambda events, now, lesson: incremental.lessons(events, now).where(F.col("lesson") == lesson),
+    "save_research_result": lambda stored, new: stored.unionByName(new).dropDuplicates(["id"]),
+    "read_research_memory": lambda stored, limit=20: stored.orderBy(F.desc("recorded_at"), "id").limit(limit),
+    "list_tools": lambda spark: spark.createDataFrame([(x,) for x in sorted(TOOLS)], "tool string"),
 }
 
 
@@ -59,3 +98,30 @@ def call(tool: str, *args: Any, **params: Any) -> DataFrame:
     if tool not in TOOLS:
         raise KeyError(f"no tool {tool}; there are {', '.join(sorted(TOOLS))}")
     return TOOLS[tool](*args, **params)
+
+
+def main(arguments: list[str] | None = None) -> int:
+    """graphloom tools | query NAME TABLES [ROWS]: list the tools, or print rows of a registered query."""
+    import argparse
+
+    from pyspark.sql import SparkSession
+
+    parser = argparse.ArgumentParser(prog="graphloom", description=main.__doc__)
+    commands = parser.add_subparsers(dest="command", required=True)
+    commands.add_parser("tools")
+    one = commands.add_parser("query")
+    one.add_argument("name")
+    one.add_argument("tables")
+    one.add_argument("rows", nargs="?", type=int, default=20)
+    asked = parser.parse_args(arguments)
+    if asked.command == "tools":
+        print("\n".join(sorted(TOOLS)))
+        return 0
+    from graphloom.plans.catalog import QUERIES
+
+    if asked.name not in QUERIES:
+        print(f"no query {asked.name}")
+        return 1
+    for row in QUERIES[asked.name](SparkSession.builder.getOrCreate(), asked.tables).limit(asked.rows).toJSON().toLocalIterator():
+        print(row)
+    return 0

@@ -23,9 +23,12 @@ def near_pairs(sets: DataFrame, least: float = 0.6, partition: str = "lang", ide
     # a token of one set alone can't be shared, but it stands first and takes a place in the prefix
     ranked = rows.join(df, [partition, "_token"], "left").withColumn("_place", F.row_number().over(by.orderBy(F.coalesce("_df", F.lit(1)), "_token")))
     prefix = ranked.where((F.col("_place") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1) & F.col("_df").isNotNull())
-    prefix = written(prefix.select(partition, "_token", "_id", "_n"), "prefixes")
-    a, b = (prefix.select(partition, "_token", F.col("_id").alias(f"id_{x}"), F.col("_n").alias(f"_n_{x}")) for x in "ab")
-    candidates = a.join(b, [partition, "_token"]).where("id_a < id_b").where(F.least("_n_a", "_n_b") >= least * F.greatest("_n_a", "_n_b") - 1e-9)
+    prefix = written(prefix.select(partition, "_token", "_id", "_n", "_place"), "prefixes")
+    a, b = (prefix.select(partition, "_token", F.col("_id").alias(f"id_{x}"), F.col("_n").alias(f"_n_{x}"), F.col("_place").alias(f"_p_{x}")) for x in "ab")
+    # sizes that are too far apart can't do, nor can a pair with too little behind the place where it meets first
+    behind = 1 + F.least(F.col("_n_a") - F.col("_p_a"), F.col("_n_b") - F.col("_p_b")) + F.least("_p_a", "_p_b") - 1
+    enough = behind >= F.ceil((F.col("_n_a") + F.col("_n_b")) * (least / (1 + least)) - 1e-9)
+    candidates = a.join(b, [partition, "_token"]).where("id_a < id_b").where((F.least("_n_a", "_n_b") >= least * F.greatest("_n_a", "_n_b") - 1e-9) & enough)
     candidates = candidates.select(partition, "id_a", "id_b").distinct()
     for x in "ab":
         candidates = candidates.join(classes.select(partition, F.col("_id").alias(f"id_{x}"), F.col("_tokens").alias(f"_{x}")), [partition, f"id_{x}"])

@@ -101,12 +101,52 @@ def closure(edges: DataFrame, direction: str = "out") -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """Nodes on cycles by mutual reachability: id, component (its smallest member), members."""
-    reach = written(closure(edges).select("root", "id"), "reach")
-    back = reach.select(F.col("root").alias("id"), F.col("id").alias("root"))
-    mutual = reach.join(back, ["root", "id"])
-    by = mutual.groupBy(F.col("root").alias("node")).agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("members"))
-    return by.select(F.col("node").alias("id"), "component", "members")
+    """Nodes on cycles: id, component (its smallest member), members.
+
+    Round by round: nodes without a way in or out are trimmed; each other node takes the colour of the smallest node that reaches
+    it; what reaches a colour's own node within the colour is a component with it, and goes. All steps are joins on the edges,
+    so no set of reachable pairs is made.
+    """
+    every = edges.select(F.col("source").alias("u"), F.col("target").alias("v")).distinct()
+    loops = every.where("u = v").select(F.col("u").alias("id"))
+    left = written(every.where("u <> v"), "arcs")
+    found = None
+    while True:
+        n = left.count()
+        while n:
+            into, out = left.select(F.col("v").alias("u")).distinct(), left.select(F.col("u").alias("v")).distinct()
+            left = written(left.join(into, "u", "left_semi").join(out, "v", "left_semi").select("u", "v"), "arcs")
+            n, before = left.count(), n
+            if n == before:
+                break
+        if not n:
+            break
+        colours = written(left.select(F.col("u").alias("id")).distinct().withColumn("colour", F.col("id")), "colours")
+        while True:
+            seen = left.join(colours, left["u"] == colours["id"]).groupBy("v").agg(F.min("colour").alias("near"))
+            new = written(colours.join(seen, colours["id"] == seen["v"], "left").select("id", F.least("colour", F.coalesce("near", "colour")).alias("colour"), (F.col("near") < F.col("colour")).alias("moved")), "colours")
+            colours = new.drop("moved")
+            if new.where("moved").isEmpty():
+                break
+        ends = left.join(colours.select(F.col("id").alias("u"), F.col("colour").alias("a")), "u").join(colours.select(F.col("id").alias("v"), F.col("colour").alias("b")), "v")
+        inside = written(ends.where("a = b").select("u", "v", F.col("a").alias("colour")), "arcs-of-a-colour")
+        at = members = written(colours.where("id = colour"), "members")
+        while not at.isEmpty():
+            back = at.join(inside.select("u", F.col("v").alias("id"), F.col("colour").alias("c")), "id").where("c = colour").select(F.col("u").alias("id"), "colour").distinct()
+            at = written(back.join(members, ["id", "colour"], "left_anti"), "members")
+            members = members.unionByName(at)
+        members = written(members, "components")
+        found = members if found is None else found.unionByName(members)
+        gone = members.select("id")
+        left = written(left.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v"), "arcs")
+    single = loops.select("id", F.col("id").alias("colour"))
+    if found is None:
+        own = single
+    else:
+        several = found.join(found.groupBy("colour").count().where("count > 1").select("colour"), "colour", "left_semi").select("id", "colour")
+        own = several.unionByName(single.join(several, "id", "left_anti"))
+    sizes = own.groupBy("colour").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("members"))
+    return own.join(sizes, "colour").select("id", "component", "members")
 
 
 def untargeted(nodes: DataFrame, edges: DataFrame, ignored: tuple[str, ...] = ("Contains",)) -> DataFrame:

@@ -44,14 +44,14 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text"))
 
 
-SETS = f"sets AS (SELECT doc_id || ':' || line AS id, lang, list_distinct(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: strlen(w) > 1)) AS raw FROM ({LINES[10:-1]})), s AS (SELECT id, lang, list_sort(list_distinct(list_transform(raw, lambda w: lower(w)))) AS w FROM sets WHERE len(raw) >= 8)"
+SETS = f"sets AS (SELECT doc_id || ':' || line AS id, lang, list_distinct(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: strlen(w) > 1)) AS raw FROM ({LINES[10:-1]})), s AS (SELECT id, lang, list_sort(list_distinct(list_transform(raw, lambda w: lower(w)))) AS w FROM sets WHERE len(raw) > 0)"
 
 
 def line_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with eight or more different words: id, lang, tokens."""
+    """Lines with a word: id, lang, tokens."""
     lines = document_lines(spark, sf_dir)
     raw = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.octet_length(w) > 1))
-    rows = lines.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line").cast("string")).alias("id"), "lang", raw.alias("raw")).where(F.size("raw") >= 8)
+    rows = lines.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line").cast("string")).alias("id"), "lang", raw.alias("raw")).where(F.size("raw") > 0)
     return rows.select("id", "lang", F.array_distinct(F.transform("raw", lambda w: F.lower(w))).alias("tokens"))
 
 

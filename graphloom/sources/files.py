@@ -68,7 +68,8 @@ def walk(spark: SparkSession, root: str, excludes: tuple[str, ...] = (), tests:
     """The files under a folder or a store's prefix: path (from the root), content (bytes), size_bytes; no hidden folders, no test paths.
 
     excludes: globs over the path. Spark lists the files, so a repository of any size is read by all executors. Ignore files
-    are not read; what they name can be given as excludes.
+    are not read; what they name can be given as excludes. Spark's readers pass over names that begin with a dot or an
+    underscore, so dotfiles have to come from a table.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]

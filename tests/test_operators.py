@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import api
+from graphloom import api, extensions, store
 from graphloom.functions import classify, paths, text
 from graphloom.graph import PropertyGraph
-from graphloom.operators import analytics, components, findings, incremental, relational, search, similarity, traverse
+from graphloom.operators import analytics, clusters, components, extract, findings, incremental, quality, relational, resolve, retrieval, search, similarity, traverse
 from graphloom.plans import evaluation_queries, match
 from graphloom.streaming import events
 
@@ -142,7 +142,7 @@ def test_text_and_path_functions(spark):
     assert [r[0] for r in rows] == [["camel", "case"], ["xml", "parser"], ["snake", "case", "name"], ["kebab", "case", "name"], ["dotted", "module", "name"], []]
     files = ["src/api/users.py", "tests/test_x.py", "src/app/x_test.go", "docker/Dockerfile", "src/main.rs", "docs/a.md"]
     found = spark.createDataFrame([(f,) for f in files], "p string").select(paths.layer(F.col("p")), classify.is_test_file(F.col("p")), classify.is_auxiliary_file(F.col("p")), paths.extension(F.col("p"))).collect()
-    assert [tuple(r) for r in found] == [("Api", False, False, "py"), ("Test", True, True, "py"), ("Unknown", False, False, "go"), ("Infra", False, False, ""), ("Unknown", False, False, "rs"), ("Unknown", False, True, "md")]
+    assert [tuple(r) for r in found] == [("Api", False, False, "py"), ("Test", True, True, "py"), ("Test", False, False, "go"), ("Infra", False, False, ""), ("Unknown", False, False, "rs"), ("Unknown", False, True, "md")]
     assert spark.range(1).select(paths.resolved(F.lit("a/b/c.md"), F.lit("../d/./e.md"))).first()[0] == "a/d/e.md"
     assert spark.range(1).select(text.decay(F.lit(100), F.lit(200))).first()[0] == 1_000_000
 
@@ -200,3 +200,175 @@ def test_watch_reports_changes(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert seen == [{(1, "removed"), (2, "changed"), (3, "added")}]
+
+
+def moved_by_hand(links):
+    """Local moving over all nodes in one order."""
+    ids = sorted({x for u, v, _ in links for x in (u, v)})
+    near = {x: {} for x in ids}
+    for u, v, w in links:
+        near[u][v] = near[u].get(v, 0) + w
+        near[v][u] = near[v].get(u, 0) + w
+    degree = {x: sum(near[x].values()) for x in ids}
+    total, label, active = sum(degree.values()), {x: x for x in ids}, set(ids)
+    while active:
+        x = min(active)
+        active.remove(x)
+        volume = {}
+        for y in ids:
+            if y != x:
+                volume[label[y]] = volume.get(label[y], 0) + degree[y]
+        inside = {label[x]: 0}
+        for y, w in near[x].items():
+            inside[label[y]] = inside.get(label[y], 0) + w
+        gain = {c: w * total - degree[x] * volume.get(c, 0) for c, w in inside.items()}
+        best = min(gain, key=lambda c: (-gain[c], c))
+        if gain[best] > gain[label[x]]:
+            label[x] = best
+            active |= set(near[x])
+    first = {}
+    for x in ids:
+        first.setdefault(label[x], x)
+    return {(x, first[label[x]]) for x in ids}
+
+
+def test_communities_by_local_moving(spark):
+    import random
+
+    rng = random.Random(4)
+    links = {}
+    for group in range(5):
+        for _ in range(14):
+            u, v = sorted(rng.sample(range(group * 8, group * 8 + 8), 2))
+            links[f"n{u:02}", f"n{v:02}"] = rng.randint(1, 4)
+    for _ in range(4):
+        u, v = sorted(rng.sample(range(24), 2))
+        links[f"n{u:02}", f"n{v:02}"] = 1
+    links["n00", "n00"] = 2
+    rows = [(u, v, w) for (u, v), w in links.items()]
+    found = clusters.local_moving(spark.createDataFrame(rows, "u string, v string, weight long").repartition(3))
+    assert {tuple(r) for r in found.collect()} == moved_by_hand(rows)
+
+
+def test_strong_components(spark):
+    import random
+
+    rng = random.Random(6)
+    for n, m in ((12, 14), (20, 40), (15, 12)):
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {(a, b) for a, b in pairs}
+        while True:
+            more = reach | {(a, d) for a, b in reach for c, d in pairs if b == c}
+            if more == reach:
+                break
+            reach = more
+        wanted = set()
+        for a in range(n):
+            own = [b for b in range(n) if (a, b) in reach and (b, a) in reach]
+            if own:
+                wanted.add((a, min(own), len(own)))
+        found = traverse.strong_components(spark.createDataFrame(list(pairs), "source long, target long"))
+        assert {tuple(r) for r in found.collect()} == wanted
+
+
+def test_stores(spark, tmp_path):
+    g, path = graph(spark, ("a", "b"), ("b", "c")), f"file://{tmp_path}/graph"
+    assert store.load_graph(spark, path) is None
+    assert store.save_graph(g, path) and not store.save_graph(g, path)
+    assert store.load_graph(spark, path).edges.count() == 2
+    assert store.save_graph(PropertyGraph(g.nodes, g.edges.limit(1)), path) and store.load_graph(spark, path).edges.count() == 1
+    store._move(spark, f"{path}/manifest", f"{path}/manifest.next")  # a break between the two renames
+    assert store.load_graph(spark, path).edges.count() == 1
+    bundle = f"file://{tmp_path}/bundle"
+    store.export_bundle(g, bundle)
+    assert store.import_bundle(spark, bundle).nodes.count() == 3
+    g.edges.limit(1).write.mode("append").json(f"{bundle}/edges")
+    with pytest.raises(store.StoreError):
+        store.import_bundle(spark, bundle)
+    place = f"file://{tmp_path}/doc.json"
+    assert store.load_document(spark, place) is None
+    assert store.save_document(spark, place, {"a": "ü", "version": 1}) and not store.save_document(spark, place, {"version": 1, "a": "ü"})
+    assert store.load_document(spark, place, {1: lambda d: d | {"b": 2}}) == {"a": "ü", "b": 2, "version": 2}
+    with pytest.raises(store.StoreError):
+        store.load_document(spark, place, {}, 0)
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    assert [store.cached(spark, f"file://{tmp_path}/cache", "k", make)[1] for _ in range(2)] == [False, True] and made == [1]
+    assert store.write_report(spark.range(2), spark, f"file://{tmp_path}/r.md", "T").splitlines()[-1] == "| 1 |"
+
+
+def test_extension_points(spark):
+    rows = spark.createDataFrame([("1", "alpha beta"), ("2", "")], "id string, text string")
+    plain, prompted = extensions.HashedEmbedder(), extensions.HashedEmbedder(query_prompt="find")
+    same = lambda df: sorted(map(tuple, df.collect()))
+    assert same(plain.embed(rows)) == same(prompted.embed(rows)) != same(prompted.embed(rows, "query"))
+    with pytest.raises(ValueError):
+        plain.embed(rows, "other")
+
+    class Counter:
+        inputs = ("rows",)
+
+        def compute(self, tables):
+            return tables["rows"].groupBy().count()
+
+        def validate(self, result):
+            return result.where("count > 2")
+
+    assert extensions.run_agent(Counter(), {"rows": rows}).first()["count"] == 2
+    for bad in ({}, {"rows": rows.unionByName(rows)}):
+        with pytest.raises(ValueError):
+            extensions.run_agent(Counter(), bad)
+    assert retrieval.profile_difference({"model": "a", "query_prompt": "x"}, {"model": "b", "query_prompt": "y"}) == ["model"]
+
+
+def test_inputs_are_minimised():
+    assert quality.minimised(list(range(40)), lambda x: {3, 17, 30} <= set(x)) == [3, 17, 30]
+    assert quality.minimised([1], lambda x: True) == [1]
+
+
+def test_structured_files(spark):
+    made = {
+        "a/Cargo.toml": '[dependencies]\nserde = "1"\ntokio = { version = "2", features = ["x"] }\n',
+        "b/pyproject.toml": '[project]\ndependencies = ["Flask_Login[x]>=2; python_version>\'3\'", "requests"]\n[tool.poetry.dependencies]\nrich = "^13"\n',
+        "c/docker-compose.yml": "services:\n  web:\n    image: nginx:1\n    ports: ['80:80']\n    depends_on: [db]\n  db:\n    build: .\n",
+        "d/tsconfig.json": '{ // note\n "compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["lib/*", "alt/*"],}, }, }',
+        "e/pom.xml": "<project xmlns='m'><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version></dependency></dependencies></project>",
+        "f/x.csproj": "<Project><ItemGroup><PackageReference Include='Newton' Version='3'/></ItemGroup></Project>",
+        "g/broken.json": "{", "h/composer.json": '{"require": {"php/lib": "^2"}}', "i/empty.yml": "",
+    }
+    values = extract.structured(spark.createDataFrame(list(made.items()), "path string, content string").repartition(2)).cache()
+    found = {tuple(r)[:4] for r in extract.manifest_packages(values).collect()}
+    assert {("a/Cargo.toml", "dependencies", "serde", "1"), ("a/Cargo.toml", "dependencies", "tokio", "2"), ("b/pyproject.toml", "dependencies", "flask-login", ">=2"), ("b/pyproject.toml", "dependencies", "requests", ""), ("b/pyproject.toml", "dependencies", "rich", "^13"), ("e/pom.xml", "dependency", "g:a", "1"), ("f/x.csproj", "Include", "Newton", None), ("h/composer.json", "require", "php/lib", "^2")} == found
+    assert {(r.service, r.image, r.builds, tuple(r.ports), tuple(r.depends_on)) for r in extract.compose_services(values).collect()} == {("web", "nginx:1", False, ("80:80",), ("db",)), ("db", None, True, (), ())}
+    assert {(r.base_url, r.pattern, r.at, r.target) for r in extract.path_aliases(values).collect()} == {("src", "@/*", 0, "lib/*"), ("src", "@/*", 1, "alt/*")}
+    assert [(r.path, r.value) for r in values.where("kind = 'Error'").collect()] == [("g/broken.json", "JSONDecodeError")]
+    gradle = spark.createDataFrame([("b.gradle", "dependencies {\n  implementation 'a:b:1'\n  testImplementation(\"c:d:2\")\n}")], "path string, content string")
+    assert {(r.scope, r.package) for r in extract.gradle_dependencies(gradle).collect()} == {("implementation", "a:b"), ("testImplementation", "c:d")}
+
+
+def test_globs():
+    import re as regex
+
+    for glob, hits, misses in (("*.rs", ["a.rs", "d/a.rs"], ["a.rss"]), ("src/**/x?.{py,md}", ["src/x1.py", "src/a/b/x2.md"], ["src/x.py"]), ("[!a]b", ["cb"], ["ab"])):
+        p = paths.glob_pattern(glob)
+        assert all(regex.match(p, h) for h in hits) and not any(regex.match(p, m) for m in misses)
+    for bad in ("a[b", "{a"):
+        with pytest.raises(ValueError):
+            paths.glob_pattern(bad)
+
+
+def test_a_walk_reads_a_folder(spark, tmp_path):
+    from graphloom.sources.files import read_facts, walk
+
+    for name, body in (("src/a.rs", b"x\ny\n"), ("src/.hidden/b.rs", b"x"), ("tests/c.rs", b"x"), ("bin.dat", b"a\0b")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    digest, status, lines = read_facts(F.col("content"))
+    found = walk(spark, f"file://{tmp_path}").select("path", status.alias("s"), lines.alias("n"))
+    assert {tuple(r) for r in found.collect()} == {("src/a.rs", "Text", 2), ("bin.dat", "Binary", None)}
+
+
+def test_circles_end(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "source string, target string")
+    with pytest.raises(ValueError):
+        resolve.topological_layers(edges, 5)
