@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
-from graphloom.operators import analytics, clusters, components, extract, findings, incremental, planning, quality, relational, retrieval, search, traverse
+from graphloom.operators import analytics, clusters, components, decisions, extract, findings, incremental, planning, quality, relational, retrieval, search, traverse
 from graphloom.plans import match
 
 
@@ -89,6 +89,13 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "read_research_lessons": lambda events, now, lesson: incremental.lessons(events, now).where(F.col("lesson") == lesson),
     "save_research_result": lambda stored, new: stored.unionByName(new).dropDuplicates(["id"]),
     "read_research_memory": lambda stored, limit=20: stored.orderBy(F.desc("recorded_at"), "id").limit(limit),
+    "list_adrs": lambda records: records.select("id", "title", "status"),
+    "get_adr": lambda records, ident: records.where(F.col("id") == ident),
+    "create_adr": decisions.created,
+    "update_adr": decisions.updated,
+    "delete_adr": decisions.deleted,
+    "detect_drift": lambda documents, files: findings.drift(documents, files),
+    "get_run_metrics": lambda runs: quality.run_metrics(runs),
     "list_tools": lambda spark: spark.createDataFrame([(x,) for x in sorted(TOOLS)], "tool string"),
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import classify, paths
-from graphloom.operators import extract, findings, planning, relational, resolve
+from graphloom.operators import extract, findings, planning, relational, resolve, syntax
 from graphloom.plans.registry import query
 from graphloom.sources.files import FILES, files, read_facts, walked
 
@@ -349,3 +349,20 @@ def cached_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a content-addressed cache gives back, what is computed and what is dropped."""
     rows = files(spark, sf_dir).select("k", F.col("path").alias("key"), F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
     return relational.cache_plan(rows.where("k % 11 <> 4").drop("k"), rows.where("k % 10 <> 3").drop("k"))
+
+
+@query(f"WITH {F_} SELECT path, 'Import' AS kind, 'os' AS name, 1 AS first, 1 AS last FROM files WHERE k % 26 = 2 UNION ALL SELECT path, 'Function', regexp_extract(content, 'def (\\w+)', 1), 2, 3 FROM files WHERE k % 26 = 2")
+def python_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions and imports of Python files."""
+    return syntax.python_facts(files(spark, sf_dir).where(F.col("path").endswith(".py"))).select("path", "kind", "name", "first", "last")
+
+
+@query(f"WITH {F_}, e AS (SELECT 'Contains' AS kind, 'artifact:' || path AS source, 'symbol:' || path || '#' || regexp_extract(content, 'def (\\w+)', 1) AS target FROM files WHERE k % 26 = 2 UNION ALL SELECT 'Imports', 'artifact:' || path, 'unresolved:os' FROM files WHERE k % 26 = 2) SELECT kind || '|' || source || '|' || target AS id, source, target, kind FROM e")
+def python_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.python_edges(syntax.python_facts(files(spark, sf_dir).where(F.col("path").endswith(".py"))))
+
+
+@query(f"WITH {F_} SELECT path, 'Function' AS kind, regexp_extract(content, 'fn (\\w+)', 1) AS name, 2 AS line FROM files WHERE k % 26 = 1")
+def pattern_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of other languages by pattern."""
+    return syntax.pattern_facts(files(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from graphloom import api, extensions, store
 from graphloom.functions import classify, paths, text
 from graphloom.graph import PropertyGraph
-from graphloom.operators import analytics, clusters, components, extract, findings, incremental, quality, relational, resolve, retrieval, search, similarity, traverse
+from graphloom.operators import analytics, clusters, components, decisions, extract, findings, incremental, quality, relational, resolve, retrieval, search, similarity, syntax, traverse
 from graphloom.plans import evaluation_queries, match
 from graphloom.streaming import events
 
@@ -372,3 +372,29 @@ def test_circles_end(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a")], "source string, target string")
     with pytest.raises(ValueError):
         resolve.topological_layers(edges, 5)
+
+
+def test_syntax_facts(spark):
+    code = "import a.b as c\nfrom .x import y\n\nclass K(Base, m.Other):\n    @staticmethod\n    def run(self):\n        return helper(1)\n\ndef top():\n    def inner():\n        pass\n"
+    files = [("p.py", code), ("bad.py", "def ("), ("s.graphql", "type Query {\n  user(id: ID): User # x\n}\ntype User {\n  name: String\n}\nextend type Mutation {\n  add: Int\n}"), ("m.go", 'import (\n  "net/http"\n)\nfunc (s *T) Serve() {}\ntype T struct {}')]
+    df = spark.createDataFrame(files, "path string, content string")
+    found = {(r.path, r.kind, r.name, r.owner, r.first, r.detail) for r in syntax.python_facts(df.where("path LIKE '%.py'")).collect()}
+    assert found == {
+        ("p.py", "Import", "a.b", None, 1, "c"), ("p.py", "Import", ".x:y", None, 2, None), ("p.py", "Class", "K", None, 4, "Base,m.Other"), ("p.py", "Method", "run", "K", 6, "staticmethod"),
+        ("p.py", "Call", "helper", "K.run", 7, None), ("p.py", "Function", "top", None, 9, None), ("p.py", "Function", "inner", "top", 10, None), ("bad.py", "Error", "SyntaxError", None, 1, None),
+    }
+    edges = {(r.kind, r.source, r.target) for r in syntax.python_edges(syntax.python_facts(df.where("path = 'p.py'"))).collect()}
+    assert {("Inherits", "symbol:p.py#K", "unresolved:m.Other"), ("Calls", "symbol:p.py#K.run", "unresolved:helper"), ("Contains", "symbol:p.py#K", "symbol:p.py#K.run")} <= edges
+    assert {(r.type, r.field, r.line) for r in syntax.graphql_fields(df.where("path = 's.graphql'")).collect()} == {("Query", "user", 2), ("Mutation", "add", 8)}
+    assert {(r.kind, r.name) for r in syntax.pattern_facts(df.where("path = 'm.go'")).collect()} == {("Import", "net/http"), ("Function", "Serve"), ("Class", "T")}
+
+
+def test_decisions(spark):
+    text = "# Use Spark\n\n## Status\nAccepted on a day\n\n## Context\nmuch\n## data\n"
+    records = decisions.parsed(spark.createDataFrame([("adr/0001-spark.md", text), ("adr/0002.md", "no heading")], "path string, content string")).cache()
+    assert {(r.id, r.title, r.status, r.sections.get("Context")) for r in records.collect()} == {("0001-spark", "Use Spark", "accepted", "much"), ("0002", "0002", "proposed", None)}
+    changed = decisions.updated(records, "0002", "rejected", {"Context": "new"})
+    assert {(r.status, r.sections["Context"]) for r in changed.where("id = '0002'").collect()} == {("rejected", "new")}
+    assert decisions.created(records, records).count() == 2 and decisions.deleted(records, "0002").count() == 1
+    with pytest.raises(ValueError):
+        decisions.updated(records, "0002", "done")
