@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import json
 import os
 import shutil
@@ -49,6 +50,12 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, old)
 
 
+def give_back() -> None:
+    """In a worker: return freed memory to the machine, where the C library can; large arrays that are gone would stay with it."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unused(columns: list[str], name: str) -> str:
     """A name like `name` that is none of the columns, in any case."""
     taken = {c.lower() for c in columns}

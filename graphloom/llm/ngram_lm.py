@@ -19,14 +19,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, by_bytes, fresh_path, prepare, shared_map, shared_save, shuffles_freed, text_of, written
+from graphloom.llm.common import LOWER, by_bytes, fresh_path, give_back, prepare, shared_map, shared_save, shuffles_freed, text_of, written
 
 #: The end token's hash is that of a string no word can be.
 END = xxhash.xxh3_64_intdigest(b"\n")
-BATCH_BYTES = 4_000_000
-#: Tokens that a task counts before it sends a block, and words that a worker remembers.
-BLOCK_TOKENS = 4_000_000
-REMEMBERED = 500_000
+BATCH_BYTES = 2_500_000
+#: Tokens that a task counts before it sends a block of words or triples, and words that a worker remembers.
+BLOCK_TOKENS, BLOCK_TRIPLES = 2_000_000, 1_000_000
+REMEMBERED = 200_000
 #: Bytes of training text for which there is a part at least, so that a part fits a worker's memory.
 PART_BYTES = 256_000_000
 #: Words of each part of the hash range that are reported as its most frequent. Of these, words with more than a quarter of a
@@ -101,16 +101,14 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
-def hash_array(hashes: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The order of hashes in a sorted array, and the array: the upper bits say where a bucket of about eight starts, 32 others are kept.
+def hash_array(hashes: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted hashes as an array: the upper bits say where a bucket of about eight starts, the 32 bits behind them are kept.
 
     Two keys are taken for one with a chance of about eight in 2^32, however large the corpus is.
     """
     bits = max(1, int(len(hashes) // 8).bit_length())
-    bucket, rest = hashes >> np.uint64(64 - bits), hashes & np.uint64(0xFFFFFFFF)
-    order = np.argsort((bucket << np.uint64(32)) | rest, kind="stable")
-    starts = np.concatenate(([0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=1 << bits)))).astype("<u4")
-    return order, {"starts": starts, "rest": rest[order].astype("<u4")}
+    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return {"starts": np.concatenate(([0], np.cumsum(counts))).astype("<u4"), "rest": ((hashes << np.uint64(bits)) >> np.uint64(32)).astype("<u4")}
 
 
 def find(table: dict[str, np.ndarray], hashes: np.ndarray, name: str = "") -> np.ndarray:
@@ -118,8 +116,9 @@ def find(table: dict[str, np.ndarray], hashes: np.ndarray, name: str = "") -> np
     starts, kept = table[f"{name}starts"], table[f"{name}rest"]
     if not len(kept):
         return np.full(len(hashes), -1, np.int64)
-    bucket = (hashes >> np.uint64(64 - (len(starts) - 1).bit_length() + 1)).astype(np.int64)
-    want = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    bits = (len(starts) - 1).bit_length() - 1
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    want = ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
     low, high = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
     end, most = high.copy(), len(kept) - 1
     for _ in range(int((high - low).max(initial=0)).bit_length()):
@@ -145,6 +144,11 @@ def widen(table: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray
     return out
 
 
+def _small(part: np.ndarray) -> np.ndarray:
+    """Parts in as few bits as they need; those of 16 bits are sorted without comparisons."""
+    return part.astype(np.uint16 if len(part) and int(part.max()) < 1 << 16 else np.uint32)
+
+
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Where rows of equal sorted columns begin."""
     if not len(columns[0]):
@@ -288,7 +292,7 @@ _WORDS: dict[tuple, Words] = {}
 
 def words_for(path: str, parts: int, bases: tuple[int, ...], hot: tuple[int, ...], model: Model | None = None) -> Words:
     if (path, model is None) not in _WORDS:
-        _WORDS.clear()
+        _WORDS.clear()  # those of another model, or of the counting before the scores
         _WORDS[path, model is None] = Words(path, parts, bases, hot, model)
     return _WORDS[path, model is None]
 
@@ -325,8 +329,10 @@ def _word_blocks(train: DataFrame, parts: int) -> DataFrame:
             if size >= BLOCK_TOKENS:
                 yield block()
                 held, size = [], 0
+                give_back()
         if size:
             yield block()
+        give_back()
 
     return train.mapInArrow(count, WORD_BLOCK)
 
@@ -354,13 +360,16 @@ def _triple_blocks(train: DataFrame, path: str, parts: int, bases: tuple[int, ..
 
         def block() -> pa.RecordBatch:
             context, word, is_hot = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((word, context))
-            context, word, is_hot = context[order], word[order], is_hot[order]
-            first = _starts(context, word)
-            counts = np.diff(np.append(first, len(context)))
-            context, word = context[first], word[first]
-            part = triple_part(context, triple_hash(context, word), is_hot[first], parts)
-            order = np.argsort(part.astype(np.uint32), kind="stable")
+            held.clear()
+            hashes = triple_hash(context, word)
+            order = np.argsort(hashes)
+            first = _starts(hashes[order])
+            counts = np.diff(np.append(first, len(order)))
+            some = order[first]
+            context, word = context[some], word[some]
+            part = triple_part(context, hashes[some], is_hot[some], parts)
+            order = np.argsort(context)
+            order = order[np.argsort(_small(part[order]), kind="stable")]
             part, context, word, counts = part[order], context[order], word[order], counts[order]
             first, rows = _starts(part), []
             for a, b in zip(first, np.append(first[1:], len(part))):
@@ -376,11 +385,14 @@ def _triple_blocks(train: DataFrame, path: str, parts: int, bases: tuple[int, ..
             number = words.number
             held.append((pair_keys(number[two], number[one], vocabulary), number[slots].astype(np.uint32), words.hot[two] & words.hot[one]))
             size += len(slots)
-            if size >= BLOCK_TOKENS:
+            if size >= BLOCK_TRIPLES:
                 yield block()
-                held, size = [], 0
+                size = 0
+                give_back()
         if size:
             yield block()
+        words.clear()
+        give_back()
 
     return train.mapInArrow(count, TRIPLE_BLOCK)
 
@@ -392,7 +404,7 @@ def _spread(blocks: DataFrame, tasks: int) -> DataFrame:
 def _pair_rows(kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
     """Blocks of pair keys (sorted) for the parts of pairs; counts: a row for each number a key has."""
     part = hash_part(mix(keys), parts)
-    order = np.argsort(part.astype(np.uint32), kind="stable")
+    order = np.argsort(_small(part), kind="stable")
     keys, counts, part = keys[order], counts[:, order], part[order]
     first = _starts(part)
     return [(int(part[a]), kind, pack_keys(keys[a:b]), np.ascontiguousarray(counts[:, a:b]).astype("<u4").tobytes(), [0] * 5) for a, b in zip(first, np.append(first[1:], len(part)))]
@@ -404,7 +416,7 @@ def fit(train: DataFrame) -> Model:
     prepare(spark)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(2 * tasks, -(-size // PART_BYTES))
+    parts = max(tasks, -(-size // PART_BYTES))  # each part of triples sends blocks to each part of pairs: their product is to stay small
     path = fresh_path(spark, "ngram-lm")
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,6 +441,7 @@ def fit(train: DataFrame) -> Model:
     width = max(1, -(-vocabulary.bit_length() // 8))
 
     def write_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _WORDS.clear()  # a worker that counted before has no more use for them
         hot_numbers = np.array(hot, np.int64)
         ends = Words(path, parts, bases, hot).number[0]
         for part, blocks in _by_part(batches):
@@ -440,13 +453,15 @@ def fit(train: DataFrame) -> Model:
                 word.append(wide.view("<u4").ravel())
                 counts.append(np.frombuffer(n, "<u4"))
             context, word, counts = np.concatenate(contexts), np.concatenate(word), np.concatenate(counts).astype(np.int64)
-            order = np.lexsort((word, context))
-            context, word = context[order], word[order]
-            first = _starts(context, word)
+            hashes = triple_hash(context, word)
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            first = _starts(hashes)
             counts = np.add.reduceat(counts[order], first)
-            context, word = context[first], word[first]
-            place, table = hash_array(triple_hash(context, word))
-            shared_save(f"{path}/triples/part-{part:06d}.bin", **table, **narrow("counts", counts[place]))
+            context, word = context[order[first]], word[order[first]]
+            shared_save(f"{path}/triples/part-{part:06d}.bin", **hash_array(hashes[first]), **narrow("counts", counts))
+            order = np.argsort(context)
+            context, word, counts = context[order], word[order], counts[order]
             first = _starts(context)
             add = lambda x: np.add.reduceat(x.astype(np.int64), first)
             stats = np.stack([add(counts), add(counts == 1), add(counts == 2), add(counts > 2)])
@@ -461,17 +476,21 @@ def fit(train: DataFrame) -> Model:
             for a in range(0, len(rows), 64):
                 yield _batch(PAIR_BLOCK, rows[a : a + 64])
             yield _batch(PAIR_BLOCK, [(-1 - part, 0, b"", b"", [0] * 5)])  # says that the part is there
+            del blocks, rows, contexts, context, word, counts, hashes, order, pairs, distinct, stats, v
+            give_back()
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blocks in _by_part(batches):
             keys, counts = _summed([x[1:3] for x in blocks if x[0] == 0])
             counts = counts[0]
-            place, table = hash_array(mix(keys))
             contexts, stats = _summed([x[1:3] for x in blocks if x[0] == 1], width=4)
-            own, of = hash_array(mix(contexts))
+            hashes, hashes_of = mix(keys), mix(contexts)
+            place, own = np.argsort(hashes), np.argsort(hashes_of)
+            table, of = hash_array(hashes[place]), hash_array(hashes_of[own])
             columns = {k: v for name, row in zip(STATS, stats) for k, v in narrow(name, row[own]).items()}
             shared_save(f"{path}/pairs/part-{part:06d}.bin", **table, **narrow("counts", counts[place]), **{f"context_{k}": v for k, v in of.items()}, **columns)
             yield from _number_rows(part, keys, counts, vocabulary, step)
+            give_back()
 
     def write_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blocks in _by_part(batches):
@@ -516,7 +535,7 @@ def _number_rows(part: int, keys: np.ndarray, counts: np.ndarray, vocabulary: in
 
 def _in_parts(part: np.ndarray, there: frozenset[int]) -> Iterator[tuple[int, np.ndarray]]:
     """The rows of each part that was written."""
-    order = np.argsort(part.astype(np.uint32), kind="stable")
+    order = np.argsort(_small(part), kind="stable")
     first = _starts(part[order])
     for a, b in zip(first, np.append(first[1:], len(part))):
         if int(part[order[a]]) in there:
@@ -530,33 +549,28 @@ def token_probabilities(words: Words, model: Model, slots: np.ndarray, sizes: np
     d3, d2, _ = model.discounts
     known = [number[x] >= 0 for x in (two, one, slots)]
 
-    pair = np.zeros(n, np.int64)  # distinct words before (one, word)
-    some = np.flatnonzero(known[1] & known[2])
-    hashes = mix(pair_keys(number[one[some]], number[slots[some]], model.vocabulary))
+    # each token's pair with the one before it is the context of the next; a text begins with the pair of two ends, the last here
+    own_pair = np.concatenate((pair_keys(number[one], number[slots], model.vocabulary), pair_keys(number[:1], number[:1], model.vocabulary)))
+    pair, stats = np.zeros(n + 1, np.int64), np.zeros((4, n + 1), np.int64)
+    some = np.append(np.flatnonzero(known[1] & known[2]), n)
+    hashes = mix(own_pair[some])
     for part, mine in _in_parts(hash_part(hashes, model.parts), model.there["pairs"]):
-        table = words.file("pairs", part)
+        table, at_token = words.file("pairs", part), some[mine]
         at = find(table, hashes[mine])
         hit = np.flatnonzero(at >= 0)
-        pair[some[mine[hit]]] = widen(table, "counts", at[hit])
-
-    stats = np.zeros((4, n), np.int64)  # of (two, one) as a context
-    some = np.flatnonzero(known[0] & known[1])
-    contexts = pair_keys(number[two[some]], number[one[some]], model.vocabulary)
-    hashes = mix(contexts)
-    for part, mine in _in_parts(hash_part(hashes, model.parts), model.there["pairs"]):
-        table = words.file("pairs", part)
-        once = mine[find(table, hashes[mine]) >= 0]  # unless it has sums, a pair that is there was a context once
-        stats[0, some[once]] = stats[1, some[once]] = 1
+        pair[at_token[hit]] = widen(table, "counts", at[hit])
+        stats[:2, at_token[hit]] = 1  # unless it has sums, a pair that is there was a context once
         at = find(table, hashes[mine], "context_")
         hit = np.flatnonzero(at >= 0)
         for k, name in enumerate(STATS):
-            stats[k, some[mine[hit]]] = widen(table, name, at[hit])
+            stats[k, at_token[hit]] = widen(table, name, at[hit])
+    context_of = np.arange(-1, n - 1)
+    context_of[np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)] = n
+    stats, contexts, pair = stats[:, context_of], own_pair[context_of], pair[:n]
 
     triple = np.zeros(n, np.int64)
-    both = stats[0, some] > 0
-    some, contexts = some[both], contexts[both]
-    ok = known[2][some]
-    some, contexts = some[ok], contexts[ok]
+    some = np.flatnonzero((stats[0] > 0) & known[2])
+    contexts = contexts[some]
     hashes = triple_hash(contexts, number[slots[some]])
     hot = words.hot[two[some]] & words.hot[one[some]]
     for part, mine in _in_parts(triple_part(contexts, hashes, hot, model.parts), model.there["triples"]):
