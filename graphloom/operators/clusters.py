@@ -174,12 +174,15 @@ def cluster_links(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def slice_insights(members: DataFrame, edges: DataFrame, tensions: DataFrame) -> DataFrame:
-    """members: id, cluster. tensions: id, category. cluster, boundary, conductance, top_kinds (two), tensions (count)."""
+    """members: id, cluster. edges: id, source, target, kind. tensions: id, category. cluster, boundary, conductance, top_kinds (two), tensions (count).
+
+    For top_kinds, rows of one id and kind count once in a cluster, as ids may repeat; boundary and conductance count rows.
+    """
     stats = cluster_stats(members, edges)
     a = members.select(F.col("id").alias("source"), F.col("cluster").alias("a"))
     b = members.select(F.col("id").alias("target"), F.col("cluster").alias("b"))
     ends = edges.join(a, "source", "left").join(b, "target", "left")
-    touched = ends.select("kind", F.explode(F.array_distinct(F.array_compact(F.array("a", "b")))).alias("cluster")).groupBy("cluster", "kind").agg(F.count(F.lit(1)).alias("n"))
+    touched = ends.select("id", "kind", F.explode(F.array_compact(F.array("a", "b"))).alias("cluster")).distinct().groupBy("cluster", "kind").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "kind"))
     top = touched.withColumn("k", rank).where("k <= 2").groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "kind"))), lambda x: x["kind"]).alias("top_kinds"))
     hits = members.join(tensions, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("tensions"))

@@ -250,6 +250,14 @@ def test_communities_by_local_moving(spark):
     assert {tuple(r) for r in found.collect()} == moved_by_hand(rows)
 
 
+def test_top_kinds_count_an_edge_once(spark):
+    members = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "id string, cluster string")
+    rows = [("1", "a", "c", "Single"), ("1", "a", "c", "Single"), ("1", "a", "b", "Single"), ("2", "a", "c", "Bulk"), ("3", "b", "c", "Bulk"), ("4", "c", "nobody", "Never")]
+    edges = spark.createDataFrame(rows, "id string, source string, target string, kind string")
+    found = clusters.slice_insights(members, edges, spark.createDataFrame([], "id string, category string"))
+    assert {r.cluster: r.top_kinds for r in found.collect()} == {"x": ["Bulk", "Single"], "y": ["Bulk", "Never"]}
+
+
 def test_strong_components(spark):
     import random
 
