@@ -1,14 +1,16 @@
-"""Near copies by 5-word shingles: pairs with Jaccard 0.8 or more, found by prefix filtering and confirmed exactly.
+"""Near copies by 5-word shingles: pairs with Jaccard 0.8 or more, found by SimHash and by prefix filtering, confirmed exactly.
 
-A SimHash of 64 bits can't tell these pairs: at Jaccard 0.8 two texts differ in 10 bits or so, and up to 16, a radius within which
-pigeonring has no selective keys. The stage of the pipeline that removes near copies therefore takes this exact method.
+First the fingerprints of simhash.py, over the same shingles, are linked by pigeonring within DISTANCE bits, and these links are
+confirmed. At Jaccard 0.8 two texts differ in 10 bits of 64 or so, and up to 16, a radius within which pigeonring has no selective
+keys; what fingerprints leave apart is therefore found by prefix filtering, which loses no pair.
 
 Shingles have one order for all texts: those that are frequent in a sample come last, others by hash. Two sets that are
 similar enough share one of the first n - ceil(0.8 n) + 1 of each, whatever the order is, so no pair is lost. A pair that meets
 only in frequent shingles must have so many of them that all it needs may be frequent; other pairs meet in a rare shingle.
-In a bucket of a shared shingle all members are compared to a leader, in each round to another one; only members that are in
-different components after that are compared in pairs, so a large group of near copies costs rows for each member, not for each pair. Pairs are tried on
-bitmaps first: the parities of two sets' hashes differ in no more bits than the sets have elements apart.
+In a bucket of a shared shingle all members are compared to a leader, in each round to another one; members that are in
+different components after that are compared in pairs inside one task, first on bitmaps: the parities of two sets' hashes differ
+in no more bits than the sets have elements apart. Those with a partner by bitmaps get their sets, and the links that join what is
+apart are all that a bucket gives, so a large group costs rows for each member, not for each pair.
 """
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, map_shipped, prepare, ship_arrays, text_of, unused, written
+from graphloom.llm.common import LOWER, map_shipped, prepare, ship_arrays, shuffles_freed, text_of, unused, written
 from graphloom.operators.components import components
+from graphloom.storage import discard
 
 WORDS = 5
 LEAST = 0.8
 #: Texts of the sample that says which shingles are frequent, texts of it that one must be in, and how many there may be. They
 #: change how many candidates there are, not the result.
 SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 4, 100_000
+#: Bits in which linked fingerprints differ at most: a key has 24 bits then.
+DISTANCE = 3
 #: Rounds in which each bucket has a leader that all others are compared to, before what is still apart is compared in pairs.
 LEADERS = 2
 #: Rows of a bucket that are compared in pairs at a time.
@@ -84,11 +89,13 @@ def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-NODE_ROWS = "digest binary, n int, frequent int, prefix array<long>, prefix_frequent array<long>, bits binary"
+NODE_ROWS = "digest binary, fp long, n int, frequent int, prefix array<long>, prefix_frequent array<long>, bits binary"
 
 
 def _nodes(docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """A row for each different text: node (a number), digest, least (the smallest id), n, frequent (how many shingles are), prefixes (hashes), bits."""
+    """A row for each different text: node (a number), digest, fp (the fingerprint), least (the smallest id), n, frequent (how many shingles are), prefixes (hashes), bits."""
+    from graphloom.llm.simhash import fingerprint  # it imports this module
+
     frequent = ship_arrays(docs.sparkSession, "frequent-shingles", keys=_frequent(docs, words, text_col))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +107,10 @@ def _nodes(docs: DataFrame, words: int, least: float, id_col: str, text_col: str
                 hit = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                 rare, often = s[~hit].view(np.int64), s[hit].view(np.int64)
                 size = len(s) - needed(len(s), least) + 1
-                rows.append((len(s), len(often), rare[:size], often[: max(0, size - len(rare))], bitmap(s).tobytes()))
-            n, f, prefix, more, bits = zip(*rows) if rows else ((),) * 5
-            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, k) for x, k in zip((n, f, prefix, more, bits), kinds))], names=["id", "digest", "n", "frequent", "prefix", "prefix_frequent", "bits"])
+                rows.append((np.uint64(fingerprint(t, words)).view(np.int64), len(s), len(often), rare[:size], often[: max(0, size - len(rare))], bitmap(s).tobytes()))
+            fp, n, f, prefix, more, bits = zip(*rows) if rows else ((),) * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, k) for x, k in zip((fp, n, f, prefix, more, bits), kinds))], names=["id", "digest", "fp", "n", "frequent", "prefix", "prefix_frequent", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     # of equal texts one row goes on: the smallest id's
@@ -134,30 +141,58 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return written(_pair_join(pairs, sized, "x").mapInArrow(compare, "u long, v long"), "plausible-pairs")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, least: float, text_col: str) -> DataFrame:
-    """pairs: u, v, written. Those with Jaccard >= least, by all shingles of their texts; written."""
+def _sets(some: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, text_col: str) -> DataFrame:
+    """some: distinct node. node, tokens: all shingles of their texts; written."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "tokens"])
 
+    ends = written(nodes.select("node", "digest").join(some, "node", "left_semi"), "pair-ends")
+    texts = docs.select(_digest(text_col).alias("digest"), text_of(text_col).alias("text")).join(ends, "digest").select("node", "text").dropDuplicates(["node"])
+    sets = written(texts.mapInArrow(tokens, "node long, tokens binary"), "shingle-sets")
+    discard(ends)
+    return sets
+
+
+def near(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have Jaccard >= least."""
+    if len(x) > len(y):
+        x, y = y, x
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return shared >= least * (len(x) + len(y) - shared) - 1e-9
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, least: float, text_col: str) -> DataFrame:
+    """pairs: u, v, written. Those with Jaccard >= least, by all shingles of their texts; written."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v, a, b = batch.columns
-            ok = []
-            for x, y in zip(a.to_pylist(), b.to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+            ok = [near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(a.to_pylist(), b.to_pylist())]
             yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     if pairs.isEmpty():
         return pairs
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    some = written(nodes.select("node", "digest").join(ends, "node", "left_semi"), "pair-ends")
-    texts = docs.select(_digest(text_col).alias("digest"), text_of(text_col).alias("text")).join(some, "digest").select("node", "text").dropDuplicates(["node"])
-    sets = written(texts.mapInArrow(tokens, "node long, tokens binary"), "shingle-sets")
-    return written(_pair_join(pairs, sets, "tokens").mapInArrow(compare, "u long, v long"), "near-links")
+    sets = _sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, nodes, words, text_col)
+    out = written(_pair_join(pairs, sets, "tokens").mapInArrow(compare, "u long, v long"), "near-links")
+    discard(sets)
+    return out
+
+
+def _fingerprint_pairs(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs u, v that connect the same nodes as all pairs of fingerprints within the distance do; written.
+
+    Of each fingerprint one node stands for all; the others are paired with it.
+    """
+    from graphloom.llm.simhash import links
+
+    first = written(nodes.groupBy("fp").agg(F.min("node").alias("u")), "fingerprints")
+    same = nodes.join(first, "fp").where("node <> u").select("u", F.col("node").alias("v"))
+    found = links(first.select("fp"), distance=distance).distinct().withColumnsRenamed({"u": "fp_u", "v": "fp_v"})
+    named = lambda x: first.select(F.col("fp").alias(f"fp_{x}"), F.col("u").alias(x))
+    other = found.join(named("u"), "fp_u").join(named("v"), "fp_v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return written(same.unionByName(other), "fingerprint-pairs")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, words: int, least: float, text_col: str) -> DataFrame:
@@ -165,7 +200,18 @@ def _links(docs: DataFrame, nodes: DataFrame, words: int, least: float, text_col
     entry = lambda column, often: nodes.select("node", "n", F.when(F.lit(often), F.col("frequent")).alias("f"), F.explode(column).alias("h"))
     rows = entry("prefix", False).unionByName(entry("prefix_frequent", True))
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    left = written(rows.join(shared, "h").withColumn("root", F.col("node")), "shared-shingles")
+    links = _confirmed(_plausible(_fingerprint_pairs(nodes), nodes, least), docs, nodes, words, least, text_col)
+
+    def still_mixed(rows: DataFrame) -> DataFrame:
+        """rows with the roots by the links so far; buckets of one root are left out."""
+        roots = components(links).select("node", F.col("root").alias("to"))
+        now = rows.join(roots, "node", "left").withColumn("root", F.coalesce("to", "node")).drop("to")
+        mixed = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+        return written(now.join(mixed, "h", "left_semi"), "mixed-buckets")
+
+    every = written(rows.join(shared, "h"), "shared-shingles")
+    left = still_mixed(every)
+    discard(every)
 
     def may(u: str, v: str) -> Column:
         n_u, n_v = F.col(f"n_{u}"), F.col(f"n_{v}")
@@ -175,28 +221,24 @@ def _links(docs: DataFrame, nodes: DataFrame, words: int, least: float, text_col
 
     side = lambda df, x: df.select("h", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "f", "root")])
     ordered = lambda pairs: pairs.where(may("u", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = None
     for k in range(LEADERS):
+        if left.isEmpty():
+            return links
         # buckets with the same members get different leaders, so that their stars together reach far
         leader = left.groupBy("h").agg(F.min_by(F.struct("node", "n", "f", "root"), F.xxhash64("node", "h", F.lit(k))).alias("x")).select("h", "x.*")
         tried = _plausible(ordered(side(left, "u").join(side(leader, "v"), "h")), nodes, least)
-        new = _confirmed(tried, docs, nodes, words, least, text_col)
-        links = written(new if links is None else links.unionByName(new), "links-so-far")
-        roots = components(links).select("node", F.col("root").alias("to"))
-        now = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("to", "node")).drop("to")
-        mixed = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-        left = written(now.join(mixed, "h", "left_semi"), "mixed-buckets")
-        if left.isEmpty():
-            break
-    tried = written(_plausible_in_buckets(left, nodes, least).distinct(), "plausible-pairs")
-    return links.unionByName(_confirmed(tried, docs, nodes, words, least, text_col))
+        links = written(links.unionByName(_confirmed(tried, docs, nodes, words, least, text_col)), "links-so-far")
+        before, left = left, still_mixed(left.drop("root"))
+        discard(before)
+    members = written(_plausible_in_buckets(left, nodes, least, ends=True), "plausible-members")
+    return links.unionByName(_linked_in_buckets(members, docs, nodes, words, least, text_col))
 
 
-def _plausible_in_buckets(rows: DataFrame, nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+def _plausible_in_buckets(rows: DataFrame, nodes: DataFrame, least: float, block: int = BLOCK, ends: bool = False) -> DataFrame:
     """rows: h, node, n, f, root. Pairs u < v of different roots in a bucket that sizes, frequent shingles and bitmaps don't rule out.
 
-    Pairs are compared in arrays, and only those that may do become rows. A bucket of more than `block` rows is cut into blocks;
-    each pair of blocks is a group of its own, so no task has a large bucket.
+    ends: not the pairs, but h, i, j (the group), node, root of rows that are in one, each once. Pairs are compared in arrays. A
+    bucket of more than `block` rows is cut into blocks; each pair of blocks is a group of its own, so no task has a large bucket.
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -207,26 +249,76 @@ def _plausible_in_buckets(rows: DataFrame, nodes: DataFrame, least: float, block
     ordered = keyed.select("h", "i", "j", "own", "node", "n", "f", "root", "bits").repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:3] != key:
-                    yield _pairs_of(held, key[1] != key[2], least)
-                    held = []
-                key = row[:3]
-                held.append(row[3:])
-        if held:
-            yield _pairs_of(held, key[1] != key[2], least)
-
-    return ordered.mapInArrow(compare, "u long, v long")
-
-
-def _pairs_of(rows: list[tuple], two_blocks: bool, least: float) -> pa.RecordBatch:
-    """rows: block, node, n, f (-1: none), root, bits. Of two blocks, pairs between them; of one, all pairs in it."""
-    own, node, n, f, root = (np.array(x, np.int64) for x in zip(*(r[:5] for r in rows)))
+        for key, held in _groups(batches):
+            node, root = (np.array([r[k] for r in held], np.int64) for k in (1, 4))
+            pairs = _pairs_of(held, key[1] != key[2], least)
+            if ends:
+                hit = np.zeros(len(held), bool)
+                for k, others in pairs:
+                    hit[others] = True
+                    hit[k] |= len(others) > 0
+                m = int(hit.sum())
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(m, x), t) for x, t in zip(key, (pa.int64(), pa.int32(), pa.int32()))), pa.array(node[hit]), pa.array(root[hit])], names=["h", "i", "j", "node", "root"])
+            else:
+                for k, others in pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[others], node[k])), pa.array(np.maximum(node[others], node[k]))], names=["u", "v"])
+
+    return ordered.mapInArrow(compare, "h long, i int, j int, node long, root long" if ends else "u long, v long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The key (the first three columns) and the other columns' rows of each group; batches come sorted by it."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[:3] != key:
+                yield key, held
+                held = []
+            key = row[:3]
+            held.append(row[3:])
+    if held:
+        yield key, held
+
+
+def _linked_in_buckets(members: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, least: float, text_col: str) -> DataFrame:
+    """members: h, i, j, node, root, written. Links u, v that connect what pairs with Jaccard >= least in a group do; written.
+
+    Of groups with the same members one is compared (they are the same if their numbers and two sums of 64-bit hashes are).
+    A pair whose ends are connected by then is not compared, so a group gives fewer links than it has members.
+    """
+    parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
+    alike = members.groupBy("h", "i", "j").agg(F.count(F.lit(1)).alias("m"), *sums).groupBy("m", "s0", "s1")
+    one = alike.agg(F.min(F.struct("h", "i", "j")).alias("x")).select("x.*")
+    some = written(members.join(one, ["h", "i", "j"], "left_semi"), "compared-members")
+    discard(members)
+    sets = _sets(some.select("node").distinct(), docs, nodes, words, text_col)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _groups(batches):
+            tokens = [np.frombuffer(r[2], np.uint64) for r in held]
+            rows = [(0, node, len(t), -1, root, bitmap(t).tobytes()) for (node, root, _), t in zip(held, tokens)]
+            root, u, v = np.array([r[1] for r in held], np.int64), [], []
+            for k, others in _pairs_of(rows, False, least):
+                for x in others.tolist():
+                    if root[x] != root[k] and near(tokens[k], tokens[x], least):
+                        u.append(held[k][0])
+                        v.append(held[x][0])
+                        root[root == root[x]] = root[k]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    ordered = some.join(sets, "node").select("h", "i", "j", "node", "root", "tokens").repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j")
+    out = written(ordered.mapInArrow(link, "u long, v long"), "near-links")
+    discard(some)
+    discard(sets)
+    return out
+
+
+def _pairs_of(rows: list[tuple], two_blocks: bool, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """rows: block, node, n, f (-1: none), root, bits. Of two blocks, pairs between them; of one, all pairs in it: a place, and those of its partners."""
+    own, _, n, f, root = (np.array(x, np.int64) for x in zip(*(r[:5] for r in rows)))
     maps = [np.frombuffer(r[5], "<u8") for r in rows]
     size = np.array([len(m) for m in maps])
-    u, v = [], []
     for small in np.unique(size).tolist():
         left = np.flatnonzero(size == small)
         right = np.flatnonzero(size >= small)
@@ -241,10 +333,7 @@ def _pairs_of(rows: list[tuple], two_blocks: bool, least: float) -> pa.RecordBat
             ok &= (f[k] < 0) | (np.minimum(f[right], f[k]) >= wanted)
             some = np.flatnonzero(ok)
             apart = np.bitwise_count(folded[some] ^ maps[k]).sum(axis=1, dtype=np.int64)
-            hit = right[some[apart <= total[some] - 2 * wanted[some]]]
-            u.append(np.minimum(node[hit], node[k]))
-            v.append(np.maximum(node[hit], node[k]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+            yield k, right[some[apart <= total[some] - 2 * wanted[some]]]
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -254,8 +343,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     connect. Each row has its own verdict: of repeated rows one stays, and an id that is in several groups may stay in each.
     """
     prepare(docs.sparkSession)
-    nodes = _nodes(docs, words, least, id_col, text_col)
-    roots = components(_links(docs, nodes, words, least, text_col)).select("node", "root")
+    with shuffles_freed(docs.sparkSession):
+        nodes = _nodes(docs, words, least, id_col, text_col)
+        roots = components(_links(docs, nodes, words, least, text_col)).select("node", "root")
     grouped = nodes.select("node", "least", "digest").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     first = grouped.agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest")).alias("x"))
     own, kept_id, kept, place = (unused(docs.columns, x) for x in ("_own_digest", "_kept_id", "_kept_digest", "_place"))

@@ -3,7 +3,8 @@
 64 bits are three segments on a ring. If two fingerprints differ in at most two bits, some segment is the start of a chain
 whose cumulative differences keep within the proportional budgets: none in the first segment, one at most in the first two,
 two in all three. The second segment then has a half without a difference, so (segment, half of the next) is an exact key:
-six keys for each fingerprint. Pairs in a bucket pass the chain check before the full Hamming distance is taken.
+six keys for each fingerprint. Pairs in a bucket pass the chain check before the full Hamming distance is taken. Other
+distances work alike, with one segment more than differing bits.
 
 A bucket of more than BUCKET fingerprints is divided by further segments: the bits that its key leaves open are cut in three,
 and of two fingerprints that differ in two bits at most one of the three is equal. Every level leaves fewer open bits; the
@@ -26,8 +27,6 @@ from graphloom.operators.components import components
 
 WORDS = 3
 DISTANCE = 2
-#: (first bit, bits) of the ring's segments.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints in one bucket up to which pairs are compared in one task; larger buckets are divided.
 BUCKET = 1024
 SHINGLES_AT_ONCE = 50_000
@@ -68,52 +67,57 @@ def bit_counts(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def chain_keeps_budget(difference: np.ndarray, start: int) -> np.ndarray:
-    """Whether the chain from segment `start` keeps within start + 1, ... times DISTANCE / 3 differing bits (rounded down)."""
-    total, ok = np.zeros(len(difference), np.int64), np.ones(len(difference), bool)
-    for k in range(len(SEGMENTS)):
-        at, bits = SEGMENTS[(start + k) % len(SEGMENTS)]
+def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
+    """(first bit, bits) of the ring's segments."""
+    return [(int(x[0]), len(x)) for x in np.array_split(np.arange(64), distance + 1)]
+
+
+def chain_keeps_budget(difference: np.ndarray, start: int, distance: int = DISTANCE) -> np.ndarray:
+    """Whether the chain of 1, 2, ... segments from `start` keeps within as many times distance / segments differing bits (rounded down)."""
+    total, ok, ring = np.zeros(len(difference), np.int64), np.ones(len(difference), bool), segments(distance)
+    for k in range(len(ring)):
+        at, bits = ring[(start + k) % len(ring)]
         total += bit_counts((difference >> np.uint64(at)) & np.uint64((1 << bits) - 1))
-        ok &= total <= (k + 1) * DISTANCE // len(SEGMENTS)
+        ok &= total <= (k + 1) * distance // len(ring)
     return ok
 
 
-def _first_masks() -> list[int]:
+def _first_masks(distance: int) -> list[int]:
     """The bits of each chain's key: a segment, and one half of the next."""
-    out = []
-    for start, (at, bits) in enumerate(SEGMENTS):
-        next_at, next_bits = SEGMENTS[(start + 1) % len(SEGMENTS)]
+    out, ring = [], segments(distance)
+    for start, (at, bits) in enumerate(ring):
+        next_at, next_bits = ring[(start + 1) % len(ring)]
         half = next_bits // 2
         for x, y in ((next_at, half), (next_at + half, next_bits - half)):
             out.append(((1 << bits) - 1) << at | ((1 << y) - 1) << x)
     return out
 
 
-def _next_masks(mask: int) -> list[int]:
-    """The mask with each third of its open bits."""
+def _next_masks(mask: int, distance: int) -> list[int]:
+    """The mask with each of distance + 1 parts of its open bits."""
     open_bits = [i for i in range(64) if not mask >> i & 1]
-    return [mask | sum(1 << int(i) for i in part) for part in np.array_split(open_bits, DISTANCE + 1)]
+    return [mask | sum(1 << int(i) for i in part) for part in np.array_split(open_bits, distance + 1)]
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _keyed(rows: DataFrame, masks: list[int], below: Column | None = None) -> DataFrame:
+def _keyed(rows: DataFrame, masks: list[int], distance: int, below: Column | None = None) -> DataFrame:
     """fp, chain (the place of a mask in masks), key (the mask's bits of fp); below: the chain whose masks a row gets."""
     if below is None:
         chains = F.explode(F.array(*map(F.lit, range(len(masks)))))
     else:
-        chains = F.explode(F.transform(F.array(*map(F.lit, range(DISTANCE + 1))), lambda k: (DISTANCE + 1) * below + k))
+        chains = F.explode(F.transform(F.array(*map(F.lit, range(distance + 1))), lambda k: (distance + 1) * below + k))
     mask = F.element_at(F.array(*(F.lit(_signed(m)) for m in masks)), F.col("chain") + 1)
     return rows.select("fp", chains.alias("chain")).withColumn("key", F.col("fp").bitwiseAND(mask))
 
 
-def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """fps: distinct fp. Links u, v that connect the same fingerprints as all pairs within DISTANCE do."""
+def links(fps: DataFrame, bucket: int = BUCKET, distance: int = DISTANCE) -> DataFrame:
+    """fps: distinct fp. Links u, v that connect the same fingerprints as all pairs within `distance` (1 or more) do."""
     parts = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    masks, out, level = _first_masks(), None, 0
-    rows = written(_keyed(fps.select("fp"), masks), "buckets")
+    masks, out, level = _first_masks(distance), None, 0
+    rows = written(_keyed(fps.select("fp"), masks, distance), "buckets")
     while True:
         last = max(64 - m.bit_count() for m in masks) <= np.log2(BUCKET)
         some_large = False
@@ -121,21 +125,21 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
             large = written(rows.groupBy("chain", "key").count().where(F.col("count") > bucket).drop("count"), "large-buckets")
             some_large = not large.isEmpty()
         small = rows.join(large, ["chain", "key"], "left_anti") if some_large else rows
-        found = small.repartition(parts, "chain", "key").sortWithinPartitions("chain", "key").select("chain", "key", "fp").mapInArrow(_comparison(len(masks) // len(SEGMENTS)), "u long, v long")
+        found = small.repartition(parts, "chain", "key").sortWithinPartitions("chain", "key").select("chain", "key", "fp").mapInArrow(_comparison(len(masks) // (distance + 1), distance), "u long, v long")
         out = found if out is None else out.unionByName(found)
         if not some_large:
             return out
-        masks = [m for x in masks for m in _next_masks(x)]
+        masks = [m for x in masks for m in _next_masks(x, distance)]
         level += 1
-        rows = written(_keyed(rows.join(large, ["chain", "key"], "left_semi"), masks, F.col("chain")), f"buckets-{level}")
+        rows = written(_keyed(rows.join(large, ["chain", "key"], "left_semi"), masks, distance, F.col("chain")), f"buckets-{level}")
 
 
-def _comparison(chains: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _comparison(chains: int, distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """chains: masks of each segment at this level."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chain, key, fp in _whole_groups(batches):
-            a, b = _pairs(chain, key, fp, chains)
+            a, b = _pairs(chain, key, fp, chains, distance)
             root = _roots(len(fp), a, b)
             moved = np.flatnonzero(root != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[root[moved]])], names=["u", "v"])
@@ -165,8 +169,8 @@ def _columns(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in batches]) for i in range(3))
 
 
-def _pairs(chain: np.ndarray, key: np.ndarray, fp: np.ndarray, chains: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one bucket within DISTANCE. Rows are compared at one step after the other, only as far as buckets reach."""
+def _pairs(chain: np.ndarray, key: np.ndarray, fp: np.ndarray, chains: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one bucket within the distance. Rows are compared at one step after the other, only as far as buckets reach."""
     bits, firsts, seconds = fp.view(np.uint64), [], []
     at = np.arange(len(fp))
     step = 1
@@ -177,10 +181,10 @@ def _pairs(chain: np.ndarray, key: np.ndarray, fp: np.ndarray, chains: int) -> t
             break
         difference = bits[at] ^ bits[at + step]
         ok = np.zeros(len(at), bool)
-        for start in range(len(SEGMENTS)):
+        for start in range(distance + 1):
             mine = chain[at] // chains == start
-            ok[mine] = chain_keeps_budget(difference[mine], start)
-        ok[ok] = bit_counts(difference[ok]) <= DISTANCE
+            ok[mine] = chain_keeps_budget(difference[mine], start, distance)
+        ok[ok] = bit_counts(difference[ok]) <= distance
         firsts.append(at[ok])
         seconds.append(at[ok] + step)
         step += 1

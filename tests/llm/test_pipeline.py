@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from graphloom.llm import near_copies
+from graphloom.llm import near_copies, simhash
 from test_llm_operators import LOW, same, texts, verdict
 
 
@@ -111,3 +111,51 @@ def test_pairs_in_buckets(spark, block):
     found = {tuple(r) for r in near_copies._plausible_in_buckets(rows, nodes, 0.8, block).collect()}
     near = {(a, b) for b in range(12) for a in range(b) if (a, b) != (0, 1) and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
     assert near and near <= found and (0, 1) not in found
+
+
+def test_near_dedup_links_fingerprints_by_pigeonring(spark, monkeypatch):
+    rng, asked = random.Random(17), []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **b: asked.append(b) or links(*a, **b))
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(400)]
+    rows = [(k, " ".join([*base[:k], "other", *base[k + 1 :]])) for k in (3, 200, 390)] + [(9, " ".join(f"x{k}" for k in range(90)))]
+    found = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in found) == [3, 9] and asked == [{"distance": near_copies.DISTANCE}]
+
+
+def test_fingerprint_pairs_connect_what_is_within_the_distance(spark):
+    rng = random.Random(18)
+    fps = [rng.getrandbits(64) for _ in range(6)]
+    fps += [fps[0]] + [f ^ sum(1 << b for b in rng.sample(range(64), n)) for f in fps for n in (1, 3, 4, 5)]
+    nodes = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)], "node long, fp long")
+    for distance in (1, 3, 5):
+        root = list(range(len(fps)))
+        for a in range(len(fps)):
+            for b in range(a):
+                if (fps[a] ^ fps[b]).bit_count() <= distance:
+                    root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        found = {r.node: r.root for r in simhash.components(near_copies._fingerprint_pairs(nodes, distance)).collect()}
+        assert [found.get(k, k) for k in range(len(fps))] == root and len(set(root)) < len(root)
+
+
+def test_a_large_group_gives_rows_for_members_not_for_pairs(spark):
+    rng = random.Random(19)
+    base = [f"w{k}" for k in range(100)]
+    made = [" ".join(w if rng.random() < 0.975 else f"n{rng.randint(0, 10**6)}" for w in base) for _ in range(60)]
+    sets = [near_copies.shingles(t) for t in made]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    nodes = docs.selectExpr("doc_id AS node", "unhex(sha2(text, 256)) AS digest").join(spark.createDataFrame([(k, bytearray(near_copies.bitmap(s).tobytes())) for k, s in enumerate(sets)], "node long, bits binary"), "node")
+    rows = spark.createDataFrame([(h, k, len(s), None, k) for h in (1, 2) for k, s in enumerate(sets)], "h long, node long, n int, f int, root long")
+    pairs = near_copies._plausible_in_buckets(rows, nodes, 0.8).count()
+    members = near_copies.written(near_copies._plausible_in_buckets(rows, nodes, 0.8, ends=True), "members")
+    assert members.count() <= 120 < pairs
+    found = near_copies._linked_in_buckets(members, docs, nodes, 5, 0.8, "text")
+    groups = {frozenset(k for k in range(60) if near_copies.near(sets[k], sets[a], 0.8)) for a in range(60)}
+    while True:
+        joined = {frozenset().union(*(h for h in groups if g & h)) for g in groups}
+        if joined == groups:
+            break
+        groups = joined
+    roots = {r.node: r.root for r in simhash.components(found).collect()}
+    assert [roots.get(k, k) for k in range(60)] == [min(g) for k in range(60) for g in groups if k in g]
+    assert found.count() == 60 - len(groups) < 59
