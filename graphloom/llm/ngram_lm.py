@@ -10,13 +10,15 @@ one for each task and part; nothing but sums and the few hottest words reaches t
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, by_bytes, fresh_path, give_back, prepare, shared_map, shared_save, shuffles_freed, text_of, written
@@ -27,6 +29,10 @@ BATCH_BYTES = 2_500_000
 #: Tokens that a task counts before it sends a block of words or triples, and words that a worker remembers.
 BLOCK_TOKENS, BLOCK_TRIPLES = 2_000_000, 1_000_000
 REMEMBERED = 200_000
+#: Bytes at which an Arrow batch of blocks is full: those of a task are not to be in memory together, in the JVM or in Python.
+BLOCK_BATCH_BYTES = 4_000_000
+#: Keys that are hashed at a time, so that what comes between stays small.
+HASHED = 1 << 17
 #: Bytes of training text for which there is a part at least, so that a part fits a worker's memory.
 PART_BYTES = 256_000_000
 #: Words of each part of the hash range that are reported as its most frequent. Of these, words with more than a quarter of a
@@ -79,6 +85,14 @@ def triple_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(context) + word.astype(np.uint64))
 
 
+def _by_pieces(function, kind: type, *columns: np.ndarray) -> np.ndarray:
+    """function of long columns, HASHED rows at a time."""
+    out = np.empty(len(columns[0]), kind)
+    for a in range(0, len(out), HASHED):
+        out[a : a + HASHED] = function(*(c[a : a + HASHED] for c in columns))
+    return out
+
+
 def triple_part(context: np.ndarray, hashes: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
     """By the context; where that is two hot words, by the whole triple."""
     return hash_part(np.where(hot, hashes, mix(context)), parts)
@@ -113,21 +127,20 @@ def hash_array(hashes: np.ndarray) -> dict[str, np.ndarray]:
 
 def find(table: dict[str, np.ndarray], hashes: np.ndarray, name: str = "") -> np.ndarray:
     """Places of hashes in an array, -1 where there is none: a binary search in the buckets of all at once."""
-    starts, kept = table[f"{name}starts"], table[f"{name}rest"]
+    starts, kept = (np.asarray(table[f"{name}{x}"]) for x in ("starts", "rest"))
     if not len(kept):
         return np.full(len(hashes), -1, np.int64)
     bits = (len(starts) - 1).bit_length() - 1
     bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     want = ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-    low, high = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
-    end, most = high.copy(), len(kept) - 1
-    for _ in range(int((high - low).max(initial=0)).bit_length()):
-        middle = (low + high) >> 1
-        less = (low < high) & (kept[np.minimum(middle, most)] < want)
-        high = np.where(less | (low >= high), high, middle)
-        low = np.where(less, middle + 1, low)
-    hit = (low < end) & (kept[np.minimum(low, most)] == want)
-    return np.where(hit, low, -1)
+    at, high = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+    step = 1 << int((high - at).max(initial=0)).bit_length()
+    at -= 1  # the last place that is known to hold less
+    while step := step >> 1:
+        probe = at + step
+        np.copyto(at, probe, where=(probe < high) & (kept.take(probe, mode="clip") < want))
+    at += 1
+    return np.where((at < high) & (kept.take(at, mode="clip") == want), at, -1)
 
 
 def narrow(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
@@ -160,7 +173,7 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list
     """The blocks of each part in turn; batches come sorted by part. One part's blocks are in memory together."""
     part, held = None, []
     for batch in batches:
-        for p, *columns in zip(*(c.to_pylist() for c in batch.columns)):
+        for p, *columns in ([c[i].as_py() for c in batch.columns] for i in range(batch.num_rows)):
             if p != part and held:
                 yield part, held
                 held = []
@@ -178,15 +191,36 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _summed(blocks: list[tuple[bytes, bytes]], kind: str = "<u4", width: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys, and the sums of their `width` counts (rows of a matrix)."""
-    if not blocks:
-        return np.empty(0, np.uint64), np.empty((width, 0), np.int64)
-    keys = np.concatenate([unpack_keys(k) for k, _ in blocks])
-    counts = np.concatenate([np.frombuffer(c, kind).reshape(width, -1) for _, c in blocks], axis=1).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
+    """Distinct sorted keys, and the sums of their `width` counts (rows of a matrix). Takes the blocks out of their list."""
+    size = np.dtype(kind).itemsize * width
+    end = sum(len(c) // size for _, c in blocks)
+    keys, counts = np.empty(end, np.uint64), np.empty((width, end), kind)
+    while blocks:
+        k, c = blocks.pop()
+        at, end = end, end - len(c) // size
+        keys[end:at], counts[:, end:at] = unpack_keys(k), np.frombuffer(c, kind).reshape(width, -1)
+    order = np.argsort(keys)
     keys = keys[order]
     first = _starts(keys)
-    return keys[first], np.add.reduceat(counts[:, order], first, axis=1)
+    keys = keys[first]
+    sums = np.empty((width, len(first)), np.int64)
+    if len(first):
+        for row, out in zip(counts, sums):
+            np.add.reduceat(row[order], first, dtype=np.int64, out=out)
+    return keys, sums
+
+
+def _triples(blocks: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, words and counts of all blocks, which are taken out of their list. width: bytes of a word's number."""
+    end = sum(len(c) // 4 for *_, c in blocks)
+    context, word, counts = np.empty(end, np.uint64), np.zeros((end, 4), np.uint8), np.empty(end, np.uint32)
+    while blocks:
+        keys, sizes, body, c = blocks.pop()
+        at, end = end, end - len(c) // 4
+        context[end:at] = np.repeat(unpack_keys(keys), np.frombuffer(sizes, "<u4"))
+        word[end:at, :width] = np.frombuffer(body, np.uint8).reshape(width, -1).T
+        counts[end:at] = np.frombuffer(c, "<u4")
+    return context, word.view("<u4").ravel(), counts
 
 
 def _counts_of_counts(c: np.ndarray) -> list[int]:
@@ -210,6 +244,22 @@ def is_held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(7)) == 2, F.lit(False))
 
 
+class Slots(dict):
+    """Words to numbers in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        slot = self[word] = len(self)
+        return slot
+
+
+class Hashes(dict):
+    """Words to their hashes, which are found when they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Words:
     """In a worker: numbers and table values of words, remembered while there is room."""
 
@@ -220,32 +270,31 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[bytes, int] = {}
+        self.slots = Slots()
         self.number = np.empty(0, np.int64)
         self.hot = np.empty(0, bool)
         self.values: dict[str, np.ndarray] = {}
-        self.learn([b"\n"])  # the end token has slot 0
+        self.slots[b"\n"]  # the end token has slot 0
+        self.learn()
 
     def file(self, kind: str, part: int) -> dict[str, np.ndarray]:
         if (kind, part) not in self.files:
             self.files[kind, part] = shared_map(f"{self.path}/{kind}/part-{part:06d}.bin")
         return self.files[kind, part]
 
-    def learn(self, words: list[bytes]) -> None:
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    def learn(self) -> None:
+        """The numbers and values of the words that have got slots since."""
+        words = list(islice(self.slots, len(self.number), None))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         part = hash_part(hashes, self.parts)
         number, counts = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
-        for p in np.unique(part).tolist():
-            mine = np.flatnonzero(part == p)
-            if self.bases[p + 1] == self.bases[p]:
-                continue
+        there = frozenset(np.flatnonzero(np.diff(self.bases)).tolist())
+        for p, mine in _in_parts(part, there):
             table = self.file("words", p)
             at = np.minimum(np.searchsorted(table["keys"], hashes[mine]), len(table["keys"]) - 1)
             hit = table["keys"][at] == hashes[mine]
             number[mine[hit]] = self.bases[p] + at[hit]
             counts[mine[hit]] = table["counts"][at[hit]]
-        n = len(self.slots)
-        self.slots.update(zip(words, range(n, n + len(words))))
         self.number = np.concatenate((self.number, number))
         self.hot = np.concatenate((self.hot, np.isin(number, self.hot_numbers)))
         if self.model:
@@ -271,19 +320,16 @@ class Words:
 
     def slots_of(self, tokens: list[list[bytes]]) -> np.ndarray:
         """Slots of all tokens of a batch of texts, each text's followed by the end token's."""
-        used = set().union(*tokens)
-        new = used.difference(self.slots)
-        if len(self.slots) + len(new) > REMEMBERED:
+        if len(self.slots) > REMEMBERED:
             self.clear()
-            new = used
-        if new:
-            self.learn(list(new))
         out = np.zeros(sum(map(len, tokens)) + len(tokens), np.int64)
         at = 0
         get = self.slots.__getitem__
         for t in tokens:
             out[at : at + len(t)] = np.fromiter(map(get, t), np.int64, len(t))
             at += len(t) + 1
+        if len(self.slots) > len(self.number):
+            self.learn()
         return out
 
 
@@ -307,7 +353,7 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 def _word_blocks(train: DataFrame, parts: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: dict[bytes, int] = {}
+        hashes = Hashes()
         held: list[np.ndarray] = []
         size = 0
 
@@ -320,8 +366,6 @@ def _word_blocks(train: DataFrame, parts: int) -> DataFrame:
         for _, tokens in _texts(batches, 0):
             if len(hashes) > REMEMBERED:
                 hashes.clear()
-            new = set().union(*tokens).difference(hashes)
-            hashes.update(zip(new, map(xxhash.xxh3_64_intdigest, new)))
             for t in tokens:
                 held.append(np.fromiter(map(hashes.__getitem__, t), np.uint64, len(t)))
                 size += len(t) + 1
@@ -401,10 +445,25 @@ def _spread(blocks: DataFrame, tasks: int) -> DataFrame:
     return blocks.repartition(tasks, "part").sortWithinPartitions("part")
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside send blocks to Python as Arrow batches of BLOCK_BATCH_BYTES and one block at most."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, str(BLOCK_BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def _pair_rows(kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
     """Blocks of pair keys (sorted) for the parts of pairs; counts: a row for each number a key has."""
-    part = hash_part(mix(keys), parts)
-    order = np.argsort(_small(part), kind="stable")
+    part = _by_pieces(lambda k: hash_part(mix(k), parts), np.uint16 if parts < 1 << 16 else np.uint32, keys)
+    order = np.argsort(part, kind="stable")
     keys, counts, part = keys[order], counts[:, order], part[order]
     first = _starts(part)
     return [(int(part[a]), kind, pack_keys(keys[a:b]), np.ascontiguousarray(counts[:, a:b]).astype("<u4").tobytes(), [0] * 5) for a, b in zip(first, np.append(first[1:], len(part)))]
@@ -427,7 +486,7 @@ def fit(train: DataFrame) -> Model:
             top = np.argsort(-counts, kind="stable")[:HOTTEST]
             yield _batch(WORD_SUMS, [(part, len(keys), int(counts.sum()), top.tolist(), counts[top].tolist())])
 
-    with shuffles_freed(spark):
+    with shuffles_freed(spark), _small_batches(spark):
         sums = _spread(_word_blocks(train, parts), tasks).mapInArrow(write_words, WORD_SUMS).collect()
     sizes = np.zeros(parts, np.int64)
     for r in sums:
@@ -445,23 +504,20 @@ def fit(train: DataFrame) -> Model:
         hot_numbers = np.array(hot, np.int64)
         ends = Words(path, parts, bases, hot).number[0]
         for part, blocks in _by_part(batches):
-            contexts, word, counts = [], [], []
-            for keys, sizes, body, n in blocks:
-                contexts.append(np.repeat(unpack_keys(keys), np.frombuffer(sizes, "<u4")))
-                wide = np.zeros((len(n) // 4, 4), np.uint8)
-                wide[:, :width] = np.frombuffer(body, np.uint8).reshape(width, -1).T
-                word.append(wide.view("<u4").ravel())
-                counts.append(np.frombuffer(n, "<u4"))
-            context, word, counts = np.concatenate(contexts), np.concatenate(word), np.concatenate(counts).astype(np.int64)
-            hashes = triple_hash(context, word)
+            context, word, counts = _triples(blocks, width)
+            hashes = _by_pieces(triple_hash, np.uint64, context, word)
             order = np.argsort(hashes)
             hashes = hashes[order]
             first = _starts(hashes)
-            counts = np.add.reduceat(counts[order], first)
-            context, word = context[order[first]], word[order[first]]
-            shared_save(f"{path}/triples/part-{part:06d}.bin", **hash_array(hashes[first]), **narrow("counts", counts))
+            hashes, counts = hashes[first], np.add.reduceat(counts[order], first, dtype=np.int64)
+            order = order[first]
+            context, word = context[order], word[order]
+            del order, first
+            shared_save(f"{path}/triples/part-{part:06d}.bin", **hash_array(hashes), **narrow("counts", counts))
+            del hashes
             order = np.argsort(context)
             context, word, counts = context[order], word[order], counts[order]
+            del order
             first = _starts(context)
             add = lambda x: np.add.reduceat(x.astype(np.int64), first)
             stats = np.stack([add(counts), add(counts == 1), add(counts == 2), add(counts > 2)])
@@ -469,26 +525,41 @@ def fit(train: DataFrame) -> Model:
             u, v = (own // np.uint64(vocabulary)).astype(np.int64), (own % np.uint64(vocabulary)).astype(np.int64)
             # a context that is counted once has one word; the pair's own entry says that it is there. Parts of hot ones are all sent.
             some = (stats[0] > 1) | (np.isin(u, hot_numbers) & np.isin(v, hot_numbers)) | ((u == ends) & (v == ends))
-            v = np.repeat(v, np.diff(np.append(first, len(context))))
-            pairs, distinct = np.unique(pair_keys(v, word, vocabulary), return_counts=True)
-            rows = _pair_rows(0, pairs, distinct[None, :], parts) + _pair_rows(1, own[some], stats[:, some], parts)
-            rows[0] = (*rows[0][:4], [len(counts), *_counts_of_counts(counts)])
+            sums = [len(counts), *_counts_of_counts(counts)]
+            rows = _pair_rows(1, own[some], stats[:, some], parts)
+            sizes = np.diff(np.append(first, len(context)))
+            del context, counts, own, u, some, stats
+            pairs = pair_keys(np.repeat(v, sizes), word, vocabulary)
+            del word, v, first, sizes
+            pairs.sort()
+            first = _starts(pairs)
+            distinct = np.diff(np.append(first, len(pairs))).astype(np.uint32)
+            pairs = pairs[first]
+            rows += _pair_rows(0, pairs, distinct[None, :], parts)
+            del pairs, distinct, first
+            rows[-1] = (*rows[-1][:4], sums)
             for a in range(0, len(rows), 64):
                 yield _batch(PAIR_BLOCK, rows[a : a + 64])
             yield _batch(PAIR_BLOCK, [(-1 - part, 0, b"", b"", [0] * 5)])  # says that the part is there
-            del blocks, rows, contexts, context, word, counts, hashes, order, pairs, distinct, stats, v
+            del rows
             give_back()
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blocks in _by_part(batches):
-            keys, counts = _summed([x[1:3] for x in blocks if x[0] == 0])
+            of_pairs, of_contexts = ([x[1:3] for x in blocks if x[0] == kind] for kind in (0, 1))
+            blocks.clear()
+            keys, counts = _summed(of_pairs)
             counts = counts[0]
-            contexts, stats = _summed([x[1:3] for x in blocks if x[0] == 1], width=4)
-            hashes, hashes_of = mix(keys), mix(contexts)
-            place, own = np.argsort(hashes), np.argsort(hashes_of)
-            table, of = hash_array(hashes[place]), hash_array(hashes_of[own])
-            columns = {k: v for name, row in zip(STATS, stats) for k, v in narrow(name, row[own]).items()}
-            shared_save(f"{path}/pairs/part-{part:06d}.bin", **table, **narrow("counts", counts[place]), **{f"context_{k}": v for k, v in of.items()}, **columns)
+            contexts, stats = _summed(of_contexts, width=4)
+            hashes = _by_pieces(mix, np.uint64, contexts)
+            order = np.argsort(hashes)
+            columns = {f"context_{k}": x for k, x in hash_array(hashes[order]).items()}
+            columns |= {k: x for name, row in zip(STATS, stats) for k, x in narrow(name, row[order]).items()}
+            del contexts, stats
+            hashes = _by_pieces(mix, np.uint64, keys)
+            order = np.argsort(hashes)
+            shared_save(f"{path}/pairs/part-{part:06d}.bin", **hash_array(hashes[order]), **narrow("counts", counts[order]), **columns)
+            del hashes, order, columns
             yield from _number_rows(part, keys, counts, vocabulary, step)
             give_back()
 
@@ -501,7 +572,7 @@ def fit(train: DataFrame) -> Model:
             c = table[4]
             yield _batch("part long, u1 long, u2 long, u3 long, u4 long, more long", [(part, *_counts_of_counts(c), int((c > 2).sum()))])
 
-    with shuffles_freed(spark):
+    with shuffles_freed(spark), _small_batches(spark):
         triples = _spread(_triple_blocks(train, path, parts, bases, hot), tasks).mapInArrow(write_triples, PAIR_BLOCK)
         triples = written(triples, "pair-sums")
         pairs = _spread(triples.where("part >= 0"), tasks).mapInArrow(write_pairs, NUMBER_BLOCK)
@@ -523,9 +594,13 @@ WORD_SUMS = "part long, words long, tokens long, top array<long>, top_counts arr
 
 def _number_rows(part: int, keys: np.ndarray, counts: np.ndarray, vocabulary: int, step: int) -> Iterator[pa.RecordBatch]:
     """What pairs have for each word: as a context the sum and the counts of counts, as a last word the distinct contexts."""
-    context, word = (keys // np.uint64(vocabulary)).astype(np.int64), (keys % np.uint64(vocabulary)).astype(np.int64)
-    numbers = np.unique(np.concatenate((context, word)))
-    c, w = np.searchsorted(numbers, context), np.searchsorted(numbers, word)
+    context = _by_pieces(lambda k: k // np.uint64(vocabulary), np.uint32, keys)
+    word = _by_pieces(lambda k: k % np.uint64(vocabulary), np.uint32, keys)
+    first = _starts(context)
+    numbers = np.union1d(context[first], word).astype(np.int64)
+    c = np.repeat(np.searchsorted(numbers, context[first]), np.diff(np.append(first, len(context))))
+    w = np.searchsorted(numbers, word)
+    del context, word
     add = lambda at: np.bincount(at, minlength=len(numbers)).astype("<u8")
     table = np.stack([np.bincount(c, counts, len(numbers)).astype("<u8"), *(add(x) for x in (c[counts == 1], c[counts == 2], c[counts > 2], w))])
     first = _starts(numbers // step)

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -323,6 +324,46 @@ def test_scores_with_nothing_to_learn(spark):
     assert (one.n_known, one.train_tokens, one.base_score, one.score) == (0, 0, 0.0, 0.0)
 
 
+def test_ngram_blocks_in_small_batches(spark, tmp_path, monkeypatch):
+    """The blocks of a task don't reach a worker in one Arrow batch."""
+    rng, plain, seen, limit = random.Random(9), ngram_lm._by_part, tmp_path / "seen", 20_000
+    rows = [(" ".join(str(rng.randrange(3000)) for _ in range(4000)),) for _ in range(12)]
+
+    def watched(batches):
+        def noted():
+            for batch in batches:
+                with seen.open("a") as out:
+                    print(batch.nbytes, max(batch.slice(i, 1).nbytes for i in range(batch.num_rows)), file=out)
+                yield batch
+
+        return plain(noted())
+
+    monkeypatch.setattr(ngram_lm, "BLOCK_BATCH_BYTES", limit, raising=False)
+    monkeypatch.setattr(ngram_lm, "_by_part", watched)
+    ngram_lm.fit(spark.createDataFrame(rows, "text string").repartition(12))
+    sizes = [tuple(map(int, line.split())) for line in seen.read_text().splitlines()]
+    assert sizes and all(whole <= limit + largest for whole, largest in sizes)
+
+
+def test_ngram_sums_in_little_memory():
+    """Summing a part's blocks takes at most 45 bytes a row, and the blocks go meanwhile."""
+    rng, rows = np.random.default_rng(3), 100_000
+    keys = [np.unique(rng.integers(0, 1 << 62, rows, np.uint64)) for _ in range(10)]
+    blocks = [(ngram_lm.pack_keys(k), np.full(len(k), i + 1, "<u4").tobytes()) for i, k in enumerate(keys + keys[:3])]
+    want = collections.Counter()
+    for i, k in enumerate(keys + keys[:3]):
+        want.update(dict.fromkeys(k[:500].tolist(), i + 1))
+    tracemalloc.start()
+    found, counts = ngram_lm._summed(blocks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * 13 * rows
+    assert not blocks
+    assert len(found) == len(np.unique(np.concatenate(keys)))
+    at = dict(zip(found.tolist(), counts[0].tolist()))
+    assert all(at[k] == n for k, n in want.items())
+
+
 @pytest.fixture(scope="module")
 def ids(rows):
     model = Tokenizer.from_file(BYTE_BPE)
