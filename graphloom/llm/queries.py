@@ -142,6 +142,68 @@ def _op10_sql() -> str:
     return OP10_SQL.replace("BLOCKED_HOSTS", ", ".join(f"('{h}')" for h in BLOCKED_HOSTS))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.conversations import damaged, repair
+
+    return repair(damaged(_table(spark, sf_dir, "conversations")))
+
+
+#: The same repairs edit by edit: each step of the recursion takes one row and keeps the least (cost, audit) of each last role.
+OP11_SQL = r"""
+WITH RECURSIVE source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), bits AS (
+  SELECT k, list_concat([4294967295::BIGINT], list_transform(range(8 * strlen(k)),
+    lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr(k, (i // 8 + 1)::INT, 1)) ELSE 0 END::BIGINT)) AS b FROM (SELECT DISTINCT k FROM source)
+), crc AS (
+  SELECT k, xor(list_reduce(b, lambda x, y: CASE WHEN xor(x, y) % 2 = 1 THEN xor(xor(x, y) // 2, 3988292384) ELSE xor(x, y) // 2 END), 4294967295::BIGINT) % 20 AS kind FROM bits
+), damage AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM source JOIN crc USING (k), (VALUES (1), (2)) AS copies(c) WHERE kind <> 0 AND (c = 1 OR kind = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM damage
+), faults AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS ends_badly,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM placed
+), known AS (
+  SELECT conv_id, max(i) AS n,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (ends_badly AND NOT blank AND NOT duplicate) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+), steps(f, t, between) AS (
+  VALUES ('', 's', ''), ('', 'u', ''), ('', 'a', 'u'), ('s', 'u', ''), ('s', 'a', 'u'), ('u', 'a', ''), ('u', 'u', 'a'), ('a', 'u', ''), ('a', 'a', 'u')
+), edits(f, t, between, e) AS (
+  SELECT f, t, between, e FROM steps, (VALUES ('K'), ('R')) AS v(e) WHERE e = 'K' OR t <> 's'
+  UNION ALL SELECT f, f, '', 'D' FROM (VALUES (''), ('s'), ('u'), ('a')) AS v(f)
+), dp(conv_id, i, state, cost, audit, out) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '', 0, '', ''::VARCHAR FROM source
+  UNION ALL
+  SELECT conv_id, i, t, cost, audit, out FROM (
+    SELECT d.conv_id, r.i, t, d.cost + 3 * length(between) + CASE e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+             + CASE WHEN e <> 'D' AND ends_badly THEN 3 ELSE 0 END AS cost,
+           d.audit || repeat('I', length(between)) || e AS audit,
+           CASE e WHEN 'D' THEN d.out ELSE d.out || CASE between WHEN 'u' THEN chr(10) || 'user:' WHEN 'a' THEN chr(10) || 'assistant:' ELSE '' END || chr(10)
+             || CASE WHEN e = 'K' THEN role WHEN t = 'u' THEN 'user' ELSE 'assistant' END || ':' || text END AS out
+    FROM dp AS d JOIN faults AS r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i + 1 JOIN edits ON f = d.state
+    WHERE e = 'D' OR NOT blank AND NOT duplicate AND (e = 'R' OR substr(role, 1, 1) = t)
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, t ORDER BY cost, audit) = 1
+), ends AS (
+  SELECT d.conv_id, cost + 3 * length(more) AS cost, audit || repeat('I', length(more)) AS audit,
+         substr(out || CASE more WHEN 'a' THEN chr(10) || 'assistant:' WHEN 'ua' THEN chr(10) || 'user:' || chr(10) || 'assistant:' ELSE '' END, 2) AS out
+  FROM dp AS d LEFT JOIN known AS k ON k.conv_id IS NOT DISTINCT FROM d.conv_id
+  JOIN (VALUES ('', ''), ('s', 'ua'), ('u', 'a'), ('a', '')) AS v(s, more) ON s = state WHERE d.i = coalesce(k.n, 0)
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost::BIGINT AS cost, audit, sha256(out) AS repaired_sha256
+FROM ends AS e LEFT JOIN known AS k ON k.conv_id IS NOT DISTINCT FROM e.conv_id
+QUALIFY row_number() OVER (PARTITION BY e.conv_id ORDER BY cost, audit) = 1
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -153,9 +215,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op10_url_filter": _op10_sql(),
+    "op11_conversation_repair": OP11_SQL,
 }
