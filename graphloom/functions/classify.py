@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names and endings of test files, of files with secrets, and of build and data files.
@@ -123,79 +125,107 @@ def head(text: Column, size: int = HEAD_BYTES) -> Column:
 def is_generated_text(text: Column) -> Column:
     """A marker in the first bytes (in any case), or the structure of a framework's migration."""
     top = F.coalesce(F.when(F.octet_length(text) <= HEAD_BYTES, text).otherwise(head(text)), F.lit(""))
-    marked = _or([F.lower(top).contains(m.lower()) for m in GENERATED])
-    alembic = top.contains("down_revision") & top.contains("def upgrade(") & top.rlike(r"(?m)^[ \t]*revision")
-    return marked | alembic | top.contains("class Migration(migrations.Migration)")
 
+    def marked(t: Column) -> Column:
+        alembic = t.contains("down_revision") & t.contains("def upgrade(") & t.rlike(r"(?m)^[ \t]*revision")
+        by_tool = _let(F.lower(t), lambda low: _or([low.contains(m.lower()) for m in GENERATED]))
+        return by_tool | alembic | t.contains("class Migration(migrations.Migration)")
 
-def classification(path: Column, text: Column, binary: Column | None = None) -> Column:
-    """A struct category, format, tier, analyzer, policy, generated_score, vendored_score: the first rule that fits.
+    return _let(top, marked)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda's variable is not replaced by what it stands for."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def language_table(spark: SparkSession) -> DataFrame:
+    """extension, language, category, tier, analyzer: the languages that are known without a table of one's own."""
+    rows = [(e, name, category, tier, how) for name, extensions, category, tier, how in LANGUAGES for e in extensions.split()]
+    return spark.createDataFrame(rows, "extension string, language string, category string, tier string, analyzer string")
+
+
+FIELDS = ("category", "format", "tier", "analyzer", "policy")
 
-    In order: exact name, place of the path, extension, first line, content; then a fallback. Where the file comes from
-    (generated, vendored) is scored after that.
-    """
-    binary = F.lit(False) if binary is None else binary
-    name, ext, parts = _name(path), file_extension(path), F.split(path, "/")
 
-    def rule(category, form, tier: str, analyzer: str, policy: str = "Allowed", vendored: int = 0) -> Column:
+def classified(files: DataFrame, languages: DataFrame | None = None, binary: Column | None = None, path: str = "path", text: str = "content", size: str = "size_bytes") -> DataFrame:
+    """files with category, format, tier, analyzer, policy, generated_score, vendored_score; columns of those names are replaced.
+
+    The first rule that fits: exact name, place of the path, extension, first line, content; then a fallback. Where the file
+    comes from (generated, vendored) is scored after that. Then the gates: secret paths are never read, large and vendored files
+    are opaque. Names and extensions are looked up in small tables by joins: the fixed one of names is broadcast, and a table of
+    languages of one's own (extension, language, category, tier, analyzer) is broadcast if Spark finds it small. A null path has
+    no name: its text decides.
+    """
+    spark = files.sparkSession
+    name, ext = F.element_at(F.split(path, "/"), -1), file_extension(F.col(path))
+    known = F.broadcast(spark.createDataFrame(EXACT, "_name string, category string, format string, tier string, analyzer string"))
+    by_name = known.select("_name", F.struct("category", "format", "tier", "analyzer", F.when(F.col("format") == "lockfile", "ExcerptOnly").otherwise("Allowed").alias("policy")).alias("_exact"))
+    kinds = language_table(spark) if languages is None else languages
+    kinds = F.broadcast(kinds) if languages is None else kinds
+    by_extension = kinds.select(F.col("extension").alias("_ext"), F.struct("category", F.col("language").alias("format"), "tier", "analyzer", F.lit("Allowed").alias("policy")).alias("_language"))
+    keyed = files.drop(*FIELDS, "generated_score", "vendored_score").withColumns({"_name": name, "_ext": ext})
+    keyed = keyed.join(by_name, "_name", "left").join(by_extension, "_ext", "left")
+    found = _let(F.struct(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(size).alias("size"), "_ext", "_exact", "_language",
+                          (F.lit(False) if binary is None else binary).alias("binary")), _first_rule)
+    return keyed.withColumn("_found", found).select(*[c for c in keyed.columns if c[0] != "_"], "_found.*")
+
+
+def _first_rule(file: Column) -> Column:
+    path, ext, exact, language, binary = (file[k] for k in ("path", "_ext", "_exact", "_language", "binary"))
+    parts = F.split(path, "/")
+
+    def rule(category: str, form: Column | str | None, tier: str, analyzer: str, policy: str = "Allowed") -> Column:
         form = F.lit(form) if isinstance(form, str) or form is None else form
-        category = F.lit(category) if isinstance(category, str) else category
-        fields = {"category": category, "format": form.cast("string"), "tier": F.lit(tier), "analyzer": F.lit(analyzer), "policy": F.lit(policy), "vendored_score": F.lit(vendored)}
-        return F.struct(*[v.alias(k) for k, v in fields.items()])
-
-    cases: list[tuple[Column, Column]] = []
-    for exact, category, form, tier, analyzer in EXACT:
-        cases.append((name == exact, rule(category, form, tier, analyzer, "ExcerptOnly" if form == "lockfile" else "Allowed")))
-    cases.append((path.startswith(".github/workflows/"), rule("ContinuousIntegration", "github-actions", "StructuredFormat", "Structured")))
-    migration = F.array_contains(parts, "migrations")
-    for language, extensions, _, tier, analyzer in LANGUAGES:
-        cases.append((migration & ext.isin(*extensions.split()), rule("DatabaseMigration", language, tier, analyzer)))
-    cases.append((migration, rule("DatabaseMigration", ext, "GenericText", "GenericText")))
+        values = (F.lit(category), form.cast("string"), F.lit(tier), F.lit(analyzer), F.lit(policy))
+        return F.struct(*[v.alias(k) for k, v in zip(FIELDS, values)])
+
+    plain = ("GenericText", "GenericText")
+    first = F.regexp_extract(file["text"], r"^[^\r\n]*", 0)
+    start = F.ltrim(F.substring(file["text"], 1, HEAD_BYTES))
     fixture = path.contains("tests/fixtures/") | path.contains("test/fixtures/")
-    cases.append((fixture & binary, rule("BinaryAsset", F.coalesce(ext, F.lit("binary")), "Opaque", "Opaque", "Never")))
-    cases.append((fixture, rule("TestData", ext, "GenericText", "GenericText", "ExcerptOnly")))
-    by_extension = [(ext == "lock", rule("DependencyLockfile", "lockfile", "StructuredFormat", "Structured", "ExcerptOnly"))]
     asset = ext.isin("svg", *IMAGES)
-    by_extension.append((asset & binary, rule("StaticAsset", ext, "Opaque", "Opaque", "Never")))
-    by_extension.append((asset, rule("StaticAsset", ext, "GenericText", "GenericText", "ExcerptOnly")))
-    by_extension.append((ext.isin(*BINARIES), rule("BinaryAsset", ext, "Opaque", "Opaque", "Never")))
-    by_extension.append((ext == "csproj", rule("PackageManifest", "csproj", "StructuredFormat", "Specialized")))
-    for language, extensions, category, tier, analyzer in LANGUAGES:
-        by_extension.append((ext.isin(*extensions.split()), rule(category, language, tier, analyzer)))
-    cases += by_extension  # a vendored file has the class of its extension; its score follows below
-    first = F.regexp_extract(F.coalesce(text, F.lit("")), r"^[^\r\n]*", 0)
-    bang = first.startswith("#!")
-    cases.append((bang & first.contains("python"), rule("SourceCode", "python", "DeepLanguage", "Specialized")))
-    cases.append((bang & first.contains("sh"), rule("Script", "shell", "GenericText", "GenericText")))
-    cases.append((bang, rule("Script", "script", "GenericText", "GenericText")))
-    start = F.ltrim(F.coalesce(text, F.lit("")))
-    cases.append((start.startswith("FROM ") | start.startswith("ARG "), rule("ContainerDefinition", "dockerfile", "StructuredFormat", "Structured")))
-    cases.append((start.startswith("<svg") | (start.startswith("<?xml") & start.contains("<svg")), rule("StaticAsset", "svg", "GenericText", "GenericText", "ExcerptOnly")))
-    cases.append((binary, rule("UnknownBinary", ext, "Opaque", "Opaque", "Never")))
-    out = rule("UnknownText", None, "GenericText", "GenericText")
-    for condition, choice in reversed(cases):
-        out = F.when(F.coalesce(condition, F.lit(False)), choice).otherwise(out)
-    generated = F.array_contains(parts, "generated") | is_generated_text(text)
-    vendored = ~generated & _any_of(parts, ("vendor", "third_party", "third-party"))
-    return F.struct(
-        F.when(generated, "GeneratedSource").otherwise(out["category"]).alias("category"),
-        out["format"].alias("format"),
-        out["tier"].alias("tier"),
-        out["analyzer"].alias("analyzer"),
-        F.when(binary, "Never").otherwise(out["policy"]).alias("policy"),
-        F.when(generated, 100).otherwise(0).alias("generated_score"),
-        F.when(vendored, VENDORED).otherwise(0).alias("vendored_score"),
+    of_migration = F.struct(F.lit("DatabaseMigration").alias("category"), *[language[k].alias(k) for k in FIELDS[1:]])
+    cases = (
+        (exact.isNotNull(), exact),
+        (path.startswith(".github/workflows/"), rule("ContinuousIntegration", "github-actions", "StructuredFormat", "Structured")),
+        (F.array_contains(parts, "migrations"), F.when(language.isNotNull(), of_migration).otherwise(rule("DatabaseMigration", ext, *plain))),
+        (fixture & binary, rule("BinaryAsset", F.coalesce(ext, F.lit("binary")), "Opaque", "Opaque", "Never")),
+        (fixture, rule("TestData", ext, *plain, "ExcerptOnly")),
+        (ext == "lock", rule("DependencyLockfile", "lockfile", "StructuredFormat", "Structured", "ExcerptOnly")),
+        (asset & binary, rule("StaticAsset", ext, "Opaque", "Opaque", "Never")),
+        (asset, rule("StaticAsset", ext, *plain, "ExcerptOnly")),
+        (ext.isin(*BINARIES), rule("BinaryAsset", ext, "Opaque", "Opaque", "Never")),
+        (ext == "csproj", rule("PackageManifest", "csproj", "StructuredFormat", "Specialized")),
+        (language.isNotNull(), language),
+        (first.startswith("#!") & first.contains("python"), rule("SourceCode", "python", "DeepLanguage", "Specialized")),
+        (first.startswith("#!") & first.contains("sh"), rule("Script", "shell", *plain)),
+        (first.startswith("#!"), rule("Script", "script", *plain)),
+        (start.startswith("FROM ") | start.startswith("ARG "), rule("ContainerDefinition", "dockerfile", "StructuredFormat", "Structured")),
+        (start.startswith("<svg") | (start.startswith("<?xml") & file["text"].contains("<svg")), rule("StaticAsset", "svg", *plain, "ExcerptOnly")),
+        (binary, rule("UnknownBinary", ext, "Opaque", "Opaque", "Never")),
     )
+    out = rule("UnknownText", None, *plain)
+    for condition, choice in reversed(cases):
+        out = F.when(condition, choice).otherwise(out)
+    generated = F.coalesce(F.array_contains(parts, "generated"), F.lit(False)) | is_generated_text(file["text"])
+    vendored = F.coalesce(_any_of(parts, ("vendor", "third_party", "third-party")), F.lit(False))
+    facts = F.struct(out.alias("rule"), generated.alias("generated"), vendored.alias("vendored"), F.coalesce(is_secret_path(path), F.lit(False)).alias("secret"))
+    return _let(facts, lambda x: _gated(x, file))
 
 
-def gated(found: Column, path: Column, size: Column) -> Column:
-    """tier, analyzer and policy after the gates: secret paths are never read, large and vendored files are opaque."""
-    secret = is_secret_path(path)
-    opaque = (size > MOST_BYTES) | (found["vendored_score"] >= VENDORED)
+def _gated(x: Column, file: Column) -> Column:
+    rule, secret, vendored = x["rule"], x["secret"], x["vendored"] & ~x["generated"]
+    opaque = F.coalesce(file["size"] > MOST_BYTES, F.lit(False)) | vendored
+    policy = F.when(file["binary"], "Never").otherwise(rule["policy"])
     return F.struct(
-        F.when(secret | opaque, "Opaque").otherwise(found["tier"]).alias("tier"),
-        F.when(secret | opaque, "Opaque").otherwise(found["analyzer"]).alias("analyzer"),
-        F.when(secret, "Never").when(opaque & (found["policy"] == "Allowed"), "ExcerptOnly").otherwise(found["policy"]).alias("policy"),
+        F.when(x["generated"], "GeneratedSource").otherwise(rule["category"]).alias("category"),
+        rule["format"].alias("format"),
+        F.when(secret | opaque, "Opaque").otherwise(rule["tier"]).alias("tier"),
+        F.when(secret | opaque, "Opaque").otherwise(rule["analyzer"]).alias("analyzer"),
+        F.when(secret, "Never").when(opaque & (policy == "Allowed"), "ExcerptOnly").otherwise(policy).alias("policy"),
+        F.when(x["generated"], 100).otherwise(0).alias("generated_score"),
+        F.when(vendored, VENDORED).otherwise(0).alias("vendored_score"),
     )
 
 

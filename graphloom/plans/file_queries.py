@@ -57,9 +57,7 @@ gated AS (SELECT *, CASE WHEN secret OR size_bytes > 1000000 OR vendored_score >
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files(spark, sf_dir).withColumn("c", classify.classification(F.col("path"), F.col("content")))
-    gates = classify.gated(F.col("c"), F.col("path"), F.col("size_bytes"))
-    return rows.withColumn("g", gates).select("k", "path", "size_bytes", "content", "c.category", "c.format", "c.generated_score", "c.vendored_score", "g.tier", "g.analyzer", "g.policy")
+    return classify.classified(files(spark, sf_dir))
 
 
 @query(f"WITH {CLASSES} SELECT path, category, format, generated_score, vendored_score, tier, analyzer, policy FROM gated")

@@ -180,7 +180,7 @@ def requirement_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.functions import classify
 
     rows = classified(spark, sf_dir)
-    rows = rows.select("path", "content", classify.analyzer(F.col("path"), F.col("format"), F.lit("Specialized")).alias("kind")).where("path LIKE '%/requirements.txt'")
+    rows = rows.where("path LIKE '%/requirements.txt'").select("path", "content", classify.analyzer(F.col("path"), F.col("format"), F.lit("Specialized")).alias("kind"))
     facts = extensions.analyzed(rows, "Requirements")["packages"]
     return extensions.fact_edges(facts.withColumn("target", F.concat(F.lit("package:"), "package")), "DeclaresRequirement", "target")
 

@@ -58,6 +58,47 @@ FROM (SELECT *, CASE k % 26
 """
 
 
+#: Files of eleven formats over the part table whose contents vary with its rows, in SQL that both run: k, path, content, size_bytes.
+STACKS = """
+SELECT k, path, length(content) AS size_bytes, content FROM (SELECT k, CASE k % 11
+  WHEN 0 THEN 'docs/' || adj || '/note' || k || '.md'
+  WHEN 1 THEN 'docker/' || noun || k || '/Dockerfile'
+  WHEN 2 THEN 'stacks/' || adj || k || '/compose.yml'
+  WHEN 3 THEN '.github/workflows/w' || k || '.yml'
+  WHEN 4 THEN 'crates/' || noun || k || '/Cargo.toml'
+  WHEN 5 THEN 'py/' || noun || k || '/pyproject.toml'
+  WHEN 6 THEN 'web/' || noun || k || '/package.json'
+  WHEN 7 THEN CASE WHEN k % 2 = 0 THEN 'config/' || noun || k || '/.env.' || adj ELSE 'config/' || noun || k || '/app.properties' END
+  WHEN 8 THEN 'proto/' || noun || k || '.proto'
+  WHEN 9 THEN 'py/r' || k || '/requirements.txt'
+  ELSE 'go/' || noun || k || '/go.mod' END AS path, CASE k % 11
+  WHEN 0 THEN '# About ' || noun || chr(10) || CASE WHEN k % 2 = 0 THEN 'See [the image](../../docker/' || noun || (k + 1) || '/Dockerfile) and [gone](missing' || k || '.md#top) and [web](https://example.org/' || adj || '/x.html).' ELSE 'It is in proto/' || noun || (k + 8) || '.proto and in none/' || noun || '.rs too.' END || chr(10)
+    || CASE k % 4 WHEN 0 THEN '```sh' WHEN 1 THEN '~~~bash' WHEN 2 THEN '```python' ELSE '````console' END || chr(10) || '# a comment' || chr(10) || '$ make ' || noun || chr(10) || CASE WHEN k % 3 = 0 THEN 'run --all ' || adj || chr(10) || '' || chr(10) ELSE '' END
+    || CASE k % 4 WHEN 0 THEN '```' WHEN 1 THEN '~~~' WHEN 2 THEN '```' ELSE '````' END || chr(10) || '## Use of ' || adj || ' ##' || chr(10) || '#none'
+  WHEN 1 THEN CASE k % 3 WHEN 0 THEN 'FROM --platform=linux rust:1.' || (k % 90) || ' AS build' WHEN 1 THEN 'from debian:' || (k % 13) ELSE '# first' || chr(10) || 'FROM alpine' END || chr(10) || 'ARG MODE=' || adj || chr(10)
+    || CASE WHEN k % 2 = 0 THEN 'RUN make \\' || chr(10) || '# between' || chr(10) || '  ' || noun ELSE 'RUN make ' || noun END || chr(10) || 'ENV ' || upper(adj) || '_HOME=/x B_' || (k % 5) || '=2' || chr(10) || 'EXPOSE 80' || chr(10) || 'FROM nginx:' || (k % 4) || chr(10) || 'CMD ["run", "' || noun || '"]'
+  WHEN 2 THEN CASE WHEN k % 47 = 2 THEN 'services: [' ELSE 'services:' || chr(10) || '  web:' || chr(10) || '    image: ' || noun || ':' || (k % 5) || chr(10) || '    environment:' || chr(10)
+    || CASE WHEN k % 2 = 0 THEN '      - ' || upper(noun) || '_URL=http' || chr(10) || '      - MODE' ELSE '      ' || upper(noun) || '_URL: http' || chr(10) || '      LEVEL: "' || (k % 3) || '"' END || chr(10)
+    || '    depends_on:' || chr(10) || CASE WHEN k % 3 = 0 THEN '      - db' ELSE '      - cache' END || chr(10) || CASE WHEN k % 4 <> 0 THEN '  db:' || chr(10) || '    image: postgres:' || (10 + k % 7) || chr(10) ELSE '' END || 'volumes:' || chr(10) || '  ' || adj || ': {}' END
+  WHEN 3 THEN 'on: push' || chr(10) || 'jobs:' || chr(10) || '  build:' || chr(10) || '    steps:' || chr(10) || '      - uses: actions/checkout@v4' || chr(10) || '      - run: docker build -t ' || noun || ':' || (k % 6) || ' .' || chr(10) || '        env:' || chr(10) || '          CI_' || upper(adj) || ': "1"' || chr(10)
+    || '      - run: ' || CASE WHEN k % 2 = 0 THEN 'docker push ' || noun || ':' || (k % 6) ELSE 'make ' || adj END || CASE WHEN k % 5 = 0 THEN chr(10) || '  ' || adj || ':' || chr(10) || '    steps:' || chr(10) || '      - run: echo ' || noun ELSE '' END
+  WHEN 4 THEN '[package]' || chr(10) || 'name = "' || noun || k || '"' || chr(10) || '[dependencies]' || chr(10) || 'serde = "1.' || (k % 9) || '"' || chr(10) || adj || ' = { version = "0.' || (k % 4) || '", optional = true }' || CASE WHEN k % 2 = 0 THEN chr(10) || '[dev-dependencies]' || chr(10) || 'proptest = "1"' ELSE '' END
+  WHEN 5 THEN '[project]' || chr(10) || 'name = "' || noun || '-' || k || '"' || chr(10) || 'dependencies = [' || chr(10) || '  "requests>=2.' || (k % 5) || '",' || chr(10) || '  "' || adj || '_lib[extra]==1"' || CASE WHEN k % 2 = 0 THEN ',' || chr(10) || '  "Flask"' ELSE '' END || chr(10) || ']'
+  WHEN 6 THEN '{' || chr(10) || '  "name": "@acme/' || noun || k || '",' || chr(10) || '  "dependencies": {' || chr(10) || '    "react": "^18.0.' || (k % 5) || '",' || chr(10) || '    "' || adj || '-kit": "~2"' || chr(10) || '  }' || CASE WHEN k % 2 = 0 THEN ',' || chr(10) || '  "devDependencies": {' || chr(10) || '    "jest": "29"' || chr(10) || '  }' ELSE '' END || chr(10) || '}'
+  WHEN 7 THEN '# of ' || adj || chr(10) || CASE WHEN k % 2 = 0 THEN 'export ' || upper(noun) || '_URL="http://${' || upper(adj) || '_HOST}:$PORT"' || chr(10) || '! no' || chr(10) || 'MODE=' || adj ELSE 'server.' || noun || '.port=80' || chr(10) || 'name: ${' || upper(noun) || '}' END
+  WHEN 8 THEN 'service ' || noun || 'Api {' || chr(10) || '  rpc Get (Req) returns (Res);' || chr(10) || CASE WHEN k % 2 = 0 THEN '  rpc Put' || adj || ' (Req) returns (Res) {' || chr(10) || '  }' || chr(10) ELSE '' END || '}' || chr(10) || 'message Req {' || chr(10) || '  string rpc = 1; // rpc No (x)' || chr(10) || '}'
+  WHEN 9 THEN '# pinned' || chr(10) || 'requests==2.' || (k % 31) || chr(10) || '-r base.txt' || chr(10) || CASE WHEN k % 2 = 0 THEN 'Flask_Login>=2  # web' || chr(10) ELSE '' END || adj || '.' || noun || '[x]~=1'
+  ELSE 'module example.org/' || noun || k || chr(10) || 'require (' || chr(10) || '  github.com/acme/' || adj || ' v1.' || (k % 5) || '.0' || chr(10) || '  golang.org/x/net v0.1.0 // indirect' || chr(10) || ')' || CASE WHEN k % 2 = 0 THEN chr(10) || 'require example.org/' || noun || ' v0.0.1' || chr(10) || 'replace example.org/a => ../a' ELSE '' END
+  END AS content FROM (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM {part}) AS p) AS q
+"""
+
+
+def stack_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, path, size_bytes, content of the files of STACKS."""
+    text = STACKS.replace("{", "{{").replace("}", "}}").replace("{{part}}", "{part}")
+    return spark.sql(text.replace("\\", "\\\\"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, path, size_bytes, content of the files over the part table."""
     text = FILES.replace("{", "{{").replace("}", "}}").replace("{{part}}", "{part}")
