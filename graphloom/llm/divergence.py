@@ -215,15 +215,15 @@ def _compared(lang: str, block: int, rows: pa.Table, top: int) -> pa.Table:
     size = np.maximum(total + kinds, 1)  # no kept terms at all: nothing is divided by it
     p = scaled(n + 2, size[row])
     absent = scaled(np.minimum(2, size), size)
-    from_source, from_item, values = [], [], []
+    from_source, from_item, values, step = [], [], [], max(1, 2_000_000 // len(names))
     for g in mine.tolist():
         has = slice(row_at[g], row_at[g + 1])
         dense = np.full(n_terms, absent[g])
         dense[column[has]] = p[has]
         # every source as if it had no term of the bucket, then the difference that its entries make
         sums = (n_terms - width[g]) * divergence(absent, absent[g])
-        for a in range(row_at[g], row_at[g + 1], 4096):
-            sums += divergence(absent[:, None], p[a : min(a + 4096, row_at[g + 1])]).sum(axis=1)
+        for a in range(row_at[g], row_at[g + 1], step):
+            sums += divergence(absent[:, None], p[a : min(a + step, row_at[g + 1])]).sum(axis=1)
         change = divergence(p, dense[column]) - divergence(absent[row], dense[column])
         filled = np.flatnonzero(width)
         if len(filled):
