@@ -5,14 +5,16 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import json
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +52,35 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, old)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Queries that run inside send rows to Python as Arrow batches of about so many bytes at most; one larger row stands alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
+def given_back(make: Callable) -> Callable:
+    """A function over batches that returns its freed memory to the machine when a task ends."""
+
+    @functools.wraps(make)
+    def wrapped(batches):
+        yield from make(batches)
+        give_back()
+
+    return wrapped
+
+
 def give_back() -> None:
     """In a worker: return freed memory to the machine, where the C library can; large arrays that are gone would stay with it."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import by_bytes, prepare, shuffles_freed, text_of, written
+from graphloom.llm.common import prepare, shuffles_freed, text_of, written
 
 LEAST_DOCS, TOP_TERMS = 10, 10
 SCALE = 10**9
@@ -113,10 +113,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [pa.array([g[k] for g in groups], pa.string()).take(pa.array(of)) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays([*names, pa.array(distinct, pa.binary()).cast(pa.string()).take(pa.array(which)), pa.array(n), pa.array(docs)], schema=TERMS)
 
+    held: tuple[list[str], list[str], list[bytes]] = ([], [], [])
+    size = 0
     for batch in batches:
-        langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()
-        for a, b in by_bytes(texts, AT_ONCE):
-            yield from rows(langs[a:b], sources[a:b], texts[a:b])
+        for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+            if held[2] and size + len(x[2]) > AT_ONCE:
+                yield from rows(*held)
+                held, size = ([], [], []), 0
+            for column, value in zip(held, x):
+                column.append(value)
+            size += len(x[2])
+    if held[2]:
+        yield from rows(*held)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

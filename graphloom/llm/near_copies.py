@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, map_shipped, prepare, ship_arrays, shuffles_freed, text_of, unused, written
+from graphloom.llm.common import LOWER, given_back, map_shipped, prepare, ship_arrays, shuffles_freed, small_batches, text_of, unused, written
 from graphloom.operators.components import components
 from graphloom.storage import discard
 
@@ -37,8 +37,10 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 4, 100_000
 DISTANCE = 3
 #: Rounds in which each bucket has a leader that all others are compared to, before what is still apart is compared in pairs.
 LEADERS = 2
-#: Rows of a bucket that are compared in pairs at a time.
-BLOCK = 2048
+#: Rows of a bucket that are compared in pairs at a time, and shingles that they have together, about.
+BLOCK, BLOCK_SHINGLES = 2048, 500_000
+#: Bytes of an Arrow batch, about; one longer text or set stands alone.
+BATCH_BYTES = 4 << 20
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -60,6 +62,7 @@ def _digest(text_col: str) -> Column:
 def _frequent(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
     """Hashes of shingles that are in several texts of a sample, sorted."""
 
+    @given_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [shingles(t, words) for batch in batches for t in batch.column(0).to_pylist()]
         if held:
@@ -98,6 +101,7 @@ def _nodes(docs: DataFrame, words: int, least: float, id_col: str, text_col: str
 
     frequent = ship_arrays(docs.sparkSession, "frequent-shingles", keys=_frequent(docs, words, text_col))
 
+    @given_back
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = map_shipped(frequent)["keys"]
         for batch in batches:
@@ -129,6 +133,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """pairs: distinct u, v, n_u, n_v. Those whose bitmaps don't rule them out; written."""
     sized = nodes.select("node", F.struct("n", "bits").alias("x"))
 
+    @given_back
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v, a, b = batch.columns
@@ -144,6 +149,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 def _sets(some: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, text_col: str) -> DataFrame:
     """some: distinct node. node, tokens: all shingles of their texts; written."""
 
+    @given_back
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "tokens"])
@@ -166,6 +172,7 @@ def near(x: np.ndarray, y: np.ndarray, least: float) -> bool:
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, least: float, text_col: str) -> DataFrame:
     """pairs: u, v, written. Those with Jaccard >= least, by all shingles of their texts; written."""
 
+    @given_back
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v, a, b = batch.columns
@@ -238,16 +245,18 @@ def _plausible_in_buckets(rows: DataFrame, nodes: DataFrame, least: float, block
     """rows: h, node, n, f, root. Pairs u < v of different roots in a bucket that sizes, frequent shingles and bitmaps don't rule out.
 
     ends: not the pairs, but h, i, j (the group), node, root of rows that are in one, each once. Pairs are compared in arrays. A
-    bucket of more than `block` rows is cut into blocks; each pair of blocks is a group of its own, so no task has a large bucket.
+    bucket of more than `block` rows or BLOCK_SHINGLES shingles is cut into blocks; each pair of blocks is a group of its own, so no task has a large bucket.
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    size = F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)
+    blocks = rows.groupBy("h").agg(F.ceil(size).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     laid = rows.join(blocks, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = laid.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", F.coalesce("f", F.lit(-1)).alias("f"), "root").join(nodes.select("node", "bits"), "node")
     ordered = keyed.select("h", "i", "j", "own", "node", "n", "f", "root", "bits").repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j")
 
+    @given_back
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in _groups(batches):
             node, root = (np.array([r[k] for r in held], np.int64) for k in (1, 4))
@@ -294,6 +303,7 @@ def _linked_in_buckets(members: DataFrame, docs: DataFrame, nodes: DataFrame, wo
     discard(members)
     sets = _sets(some.select("node").distinct(), docs, nodes, words, text_col)
 
+    @given_back
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _groups(batches):
             tokens = [np.frombuffer(r[2], np.uint64) for r in held]
@@ -343,7 +353,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     connect. Each row has its own verdict: of repeated rows one stays, and an id that is in several groups may stay in each.
     """
     prepare(docs.sparkSession)
-    with shuffles_freed(docs.sparkSession):
+    with shuffles_freed(docs.sparkSession), small_batches(docs.sparkSession, BATCH_BYTES):
         nodes = _nodes(docs, words, least, id_col, text_col)
         roots = components(_links(docs, nodes, words, least, text_col)).select("node", "root")
     grouped = nodes.select("node", "least", "digest").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, by_bytes, fresh_path, give_back, prepare, shared_map, shared_save, shuffles_freed, text_of, written
+from graphloom.llm.common import LOWER, by_bytes, fresh_path, give_back, prepare, shared_map, shared_save, shuffles_freed, small_batches, text_of, written
 
 #: The end token's hash is that of a string no word can be.
 END = xxhash.xxh3_64_intdigest(b"\n")
@@ -445,21 +445,6 @@ def _spread(blocks: DataFrame, tasks: int) -> DataFrame:
     return blocks.repartition(tasks, "part").sortWithinPartitions("part")
 
 
-@contextlib.contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside send blocks to Python as Arrow batches of BLOCK_BATCH_BYTES and one block at most."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, str(BLOCK_BATCH_BYTES))
-    try:
-        yield
-    finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
-
-
 def _pair_rows(kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
     """Blocks of pair keys (sorted) for the parts of pairs; counts: a row for each number a key has."""
     part = _by_pieces(lambda k: hash_part(mix(k), parts), np.uint16 if parts < 1 << 16 else np.uint32, keys)
@@ -486,7 +471,7 @@ def fit(train: DataFrame) -> Model:
             top = np.argsort(-counts, kind="stable")[:HOTTEST]
             yield _batch(WORD_SUMS, [(part, len(keys), int(counts.sum()), top.tolist(), counts[top].tolist())])
 
-    with shuffles_freed(spark), _small_batches(spark):
+    with shuffles_freed(spark), small_batches(spark, BLOCK_BATCH_BYTES):
         sums = _spread(_word_blocks(train, parts), tasks).mapInArrow(write_words, WORD_SUMS).collect()
     sizes = np.zeros(parts, np.int64)
     for r in sums:
@@ -572,7 +557,7 @@ def fit(train: DataFrame) -> Model:
             c = table[4]
             yield _batch("part long, u1 long, u2 long, u3 long, u4 long, more long", [(part, *_counts_of_counts(c), int((c > 2).sum()))])
 
-    with shuffles_freed(spark), _small_batches(spark):
+    with shuffles_freed(spark), small_batches(spark, BLOCK_BATCH_BYTES):
         triples = _spread(_triple_blocks(train, path, parts, bases, hot), tasks).mapInArrow(write_triples, PAIR_BLOCK)
         triples = written(triples, "pair-sums")
         pairs = _spread(triples.where("part >= 0"), tasks).mapInArrow(write_pairs, NUMBER_BLOCK)
