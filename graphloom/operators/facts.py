@@ -184,7 +184,7 @@ def _described(rows: DataFrame) -> DataFrame:
     at, value = F.col("config_path"), F.col("value")
     group = lambda pattern, k: F.nullif(F.regexp_extract(at, pattern, k), F.lit(""))
     service, job = group(r"^services\.([^.\[]+)", 1), group(r"^jobs\.([^.\[]+)", 1)
-    image = lambda word: F.nullif(F.regexp_extract(value, rf"docker {word}\s(?:.*?(?:-t|--tag)[ =])?(\S+)", 1), F.lit(""))
+    image = lambda pattern: F.nullif(F.regexp_extract(value, pattern, 1), F.lit(""))
     fact = lambda when, name, of, owner=None, key=None: F.when(
         when, F.struct(F.lit(of).alias("fact"), (F.lit(None).cast("string") if owner is None else owner).alias("owner"), name.alias("name"), (F.lit(None).cast("string") if key is None else key).alias("key"))
     )
@@ -205,8 +205,8 @@ def _described(rows: DataFrame) -> DataFrame:
         fact(actions & at.rlike(r"^jobs\.[^.\[]+$"), of_job, "job"),
         fact(actions & at.rlike(r"^jobs\.[^.\[]+\.steps\[\d+\]\.env\.[^.\[]+$"), group(r"env\.([^.\[]+)$", 1), "env", of_job),
         fact(run, value, "command", of_job, step),
-        fact(builds, image("build"), "builds", of_job),
-        fact(pushes & ~builds, image("push"), "pushes", of_job),
+        fact(builds, image(r"docker build\s(?:.*?\s)?(?:-t|--tag)[ =](\S+)"), "builds", of_job),
+        fact(pushes & ~builds, image(r"docker push\s+(\S+)"), "pushes", of_job),
         fact(local & (F.col("kind") == "String"), value, "local"),
     )
     from_values = values.select("path", "analyzer", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("path", "analyzer", "f.*", F.lit(None).cast("int").alias("line"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import parent, resolved
+from graphloom.operators.propagate import first_inherited as inherited_methods
+from graphloom.operators.propagate import layers as topological_layers  # noqa: F401
 from graphloom.storage import written
 
 
@@ -88,42 +90,8 @@ def re_exports(wanted: DataFrame, exports: DataFrame, defined: DataFrame, longes
     return best.select("file", "name", F.col("x.at").alias("origin"), F.col("x.as").alias("origin_name"), F.col("x.depth").alias("depth"))
 
 
-def inherited_methods(classes: DataFrame, inherits: DataFrame, methods: DataFrame, longest: int = 16) -> DataFrame:
-    """classes: class. inherits: class, base. methods: class, method. class, method, owner, depth: the nearest definition of each."""
-    bases = written(inherits.select("class", "base").distinct(), "bases")
-    at = written(classes.select("class").distinct().select("class", F.col("class").alias("at")).withColumn("depth", F.lit(0)), "ancestors")
-    seen = at
-    for depth in range(1, longest + 1):
-        up = at.join(bases.select(F.col("class").alias("at"), "base"), "at").select("class", F.col("base").alias("at")).distinct()
-        at = written(up.join(seen.select("class", "at"), ["class", "at"], "left_anti").withColumn("depth", F.lit(depth)), "ancestors")
-        if at.isEmpty():
-            break
-        seen = seen.unionByName(at)
-    found = seen.join(methods.select(F.col("class").alias("at"), "method"), "at")
-    return found.groupBy("class", "method").agg(F.min(F.struct("depth", "at")).alias("x")).select("class", "method", F.col("x.at").alias("owner"), F.col("x.depth").alias("depth"))
-
-
 def member_calls(calls: DataFrame, bindings: DataFrame, inherits: DataFrame, methods: DataFrame) -> DataFrame:
     """calls: file, receiver, method. bindings: file, receiver, class. What each call names, through inherited methods: owner, depth."""
     bound = calls.join(bindings, ["file", "receiver"])
     own = inherited_methods(bound.select("class"), inherits, methods)
     return bound.join(own, ["class", "method"], "left").select("file", "receiver", "method", "class", "owner", "depth")
-
-
-def topological_layers(edges: DataFrame, longest: int = 64) -> DataFrame:
-    """edges: source, target, without circles (condense them before). id, layer: the longest way from a source, found layer by layer."""
-    steps = written(edges.where("source <> target").select("source", "target").distinct(), "arcs")
-    ids = steps.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    layers = written(ids.withColumn("layer", F.lit(0)), "layers")
-    for _ in range(longest):
-        after = steps.join(layers, steps["source"] == layers["id"]).groupBy("target").agg((F.max("layer") + 1).alias("least"))
-        new = written(layers.join(after, layers["id"] == after["target"], "left").select("id", F.greatest("layer", F.coalesce("least", F.lit(0))).alias("layer")), "layers")
-        if new.join(layers, ["id", "layer"], "left_anti").isEmpty():
-            return new
-        layers = new
-    raise ValueError(f"the edges have a circle, or a way of more than {longest} steps")
-
-
-def first_by(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    """One row for each key: the first by `order`."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
