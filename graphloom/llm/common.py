@@ -172,6 +172,10 @@ def _local(uri: str) -> str | None:
     return uri if uri.startswith("/") else None
 
 
+def mounted(uri: str) -> bool:
+    return _local(uri) is not None
+
+
 def shared_save(uri: str, **arrays: np.ndarray) -> None:
     """In a worker: save_arrays() into the shared folder, mounted or in a store that pyarrow opens."""
     if path := _local(uri):

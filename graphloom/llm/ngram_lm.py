@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, by_bytes, fresh_path, give_back, prepare, shared_map, shared_save, shuffles_freed, small_batches, text_of, written
+from graphloom.llm.common import LOWER, by_bytes, fresh_path, give_back, mounted, prepare, shared_map, shared_save, shuffles_freed, small_batches, text_of, written
 
 #: The end token's hash is that of a string no word can be.
 END = xxhash.xxh3_64_intdigest(b"\n")
@@ -282,6 +282,11 @@ class Words:
             self.files[kind, part] = shared_map(f"{self.path}/{kind}/part-{part:06d}.bin")
         return self.files[kind, part]
 
+    def unmap(self) -> None:
+        """Let go of the parts, if they lie in a mounted folder; copies from a store stay for the worker's next task."""
+        if mounted(self.path):
+            self.files.clear()
+
     def learn(self) -> None:
         """The numbers and values of the words that have got slots since."""
         words = list(islice(self.slots, len(self.number), None))
@@ -353,6 +358,8 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 def _word_blocks(train: DataFrame, parts: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _WORDS.clear()  # a worker that scored with another model has no more use for it
+        give_back()
         hashes = Hashes()
         held: list[np.ndarray] = []
         size = 0
@@ -376,6 +383,8 @@ def _word_blocks(train: DataFrame, parts: int) -> DataFrame:
                 give_back()
         if size:
             yield block()
+        hashes.clear()
+        held.clear()
         give_back()
 
     return train.mapInArrow(count, WORD_BLOCK)
@@ -678,5 +687,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ],
                 names=[x.split()[0] for x in SCORES.split(", ")],
             )
+        words.unmap()
+        give_back()
 
     return rows.mapInArrow(score, SCORES)
