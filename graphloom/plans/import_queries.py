@@ -30,9 +30,10 @@ def imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"""WITH RECURSIVE {IMPORTS}, walk(g, gone, x) AS (
   SELECT DISTINCT g, []::VARCHAR[], NULL::VARCHAR FROM files
   UNION ALL
-  SELECT g, list_append(gone, next), next FROM (
-    SELECT w.g, w.gone, min(struct_pack(waits := EXISTS (SELECT 1 FROM arcs AS a WHERE a.file = f.file AND NOT list_contains(w.gone, a.needs)), file := f.file)).file AS next
-    FROM walk AS w JOIN files AS f ON f.g = w.g AND NOT list_contains(w.gone, f.file) GROUP BY w.g, w.gone)
+  SELECT g, list_append(gone, min(s).file), min(s).file FROM (
+    SELECT w.g, w.gone, struct_pack(waits := coalesce(bool_or(NOT list_contains(w.gone, a.needs)), false), file := f.file) AS s
+    FROM walk AS w JOIN files AS f ON f.g = w.g AND NOT list_contains(w.gone, f.file) LEFT JOIN arcs AS a ON a.file = f.file GROUP BY w.g, w.gone, f.file
+  ) GROUP BY g, gone
 ), place AS (SELECT x AS file, len(gone) AS n FROM walk WHERE x IS NOT NULL)
 SELECT a.file, a.needs, q.n < p.n AS before FROM arcs AS a JOIN place AS p ON p.file = a.file JOIN place AS q ON q.file = a.needs""")
 def import_order(spark: SparkSession, sf_dir: str) -> DataFrame:
