@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import basename, parent
 from graphloom.functions.text import estimated_tokens
+from graphloom.operators.budget import cut_by_budget
 from graphloom.operators.relational import snapshot_diff
 
 # Most modules of a plan, tokens of a part of one, top folders whose members are areas of their own.
@@ -90,10 +91,8 @@ def merged_by_kind(modules_: DataFrame, least: int) -> DataFrame:
 
 
 def parts_of(members: DataFrame, group: str, order: str, size: str, budget: int = PART_TOKENS) -> DataFrame:
-    """Where the members of a module are cut so that no part has more than the budget, each in turn: group, order, running.
+    """Where the members of a module are cut so that no part has more than the budget: group, order, size, part (from 0).
 
-    Parts are cut at multiples of the budget along the running total, so they need no sequential reset.
+    As budget.cut_by_budget(): one member after the other, and one that is larger than the budget is a part of its own.
     """
-    upto = Window.partitionBy(group).orderBy(order)
-    running = F.sum(size).over(upto)
-    return members.select(group, order, running.alias("running"), F.floor((running - F.col(size)) / budget).alias("part"))
+    return cut_by_budget(members, group, [order], size, budget)

@@ -95,3 +95,28 @@ def member_calls(calls: DataFrame, bindings: DataFrame, inherits: DataFrame, met
     bound = calls.join(bindings, ["file", "receiver"])
     own = inherited_methods(bound.select("class"), inherits, methods)
     return bound.join(own, ["class", "method"], "left").select("file", "receiver", "method", "class", "owner", "depth")
+
+
+def extended_aliases(configs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """configs: path, extends (may be null). aliases: path, pattern, at, target (from the root). path, pattern, at, target, origin, depth.
+
+    A config has its own patterns and those of what it extends, step by step; of a pattern that several have, the nearest's
+    targets count, all of them. Only relative names (./, ../) of configs that are there are followed, with .json added where it
+    is missing; circles end. Each round looks twice as far along the chains as the one before.
+    """
+    there = written(configs.select("path", "extends").dropDuplicates(["path"]), "configs")
+    name = resolved(F.col("path"), F.col("extends"))
+    name = F.when(name.endswith(".json"), name).otherwise(F.concat(name, F.lit(".json")))
+    up = there.where("startswith(extends, './') OR startswith(extends, '../')").select("path", name.alias("to"))
+    jumps = written(up.join(there.select(F.col("path").alias("to")), "to", "left_semi").where("path <> to").select("path", "to", F.lit(1).cast("long").alias("far")), "extends")
+    have = written(aliases.select("path", "pattern").distinct().join(there, "path", "left_semi").select("path", "pattern", F.col("path").alias("origin"), F.lit(0).cast("long").alias("depth")), "patterns")
+    most, far = there.count(), 1
+    while far <= most and not jumps.isEmpty():
+        pulled = jumps.join(have.withColumnRenamed("path", "to"), "to").select("path", "pattern", "origin", (F.col("depth") + F.col("far")).alias("depth"))
+        nearest = have.unionByName(pulled).groupBy("path", "pattern").agg(F.min(F.struct("depth", "origin")).alias("x"))
+        have = written(nearest.select("path", "pattern", F.col("x.origin").alias("origin"), F.col("x.depth").alias("depth")), "patterns")
+        on = jumps.select(F.col("path").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
+        jumps = written(jumps.join(on, "to").select("path", F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far")), "extends")
+        far *= 2
+    targets = aliases.select(F.col("path").alias("origin"), "pattern", "at", "target")
+    return have.join(targets, ["origin", "pattern"]).select("path", "pattern", "at", "target", "origin", "depth")
