@@ -16,9 +16,10 @@ def pushed_owners(modules: DataFrame, relations: DataFrame) -> DataFrame:
     gives a node an owner wins, and what is pushed on before that keeps the owner of its time. This is where the passes end up: a
     relation gives what the relation that gave its source last gave, in the same pass or else at the end of the one before; these
     references between relations are followed by doubling. Where they run in a circle, what a module on it was at first goes round;
-    without one there is no owner. Places have to differ.
+    without one there is no owner. Of relations at one place the order is that of kind, source, target; repeated ones are one.
     """
     own = written(modules.select("id").where("id IS NOT NULL").distinct(), "modules")
+    relations = relations.select("source", "target", "kind", F.struct("place", "kind", "source", "target").alias("place")).distinct()
     belongs = relations.where("kind = 'BelongsToModule'").join(own.withColumnRenamed("id", "target"), "target", "left_semi")
     contains = relations.where("kind = 'Contains' AND source IS NOT NULL AND target IS NOT NULL")
     given = belongs.where("source IS NOT NULL").select("place", F.col("source").alias("node"), F.col("target").alias("owner"), F.lit(None).cast("string").alias("of"))
