@@ -44,6 +44,27 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text"))
 
 
+@query(f"""
+WITH d AS (SELECT doc_id AS id, {TOKENS.format(x="coalesce(text, '')")} AS w, embedding::DOUBLE[] AS e FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+a AS (SELECT doc_id AS query, array_to_string(string_split(coalesce(text, ''), ' ')[2:6], ' ') AS text, embedding::DOUBLE[] AS e FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE doc_id % 20 = 0),
+s AS (SELECT id, len(w) AS len FROM d), g AS (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM s),
+q AS (SELECT query, word, count(*) AS times FROM (SELECT query, unnest({TOKENS.format(x="text")}) AS word FROM a) GROUP BY ALL),
+t AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM q) GROUP BY ALL),
+f AS (SELECT word, count(*) AS df FROM t GROUP BY word),
+r AS (SELECT query, id, sum(times * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score FROM t JOIN f USING (word) JOIN q USING (word) JOIN s USING (id), g GROUP BY ALL),
+x AS (SELECT query, id, score / max(score) OVER (PARTITION BY query) AS lexical FROM r),
+p AS (SELECT a.query, d.id, coalesce(least(greatest(list_cosine_similarity(d.e, a.e), 0.0), 1.0), 0.0) AS vector, coalesce(lexical, 0.0) AS lexical FROM a CROSS JOIN d LEFT JOIN x ON x.query = a.query AND x.id = d.id WHERE lexical IS NOT NULL OR d.e IS NOT NULL AND a.e IS NOT NULL),
+k AS (SELECT *, 0.6 * vector + 0.4 * lexical AS score, row_number() OVER (PARTITION BY query ORDER BY round(0.6 * vector + 0.4 * lexical, 9) DESC, id) AS rank FROM p)
+SELECT query, rank::INTEGER AS rank, round(score, 5) AS score FROM k WHERE rank <= 10""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each whose id 20 divides, by its vector and five of its words."""
+    docs, v = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    rows = docs.join(v, "doc_id", "left")
+    words = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 2, 5), " ")
+    asked = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), words.alias("text"), "vector")
+    return search.hybrid_search(rows.select(F.col("doc_id").alias("id"), "text", "vector"), asked).select("query", "rank", F.round("score", 5).alias("score"))
+
+
 SETS = f"sets AS (SELECT doc_id || ':' || line AS id, lang, list_distinct(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: strlen(w) > 1)) AS raw FROM ({LINES[10:-1]})), s AS (SELECT id, lang, list_sort(list_distinct(list_transform(raw, lambda w: lower(w)))) AS w FROM sets WHERE len(raw) > 0)"
 
 
