@@ -211,10 +211,10 @@ def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("k % 10 = 7")
 
 
-@query(f"WITH {F_}, p AS (SELECT path, string_split(path, '/') AS x FROM files WHERE k < 200), t AS (SELECT path, array_to_string(x[1:i], '/') AS node, i, i = len(x) AS is_file FROM (SELECT path, x, unnest(range(1, len(x) + 1)) AS i FROM p)), d AS (SELECT DISTINCT node, is_file, i AS depth FROM t) SELECT node AS path, CASE WHEN contains(node, '/') THEN regexp_extract(node, '^(.*)/[^/]*$', 1) END AS parent, regexp_extract(node, '[^/]*$') AS name, NOT is_file AS is_dir, depth::INTEGER AS depth FROM d")
+@query(f"WITH {F_}, p AS (SELECT path, string_split(path, '/') AS x FROM files), t AS (SELECT path, array_to_string(x[1:i], '/') AS node, i, i = len(x) AS is_file FROM (SELECT path, x, unnest(range(1, len(x) + 1)) AS i FROM p)), d AS (SELECT DISTINCT node, is_file, i AS depth FROM t) SELECT node AS path, CASE WHEN contains(node, '/') THEN regexp_extract(node, '^(.*)/[^/]*$', 1) END AS parent, regexp_extract(node, '[^/]*$') AS name, NOT is_file AS is_dir, depth::INTEGER AS depth FROM d")
 def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The folders and files of the first files."""
-    return planning.file_tree(files(spark, sf_dir).where("k < 200"))
+    """All folders and files."""
+    return planning.file_tree(files(spark, sf_dir))
 
 
 AREA = "CASE WHEN string_split(path, '/')[1] IN ('src', 'apps', 'packages', 'services', 'crates') AND len(string_split(path, '/')) > 2 THEN string_split(path, '/')[1] || '/' || string_split(path, '/')[2] ELSE string_split(path, '/')[1] END"
