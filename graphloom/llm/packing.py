@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import coder_for
-from graphloom.llm.common import by_bytes, prepare, text_of, written
+from graphloom.llm.common import by_bytes, prepare, text_of, unused, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -216,34 +216,36 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Needs a column length (1 to capacity). To the driver go the counts of the lengths, and of the lengths in each sorted
     part (parts and lengths together, for a part holds a range of lengths). Equal rows are placed apart; an empty table gives
-    an empty result.
+    an empty result. Columns sequence_id and offset that pieces has (in any case) are replaced; all others stay.
     """
     spark = pieces.sparkSession
     prepare(spark)
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
     columns = pieces.columns
-    order = [F.col(c) for c in ("length", *(c for c in columns if c != "length"))]
+    own_part, own_rank = unused(columns, "_part"), unused(columns, "_rank")
+    order = [F.col(f"`{c}`") for c in ("length", *(c for c in columns if c != "length"))]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # a range of (length, id) per part: pieces of one frequent length go to many parts
-    sorted_pieces = written(pieces.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "sorted-pieces")
-    numbers = sorted_pieces.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("n")).orderBy("length", "_part").collect()
+    sorted_pieces = written(pieces.repartitionByRange(parts, *order).withColumn(own_part, F.spark_partition_id()), "sorted-pieces")
+    numbers = sorted_pieces.groupBy(F.col(own_part).alias("part"), "length").agg(F.count(F.lit(1)).alias("n")).orderBy("length", "part").collect()
     counts: dict[int, int] = {}
     before = []
     for r in numbers:
-        before.append((r["_part"], r["length"], counts.get(r["length"], 0)))
+        before.append((r["part"], r["length"], counts.get(r["length"], 0)))
         counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
     if not counts:
         return pieces.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     runs = np.array(sorted(plan(counts, capacity)), np.int64)
     shifts = {(p, length): n for p, length, n in before}
-    schema = sorted_pieces.drop("_part").schema.add("sequence_id", "long").add("offset", "long")
+    schema = sorted_pieces.drop(own_part).schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            length = batch.column("length").to_numpy()
-            rank = batch.column("_rank").to_numpy() - 1
-            part = batch.column("_part").to_numpy()
+            length = batch.column("length").to_numpy().astype(np.int64)
+            rank = batch.column(own_rank).to_numpy() - 1
+            part = batch.column(own_part).to_numpy()
             mark = np.flatnonzero(np.concatenate(([True], (length[1:] != length[:-1]) | (part[1:] != part[:-1]))))
             sizes = np.diff(np.append(mark, len(length)))
             rank = rank + np.repeat([shifts[int(part[i]), int(length[i])] for i in mark], sizes)
@@ -253,8 +255,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             kept += [pa.array(runs[at, 3] + rank - runs[at, 1]), pa.array(runs[at, 4])]
             yield pa.RecordBatch.from_arrays(kept, names=[*columns, "sequence_id", "offset"])
 
-    within = Window.partitionBy("_part", "length").orderBy(*order)
-    return sorted_pieces.withColumn("_rank", F.row_number().over(within)).mapInArrow(place, schema)
+    within = Window.partitionBy(own_part, "length").orderBy(*order)
+    return sorted_pieces.withColumn(own_rank, F.row_number().over(within)).mapInArrow(place, schema)
 
 
 def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,8 +35,8 @@ CANDIDATE = (
     rf"|(?<!{RUN})(?={RUN}{{16}})(?!{RUN}{{0,64}}?{KEY}{SEPARATOR})(?=[A-Za-z+/_\-]*+[0-9]|[A-Za-z+/_\-]*?[a-z][A-Z]){RUN}++={{0,2}}"
 )
 MASK = "[SECRET]"
-#: Characters before and after a candidate that are looked at, and of the candidate for its coverage and transitions.
-BEFORE, AFTER, LOOKED_AT = 48, 16, 256
+#: Characters before and after a candidate that are looked at.
+BEFORE, AFTER = 48, 16
 TREES, DEPTH, SEED = 40, 8, 7
 #: Share of trees from which a candidate is a secret.
 VOTES = 0.5
@@ -85,13 +86,23 @@ def part_number(part: str) -> int:
 
 def coverage(candidate: Column, vocabulary: str | None = None) -> Column:
     """The share of a candidate's three-letter parts that are parts of words; 1 where it has none."""
-    text = F.lower(F.left(candidate, F.lit(LOOKED_AT)))
-    parts = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))), lambda x: x.rlike("^[a-z]{3}$"))
     letter = lambda x, i: F.ascii(F.substring(x, i, 1)) - 97
     table = F.array(*(F.lit(x).cast("long") for x in word_parts(vocabulary)))
     number = lambda x: ((letter(x, 1) * 26 + letter(x, 2)) * 26 + letter(x, 3)).cast("int")
-    known = F.filter(parts, lambda x: F.getbit(F.get(table, F.floor(number(x) / 64).cast("int")), number(x) % 64) == 1)
-    return F.when(F.size(parts) > 0, F.size(known) / F.size(parts)).otherwise(1.0)
+    known = lambda x: F.getbit(F.get(table, F.floor(number(x) / 64).cast("int")), number(x) % 64) == 1
+    share = lambda parts: F.when(F.size(parts) > 0, F.size(F.filter(parts, known)) / F.size(parts)).otherwise(1.0)
+
+    def of(letters: Column) -> Column:  # letters as an array, for the place of a character in a long text has to be sought
+        at = F.sequence(F.lit(0), F.greatest(F.size(letters) - 3, F.lit(0)))
+        parts = F.transform(at, lambda i: F.concat(F.get(letters, i), F.get(letters, i + 1), F.get(letters, i + 2)))
+        return _let(F.filter(parts, lambda x: x.rlike("^[a-z]{3}$")), share)
+
+    return _let(F.split(F.lower(candidate), ""), of)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def feature_columns(candidate: Column, before: Column, after: Column, vocabulary: str | None = None) -> list[Column]:
@@ -99,9 +110,7 @@ def feature_columns(candidate: Column, before: Column, after: Column, vocabulary
     n = F.greatest(F.length(candidate), F.lit(1)).cast("double")
     gone = lambda pattern: n - F.length(F.regexp_replace(candidate, pattern, ""))
     near = F.lower(F.right(before, F.lit(BEFORE)))
-    short = F.left(candidate, F.lit(LOOKED_AT))
-    m = F.greatest(F.length(short), F.lit(1)).cast("double")
-    changes = F.length(F.regexp_replace(short, r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", "x"))
+    changes = F.length(F.regexp_replace(candidate, r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", "x"))
     flag = lambda c: c.cast("int").cast("double")
     return [
         F.length(candidate).cast("double"),
@@ -112,8 +121,8 @@ def feature_columns(candidate: Column, before: Column, after: Column, vocabulary
         flag(candidate.rlike("^[0-9a-fA-F]+$")),
         flag(candidate.rlike(r"^[0-9\-]+$")),
         flag(candidate.rlike("^[A-Za-z]+$")),
-        changes / m,
-        F.size(F.array_distinct(F.split(short, ""))) / m,
+        changes / n,
+        F.size(F.array_distinct(F.split(candidate, ""))) / n,
         coverage(candidate, vocabulary),
         gone("/"),
         flag(near.rlike(r"(https?:|www\.)[^\x00-\x20]*$|[/.@\\]$") | after.rlike(r"^[./@][A-Za-z0-9_]")),
@@ -278,8 +287,8 @@ def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str
 
     labelled: findings to train on (before, candidate, after, label); vocabulary: the tokenizers file whose words are the
     dictionary. A null or empty text has no candidates. Repeated rows are scanned each; a null id stays null; an empty table
-    gives an empty result; other columns are not read. Very long texts are scanned whole, in time and memory of their length;
-    of a candidate, LOOKED_AT characters are looked at for its coverage and transitions, and all of it is masked.
+    gives an empty result; other columns are not read. Very long texts and candidates are scanned whole, in time and memory of
+    their length.
     """
     forest = train_forest(labelled if labelled is not None else labelled_findings(docs.sparkSession), vocabulary)
     hits = F.filter("found", lambda x: x["secret"])

@@ -201,7 +201,7 @@ class Forest:
 
 
 def features_of(candidate, before, after):
-    n, short, near = max(1, len(candidate)), candidate[: secrets.LOOKED_AT], before[-secrets.BEFORE :].lower()
+    n, short, near = max(1, len(candidate)), candidate, before[-secrets.BEFORE :].lower()
     count = lambda p: len(re.findall(p, candidate))
     seen = lambda p, x: float(re.search(p, x, re.A) is not None)
     low = short.lower()
@@ -591,3 +591,25 @@ def test_equal_digests_are_confirmed_by_strings(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s, seed: len(s))
     index = url_filter.digest_array([(b"ab/", url_filter.BLOCK), (b"cd/", url_filter.ALLOW)])
     assert url_filter.probe(index, [b"ab/", b"cd/", b"xy/", b"abc/"]).tolist() == [0, 1, -1, -1]
+
+
+def test_packing_with_clashing_columns(spark):
+    rows = [(k, 1 + k * 37 % 1024, k, -1, -2, f"x{k}") for k in range(300)]
+    schema = "id int, length int, _part int, Sequence_ID int, offset int, _rank string"
+    found = packing.pack(spark.createDataFrame(rows, schema)).collect()
+    assert found[0].asDict().keys() == {"id", "length", "_part", "_rank", "sequence_id", "offset"}
+    assert sorted((r.id, r.length, r["_part"], r["_rank"]) for r in found) == [(k, n, p, t) for k, n, p, _, _, t in rows]
+    places = collections.defaultdict(list)
+    for r in found:
+        places[r.sequence_id].append((r.offset, r.length))
+    for own in places.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 1024
+
+
+def test_long_candidates_are_seen_whole(spark):
+    long = "the" * 20_000 + "q7Z" * 40_000
+    from pyspark.sql import functions as F
+
+    found = spark.createDataFrame([("the" * 100,), (long,), ("ab",), ("",)], "c string").select(secrets.coverage(F.col("c")).alias("x")).collect()
+    assert found[0].x > 0.3 and found[1].x < found[0].x and found[2].x == found[3].x == 1.0
