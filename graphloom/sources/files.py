@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.classify import is_test_file
-from graphloom.functions.paths import basename, glob_pattern
+from graphloom.functions.paths import glob_pattern
+from graphloom.operators.ignore import ignore_rules, ignored
 
 #: Files over the part table, in SQL that Spark and DuckDB both run: k, path, content, size_bytes.
 FILES = """
@@ -105,26 +106,26 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
 
 
-def walk(spark: SparkSession, root: str, excludes: tuple[str, ...] = (), tests: bool = False, hidden: bool = False) -> DataFrame:
+def walk(spark: SparkSession, root: str, excludes: tuple[str, ...] = (), tests: bool = False, hidden: bool = False, ignores: DataFrame | None = None) -> DataFrame:
     """The files under a folder or a store's prefix: path (from the root), content (bytes), size_bytes; no hidden folders, no test paths.
 
-    excludes: globs over the path. Spark lists the files, so a repository of any size is read by all executors. Ignore files
-    are not read; what they name can be given as excludes. Spark's readers pass over names that begin with a dot or an
-    underscore, so dotfiles have to come from a table.
+    excludes: globs over the path. ignores: ignore files as a table (path, content), whose rules hold from their folders down.
+    Spark lists the files, so a repository of any size is read by all executors. Spark's readers pass over names that begin with
+    a dot or an underscore, so dotfiles have to come from a table.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
     path = F.regexp_replace(F.regexp_extract("path", f"(?:^|[^/]){_quoted(base)}/(.*)$", 1), "%20", " ")
     out = found.select(path.alias("path"), "content", F.col("length").alias("size_bytes"))
-    return walked(out, excludes, tests, hidden)
+    return walked(out, excludes, tests, hidden, ignores)
 
 
 def _quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def walked(files: DataFrame, excludes: tuple[str, ...] = (), tests: bool = False, hidden: bool = False) -> DataFrame:
-    """The files that a walk keeps: none under .git, a hidden folder or an excluded path, and no test files."""
+def walked(files: DataFrame, excludes: tuple[str, ...] = (), tests: bool = False, hidden: bool = False, ignores: DataFrame | None = None) -> DataFrame:
+    """The files that a walk keeps: none under .git, a hidden folder, an excluded or ignored path, and no test files."""
     folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
     keep = ~F.array_contains(folders, ".git")
     if not hidden:
@@ -133,7 +134,11 @@ def walked(files: DataFrame, excludes: tuple[str, ...] = (), tests: bool = False
         keep &= ~is_test_file(F.col("path"))
     for pattern in excludes:
         keep &= ~F.col("path").rlike(glob_pattern(pattern))
-    return files.where(keep)
+    kept = files.where(keep)
+    if ignores is None:
+        return kept
+    out = ignored(kept, ignore_rules(ignores)).where("ignored").select("path")
+    return kept.join(out, "path", "left_anti").select(*files.columns)
 
 
 def read_facts(content: Column) -> tuple[Column, Column, Column]:
@@ -143,7 +148,3 @@ def read_facts(content: Column) -> tuple[Column, Column, Column]:
     status = F.when(binary | text.isNull(), "Binary").otherwise("Text")
     lines = F.when(F.length(content) == 0, 0).otherwise(F.size(F.split(text, "\n")) - F.when(text.endswith("\n"), 1).otherwise(0))
     return F.sha2(content, 256), status, F.when(status == "Text", lines)
-
-
-def name_of(path: Column) -> Column:
-    return basename(path)

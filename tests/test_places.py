@@ -77,3 +77,13 @@ def test_ignored_as_git_does(spark, tmp_path):
     found = {r.path: r.ignored for r in ignore.ignored(spark.createDataFrame([(p,) for p in [*files, None]], "path string"), rules).collect()}
     assert found == {p: p in wanted for p in files}
     assert ignore.ignored(spark.createDataFrame([("a",)], "path string"), rules.limit(0)).collect()[0].ignored is False
+
+
+def test_walk_with_ignore_files(spark, tmp_path):
+    from graphloom.sources.files import walk
+
+    for path in ("src/a.rs", "src/b.gen", "out/c.rs", "d.log"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    rules = spark.createDataFrame([(".gitignore", "/out/\n*.log"), ("src/.gitignore", "*.gen")], "path string, content string")
+    assert {r.path for r in walk(spark, f"file://{tmp_path}", ignores=rules).collect()} == {"src/a.rs"}
