@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.storage import written
 
+#: Words of 64 bits of a set's bitmap.
+WORDS = 2
+
 
 def near_pairs(sets: DataFrame, least: float = 0.6, partition: str = "lang", ident: str = "id", tokens: str = "tokens") -> DataFrame:
     """Pairs of sets of one partition with Jaccard >= least: partition, id_a < id_b, shared, similarity.
@@ -18,16 +23,20 @@ def near_pairs(sets: DataFrame, least: float = 0.6, partition: str = "lang", ide
     by = Window.partitionBy(partition, "_id")
     classes = classes_of(sets, partition, ident, tokens).groupBy(partition, "class").agg(F.first("_tokens").alias("_tokens"))
     classes = written(classes.select(partition, F.col("class").alias("_id"), "_tokens", F.size("_tokens").alias("_n")).where("_n > 0"), "sets")
-    rows = classes.select(partition, "_id", "_n", F.explode("_tokens").alias("_token"))
+    rows = classes.select(partition, "_id", "_n", *[parity("_tokens", k).alias(f"_bits{k}") for k in range(WORDS)], F.explode("_tokens").alias("_token"))
     df = rows.groupBy(partition, "_token").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
     # a token of one set alone can't be shared, but it stands first and takes a place in the prefix
     ranked = rows.join(df, [partition, "_token"], "left").withColumn("_place", F.row_number().over(by.orderBy(F.coalesce("_df", F.lit(1)), "_token")))
     prefix = ranked.where((F.col("_place") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1) & F.col("_df").isNotNull())
-    prefix = written(prefix.select(partition, "_token", "_id", "_n", "_place"), "prefixes")
-    a, b = (prefix.select(partition, "_token", F.col("_id").alias(f"id_{x}"), F.col("_n").alias(f"_n_{x}"), F.col("_place").alias(f"_p_{x}")) for x in "ab")
+    bits = [f"_bits{k}" for k in range(WORDS)]
+    prefix = written(prefix.select(partition, "_token", "_id", "_n", "_place", *bits), "prefixes")
+    a, b = (prefix.select(partition, "_token", F.col("_id").alias(f"id_{x}"), F.col("_n").alias(f"_n_{x}"), F.col("_place").alias(f"_p_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in bits]) for x in "ab")
     # sizes that are too far apart can't do, nor can a pair with too little behind the place where it meets first
     behind = 1 + F.least(F.col("_n_a") - F.col("_p_a"), F.col("_n_b") - F.col("_p_b")) + F.least("_p_a", "_p_b") - 1
-    enough = behind >= F.ceil((F.col("_n_a") + F.col("_n_b")) * (least / (1 + least)) - 1e-9)
+    needed = F.ceil((F.col("_n_a") + F.col("_n_b")) * (least / (1 + least)) - 1e-9)
+    # bits in which the parities differ are no more than the tokens that only one of the sets has
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits])
+    enough = (behind >= needed) & (apart <= F.col("_n_a") + F.col("_n_b") - 2 * needed)
     candidates = a.join(b, [partition, "_token"]).where("id_a < id_b").where((F.least("_n_a", "_n_b") >= least * F.greatest("_n_a", "_n_b") - 1e-9) & enough)
     candidates = candidates.select(partition, "id_a", "id_b").distinct()
     for x in "ab":
@@ -37,6 +46,13 @@ def near_pairs(sets: DataFrame, least: float = 0.6, partition: str = "lang", ide
     return scored.where(F.col("similarity") >= least)
 
 
+def parity(tokens: str, word: int) -> Column:
+    """Of 64 bits of the word, those on which an odd number of the tokens' hashes fall."""
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(64 * WORDS))
+    bit = lambda t: F.when(F.floor(place(t) / 64) == word, F.call_function("shiftleft", F.lit(1).cast("long"), (place(t) % 64).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(bit(t)))
+
+
 def classes_of(sets: DataFrame, partition: str = "lang", ident: str = "id", tokens: str = "tokens") -> DataFrame:
     """Who has an equal set: partition, id, class (the smallest id), _tokens (sorted)."""
     rows = sets.select(partition, F.col(ident).alias("id"), F.array_sort(tokens).alias("_tokens"))

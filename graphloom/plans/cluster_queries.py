@@ -165,12 +165,12 @@ def owner_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.owner_fragments(members, edges, owners)
 
 
-@query(f"WITH {LINKS}, e AS (SELECT source, target FROM edges WHERE NOT starts_with(target, 'unresolved:')), x AS (SELECT target FROM edges WHERE starts_with(target, 'unresolved:')) SELECT DISTINCT target AS id FROM edges WHERE starts_with(target, 'unresolved:') EXCEPT SELECT target FROM edges WHERE source LIKE 'page:1%'")
+@query(f"WITH {LINKS}, e AS (SELECT source, target FROM edges WHERE NOT starts_with(target, 'unresolved:')), x AS (SELECT target FROM edges WHERE starts_with(target, 'unresolved:')) SELECT DISTINCT target AS id FROM edges WHERE starts_with(target, 'unresolved:') EXCEPT SELECT target FROM edges WHERE source LIKE 'page:11%'")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken targets that no page of some names."""
     edges = link_graph(spark, sf_dir).edges
     targets = lambda df: df.where("startswith(target, 'unresolved:')").select(F.col("target").alias("id"))
-    return targets(edges).exceptAll(targets(edges).limit(0)).distinct().join(targets(edges.where("source LIKE 'page:1%'")).distinct(), "id", "left_anti")
+    return targets(edges).exceptAll(targets(edges).limit(0)).distinct().join(targets(edges.where("source LIKE 'page:11%'")).distinct(), "id", "left_anti")
 
 
 @query(f"WITH {COMMERCE}, extra AS (SELECT 'unresolved:' || k AS id FROM range(5) t(k)), named AS (SELECT 'unresolved:' || (o_orderkey % 3) AS id FROM orders) SELECT id FROM extra WHERE id IN (SELECT id FROM named)")

@@ -230,7 +230,10 @@ def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(size).cast("long").alias("tokens"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT conv_id, turn, strlen(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, strlen(text)) AS i FROM conversations),
+w AS (SELECT conv_id, turn, n, i, 0 AS bucket, n AS used FROM r WHERE i = 1 UNION ALL
+  SELECT r.conv_id, r.turn, r.n, r.i, CASE WHEN used > 0 AND used + r.n > 600 THEN bucket + 1 ELSE bucket END, CASE WHEN used > 0 AND used + r.n > 600 THEN r.n ELSE used + r.n END FROM w JOIN r ON r.conv_id = w.conv_id AND r.i = w.i + 1)
+SELECT conv_id, turn, bucket FROM w""")
 def packed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of each conversation in buckets of 600 bytes, in order."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("size"))
