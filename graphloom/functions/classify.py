@@ -128,13 +128,13 @@ def is_generated_text(text: Column) -> Column:
 
     def marked(t: Column) -> Column:
         alembic = t.contains("down_revision") & t.contains("def upgrade(") & t.rlike(r"(?m)^[ \t]*revision")
-        by_tool = _let(F.lower(t), lambda low: _or([low.contains(m.lower()) for m in GENERATED]))
+        by_tool = let(F.lower(t), lambda low: _or([low.contains(m.lower()) for m in GENERATED]))
         return by_tool | alembic | t.contains("class Migration(migrations.Migration)")
 
-    return _let(top, marked)
+    return let(top, marked)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: a lambda's variable is not replaced by what it stands for."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -166,7 +166,7 @@ def classified(files: DataFrame, languages: DataFrame | None = None, binary: Col
     by_extension = kinds.select(F.col("extension").alias("_ext"), F.struct("category", F.col("language").alias("format"), "tier", "analyzer", F.lit("Allowed").alias("policy")).alias("_language"))
     keyed = files.drop(*FIELDS, "generated_score", "vendored_score").withColumns({"_name": name, "_ext": ext})
     keyed = keyed.join(by_name, "_name", "left").join(by_extension, "_ext", "left")
-    found = _let(F.struct(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(size).alias("size"), "_ext", "_exact", "_language",
+    found = let(F.struct(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(size).alias("size"), "_ext", "_exact", "_language",
                           (F.lit(False) if binary is None else binary).alias("binary")), _first_rule)
     return keyed.withColumn("_found", found).select(*[c for c in keyed.columns if c[0] != "_"], "_found.*")
 
@@ -211,7 +211,7 @@ def _first_rule(file: Column) -> Column:
     generated = F.coalesce(F.array_contains(parts, "generated"), F.lit(False)) | is_generated_text(file["text"])
     vendored = F.coalesce(_any_of(parts, ("vendor", "third_party", "third-party")), F.lit(False))
     facts = F.struct(out.alias("rule"), generated.alias("generated"), vendored.alias("vendored"), F.coalesce(is_secret_path(path), F.lit(False)).alias("secret"))
-    return _let(facts, lambda x: _gated(x, file))
+    return let(facts, lambda x: _gated(x, file))
 
 
 def _gated(x: Column, file: Column) -> Column:

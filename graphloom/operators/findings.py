@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.classify import let
 from graphloom.operators import extract
 
 # Limits of the health rules, and the tension each rule stands for.
@@ -149,6 +150,13 @@ def redact_text(text: Column) -> Column:
     return F.array_join(masked, "")
 
 
+def _grams(letters: Column) -> Column:
+    """The distinct runs of one to three letters."""
+    at = lambda i, n: F.concat(*[F.get(letters, i + k) for k in range(n)])
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(letters) - 1, F.lit(0))), lambda i: F.array(at(i, 1), at(i, 2), at(i, 3)))
+    return F.array_distinct(F.filter(F.flatten(runs), lambda x: x.isNotNull()))
+
+
 def unmentioned(names: DataFrame, name: str, lines: DataFrame) -> DataFrame:
     """names that no line has in it, in any case. lines: text.
 
@@ -164,9 +172,11 @@ def unmentioned(names: DataFrame, name: str, lines: DataFrame) -> DataFrame:
     by_word = closed.where("_key IS NOT NULL")
     spread = lines.select("text", F.explode(words(F.col("text"))).alias("_key"))
     hit = by_word.join(spread, "_key").where(F.lower("text").contains(F.col("_low"))).select(name)
-    # short names have no word inside; they are few, and a block of them is compared with every line
-    rest = closed.where("_key IS NULL").select(name, "_low")
-    found = lines.join(F.broadcast(rest), F.lower("text").contains(F.col("_low"))).select(name)
+    # short names have no word inside: they are looked up by their first letters among the runs of one to three letters of lines
+    rest = closed.where("_key IS NULL").select(name, "_low", F.substring("_low", 1, 3).alias("_gram"))
+    grams = lines.select("text", F.explode(let(F.split(F.lower("text"), ""), _grams)).alias("_gram"))
+    found = rest.where("_low <> ''").join(grams, "_gram").where(F.lower("text").contains(F.col("_low"))).select(name)
+    found = found.unionByName(rest.where("_low = ''").crossJoin(lines.select(F.lit(1)).limit(1)).select(name))
     return names.join(hit.unionByName(found).distinct(), name, "left_anti")
 
 

@@ -32,3 +32,13 @@ def test_targets_and_commands(spark):
     commands = [("d", k, c) for k, c in enumerate(("just run", "just build", "make all", "make", "npm run dev", "yarn run no", "npm install", "cargo test", "  pnpm   run  a-b x"))]
     stale = mentions.stale_commands(spark.createDataFrame(commands, "path string, line long, command string"), targets)
     assert {(r.line, r.program, r.target) for r in stale.collect()} == {(1, "just", "build"), (5, "npm", "no")}
+
+
+def test_unmentioned(spark):
+    from graphloom.operators.findings import unmentioned
+
+    names = ["a", "Ab", "xyz", "a b c", "GET /api/users/list", "/é", "", "zz/long/word/here", "é", "q"]
+    lines = ["xx ab yy", "get /API/users/list more", "A B c", "", "zz/long/wordy/here", "/É"]
+    found = unmentioned(spark.createDataFrame([(n,) for n in names], "name string"), "name", spark.createDataFrame([(x,) for x in lines], "text string"))
+    assert {r.name for r in found.collect()} == {n for n in names if not any(n.lower() in x.lower() for x in lines)}
+    assert unmentioned(spark.createDataFrame([("",), ("a",)], "name string"), "name", spark.createDataFrame([], "text string")).count() == 2
