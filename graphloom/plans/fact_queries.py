@@ -105,3 +105,21 @@ def manifest_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts.facts(analyzed(spark, sf_dir)).where("fact = 'value'")
     get = lambda name: F.variant_get("detail", f"$.{name}", "string")
     return manifest_packages(rows.select("path", get("path").alias("config_path"), get("kind").alias("kind"), get("value").alias("value")))
+
+
+@query(f"WITH {LINES} SELECT path, two AS service, max(CASE WHEN starts_with(text, '    image: ') THEN substr(text, 12) END) AS image, coalesce(string_agg(CASE WHEN four = 'depends_on' AND starts_with(text, '      - ') THEN substr(text, 9) END, ',' ORDER BY text), '') AS needs FROM ym WHERE t = 2 AND top = 'services' AND two IS NOT NULL GROUP BY path, two")
+def stack_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services of compose files that differ: lists and maps, with and without a second service, some that can't be read."""
+    from graphloom.operators.extract import compose_services, structured
+
+    found = compose_services(structured(analyzed(spark, sf_dir).where("analyzer = 'Compose'")))
+    return found.select("path", "service", "image", F.array_join("depends_on", ",").alias("needs"))
+
+
+@query(f"""WITH {LINES}, s AS (SELECT path, two AS job, text, line, row_number() OVER (PARTITION BY path, two ORDER BY line) - 1 AS step FROM ym WHERE t = 3 AND top = 'jobs' AND starts_with(text, '      - '))
+SELECT path, job, step::INT AS step, nullif(regexp_extract(text, '- uses: (.*)$', 1), '') AS uses, nullif(regexp_extract(text, '- run: (.*)$', 1), '') AS run, nullif(regexp_extract(text, 'docker build.* -t (\\S+)', 1), '') AS image, contains(text, 'docker push') AS pushes FROM s""")
+def stack_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of workflows of one or two jobs."""
+    from graphloom.operators.extract import structured, workflow_steps
+
+    return workflow_steps(structured(analyzed(spark, sf_dir).where("analyzer = 'Actions'")))
