@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
 from graphloom.operators import analytics, clusters, components, decisions, extract, findings, incremental, planning, quality, relational, retrieval, search, traverse
+from graphloom.operators.relational import snapshot_diff
 from graphloom.plans import match
+from graphloom.store import StoreError, export_bundle, import_bundle, load_graph, save_graph, write_report
 
 
 def _dead(graph: PropertyGraph, label: str, ignored: str = "Contains") -> DataFrame:
@@ -108,27 +110,76 @@ def call(tool: str, *args: Any, **params: Any) -> DataFrame:
 
 
 def main(arguments: list[str] | None = None) -> int:
-    """graphloom tools | query NAME TABLES [ROWS]: list the tools, or print rows of a registered query."""
-    import argparse
+    """A repository as a graph, and the registered queries.
 
-    from pyspark.sql import SparkSession
+    tools: list the tools. query NAME TABLES [ROWS]: rows of a registered query. init FOLDER STORE: scan a folder and store its graph
+    (update is the same, and tells whether something changed). inspect STORE: counts of nodes and edges. report STORE FILE: the
+    same as Markdown. export STORE BUNDLE, import BUNDLE STORE: a graph as JSON lines and back. watch FOLDER STORE: what has
+    changed in a folder since its files were last listed.
+    """
+    import argparse
 
-    parser = argparse.ArgumentParser(prog="graphloom", description=main.__doc__)
+    parser = argparse.ArgumentParser(prog="graphloom", description=main.__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
-    commands.add_parser("tools")
-    one = commands.add_parser("query")
-    one.add_argument("name")
-    one.add_argument("tables")
-    one.add_argument("rows", nargs="?", type=int, default=20)
+    names = {"tools": (), "query": ("name", "tables"), "init": ("folder", "store"), "update": ("folder", "store"), "inspect": ("store",), "report": ("store", "file"), "export": ("store", "bundle"), "import": ("bundle", "store"), "watch": ("folder", "store")}
+    for name, places in names.items():
+        one = commands.add_parser(name)
+        for place in places:
+            one.add_argument(place)
+        if name == "query":
+            one.add_argument("rows", nargs="?", type=int, default=20)
     asked = parser.parse_args(arguments)
     if asked.command == "tools":
         print("\n".join(sorted(TOOLS)))
         return 0
+    try:
+        return _run(asked)
+    except StoreError as error:
+        print(error)
+        return 1
+
+
+def _run(asked) -> int:
+    from pyspark.sql import SparkSession
+
+    from graphloom import repository
     from graphloom.plans.catalog import QUERIES
 
-    if asked.name not in QUERIES:
+    if asked.command == "query" and asked.name not in QUERIES:
         print(f"no query {asked.name}")
         return 1
-    for row in QUERIES[asked.name](SparkSession.builder.getOrCreate(), asked.tables).limit(asked.rows).toJSON().toLocalIterator():
-        print(row)
+    spark = SparkSession.builder.getOrCreate()
+    if asked.command == "query":
+        for row in QUERIES[asked.name](spark, asked.tables).limit(asked.rows).toJSON().toLocalIterator():
+            print(row)
+        return 0
+    if asked.command in ("init", "update"):
+        files = repository.scanned(spark, asked.folder)
+        changed = save_graph(repository.repository_graph(files), f"{asked.store}/graph")
+        files.select("path", "digest").write.mode("overwrite").parquet(f"{asked.store}/listing")
+        print("stored" if changed else "nothing has changed")
+        return 0
+    if asked.command == "watch":
+        listing = f"{asked.store}/listing"
+        if load_graph(spark, f"{asked.store}/graph") is None:
+            raise StoreError(f"nothing is stored in {asked.store}")
+        now = repository.scanned(spark, asked.folder).select("path", "digest")
+        for row in snapshot_diff(spark.read.parquet(listing), now, "path", "digest").where("change <> 'same'").orderBy("path").toLocalIterator():
+            print(row["change"], row["path"])
+        return 0
+    if asked.command == "import":
+        save_graph(import_bundle(spark, asked.bundle), f"{asked.store}/graph")
+        return 0
+    graph = load_graph(spark, f"{asked.store}/graph")
+    if graph is None:
+        raise StoreError(f"nothing is stored in {asked.store}")
+    if asked.command == "export":
+        print(export_bundle(graph, asked.bundle))
+        return 0
+    counts = repository.overview(graph).orderBy("part", "kind")
+    if asked.command == "report":
+        write_report(counts, spark, asked.file, "Repository")
+        return 0
+    for row in counts.toLocalIterator():
+        print(row["part"], row["kind"], row["n"])
     return 0
