@@ -72,7 +72,8 @@ def _heavy(table: DataFrame, share: float) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text an earlier id has; all columns stay.
 
-    Each row has its own verdict, by its id and text: of repeated rows one stays.
+    Each row has its own verdict, by its id and text: of repeated rows one stays. Null texts are empty, and one of all empty ones
+    stays; a group of null ids only keeps one row; texts of any length are whole; an empty table stays empty.
     """
     own, kept_id, kept, place = (unused(docs.columns, x) for x in ("_own_digest", "_kept_id", "_kept_digest", "_place"))
     stays = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept))

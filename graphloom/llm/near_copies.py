@@ -350,7 +350,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with one row of each group of near copies, that with the smallest id (null ids last); all columns stay.
 
     Texts link if the Jaccard similarity of their word shingles (A-Z in lower case) is `least` or more; groups are what links
-    connect. Each row has its own verdict: of repeated rows one stays, and an id that is in several groups may stay in each.
+    connect. Each row has its own verdict: of repeated rows one stays, and an id that is in several groups may stay in each. Null
+    texts are empty, and empty ones are copies of each other; a text of fewer words is one shingle; texts of any length are whole;
+    an empty table stays empty.
     """
     prepare(docs.sparkSession)
     with shuffles_freed(docs.sparkSession), small_batches(docs.sparkSession, BATCH_BYTES):

@@ -169,6 +169,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
 
 
 def drop_rejected(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """docs without the rows that a rule rejects; all columns stay, and a rule's features are computed only if it is reached."""
+    """docs without the rows that a rule rejects; all columns stay, and a rule's features are computed only if it is reached.
+
+    A null or empty text has no words and is rejected; repeated rows are judged each, null ids too; an empty table stays empty;
+    a very long text is judged whole.
+    """
     order = [r for r, _, _ in estimate(docs, rules, text_col)]
     return docs.where(verdict(text_of(f"`{text_col}`"), order).isNull())

@@ -112,26 +112,31 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.llm.url_filter import filter_urls
+    from graphloom.llm.url_filter import BLOCKED_HOSTS, filter_urls, junk_hosts
 
-    return filter_urls(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    listed = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "host string")
+    return filter_urls(pages, blocked=junk_hosts(pages).unionByName(listed))
 
 
 OP10_SQL = r"""
 WITH p AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), u AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
 ), r(rule_host, rule_path, says) AS (
   VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), b(h) AS (
+  SELECT host FROM u WHERE host <> '' GROUP BY host HAVING 2 * count(*) FILTER (regexp_matches(html, '%%%|###|\*\*\*|\$\$\$')) >= count(*)
+  UNION ALL VALUES BLOCKED_HOSTS
 ), fits AS (
   SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
          arg_max(says, length(rule_host || rule_path)) AS says
   FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id
 )
 SELECT u.page_id, host, path, rule, coalesce(says, CASE WHEN EXISTS (
-         SELECT 1 FROM (VALUES BLOCKED_HOSTS) AS b(h) WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
+         SELECT 1 FROM b WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN fits ON fits.page_id = u.page_id
 """
 

@@ -302,7 +302,11 @@ def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str
 
 
 def redact_secrets(docs: DataFrame, labelled: DataFrame | None = None, text_col: str = "text", size_col: str = "n_chars", vocabulary: str | None = None) -> DataFrame:
-    """docs with MASK in place of each secret; all rows and columns stay, and size_col, if there, follows the new text."""
+    """docs with MASK in place of each secret; all rows and columns stay, and size_col, if there, follows the new text.
+
+    Null and empty texts stay as they are; repeated rows and null ids each have their row; texts of any length are scanned whole;
+    an empty table stays empty.
+    """
     forest = train_forest(labelled if labelled is not None else labelled_findings(docs.sparkSession), vocabulary)
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     some = F.exists("found", lambda x: x["secret"])

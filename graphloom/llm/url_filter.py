@@ -21,8 +21,10 @@ from graphloom.llm.common import fresh_path, prepare, shared_map, shared_save
 BLOCK, ALLOW = 0, 1
 #: The rules of the query: host and path together, with the verdict.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-#: Hosts (with their subdomains) that the method blocks where no rule fits; the sample list of this operator.
+#: Hosts (with their subdomains) that the method blocks where no rule fits, beside those that junk_hosts() finds.
 BLOCKED_HOSTS = tuple(f"{n}.example.{t}" for n in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for t in ("com", "net", "org"))
+#: Runs of symbols that make a page junk, and the share of junk pages from which a host is blocked.
+JUNK, JUNK_SHARE = r"%%%|###|\*\*\*|\$\$\$", 0.5
 #: Entries of a part of the digest array, about.
 PART_ENTRIES = 2_000_000
 SEED = 42  # that of Spark's xxhash64
@@ -186,6 +188,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, lower), path
 
 
+def junk_hosts(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = JUNK_SHARE) -> DataFrame:
+    """host: those of which at least the share of their pages is junk. A null page is none; an empty host is never listed."""
+    host, _ = host_and_path(F.col(url_col).cast("string"))
+    junk = F.coalesce(F.col(html_col).cast("string").rlike(JUNK), F.lit(False)).cast("int")
+    return pages.select(host.alias("host"), junk.alias("junk")).where("host <> ''").groupBy("host").agg(F.avg("junk").alias("junk")).where(F.col("junk") >= share).select("host")
+
+
 def filter_urls(pages: DataFrame, rules: dict[str, str] | DataFrame = RULES, blocked: tuple[str, ...] | DataFrame = BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url", index: Index | None = None) -> DataFrame:
     """One row for each input row: page_id, host, path, rule, verdict.
 

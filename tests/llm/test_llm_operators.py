@@ -613,3 +613,11 @@ def test_long_candidates_are_seen_whole(spark):
 
     found = spark.createDataFrame([("the" * 100,), (long,), ("ab",), ("",)], "c string").select(secrets.coverage(F.col("c")).alias("x")).collect()
     assert found[0].x > 0.3 and found[1].x < found[0].x and found[2].x == found[3].x == 1.0
+
+
+def test_junk_hosts(spark):
+    rows = [("http://a.b/x", "p%%%"), ("http://A.b/y", "fine"), ("http://c.d", "ok"), ("http://c.d/2", None), ("http://c.d/3", "###"), ("no url", "$$$"), (None, "***"), ("x://e", "***")]
+    found = url_filter.junk_hosts(spark.createDataFrame(rows, "url string, html string"))
+    assert {r.host for r in found.collect()} == {"a.b", "e"}
+    judged = url_filter.filter_urls(spark.createDataFrame([(1, "http://www.a.b/z"), (2, "http://c.d/")], "page_id long, url string"), blocked=found).collect()
+    assert {(r.page_id, r.verdict) for r in judged} == {(1, "block"), (2, "allow")}
