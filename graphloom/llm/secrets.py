@@ -44,6 +44,8 @@ VOTES = 0.5
 LABELLED, MAX_LABELLED = 8000, 200_000
 #: Words of the vocabulary in which three letters have to occur to count as a part of words.
 COMMON = 6
+#: What stands for the space before a word in vocabulary files: the byte-level sign and the pieces' one.
+WORD_STARTS = ("\u0120", "\u2581")
 SECRET_WORDS = "key|token|secret|passw|pwd|passphrase|passcode|credential|bearer|apikey|signature"
 PLAIN_WORDS = "commit|sha|md5|digest|checksum|hash|uuid|guid|revision|build|version|isbn|phone|card|order|invoice|ticket|etag|blob|base64"
 PLACEHOLDER = r"(?i)^(?:[$%{<\[(*]|your|my[_\-]|example|sample|test|dummy|change|replace|insert|enter|placeholder|required|optional|undefined|none|null|nil|true|false|string|redacted|x{3,}|os\.|process\.|env)|\*{3}|x{6}|\(|_here$|\.\.\."
@@ -68,7 +70,7 @@ def word_parts(vocabulary: str | None = None) -> tuple[int, ...]:
     counts: dict[str, int] = {}
     for token in tokens:
         word = token[1:].lower()
-        if not token[0].isalnum() and re.fullmatch("[a-z]{3,}", word):
+        if token[:1] in WORD_STARTS and re.fullmatch("[a-z]{3,}", word):
             for part in {word[i : i + 3] for i in range(len(word) - 2)}:
                 counts[part] = counts.get(part, 0) + 1
     bits = [0] * 275
