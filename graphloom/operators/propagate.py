@@ -15,6 +15,9 @@ from graphloom.operators.components import components
 from graphloom.operators.traverse import strong_components
 from graphloom.storage import discard, written
 
+#: Steps after which what is left is written anew.
+REWRITE = 8
+
 
 def visit_steps(files: DataFrame, imports: DataFrame) -> DataFrame:
     """files: file. imports: file, needs. file, step (from 0): a file's step is after those of all it needs, but for circles.
@@ -24,27 +27,37 @@ def visit_steps(files: DataFrame, imports: DataFrame) -> DataFrame:
     here = files.select("file").where("file IS NOT NULL").distinct()
     arcs = imports.where("file <> needs").select("file", "needs").distinct()
     arcs = written(arcs.join(here, "file", "left_semi").join(here.select(F.col("file").alias("needs")), "needs", "left_semi").select("file", "needs"), "import-arcs")
-    left, out, step, forced, parts = written(here, "files-left"), [], 0, 0, None
-    while not left.isEmpty():
-        ready = left.join(arcs.select("file").distinct(), "file", "left_anti")
-        if ready.isEmpty():
+    left, out, recent, step, forced, parts = written(here, "files-left"), [], [], 0, 0, None
+    together = lambda tables: left.sparkSession.read.schema(tables[0].schema).parquet(*[x._written_at for x in tables])
+    while True:
+        now_left, now_arcs = left, arcs
+        if recent:
+            gone = together(recent).select("file")
+            now_left, now_arcs = left.join(gone, "file", "left_anti"), arcs.join(gone.withColumnRenamed("file", "needs"), "needs", "left_anti")
+        ready = now_left.join(now_arcs.select("file").distinct(), "file", "left_anti")
+        now = written(ready.select("file", F.lit(step).alias("step")), "files-released")
+        if now.isEmpty():
+            if now_left.isEmpty():
+                break
             forced += 1
             # parts only fall apart as files come out, and older, coarser ones give the same order in more steps
             if forced & (forced - 1) == 0:
-                parts = components(arcs.select(F.col("file").alias("u"), F.col("needs").alias("v"))).select(F.col("node").alias("file"), "root")
-            ready = parts.join(left, "file", "left_semi").groupBy("root").agg(F.min("file").alias("file")).select("file")
-        now = written(ready.select("file", F.lit(step).alias("step")), "files-released")
+                waiting = now_arcs.join(now_left, "file", "left_semi")
+                parts = components(waiting.select(F.col("file").alias("u"), F.col("needs").alias("v"))).select(F.col("node").alias("file"), "root")
+            least = parts.join(now_left, "file", "left_semi").groupBy("root").agg(F.min("file").alias("file"))
+            now = written(least.select("file", F.lit(step).alias("step")), "files-released")
         out.append(now)
-        old_left, old_arcs = left, arcs
-        gone = now.select("file")
-        left = written(left.join(gone, "file", "left_anti"), "files-left")
-        arcs = written(arcs.join(gone, "file", "left_anti").join(gone.select(F.col("file").alias("needs")), "needs", "left_anti"), "import-arcs")
-        discard(old_left)
-        discard(old_arcs)
+        recent.append(now)
         step += 1
-    if not out:
-        return here.select("file", F.lit(0).alias("step"))
-    return left.sparkSession.read.schema(out[0].schema).parquet(*[x._written_at for x in out])
+        if len(recent) == REWRITE:
+            gone = together(recent).select("file")
+            old_left, old_arcs = left, arcs
+            left = written(left.join(gone, "file", "left_anti"), "files-left")
+            arcs = written(arcs.join(gone, "file", "left_anti").join(gone.withColumnRenamed("file", "needs"), "needs", "left_anti"), "import-arcs")
+            discard(old_left)
+            discard(old_arcs)
+            recent = []
+    return together(out) if out else here.select("file", F.lit(0).alias("step"))
 
 
 def _one(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -73,7 +73,7 @@ MENTIONS = """SELECT k, 'docs/m' || k || '.md' AS path, 'Uses `ghcr.io/' || noun
   || '```sh' || chr(10) || CASE k % 3 WHEN 0 THEN 'just ' || noun WHEN 1 THEN 'make ' || adj ELSE 'yarn run ' || noun END || chr(10) || 'npm install' || chr(10) || '```' || chr(10) || '`open ' AS content
 FROM (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM {part}) AS p"""
 RUNNERS = """SELECT 'a' || k || CASE k % 3 WHEN 0 THEN '/justfile' WHEN 1 THEN '/Makefile' ELSE '/package.json' END AS path, CASE k % 3 WHEN 0 THEN 'set shell := x' || chr(10) || noun || ':' || chr(10) || '  other: x' WHEN 1 THEN adj || ' : dep' || chr(10) || '# no:' ELSE '{"scripts": {"' || noun || '": "x"}}' END AS content
-FROM (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM {part}) AS p WHERE k % 29 < 3"""
+FROM (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM {part}) AS p WHERE k % 29 < 3 AND CASE WHEN k % 3 = 1 THEN adj ELSE noun END < 'm'"""
 
 
 def _mentions(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
