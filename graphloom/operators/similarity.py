@@ -16,8 +16,8 @@ def near_pairs(sets: DataFrame, least: float = 0.6, partition: str = "lang", ide
     first; two sets that are similar enough share a token among the first n - ceil(least * n) + 1 of each.
     """
     by = Window.partitionBy(partition, "_id")
-    classes = classes_of(sets, partition, ident, tokens).groupBy(partition, "class").agg(F.first("_tokens").alias("_tokens"))
-    classes = written(classes.select(partition, F.col("class").alias("_id"), "_tokens", F.size("_tokens").alias("_n")).where("_n > 0"), "sets")
+    classes = _keyed(sets, partition, ident, tokens).groupBy(partition, "_key").agg(F.min("id").alias("_id"), F.first("_tokens").alias("_tokens"))
+    classes = written(classes.select(partition, "_id", "_tokens", F.size("_tokens").alias("_n")).where("_n > 0"), "sets")
     rows = classes.select(partition, "_id", "_n", F.explode("_tokens").alias("_token"))
     df = rows.groupBy(partition, "_token").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
     # a token of one set alone can't be shared, but it stands first and takes a place in the prefix
@@ -37,9 +37,14 @@ def near_pairs(sets: DataFrame, least: float = 0.6, partition: str = "lang", ide
     return scored.where(F.col("similarity") >= least)
 
 
-def classes_of(sets: DataFrame, partition: str = "lang", ident: str = "id", tokens: str = "tokens") -> DataFrame:
-    """Who has an equal set: partition, id, class (the smallest id), _tokens (sorted)."""
+def _keyed(sets: DataFrame, partition: str, ident: str, tokens: str) -> DataFrame:
+    """partition, id, _tokens (sorted), _key (equal for equal sets)."""
     rows = sets.select(partition, F.col(ident).alias("id"), F.array_sort(tokens).alias("_tokens"))
-    rows = rows.withColumn("_key", F.sha2(F.to_json("_tokens"), 256))
-    least = rows.groupBy(partition, "_key").agg(F.min("id").alias("class"))
-    return rows.join(least, [partition, "_key"]).select(partition, "id", "class", "_tokens")
+    return rows.withColumn("_key", F.sha2(F.to_json("_tokens"), 256))
+
+
+def classes_of(sets: DataFrame, partition: str = "lang", ident: str = "id", tokens: str = "tokens") -> DataFrame:
+    """Who has an equal set: partition, id, class (the smallest id). Sets are made once, and written as keys."""
+    rows = written(_keyed(sets, partition, ident, tokens).select(partition, "id", "_key"), "set-keys")
+    least = rows.groupBy(F.col(partition).alias("_p"), F.col("_key").alias("_k")).agg(F.min("id").alias("class"))
+    return rows.join(least, rows[partition].eqNullSafe(F.col("_p")) & (F.col("_key") == F.col("_k"))).select(partition, "id", "class")
