@@ -19,49 +19,67 @@ def pushed_owners(modules: DataFrame, relations: DataFrame) -> DataFrame:
     without one there is no owner. Of relations at one place the order is that of kind, source, target; repeated ones are one.
     """
     own = written(modules.select("id").where("id IS NOT NULL").distinct(), "modules")
-    relations = relations.select("source", "target", "kind", F.struct("place", "kind", "source", "target").alias("place")).distinct()
-    belongs = relations.where("kind = 'BelongsToModule'").join(own.withColumnRenamed("id", "target"), "target", "left_semi")
-    contains = relations.where("kind = 'Contains' AND source IS NOT NULL AND target IS NOT NULL")
-    given = belongs.where("source IS NOT NULL").select("place", F.col("source").alias("node"), F.col("target").alias("owner"), F.lit(None).cast("string").alias("of"))
-    steps = written(contains.select("place", F.col("target").alias("node"), F.lit(None).cast("string").alias("owner"), F.col("source").alias("of")), "containment")
+    relations = relations.where("source IS NOT NULL AND target IS NOT NULL AND kind IN ('BelongsToModule', 'Contains')").select("source", "target", "kind", "place").distinct()
+    # numbers in the order of the relations: rows sorted by range are numbered partition after partition
+    numbered = relations.orderBy("place", "kind", "source", "target").select(F.monotonically_increasing_id().alias("n"), "source", "target", "kind")
+    numbered = written(numbered, "relations")
+    given = numbered.where("kind = 'BelongsToModule'").join(own.withColumnRenamed("id", "target"), "target", "left_semi")
+    given = written(given.select("n", F.col("source").alias("node"), F.col("target").alias("owner")), "given")
+    steps = numbered.where("kind = 'Contains'").select("n", F.col("target").alias("node"), F.col("source").alias("of"))
     # what is ever reached: relations whose source never has an owner give nothing
-    seen = written(own.unionByName(given.select(F.col("node").alias("id"))).distinct(), "owned")
-    at = seen
+    at = written(own.unionByName(given.select(F.col("node").alias("id"))).distinct(), "owned")
+    reached = [at]
+    left = written(steps.select("of", "node").distinct().join(at.select(F.col("id").alias("node")).hint("merge"), "node", "left_anti"), "not-owned")
     while not at.isEmpty():
-        found = steps.join(at.withColumnRenamed("id", "of"), "of", "left_semi").select(F.col("node").alias("id")).distinct()
-        at = written(found.join(seen, "id", "left_anti"), "owned-next")
-        seen = seen.unionByName(at)
-    rows = written(given.unionByName(steps.join(seen.withColumnRenamed("id", "of"), "of", "left_semi").select("place", "node", "owner", "of")), "gifts")
-    last = written(rows.groupBy("node").agg(F.max("place").alias("last")), "last-gifts")
+        at = written(left.join(at.select(F.col("id").alias("of")).hint("merge"), "of", "left_semi").select(F.col("node").alias("id")).distinct(), "owned")
+        reached.append(at)
+        left, old = written(left.join(at.select(F.col("id").alias("node")).hint("merge"), "node", "left_anti"), "not-owned"), left
+        discard(old)
+    seen = _together(reached)
+    passed = written(steps.join(seen.select(F.col("id").alias("of")).hint("merge"), "of", "left_semi").select("n", "node", "of"), "gifts")
     # for each gift from a node's owner, the gift to that node before it, else the last one (of the pass before)
-    events = rows.select("node", "place", F.lit(1).alias("gives")).unionByName(rows.where("of IS NOT NULL").select(F.col("of").alias("node"), "place", F.lit(0).alias("gives")))
-    ahead = Window.partitionBy("node").orderBy("place", "gives").rowsBetween(Window.unboundedPreceding, -1)
-    asked = events.withColumn("from", F.last(F.when(F.col("gives") == 1, F.col("place")), ignorenulls=True).over(ahead)).where("gives = 0").select(F.col("node").alias("of"), "place", "from")
-    asked = asked.join(last.withColumnRenamed("node", "of"), "of", "left").select("place", F.coalesce("from", "last").alias("from"))
-    own_of = own.select(F.col("id").alias("of"), F.lit(True).alias("is_module"))
-    joined = rows.join(asked, "place", "left").join(own_of, "of", "left")
-    first = F.when(F.col("of").isNull(), F.col("owner")).when(F.col("from").isNull() & F.col("is_module"), F.col("of"))
+    gifts = given.select("node", "n").unionByName(passed.select("node", "n"))
+    events = gifts.withColumn("gives", F.lit(1)).unionByName(passed.select(F.col("of").alias("node"), "n", F.lit(0).alias("gives")))
+    ahead = Window.partitionBy("node").orderBy("n", "gives").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("gives") == 1, F.col("n")))
+    asked = events.select("node", "n", "gives", last.over(ahead).alias("from"), last.over(Window.partitionBy("node")).alias("last")).where("gives = 0")
+    joined = asked.select("n", F.col("node").alias("of"), F.coalesce("from", "last").alias("from")).join(own.select(F.col("id").alias("of"), F.lit(True).alias("is_module")), "of", "left")
+    first = F.when(F.col("from").isNull() & F.col("is_module"), F.col("of"))
     # at the very beginning, what a module has not been given yet is itself: this counts on circles only
-    begins = F.when((F.col("from") >= F.col("place")) & F.col("is_module"), F.col("of"))
-    refs = written(joined.select("place", first.alias("owner"), "from", begins.alias("begins")), "references")
-    state = _followed(refs.select("place", "owner", "from"))
-    on_circles = refs.join(state.where("owner IS NULL").select("place"), "place", "left_semi")
+    begins = F.when((F.col("from") >= F.col("n")) & F.col("is_module"), F.col("of"))
+    none = F.lit(None)
+    refs = given.select("n", "owner", none.cast("long").alias("from"), none.cast("string").alias("begins")).unionByName(joined.select("n", first.alias("owner"), "from", begins.alias("begins")))
+    refs = written(refs, "references")
+    state = _followed(refs.select("n", "owner", "from"))
+    on_circles = written(refs.join(state.where("owner IS NULL").select("n").hint("merge"), "n", "left_semi"), "circles")
     if not on_circles.isEmpty():
-        again = _followed(on_circles.select("place", F.col("begins").alias("owner"), "from"))
+        again = _followed(on_circles.select("n", F.col("begins").alias("owner"), "from"))
         state = state.where("owner IS NOT NULL").unionByName(again)
-    ends = last.join(state.select(F.col("place").alias("last"), "owner"), "last").select(F.col("node").alias("id"), "owner")
+    ends = gifts.groupBy("node").agg(F.max("n").alias("n")).join(state.hint("merge"), "n").select(F.col("node").alias("id"), "owner")
     every = ends.join(own.withColumn("self", F.col("id")), "id", "full")
     return every.select("id", F.coalesce("owner", "self").alias("owner")).where("owner IS NOT NULL")
 
 
+def _together(tables: list[DataFrame]) -> DataFrame:
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[x._written_at for x in tables])
+
+
 def _followed(refs: DataFrame) -> DataFrame:
-    """refs: place, owner, from (a place; not followed where there is an owner). place, owner at the end of each chain."""
-    state = written(refs.select("place", "owner", F.when(F.col("owner").isNull(), F.col("from")).alias("from")), "references")
-    most, far = state.count(), 1
-    while far <= 2 * most and not state.where("`from` IS NOT NULL").isEmpty():
-        to = state.select(F.col("place").alias("from"), F.col("owner").alias("found"), F.col("from").alias("next"))
-        owner = F.coalesce("owner", "found")
-        old, state = state, written(state.join(to, "from", "left").select("place", owner.alias("owner"), F.when(owner.isNull(), F.col("next")).alias("from")), "references")
+    """refs: n, owner, from (an n; not followed where there is an owner). n, owner at the end of each chain, null on circles.
+
+    A round doubles the way of those that are open. When a round ends no chain, there is none so long: what is open goes in circles.
+    """
+    ended = [written(refs.where("owner IS NOT NULL OR `from` IS NULL").select("n", "owner"), "ends")]
+    left = written(refs.where("owner IS NULL AND `from` IS NOT NULL").select("n", "from"), "references")
+    while not left.isEmpty():
+        to = _together(ended).select(F.col("n").alias("from"), "owner", F.lit(None).cast("long").alias("next"))
+        to = to.unionByName(left.select(F.col("n").alias("from"), F.lit(None).cast("string").alias("owner"), F.col("from").alias("next")))
+        moved = written(left.join(to.hint("merge"), "from", "left").select("n", "owner", F.col("next").alias("from")), "moved")
+        now = written(moved.where("owner IS NOT NULL OR `from` IS NULL").select("n", "owner"), "ends")
+        if now.isEmpty():
+            break
+        ended.append(now)
+        left, old = written(moved.where("owner IS NULL AND `from` IS NOT NULL").select("n", "from"), "references"), left
         discard(old)
-        far *= 2
-    return state.select("place", "owner")
+        discard(moved)
+    return _together(ended).unionByName(left.select("n", F.lit(None).cast("string").alias("owner")))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import budget, owners, planning, resolve
 
@@ -69,6 +70,15 @@ def test_owners_on_a_circle(spark):
     assert {r.id: r.owner for r in found.collect()} == {"m": "m", "a": "m", "b": "m"} == pushed({"m"}, rows)
 
 
+def test_rounds_end_with_the_longest_chain(spark, monkeypatch):
+    names, write = [], owners.written
+    monkeypatch.setattr(owners, "written", lambda df, name: (names.append(name), write(df, name))[1])
+    refs = [(0, "m", None), *((k, None, k - 1) for k in range(1, 5)), (5, None, 6), (6, None, 5), *((k, "x", None) for k in range(7, 300))]
+    found = owners._followed(spark.createDataFrame(refs, ["n", "owner", "from"]).select(F.col("n"), "owner", F.col("from").cast("long").alias("from")))
+    assert {r[0]: r.owner for r in found.collect()} == {**{k: "m" for k in range(5)}, 5: None, 6: None, **{k: "x" for k in range(7, 300)}}
+    assert names.count("references") <= 5
+
+
 def test_extended_aliases(spark):
     configs = [("a/tsconfig.json", "./base"), ("a/base.json", "../root.json"), ("root.json", "@pkg/base"), ("b/one.json", "./two.json"), ("b/two.json", "./one.json"), ("c/self.json", "./self.json"), ("d/x.json", "./none"), ("e/x.json", None)]
     aliases = [("a/tsconfig.json", "@x/*", 0, "a/x/*"), ("a/base.json", "@x/*", 0, "no"), ("a/base.json", "@y", 0, "y0"), ("a/base.json", "@y", 1, "y1"), ("root.json", "@y", 0, "no"), ("root.json", "@z", 0, "z"), ("b/two.json", "@t", 0, "t"), ("c/self.json", "@s", 0, "s"), ("gone.json", "@g", 0, "g")]
