@@ -215,6 +215,8 @@ def _parsed(path: str, text: str) -> list[tuple[str, str, str | None]]:
         return [("", "Error", type(error).__name__)]
 
 
+#: Paths of the files that manifest_packages() reads.
+MANIFESTS = r"(Cargo\.toml|(package|composer)\.json|pyproject\.toml|\.csproj|pom\.xml)$"
 VALUES = "path string, config_path string, kind string, value string"
 
 
@@ -241,22 +243,38 @@ def _at(values: DataFrame, pattern: str, *names: str) -> DataFrame:
 
 
 def manifest_packages(values: DataFrame) -> DataFrame:
-    """path, scope, package, version of manifests, from their structured values: Cargo, pyproject, npm, Composer, Maven, csproj."""
-    cargo = _at(values, r"^(dependencies|dev-dependencies|build-dependencies|workspace\.dependencies)\.([^.\[]+)(?:\.version)?$", "scope", "package").where(F.col("path").endswith("Cargo.toml"))
-    npm = _at(values, r"^(dependencies|devDependencies|peerDependencies|optionalDependencies|require|require-dev)\.([^\[]+)$", "scope", "package").where(F.col("path").rlike(r"(package|composer)\.json$"))
-    poetry = _at(values, r"^tool\.poetry\.(dependencies|dev-dependencies)\.([^.\[]+)(?:\.version)?$", "scope", "package").where(F.col("path").endswith("pyproject.toml"))
-    pep = _at(values, r"^project\.(dependencies)\[\d+\]$", "scope").where(F.col("path").endswith("pyproject.toml"))
-    pattern = r"^\s*([A-Za-z0-9][A-Za-z0-9._\-]*)\s*(?:\[[^\]]*\])?\s*([^;]*)"
-    pep = pep.select("path", "scope", F.regexp_replace(F.lower(F.regexp_extract("value", pattern, 1)), "[_.]+", "-").alias("package"), F.trim(F.regexp_extract("value", pattern, 2)).alias("value"), "kind")
-    reference = _at(values, r"PackageReference\.@(Include)$", "scope").where(F.col("path").endswith(".csproj")).select("path", "scope", F.col("value").alias("package"), F.lit(None).cast("string").alias("value"), "kind")
-    group = _at(values, r"^(.*dependencies\[\d+\]\.dependency)\[\d+\]\.(groupId|artifactId|version)$", "at", "field").where(F.col("path").endswith("pom.xml"))
-    pom = group.groupBy("path", "at").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("groupId", "artifactId", "version")])
-    pom = pom.select("path", F.lit("dependency").alias("scope"), F.concat_ws(":", "groupId", "artifactId").alias("package"), F.col("version").alias("value"), F.lit("String").alias("kind"))
-    columns = ["path", "scope", "package", "value", "kind"]
-    both = cargo.select(*columns).unionByName(npm.select(*columns)).unionByName(poetry.select(*columns)).unionByName(pep.select(*columns)).unionByName(reference.select(*columns)).unionByName(pom.select(*columns))
+    """path, scope, package, version of manifests, from one pass over their structured values: Cargo, pyproject, npm, Composer, Maven, csproj."""
+    at, path, value = F.col("config_path"), F.col("path"), F.col("value")
+    none = F.lit(None).cast("string")
+    taken = lambda here, pattern, scope, package, version, dependency=none, field=none: F.when(
+        here & at.rlike(pattern), F.struct(dependency.alias("dependency"), field.alias("field"), scope.alias("scope"), package.alias("package"), version.alias("version"))
+    )
+    group = lambda pattern, k: F.regexp_extract(at, pattern, k)
+    named = lambda here, pattern: taken(here, pattern, group(pattern, 1), group(pattern, 2), value)
+    poetry, pep = r"^tool\.poetry\.(dependencies|dev-dependencies)\.([^.\[]+)(?:\.version)?$", r"^project\.(dependencies)\[\d+\]$"
+    wanted = r"^\s*([A-Za-z0-9][A-Za-z0-9._\-]*)\s*(?:\[[^\]]*\])?\s*([^;]*)"
+    of_pep = F.regexp_replace(F.lower(F.regexp_extract(value, wanted, 1)), "[_.]+", "-")
+    reference, pom = r"PackageReference\.@(Include)$", r"^(.*dependencies\[\d+\]\.dependency)\[\d+\]\.(groupId|artifactId|version)$"
+    is_pom, plain = path.endswith("pom.xml"), F.col("kind").isin("String", "Object")
+    found = F.array(
+        named(plain & path.endswith("Cargo.toml"), r"^(dependencies|dev-dependencies|build-dependencies|workspace\.dependencies)\.([^.\[]+)(?:\.version)?$"),
+        named(plain & path.rlike(r"(package|composer)\.json$"), r"^(dependencies|devDependencies|peerDependencies|optionalDependencies|require|require-dev)\.([^\[]+)$"),
+        named(plain & path.endswith("pyproject.toml"), poetry),
+        taken(plain & path.endswith("pyproject.toml"), pep, group(pep, 1), of_pep, F.trim(F.regexp_extract(value, wanted, 2))),
+        taken(plain & path.endswith(".csproj"), reference, group(reference, 1), value, none),
+        taken(is_pom, pom, none, none, value, group(pom, 1), group(pom, 2)),
+    )
+    rows = values.where(path.rlike(MANIFESTS)).select("path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("path", "f.*")
+    # the parts of a Maven dependency are put together first
+    field = lambda name: F.max(F.when(F.col("field") == name, F.col("version"))).alias(name)
+    rows = rows.groupBy("path", "dependency", "scope", "package").agg(F.max(F.when(F.col("field").isNull(), F.col("version"))).alias("plain"), field("groupId"), field("artifactId"), field("version"))
+    joined = F.col("dependency").isNotNull()
+    rows = rows.select(
+        "path", F.when(joined, "dependency").otherwise(F.col("scope")).alias("scope"), F.when(joined, F.concat_ws(":", "groupId", "artifactId")).otherwise(F.col("package")).alias("package"),
+        F.when(joined, F.col("version")).otherwise(F.col("plain")).alias("version"),
+    )
     # a dependency may be a string or an object with a version; PEP 621 entries win over the same of another tool
-    own = both.where("kind IN ('String', 'Object')").groupBy("path", "scope", "package").agg(F.max("value").alias("version"))
-    return own.select("path", "scope", "package", "version")
+    return rows.groupBy("path", "scope", "package").agg(F.max("version").alias("version"))
 
 
 def compose_services(values: DataFrame) -> DataFrame:

@@ -100,9 +100,9 @@ def container_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LINES} SELECT path, package, scope, version FROM (SELECT path, regexp_extract(text, '^(\\w+) = ', 1) AS package, part AS scope, CASE WHEN contains(text, 'version') THEN regexp_extract(text, 'version = \"([^\"]*)\"', 1) ELSE regexp_extract(text, '= \"([^\"]*)\"', 1) END AS version FROM tm WHERE t = 4 AND part LIKE '%dependencies' AND regexp_matches(text, '^\\w+ = ') UNION ALL SELECT path, regexp_replace(lower(regexp_extract(text, '^  \"(\\w+)', 1)), '[_.]+', '-', 'g'), 'dependencies', regexp_extract(text, '^  \"\\w+(\\[\\w+\\])?([^\"]*)\"', 2) FROM tm WHERE t = 5 AND starts_with(text, '  \"') UNION ALL SELECT path, regexp_extract(text, '^    \"([^\"]+)\"', 1), obj, regexp_extract(text, ': \"([^\"]*)\"', 1) FROM tm WHERE t = 6 AND obj ILIKE '%dependencies' AND starts_with(text, '    \"'))")
 def manifest_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages that Cargo, Python and npm manifests ask for, from one pass over the files."""
-    from graphloom.operators.extract import manifest_packages
+    from graphloom.operators.extract import MANIFESTS, manifest_packages
 
-    rows = facts.facts(analyzed(spark, sf_dir)).where("fact = 'value'")
+    rows = facts.facts(analyzed(spark, sf_dir).where(F.col("path").rlike(MANIFESTS))).where("fact = 'value'")
     get = lambda name: F.variant_get("detail", f"$.{name}", "string")
     return manifest_packages(rows.select("path", get("path").alias("config_path"), get("kind").alias("kind"), get("value").alias("value")))
 

@@ -1,9 +1,10 @@
 """Facts and edges of odd files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import classify
-from graphloom.operators import facts
+from graphloom.operators import extract, facts
 
 FILES = [
     ("a/Dockerfile", "Dockerfile", "# c\nFROM --platform=x base:1 AS b\r\nRUN a \\\n# note \\\n  && b\nENV A=1 B=2\nEXPOSE 80 \\\n"),
@@ -60,3 +61,10 @@ def test_classification_of_odd_files(spark):
     }
     one = spark.createDataFrame([("zig", "zig", "SourceCode", "GenericText", "GenericText")], "extension string, language string, category string, tier string, analyzer string")
     assert classify.classified(spark.createDataFrame([("a.zig", "", 1)], "path string, content string, size_bytes long"), one).first().format == "zig"
+
+
+def test_manifests_are_read_once(spark):
+    rows = [("a/Cargo.toml", '[dependencies]\nx = "1"\n[dependencies.y]\nversion = "2"'), ("a/pom.xml", "<p><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>3</version></dependency></dependencies></p>"), ("a/package.json", "[")]
+    found = extract.manifest_packages(extract.structured(spark.createDataFrame(rows, "path string, content string")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {tuple(r) for r in found.collect()} == {("a/Cargo.toml", "dependencies", "x", "1"), ("a/Cargo.toml", "dependencies", "y", "2"), ("a/pom.xml", "dependency", "g:a", "3")}
