@@ -199,15 +199,23 @@ def _without_comments(text: str) -> str:
     return "".join(out)
 
 
+def _documents(text: str) -> list[Any]:
+    """The documents of a YAML text by libyaml, where it is there; what that can't read is left to the slower reader and its errors."""
+    import yaml
+
+    try:
+        return list(yaml.load_all(text, yaml.CSafeLoader))
+    except Exception:
+        return list(yaml.safe_load_all(text))
+
+
 def _parsed(path: str, text: str) -> list[tuple[str, str, str | None]]:
     name = path.rsplit("/", 1)[-1].lower()
     try:
         if name.endswith(".toml"):
             return list(_flattened(tomllib.loads(text), ""))
         if name.endswith((".yml", ".yaml")):
-            import yaml
-
-            return [x for d in yaml.safe_load_all(text) for x in _flattened(d, "")]
+            return [x for d in _documents(text) for x in _flattened(d, "")]
         if name.endswith((".xml", ".csproj")):
             return list(_xml(ElementTree.fromstring(text), ""))
         return list(_flattened(json.loads(text if not name.startswith("tsconfig") else _without_comments(text)), ""))

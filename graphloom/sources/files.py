@@ -94,9 +94,14 @@ SELECT k, path, length(content) AS size_bytes, content FROM (SELECT k, CASE k %
 """
 
 
+#: Parts whose files one task makes.
+PARTS = 20_000
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbers and names of parts, dealt over all cores: their files are far larger than the rows that Spark cuts into tasks."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name").repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")
+    """The numbers and names of parts, dealt over all cores, some to a task: their files are far larger than the rows that Spark cuts into tasks."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    return part.repartition(max(2 * spark.sparkContext.defaultParallelism, part.count() // PARTS), "p_partkey")
 
 
 def stack_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,13 @@ def test_manifests_are_read_once(spark):
     found = extract.manifest_packages(extract.structured(spark.createDataFrame(rows, "path string, content string")))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert {tuple(r) for r in found.collect()} == {("a/Cargo.toml", "dependencies", "x", "1"), ("a/Cargo.toml", "dependencies", "y", "2"), ("a/pom.xml", "dependency", "g:a", "3")}
+
+
+def test_yaml_is_read_by_libyaml(monkeypatch):
+    yaml = pytest.importorskip("yaml")
+    slow = yaml.safe_load_all
+    asked = []
+    monkeypatch.setattr(yaml, "safe_load_all", lambda text: (asked.append(text), slow(text))[1])
+    assert extract._parsed("x.yml", "a: [1, yes]") == [("", "Object", None), ("a", "Array", None), ("a[0]", "Number", "1"), ("a[1]", "Boolean", "true")]
+    assert not asked or not hasattr(yaml, "CSafeLoader")
+    assert extract._parsed("x.yml", "a: [") == [("", "Error", "ParserError")]

@@ -40,3 +40,10 @@ def test_lines_in_words_are_not_broadcast(spark, tmp_path):
 def test_files_are_dealt_over_cores(spark):
     for make in (files, stack_files):
         assert make(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_parts_of_a_task_are_bounded(spark, monkeypatch):
+    from graphloom.sources import files as made
+
+    monkeypatch.setattr(made, "PARTS", 10, raising=False)
+    assert made.stack_files(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 20
