@@ -1,4 +1,4 @@
-"""One pass over files: a table function gives each file's facts of all kinds, and typed edges follow from the facts by tables.
+"""One pass over files: a scan over Arrow batches gives each file's facts of all kinds, and typed edges follow from the facts by tables.
 
 A file's text is read once. Its analyzer (functions.classify.analyzer) says what is looked for; every fact is a row with its kind,
 line and a variant. Which edge a fact makes, from what to what, is said by EDGES; what an edge may point to by TARGETS.
@@ -9,8 +9,10 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,10 @@ from graphloom.functions.paths import resolved
 from graphloom.operators.extract import LINK, PATH, SHELLS, _parsed, manifest_packages
 from graphloom.storage import ship_package, written
 
-FACTS = "seq int, fact string, line int, detail string"
+FACTS = "path string, analyzer string, seq int, fact string, line int, detail string"
+NAMES, TYPES = ("path", "analyzer", "seq", "fact", "line", "detail"), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string())
+#: Facts that a task hands on at once.
+BATCH = 10_000
 #: Analyzers whose files are read as structured values.
 STRUCTURED = ("Compose", "Actions", "Cargo", "PyProject", "PackageManifest", "Structured")
 # What edges of a kind may point to. Kinds that are not listed may point to anything; Unresolved is always allowed.
@@ -144,20 +149,18 @@ def _go(text: str) -> Iterator[tuple[str, int, dict[str, Any]]]:
 _READERS = {"Dockerfile": _docker, "Markdown": _markdown, "Environment": _environment, "Protocol": _protocol, "Requirements": _requirements}
 
 
-class FileFacts:
-    """Table function: (path, analyzer, content) to seq, fact, line, detail (JSON)."""
-
-    def eval(self, path: str, analyzer: str, content: str) -> Iterator[tuple[int, str, int | None, str]]:
-        if content is None or analyzer is None:
-            return
-        if analyzer in STRUCTURED and not path.endswith(("go.mod", ".gradle", ".gradle.kts")):
-            found = (("value", None, {"path": p, "kind": kind, "value": value}) for p, kind, value in _parsed(path, content))
-        elif path.endswith("go.mod"):
-            found = _go(content)
-        else:
-            found = _READERS[analyzer](content) if analyzer in _READERS else ()
-        for seq, (fact, line, detail) in enumerate(found):
-            yield seq, fact, line, json.dumps(detail)
+def _facts_of(path: str, analyzer: str, content: str) -> Iterator[tuple[int, str, int | None, str]]:
+    """seq, fact, line, detail (JSON) of a file."""
+    if content is None or analyzer is None:
+        return
+    if analyzer in STRUCTURED and not path.endswith(("go.mod", ".gradle", ".gradle.kts")):
+        found = (("value", None, {"path": p, "kind": kind, "value": value}) for p, kind, value in _parsed(path, content))
+    elif path.endswith("go.mod"):
+        found = _go(content)
+    else:
+        found = _READERS[analyzer](content) if analyzer in _READERS else ()
+    for seq, (fact, line, detail) in enumerate(found):
+        yield seq, fact, line, json.dumps(detail)
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -166,11 +169,16 @@ def facts(files: DataFrame) -> DataFrame:
     A file without content or with an analyzer that has no reader gives no rows; one that can't be parsed gives a value of
     kind Error. Repeated files give their facts each.
     """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = ((path, analyzer, *fact) for path, analyzer, content in zip(*(c.to_pylist() for c in batch.columns)) for fact in _facts_of(path, analyzer, content))
+            while some := list(islice(rows, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), TYPES)], names=NAMES)
+
     ship_package(files.sparkSession)
-    made = F.udtf(FileFacts, returnType=FACTS)
-    few = files.select("path", "analyzer", "content")
-    rows = few.lateralJoin(made(F.col("path").outer(), F.col("analyzer").outer(), F.col("content").outer()))
-    return rows.select("path", "analyzer", "seq", "fact", "line", F.parse_json("detail").alias("detail"))
+    rows = files.select("path", "analyzer", "content").where("content IS NOT NULL AND analyzer IS NOT NULL").mapInArrow(scan, FACTS)
+    return rows.withColumn("detail", F.parse_json("detail"))
 
 
 def _detail(name: str) -> Column:
@@ -211,7 +219,7 @@ def _described(rows: DataFrame) -> DataFrame:
     )
     from_values = values.select("path", "analyzer", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("path", "analyzer", "f.*", F.lit(None).cast("int").alias("line"))
     packages = manifest_packages(values).select("path", F.lit("Manifest").alias("analyzer"), F.lit("package").alias("fact"), F.lit(None).cast("string").alias("owner"), F.col("package").alias("name"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("line"))
-    both = named.unionByName(from_values).unionByName(packages)
+    both = written(named.unionByName(from_values).unionByName(packages), "described-facts")
     # dependencies belong to the package that a manifest declares, else to the file
     own = both.where("fact = 'local'").groupBy("path").agg(F.min("name").alias("local"))
     return both.join(own, "path", "left")
@@ -242,6 +250,7 @@ def typed_edges(files: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("artifact:"), F.ltrim(name, F.lit("/"))))
     )
     made = rows.join(edges, "fact").select("fact", "path", source.alias("source"), target.alias("target"), "kind", "label", "name").where("target IS NOT NULL")
+    made = written(made, "edges-made")
     # files and services that are pointed to have to be there; a path is taken from the file's folder, else from the root
     there = files.select(F.concat(F.lit("artifact:"), "path").alias("target")).unionByName(made.where("fact = 'service'").select("target")).distinct()
     beside = F.when(F.col("fact").isin("link", "path") & ~name.startswith("/"), F.concat(F.lit("artifact:"), resolved(F.col("path"), name)))

@@ -78,3 +78,11 @@ def test_yaml_is_read_by_libyaml(monkeypatch):
     assert extract._parsed("x.yml", "a: [1, yes]") == [("", "Object", None), ("a", "Array", None), ("a[0]", "Number", "1"), ("a[1]", "Boolean", "true")]
     assert not asked or not hasattr(yaml, "CSafeLoader")
     assert extract._parsed("x.yml", "a: [") == [("", "Error", "ParserError")]
+
+
+def test_described_facts_are_written(spark, monkeypatch):
+    names, write = [], facts.written
+    monkeypatch.setattr(facts, "written", lambda df, name: (names.append(name), write(df, name))[1])
+    edges = facts.typed_edges(spark.createDataFrame(FILES, "path string, analyzer string, content string"))
+    assert names == ["file-facts", "described-facts", "edges-made"]
+    assert "variant_get" not in edges._jdf.queryExecution().optimizedPlan().toString()
