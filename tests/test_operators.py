@@ -407,3 +407,15 @@ def test_decisions(spark):
     assert decisions.created(records, records).count() == 2 and decisions.deleted(records, "0002").count() == 1
     with pytest.raises(ValueError):
         decisions.updated(records, "0002", "done")
+
+
+def test_what_edges_name_is_looked_up_once(spark):
+    nodes = spark.createDataFrame([("a", "Order", None, None), ("p", "Part", None, None), ("p", "Order", None, None)], "id string, label string, name string, path string")
+    edges = spark.createDataFrame([("1", "a", "p", "Contains"), ("2", "x", "a", "Calls"), ("3", None, "y", "Contains"), ("4", "a", None, None), ("5", "a", "a", None), ("6", "a", "a", "SuppliedBy")], "id string, source string, target string, kind string")
+    g = PropertyGraph(nodes, edges)
+    want = [("2", "dangling_source"), ("3", "dangling_source"), ("3", "dangling_target"), ("4", "dangling_target")]
+    found = g.issues()
+    assert sorted((r.edge_id, r.issue) for r in found.where("issue <> 'target_label'").collect()) == want
+    assert "6" in {r.edge_id for r in found.where("issue = 'target_label'").collect()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "Path" not in plan
