@@ -419,3 +419,12 @@ def test_what_edges_name_is_looked_up_once(spark):
     assert "6" in {r.edge_id for r in found.where("issue = 'target_label'").collect()}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and "Path" not in plan
+
+
+def test_the_last_level_of_a_path_is_not_followed(spark, monkeypatch):
+    names, write = [], traverse.written
+    monkeypatch.setattr(traverse, "written", lambda df, name: (names.append(name), write(df, name))[1])
+    edges = [("e1", "a", "b", "K"), ("e0", "a", "c", "K"), ("e3", "b", "z", "K"), ("e2", "z", "c", "K"), ("e9", "z", "b", "K")]
+    g = PropertyGraph(spark.createDataFrame([(x, "L", x, None) for x in "abcz"], "id string, label string, name string, path string"), spark.createDataFrame(edges, "id string, source string, target string, kind string"))
+    assert [(r.source, r.target, r.edge_id) for r in traverse.shortest_path(g, "a", "z").orderBy("hop").collect()] == [("a", "b", "e1"), ("b", "z", "e3")]
+    assert "near" in names and names.count("trails") == 4
