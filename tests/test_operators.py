@@ -428,3 +428,10 @@ def test_the_last_level_of_a_path_is_not_followed(spark, monkeypatch):
     g = PropertyGraph(spark.createDataFrame([(x, "L", x, None) for x in "abcz"], "id string, label string, name string, path string"), spark.createDataFrame(edges, "id string, source string, target string, kind string"))
     assert [(r.source, r.target, r.edge_id) for r in traverse.shortest_path(g, "a", "z").orderBy("hop").collect()] == [("a", "b", "e1"), ("b", "z", "e3")]
     assert "near" in names and names.count("trails") == 4
+
+
+def test_digests_take_no_few_tasks(spark):
+    from graphloom.plans import retrieval_queries
+
+    text = open(retrieval_queries.__file__).read()
+    assert not __import__("re").search(r"repartition\(\d", text)
