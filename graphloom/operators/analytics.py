@@ -140,6 +140,7 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
 
 def community_stats(members: DataFrame, edges: DataFrame) -> DataFrame:
     """members: id, community. edges: source, target. Of each community: members, intra, boundary, cohesion, conductance."""
+    members = written(members.select("id", "community"), "members")
     a = members.select(F.col("id").alias("source"), F.col("community").alias("a"))
     b = members.select(F.col("id").alias("target"), F.col("community").alias("b"))
     ends = edges.join(a, "source").join(b, "target")

@@ -430,6 +430,14 @@ def test_the_last_level_of_a_path_is_not_followed(spark, monkeypatch):
     assert "near" in names and names.count("trails") == 4
 
 
+def test_members_of_communities_are_made_once(spark, monkeypatch):
+    names, write = [], analytics.written
+    monkeypatch.setattr(analytics, "written", lambda df, name: (names.append(name), write(df, name))[1])
+    members = spark.createDataFrame([("a", "x"), ("b", "x")], "id string, community string")
+    assert analytics.community_stats(members, spark.createDataFrame([("a", "b")], "source string, target string")).first().intra == 1
+    assert names == ["members"]
+
+
 def test_digests_take_no_few_tasks(spark):
     from graphloom.plans import retrieval_queries
 
