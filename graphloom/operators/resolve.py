@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.paths import parent, resolved
 from graphloom.operators.propagate import first_inherited as inherited_methods
 from graphloom.operators.propagate import layers as topological_layers  # noqa: F401
-from graphloom.storage import written
+from graphloom.storage import apart, written
 
 
 def import_targets(imports: DataFrame, files: DataFrame, endings: tuple[str, ...]) -> DataFrame:
@@ -108,15 +108,15 @@ def extended_aliases(configs: DataFrame, aliases: DataFrame) -> DataFrame:
     name = resolved(F.col("path"), F.col("extends"))
     name = F.when(name.endswith(".json"), name).otherwise(F.concat(name, F.lit(".json")))
     up = there.where("startswith(extends, './') OR startswith(extends, '../')").select("path", name.alias("to"))
-    jumps = written(up.join(there.select(F.col("path").alias("to")), "to", "left_semi").where("path <> to").select("path", "to", F.lit(1).cast("long").alias("far")), "extends")
-    have = written(aliases.select("path", "pattern").distinct().join(there, "path", "left_semi").select("path", "pattern", F.col("path").alias("origin"), F.lit(0).cast("long").alias("depth")), "patterns")
+    jumps = written(up.join(apart(there.select(F.col("path").alias("to"))), "to", "left_semi").where("path <> to").select("path", "to", F.lit(1).cast("long").alias("far")), "extends")
+    have = written(aliases.select("path", "pattern").distinct().join(apart(there), "path", "left_semi").select("path", "pattern", F.col("path").alias("origin"), F.lit(0).cast("long").alias("depth")), "patterns")
     most, far = there.count(), 1
     while far <= most and not jumps.isEmpty():
-        pulled = jumps.join(have.withColumnRenamed("path", "to"), "to").select("path", "pattern", "origin", (F.col("depth") + F.col("far")).alias("depth"))
+        pulled = jumps.join(apart(have.withColumnRenamed("path", "to")), "to").select("path", "pattern", "origin", (F.col("depth") + F.col("far")).alias("depth"))
         nearest = have.unionByName(pulled).groupBy("path", "pattern").agg(F.min(F.struct("depth", "origin")).alias("x"))
         have = written(nearest.select("path", "pattern", F.col("x.origin").alias("origin"), F.col("x.depth").alias("depth")), "patterns")
         on = jumps.select(F.col("path").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
-        jumps = written(jumps.join(on, "to").select("path", F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far")), "extends")
+        jumps = written(jumps.join(apart(on), "to").select("path", F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far")), "extends")
         far *= 2
     targets = aliases.select(F.col("path").alias("origin"), "pattern", "at", "target")
-    return have.join(targets, ["origin", "pattern"]).select("path", "pattern", "at", "target", "origin", "depth")
+    return have.join(apart(targets), ["origin", "pattern"]).select("path", "pattern", "at", "target", "origin", "depth")

@@ -88,3 +88,9 @@ def test_extended_aliases(spark):
         ("a/base.json", "@x/*", 0, "no", "a/base.json", 0), ("a/base.json", "@y", 0, "y0", "a/base.json", 0), ("a/base.json", "@y", 1, "y1", "a/base.json", 0), ("a/base.json", "@z", 0, "z", "root.json", 1),
         ("root.json", "@y", 0, "no", "root.json", 0), ("root.json", "@z", 0, "z", "root.json", 0), ("b/one.json", "@t", 0, "t", "b/two.json", 1), ("b/two.json", "@t", 0, "t", "b/two.json", 0), ("c/self.json", "@s", 0, "s", "c/self.json", 0),
     }
+
+
+def test_aliases_are_joined_without_copies_at_the_driver(spark):
+    found = resolve.extended_aliases(spark.createDataFrame([("a.json", None)], "path string, extends string"), spark.createDataFrame([("a.json", "@", 0, "t")], "path string, pattern string, at int, target string"))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1
