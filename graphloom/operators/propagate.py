@@ -2,39 +2,126 @@
 
 A file comes after the files it imports. Where nothing is free any more, what is left has circles: in each connected part of it
 the file with the smallest path is let through, as if what it still waits for were not there. Parts don't depend on each other,
-so this is the order of one file after the other, in as many steps as the longest way has, at any size. No step holds more than
-the files that come in it; each is a written table.
+so this is the order of one file after the other, in as many steps as the longest way has, at any size. Parts of bounded size are
+dealt to tasks and ordered there; of larger ones no step holds more than the files that come in it, and each is a written table.
+Joins are by sorting, so no copies of growing tables go through the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import components
 from graphloom.operators.traverse import strong_components
-from graphloom.storage import discard, written
+from graphloom.storage import apart, discard, ship_package, written
 
 #: Steps after which what is left is written anew.
 REWRITE = 8
+#: Imports that a connected part has at most that is ordered within a task.
+MOST_ARCS = 2000
 
 
-def visit_steps(files: DataFrame, imports: DataFrame) -> DataFrame:
+def visit_steps(files: DataFrame, imports: DataFrame, most: int = MOST_ARCS) -> DataFrame:
     """files: file. imports: file, needs. file, step (from 0): a file's step is after those of all it needs, but for circles.
 
-    Imports of files that are not there and of a file itself don't count. There is no limit of steps.
+    Imports of files that are not there and of a file itself don't count. There is no limit of steps. Steps of files that nothing
+    connects are not comparable. Each connected part of `most` imports or fewer is ordered within a task, which has one such part
+    at a time; larger ones are ordered together, in written steps.
     """
     here = files.select("file").where("file IS NOT NULL").distinct()
     arcs = imports.where("file <> needs").select("file", "needs").distinct()
-    arcs = written(arcs.join(here, "file", "left_semi").join(here.select(F.col("file").alias("needs")), "needs", "left_semi").select("file", "needs"), "import-arcs")
+    arcs = arcs.join(apart(here), "file", "left_semi").join(apart(here.select(F.col("file").alias("needs"))), "needs", "left_semi").select("file", "needs")
+    arcs = written(arcs, "import-arcs")
+    parts = components(arcs.select(F.col("file").alias("u"), F.col("needs").alias("v"))).select(F.col("node").alias("file"), "root")
+    placed = written(arcs.join(apart(parts), "file"), "placed-arcs")
+    large = written(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("root"), "large-parts")
+    alone = here.join(apart(parts.select("file")), "file", "left_anti").select("file", F.lit(0).alias("step"))
+    n = max(1, int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ship_package(arcs.sparkSession)
+    small = placed.join(apart(large), "root", "left_anti").select("root", "file", "needs").repartition(n, "root").sortWithinPartitions("root")
+    out = alone.unionByName(small.mapInArrow(_ordered_parts, f"file {arcs.schema['file'].dataType.simpleString()}, step int"))
+    if not large.isEmpty():
+        some = placed.join(apart(large), "root", "left_semi")
+        out = out.unionByName(_steps_together(some.select(F.explode(F.array("file", "needs")).alias("file")).distinct(), some.select("file", "needs")))
+    return written(out, "visit-steps")
+
+
+def _ordered_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """root, file, needs, sorted by root: file, step, as visit_steps(), of each part by itself."""
+    root, held, out, kind = None, [], [], None
+    for batch in batches:
+        kind = batch.column(1).type
+        for r, file, needs in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and r != root:
+                out += steps_of(held)
+                held = []
+            root = r
+            held.append((file, needs))
+        if len(out) >= 10_000:
+            yield _step_rows(out, kind)
+            out = []
+    if held:
+        yield _step_rows(out + steps_of(held), kind)
+
+
+def _step_rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int32())], names=["file", "step"])
+
+
+def steps_of(arcs: list[tuple]) -> list[tuple]:
+    """arcs: file, needs, distinct. file, step: in each step all that wait for nothing, else the smallest of each connected part."""
+    waits, users = {}, {}
+    for file, needs in arcs:
+        waits.setdefault(file, set()).add(needs)
+        waits.setdefault(needs, set())
+        users.setdefault(needs, []).append(file)
+    out, step, ready = [], 0, [f for f, w in waits.items() if not w]
+    while waits:
+        now, ready = ready or _least_of_parts(waits), []
+        for file in now:
+            del waits[file]
+        for file in now:
+            for user in users.get(file, ()):
+                if user in waits:
+                    waits[user].discard(file)
+                    if not waits[user]:
+                        ready.append(user)
+        out += [(file, step) for file in now]
+        step += 1
+    return out
+
+
+def _least_of_parts(waits: dict) -> list:
+    """The smallest file of each connected part of what waits."""
+    root = {f: f for f in waits}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for file, needs in waits.items():
+        for other in needs:
+            a, b = top(file), top(other)
+            root[max(a, b)] = min(a, b)
+    return [f for f in waits if root[f] == f]
+
+
+def _steps_together(here: DataFrame, arcs: DataFrame) -> DataFrame:
+    """here: file. arcs: file, needs. file, step of all parts at once: a step holds no more than the files that come in it."""
+    arcs = written(arcs, "import-arcs")
     left, out, recent, step, forced, parts = written(here, "files-left"), [], [], 0, 0, None
     together = lambda tables: left.sparkSession.read.schema(tables[0].schema).parquet(*[x._written_at for x in tables])
     while True:
         now_left, now_arcs = left, arcs
         if recent:
             gone = together(recent).select("file")
-            now_left, now_arcs = left.join(gone, "file", "left_anti"), arcs.join(gone.withColumnRenamed("file", "needs"), "needs", "left_anti")
-        ready = now_left.join(now_arcs.select("file").distinct(), "file", "left_anti")
+            now_left, now_arcs = left.join(apart(gone), "file", "left_anti"), arcs.join(apart(gone.withColumnRenamed("file", "needs")), "needs", "left_anti")
+        ready = now_left.join(apart(now_arcs.select("file").distinct()), "file", "left_anti")
         now = written(ready.select("file", F.lit(step).alias("step")), "files-released")
         if now.isEmpty():
             if now_left.isEmpty():
@@ -42,9 +129,9 @@ def visit_steps(files: DataFrame, imports: DataFrame) -> DataFrame:
             forced += 1
             # parts only fall apart as files come out, and older, coarser ones give the same order in more steps
             if forced & (forced - 1) == 0:
-                waiting = now_arcs.join(now_left, "file", "left_semi")
+                waiting = now_arcs.join(apart(now_left), "file", "left_semi")
                 parts = components(waiting.select(F.col("file").alias("u"), F.col("needs").alias("v"))).select(F.col("node").alias("file"), "root")
-            least = parts.join(now_left, "file", "left_semi").groupBy("root").agg(F.min("file").alias("file"))
+            least = parts.join(apart(now_left), "file", "left_semi").groupBy("root").agg(F.min("file").alias("file"))
             now = written(least.select("file", F.lit(step).alias("step")), "files-released")
         out.append(now)
         recent.append(now)
@@ -52,8 +139,8 @@ def visit_steps(files: DataFrame, imports: DataFrame) -> DataFrame:
         if len(recent) == REWRITE:
             gone = together(recent).select("file")
             old_left, old_arcs = left, arcs
-            left = written(left.join(gone, "file", "left_anti"), "files-left")
-            arcs = written(arcs.join(gone, "file", "left_anti").join(gone.withColumnRenamed("file", "needs"), "needs", "left_anti"), "import-arcs")
+            left = written(left.join(apart(gone), "file", "left_anti"), "files-left")
+            arcs = written(arcs.join(apart(gone), "file", "left_anti").join(apart(gone.withColumnRenamed("file", "needs")), "needs", "left_anti"), "import-arcs")
             discard(old_left)
             discard(old_arcs)
             recent = []

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import propagate
 from graphloom.plans.registry import query
 from graphloom.sources.tables import table
+from graphloom.storage import apart
 
 #: Ten files to a package; a file imports up to three of its package, by its part's size, a few of them later ones, so that some are on circles.
 IMPORTS = """files AS (SELECT p_partkey AS k, p_partkey // 10 AS g, 'm' || lpad(p_partkey::VARCHAR, 9, '0') AS file FROM part),
@@ -24,7 +25,7 @@ def imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     other = F.col("g") * 10 + (F.col("k") * F.col("i") + F.col("p_size") * F.col("i") * F.col("i") + F.col("i")) % 10
     arcs = rows.select("k", "g", "file", "i", other.alias("other")).where("other < k OR (other > k AND (k + i) % 5 = 0)").select("k", "g", "file", "i", "other", name(F.col("other")).alias("needs"))
     files = part.select(k.alias("k"), group.alias("g"), name(k).alias("file"))
-    return files, arcs.join(files.select(F.col("k").alias("other")), "other")
+    return files, arcs.join(apart(files.select(F.col("k").alias("other"))), "other")
 
 
 @query(f"""WITH RECURSIVE {IMPORTS}, walk(g, gone, x) AS (
@@ -41,7 +42,7 @@ def import_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, arcs = imports(spark, sf_dir)
     steps = propagate.visit_steps(files, arcs)
     first = steps.select(F.col("file").alias("needs"), F.col("step").alias("first"))
-    return arcs.select("file", "needs").distinct().join(steps, "file").join(first, "needs").select("file", "needs", (F.col("first") < F.col("step")).alias("before"))
+    return arcs.select("file", "needs").distinct().join(apart(steps), "file").join(apart(first), "needs").select("file", "needs", (F.col("first") < F.col("step")).alias("before"))
 
 
 @query()
