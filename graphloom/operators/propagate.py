@@ -162,47 +162,50 @@ def environments(files: DataFrame, imports: DataFrame, classes: DataFrame, bindi
     binding's constructor is looked up among imports and classes; a dotted one (x.Name) in the module of what x denotes.
     """
     known = written(classes.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file"), F.min("name").alias("name")).where("n = 1").drop("n"), "classes")
-    wanted = written(imports.select("file", "local", "module", "symbol").distinct().join(steps, "file"), "wanted")
-    bound = written(bindings.select("file", "name", "constructor", "exported").join(steps, "file"), "bound")
-    modules = files.select("file", "module")
+    steps = written(steps.select("file", "step"), "steps")
     by_symbol = known.select(F.col("class"), F.col("class").alias("qualified"))
-    direct = wanted.withColumn("qualified", F.concat_ws("::", "module", "symbol")).join(by_symbol, "qualified", "left").select("file", "step", "local", "module", "symbol", "class")
-    direct = written(direct, "direct-imports")
+    wanted = imports.select("file", "local", "module", "symbol").distinct().join(apart(steps), "file").withColumn("qualified", F.concat_ws("::", "module", "symbol"))
+    direct = written(wanted.join(apart(by_symbol), "qualified", "left").select("file", "step", "local", "module", "symbol", "class"), "direct-imports")
+    bound = bindings.select("file", "name", "constructor", "exported").join(apart(steps), "file").join(apart(files.select("file", "module")), "file", "left")
+    bound = written(bound, "bound")
+    owned = written(known.join(apart(steps), "file").select("file", "name", "class", "step"), "own-classes")
+    dots = not bound.where(F.col("constructor").contains(".")).isEmpty()
     last = steps.agg(F.max("step")).first()[0]
-    exported, out = None, []
+    together = lambda tables: steps.sparkSession.read.schema(tables[0].schema).parquet(*[x._written_at for x in tables])
+    exported, out = [], []
     for step in range(0 if last is None else last + 1):
         mine = direct.where(F.col("step") == step)
-        if exported is not None:
-            mine = mine.join(exported.withColumnRenamed("class", "bound"), ["module", "symbol"], "left").select("file", "local", F.coalesce("class", "bound").alias("class"))
-        found = _one(mine.select("file", F.col("local").alias("name"), "class").where("class IS NOT NULL"), ["file", "name"], "class")
-        own = known.select("file", "name", "class").join(steps.where(F.col("step") == step).select("file"), "file", "left_semi")
-        base = written(own.unionByName(found.join(own, ["file", "name"], "left_anti")), "names")
+        named = mine.where("class IS NOT NULL").select("file", F.col("local").alias("name"), "class")
+        if exported:
+            named = named.unionByName(mine.where("class IS NULL").drop("class").join(apart(together(exported)), ["module", "symbol"]).select("file", F.col("local").alias("name"), "class"))
+        own = owned.where(F.col("step") == step).select("file", "name", "class")
+        base = written(own.unionByName(_one(named, ["file", "name"], "class").join(apart(own), ["file", "name"], "left_anti")), "names")
         here = bound.where(F.col("step") == step)
-        whole = here.join(base.select("file", F.col("name").alias("constructor"), F.col("class").alias("whole")), ["file", "constructor"], "left")
-        head, rest = F.substring_index("constructor", ".", 1), F.expr("substring(constructor, instr(constructor, '.') + 1)")
-        of_head = whole.withColumn("head", F.when(F.col("constructor").contains("."), head)).join(base.select("file", F.col("name").alias("head"), F.col("class").alias("head_class")), ["file", "head"], "left")
-        module = F.expr("substring(head_class, 1, length(head_class) - length(substring_index(head_class, '::', -1)) - 2)")
-        dotted = of_head.withColumn("qualified", F.concat(module, F.lit("::"), rest)).join(by_symbol.withColumnRenamed("class", "dotted"), "qualified", "left")
-        typed = written(dotted.select("file", "name", "exported", F.coalesce("whole", "dotted").alias("class")), "bindings")
+        typed = here.join(apart(base.select("file", F.col("name").alias("constructor"), F.col("class").alias("whole"))), ["file", "constructor"], "left")
+        if dots:
+            head, rest = F.substring_index("constructor", ".", 1), F.expr("substring(constructor, instr(constructor, '.') + 1)")
+            of_head = typed.withColumn("head", F.when(F.col("constructor").contains("."), head)).join(apart(base.select("file", F.col("name").alias("head"), F.col("class").alias("head_class"))), ["file", "head"], "left")
+            module = F.expr("substring(head_class, 1, length(head_class) - length(substring_index(head_class, '::', -1)) - 2)")
+            typed = of_head.withColumn("qualified", F.concat(module, F.lit("::"), rest)).join(apart(by_symbol.withColumnRenamed("class", "dotted")), "qualified", "left")
+        found = F.coalesce("whole", "dotted") if dots else F.col("whole")
+        typed = written(typed.select("file", "module", "name", "exported", found.alias("class")), "bindings")
         by_binding = _one(typed, ["file", "name"], "class")
-        env = written(by_binding.unionByName(base.join(by_binding, ["file", "name"], "left_anti")).select("file", "name", "class", F.lit(step).alias("step")), "environment")
+        env = written(by_binding.unionByName(base.join(apart(by_binding), ["file", "name"], "left_anti")).select("file", "name", "class", F.lit(step).alias("step")), "environment")
         discard(base)
         out.append(env)
-        more = typed.where("exported").select("file", "name").distinct().join(env, ["file", "name"]).join(modules, "file").select("module", F.col("name").alias("symbol"), "class")
-        exported, old = written(more if exported is None else exported.unionByName(more), "exported"), exported
+        if step < last:
+            more = typed.where("exported AND module IS NOT NULL").select("file", "module", "name").distinct().join(apart(env), ["file", "name"])
+            exported.append(written(more.select("module", F.col("name").alias("symbol"), "class"), "exported"))
         discard(typed)
-        if old is not None:
-            discard(old)
     if not out:
         return classes.select("file", "name", "class", F.lit(0).alias("step")).limit(0)
-    whole = out[0].sparkSession.read.schema(out[0].schema).parquet(*[x._written_at for x in out])
-    return whole
+    return together(out)
 
 
 def resolved_bases(bases: DataFrame, env: DataFrame, classes: DataFrame) -> DataFrame:
     """bases: file, child, constructor, place. child, base, place, file, step: base classes named in a file, by its environment."""
-    named = bases.join(env.select("file", F.col("name").alias("constructor"), F.col("class").alias("base"), "step"), ["file", "constructor"])
-    return named.join(classes.select(F.col("class").alias("child")).distinct(), "child", "left_semi").select("child", "base", "place", "file", "step")
+    named = bases.join(apart(env.select("file", F.col("name").alias("constructor"), F.col("class").alias("base"), "step")), ["file", "constructor"])
+    return named.join(apart(classes.select(F.col("class").alias("child")).distinct()), "child", "left_semi").select("child", "base", "place", "file", "step")
 
 
 def propagated_calls(calls: DataFrame, env: DataFrame, inherits: DataFrame, methods: DataFrame) -> DataFrame:
@@ -213,12 +216,12 @@ def propagated_calls(calls: DataFrame, env: DataFrame, inherits: DataFrame, meth
     places. A base that a file names counts for that file and for files of later steps. Receivers without a class give no row, and
     owner is null where no class has the method. Circles end, and no depth is too great.
     """
-    named = calls.where("receiver IS NOT NULL").drop("class").join(env.select("file", F.col("name").alias("receiver"), "class", "step"), ["file", "receiver"])
+    named = calls.where("receiver IS NOT NULL").drop("class").join(apart(env.select("file", F.col("name").alias("receiver"), "class", "step")), ["file", "receiver"])
     steps = env.select("file", "step").distinct()
-    own = calls.where("receiver IS NULL AND class IS NOT NULL").join(steps, "file", "left")
+    own = calls.where("receiver IS NULL AND class IS NOT NULL").join(apart(steps), "file", "left")
     typed = written(named.select("id", "file", "class", "method", "step").unionByName(own.select("id", "file", "class", "method", "step")), "typed-calls")
     owners = breadth_first(typed.select("file", "step", "class", "method").distinct(), inherits, methods)
-    return typed.join(owners, ["file", "class", "method"], "left").select("id", "file", "class", "method", "owner", "depth")
+    return typed.join(apart(owners), ["file", "class", "method"], "left").select("id", "file", "class", "method", "owner", "depth")
 
 
 def breadth_first(asked: DataFrame, inherits: DataFrame, methods: DataFrame) -> DataFrame:
@@ -228,14 +231,14 @@ def breadth_first(asked: DataFrame, inherits: DataFrame, methods: DataFrame) ->
     at = written(asked.select("file", "step", "class", "method", F.col("class").alias("at"), F.array().cast("array<int>").alias("way")).distinct(), "asked")
     keys, depth, found, seen = ["file", "class", "method"], 0, None, at.select("file", "class", "method", "at")
     while not at.isEmpty():
-        hit = at.join(has.withColumnRenamed("class", "at"), ["at", "method"]).groupBy(*keys).agg(F.min_by("at", "way").alias("owner"))
+        hit = at.join(apart(has.withColumnRenamed("class", "at")), ["at", "method"]).groupBy(*keys).agg(F.min_by("at", "way").alias("owner"))
         hit = written(hit.withColumn("depth", F.lit(depth)), "owners")
         found = hit if found is None else found.unionByName(hit)
-        open_ = at.join(hit.select(*keys), keys, "left_anti")
+        open_ = at.join(apart(hit.select(*keys)), keys, "left_anti")
         arc = arcs.select(F.col("child").alias("at"), "base", "place", F.col("file").alias("_file"), F.col("step").alias("_step"))
         seen_by = F.col("_step").isNull() | (F.col("_file") == F.col("file")) | (F.col("_step") < F.col("step"))
-        up = open_.join(arc, "at").where(seen_by).select("file", "step", "class", "method", F.col("base").alias("at"), F.concat("way", F.array("place")).alias("way"))
-        up = up.groupBy("file", "step", "class", "method", "at").agg(F.min("way").alias("way")).join(seen, [*keys, "at"], "left_anti")
+        up = open_.join(apart(arc), "at").where(seen_by).select("file", "step", "class", "method", F.col("base").alias("at"), F.concat("way", F.array("place")).alias("way"))
+        up = up.groupBy("file", "step", "class", "method", "at").agg(F.min("way").alias("way")).join(apart(seen), [*keys, "at"], "left_anti")
         at = written(up, "ancestors")
         seen = seen.unionByName(at.select("file", "class", "method", "at"))
         depth += 1

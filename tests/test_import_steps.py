@@ -34,3 +34,12 @@ def test_stars_are_joined_without_copies_at_the_driver(spark):
     links = spark.createDataFrame([(2, 1), (3, 2)], "u long, v long")
     for star in (components._large_star, components._small_star):
         assert "BroadcastHashJoin" not in star(links)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_calls_are_joined_without_copies_at_the_driver(spark):
+    env = spark.createDataFrame([("f", "x", "m::A", 0)], "file string, name string, class string, step int")
+    calls = spark.createDataFrame([(1, "f", "x", None, "run")], "id int, file string, receiver string, class string, method string")
+    none = spark.createDataFrame([], "child string, base string, place int, file string, step int")
+    found = propagate.propagated_calls(calls, env, none, spark.createDataFrame([("m::A", "run")], "class string, method string"))
+    assert [tuple(r) for r in found.collect()] == [(1, "f", "m::A", "run", "m::A", 0)]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
