@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
-from graphloom.storage import written
+from graphloom.storage import apart, written
 
 
 def degrees(graph: PropertyGraph, dangling: bool = False) -> DataFrame:
@@ -125,10 +125,10 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
     labels = written(both.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id")), "labels")
     quiet = 0
     for k in range(rounds):
-        near = both.join(labels, both["v"] == labels["id"]).groupBy("u", "community").agg(F.sum("weight").alias("w"))
+        near = both.join(apart(labels), both["v"] == labels["id"]).groupBy("u", "community").agg(F.sum("weight").alias("w"))
         best = near.groupBy("u").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("best"))
-        own = near.join(labels.select(F.col("id").alias("u"), F.col("community").alias("own")), "u").where("community = own").select("u", F.col("w").alias("own_w"))
-        move = labels.join(best.withColumnRenamed("u", "id"), "id").join(own.withColumnRenamed("u", "id"), "id", "left")
+        own = near.join(apart(labels.select(F.col("id").alias("u"), F.col("community").alias("own"))), "u").where("community = own").select("u", F.col("w").alias("own_w"))
+        move = labels.join(apart(best.withColumnRenamed("u", "id")), "id").join(apart(own.withColumnRenamed("u", "id")), "id", "left")
         may = (F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2) & (-F.col("best.w") > F.coalesce("own_w", F.lit(0)))
         new = written(move.select("id", F.when(may, F.col("best.community")).otherwise(F.col("community")).alias("community"), may.alias("moved")), "labels")
         quiet = 0 if not new.where("moved").isEmpty() else quiet + 1
