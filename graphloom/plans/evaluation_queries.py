@@ -46,12 +46,25 @@ RELEVANT = ", rel AS (SELECT item_id AS query, doc_id AS id FROM documents JOIN
 
 
 def _relevant(spark: SparkSession, sf_dir: str, block: int = 100_000) -> DataFrame:
-    """Documents that hold a benchmark passage: blocks of passages are broadcast, one after the other."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
+    """Documents that hold a benchmark passage: query, id; written, as it is used twice.
+
+    A word of a passage with a space on either side is a word of each document that holds it, so the longest one tells which
+    documents are compared. Passages without one are compared to all documents. Blocks of passages are broadcast, one after the other.
+    """
+    words = F.split("text", " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"), longest["w"].alias("word"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    asked = search.blocks(items, "query", block)
-    found = [docs.join(F.broadcast(some), F.col("text").contains(F.col("passage"))).select("query", "id") for some in asked]
-    return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, [written(df, "relevant") for df in found])
+    own = docs.select("id", F.explode(F.array_distinct(words)).alias("word"))
+    held = F.col("text").contains(F.col("passage"))
+    found = []
+    for some in search.blocks(items.where("word IS NOT NULL"), "query", block):
+        near = written(own.join(F.broadcast(some.select("query", "word")), "word").select("query", "id").distinct(), "passage-words")
+        found.append(docs.join(near, "id").join(F.broadcast(some.select("query", "passage")), "query").where(held).select("query", "id"))
+    for some in search.blocks(items.where("word IS NULL"), "query", block):
+        found.append(docs.join(F.broadcast(some), held).select("query", "id"))
+    return written(reduce(DataFrame.unionByName, found), "relevant")
 
 
 @query(BM25 + RELEVANT + ", i AS (SELECT query, least(count(*), 10) AS n FROM rel GROUP BY query)  , got AS (SELECT query, sum(1 / log2(rank + 1)) AS dcg FROM k JOIN rel USING (query, id) WHERE rank <= 10 GROUP BY query) SELECT query, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, n + 1), lambda r: 1 / log2(r + 1))), 6) AS ndcg FROM i LEFT JOIN got USING (query)")
