@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from graphloom.storage import discard, written
 
+#: Rounds of doubling before which rows that no jump ends at are left out.
+THINNED = 4
+
 
 def blocked(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """rows, written, with _block and _at: a group's rows are in the order of (_block, _at), and a block is a part of a task."""
@@ -51,14 +54,23 @@ def cut_by_budget(rows: DataFrame, group: str, order: list[str], size: str, budg
     starts = written(placed.where("_n = 1").select(F.col(group).alias("_g"), F.col("_n").alias("_from")), "part-starts")
     last = placed.groupBy(F.col(group).alias("_g")).agg(F.max("_n").alias("_last"))
     jumps = written(jumps.join(last.withColumnRenamed("_g", "_h"), same).where("_to <= _last").select("_g", "_from", "_to"), "jumps")
+    levels = []
     while not jumps.isEmpty():
-        # starts that are 2^k jumps away are added, then jumps are doubled
-        more = starts.select(F.col("_g").alias("_h"), "_from").join(jumps.withColumnRenamed("_from", "_f"), same & (F.col("_from") == F.col("_f")))
-        old, starts = starts, written(starts.unionByName(more.select("_g", F.col("_to").alias("_from"))).distinct(), "part-starts")
-        twice = jumps.join(jumps.select(F.col("_g").alias("_h"), F.col("_from").alias("_mid"), F.col("_to").alias("_end")), same & (F.col("_to") == F.col("_mid")))
-        before, jumps = jumps, written(twice.select("_g", "_from", F.col("_end").alias("_to")), "jumps")
+        level = jumps
+        if len(levels) < THINNED:
+            # a part begins where a jump ends or with the first row, so longer jumps are made from such rows only; they soon get no fewer
+            ends = jumps.select(F.col("_g").alias("_h"), F.col("_to").alias("_f")).unionByName(starts.select(F.col("_g").alias("_h"), F.col("_from").alias("_f"))).distinct()
+            level = written(jumps.join(ends, same & (F.col("_from") == F.col("_f")), "left_semi"), "jumps")
+            discard(jumps)
+        levels.append(level)
+        twice = levels[-1].join(levels[-1].select(F.col("_g").alias("_h"), F.col("_from").alias("_mid"), F.col("_to").alias("_end")), same & (F.col("_to") == F.col("_mid")))
+        jumps = written(twice.select("_g", "_from", F.col("_end").alias("_to")), "jumps")
+    for level in reversed(levels):
+        # starts are every 2^k-th one by now; those half way between them are added
+        more = starts.select(F.col("_g").alias("_h"), "_from").join(level.withColumnRenamed("_from", "_f"), same & (F.col("_from") == F.col("_f")))
+        old, starts = starts, written(starts.unionByName(more.select("_g", F.col("_to").alias("_from"))), "part-starts")
         discard(old)
-        discard(before)
+        discard(level)
     marks = starts.select(F.col("_g"), F.col("_from"), F.lit(1).alias("_mark"))
     marked = placed.join(marks, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_n") == F.col("_from")), "left").drop("_g", "_from")
     numbered = running(written(marked, "marked"), group, {"_part": F.coalesce("_mark", F.lit(0))})
