@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm import bpe, exact_dedup, ngram_lm, packing, quality, secrets, simhash, suffix_dedup, token_counts, url_filter
@@ -446,6 +447,24 @@ def test_a_hot_minimizer_is_divided(spark, limit):
     same(suffix_dedup.remove_repeats(df, **limit).collect(), removal(rows))
 
 
+def test_kinds_of_a_hot_minimizer_are_not_one_task(spark):
+    # 7: 300 kinds; 8: 300, each of which occurs twice; 9: three; others: one each
+    minimizers = [7] * 300 + [8] * 300 + [9] * 3 + list(range(100, 300))
+    rows = [(m, i, i, 1 + (m == 8), i, i, i, 0, 5, False) for i, m in enumerate(minimizers)]
+    random.Random(3).shuffle(rows)
+    names = "minimizer long, d1 long, d2 long, copies long, k1 long, k2 long, k3 long, first int, windows int, alone boolean"
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for group_bytes, large in ((250_000, False), (1000, True)):
+            kinds = spark.createDataFrame(rows, names).repartition(4)
+            found = suffix_dedup._shared_kinds(kinds, 400, group_bytes, 200, 0, least=100).withColumn("task", F.spark_partition_id()).collect()
+            assert sorted((r.minimizer, r.d1, r.copies, r.large) for r in found) == sorted((m, i, 1, large and m == 7) for i, m in enumerate(minimizers) if m in (7, 9))
+            assert len({r.task for r in found if r.minimizer == 7}) == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def removal(rows):
     data, window = [(t or "").encode() for _, t in rows], suffix_dedup.WINDOW
     seen = collections.Counter(xxhash.xxh3_128_intdigest(x[i : i + window]) for x in data for i in range(len(x) - window + 1))
