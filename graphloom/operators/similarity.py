@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import partial
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.storage import written
+from graphloom.operators import prefixes
+from graphloom.storage import ship_package, written
 
 
 def near_pairs(sets: DataFrame, least: float = 0.6, partition: str = "lang", ident: str = "id", tokens: str = "tokens") -> DataFrame:
@@ -13,27 +17,29 @@ def near_pairs(sets: DataFrame, least: float = 0.6, partition: str = "lang", ide
 
     sets: tokens is an array of distinct values. Equal sets are joined once: pairs are of classes (id is the smallest member),
     so copies cost nothing; class_members() tells who belongs to which. Tokens are put in order of their frequency, rarest
-    first; two sets that are similar enough share a token among the first n - ceil(least * n) + 1 of each.
+    first; two sets that are similar enough share a token among the first n - ceil(least * n) + 1 of each. Tokens, places and
+    bitmaps go through one shuffle; only pairs that pass by them are joined with their tokens, and those decide.
     """
-    by = Window.partitionBy(partition, "_id")
-    classes = _keyed(sets, partition, ident, tokens).groupBy(partition, "_key").agg(F.min("id").alias("_id"), F.first("_tokens").alias("_tokens"))
-    classes = written(classes.select(partition, "_id", "_tokens", F.size("_tokens").alias("_n")).where("_n > 0"), "sets")
-    rows = classes.select(partition, "_id", "_n", F.explode("_tokens").alias("_token"))
-    df = rows.groupBy(partition, "_token").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
-    # a token of one set alone can't be shared, but it stands first and takes a place in the prefix
-    ranked = rows.join(df, [partition, "_token"], "left").withColumn("_place", F.row_number().over(by.orderBy(F.coalesce("_df", F.lit(1)), "_token")))
-    prefix = ranked.where((F.col("_place") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1) & F.col("_df").isNotNull())
-    prefix = written(prefix.select(partition, "_token", "_id", "_n", "_place"), "prefixes")
-    a, b = (prefix.select(partition, "_token", F.col("_id").alias(f"id_{x}"), F.col("_n").alias(f"_n_{x}"), F.col("_place").alias(f"_p_{x}")) for x in "ab")
-    # sizes that are too far apart can't do, nor can a pair with too little behind the place where it meets first
-    behind = 1 + F.least(F.col("_n_a") - F.col("_p_a"), F.col("_n_b") - F.col("_p_b")) + F.least("_p_a", "_p_b") - 1
-    enough = behind >= F.ceil((F.col("_n_a") + F.col("_n_b")) * (least / (1 + least)) - 1e-9)
-    candidates = a.join(b, [partition, "_token"]).where("id_a < id_b").where((F.least("_n_a", "_n_b") >= least * F.greatest("_n_a", "_n_b") - 1e-9) & enough)
-    candidates = candidates.select(partition, "id_a", "id_b").distinct()
+    ship_package(sets.sparkSession)
+    rows = sets.select(partition, F.col(ident).alias("id"), F.to_json(F.array_sort(tokens)).alias("_json")).where((F.size(tokens) > 0) & F.col(partition).isNotNull())
+    classes = rows.groupBy(partition, "_json").agg(F.min("id").alias("_id")).withColumn("_no", F.monotonically_increasing_id())
+    classes = written(classes.select(partition, "_no", "_id", "_json"), "sets")
+    array = lambda c: F.from_json(c, sets.schema[tokens].dataType)
+    hashes = classes.select(F.col("_no").alias("no"), F.transform(array("_json"), lambda w: F.xxhash64(F.col(partition), w)).alias("hashes"))
+    bucket = F.shiftrightunsigned("hash", 20).bitwiseAND(F.lit(prefixes.BUCKETS - 1)).cast("int")
+    seen = hashes.select(F.explode("hashes").alias("hash")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).cast("int").alias("n")).toArrow()
+    counts = np.zeros(prefixes.BUCKETS, np.int32)
+    counts[seen["bucket"].to_numpy()] = seen["n"].to_numpy()
+    laid = hashes.mapInArrow(partial(prefixes.laid_out, counts, least), prefixes.LAID)
+    likely = laid.repartition("key").sortWithinPartitions("key").mapInArrow(partial(prefixes.likely_pairs, least), "a long, b long")
+    pairs = written(likely.distinct(), "likely-pairs")
     for x in "ab":
-        candidates = candidates.join(classes.select(partition, F.col("_id").alias(f"id_{x}"), F.col("_tokens").alias(f"_{x}")), [partition, f"id_{x}"])
-    shared = candidates.select(partition, "id_a", "id_b", F.size(F.array_intersect("_a", "_b")).alias("shared"), (F.size("_a") + F.size("_b")).alias("_sum"))
-    scored = shared.select(partition, "id_a", "id_b", F.col("shared").cast("long").alias("shared"), (F.col("shared") / (F.col("_sum") - F.col("shared"))).alias("similarity"))
+        pairs = pairs.join(classes.select(F.col(partition).alias(f"_of_{x}"), F.col("_no").alias(x), F.col("_id").alias(f"_id_{x}"), F.col("_json").alias(f"_{x}")), x)
+    pairs = pairs.where("_of_a = _of_b").withColumns({"_a": array("_a"), "_b": array("_b")}).select(
+        F.col("_of_a").alias(partition), F.least("_id_a", "_id_b").alias("id_a"), F.greatest("_id_a", "_id_b").alias("id_b"),
+        F.size(F.array_intersect("_a", "_b")).alias("shared"), (F.size("_a") + F.size("_b")).alias("_sum"),
+    )
+    scored = pairs.select(partition, "id_a", "id_b", F.col("shared").cast("long").alias("shared"), (F.col("shared") / (F.col("_sum") - F.col("shared"))).alias("similarity"))
     return scored.where(F.col("similarity") >= least)
 
 
