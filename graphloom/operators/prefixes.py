@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 #: Buckets of tokens that are counted: a table of fixed size, whatever the input.
 BUCKETS = 1 << 20
 #: Words of 64 bits of a set's bitmap.
-WORDS = 2
+WORDS = 4
 #: Sets of one token that are one group; more are cut into blocks, and groups are of two blocks.
 GROUP = 16_384
 #: Pairs of one step, and rows that are looked at together.
